@@ -3,25 +3,140 @@
 Each entry takes ``(spark, sf_dir)`` and returns a DataFrame whose column
 names and rounding match its DuckDB twin in ``oracle_sql``.  Doubles that
 come from sums or divisions are rounded to 6 decimals on both sides so that
-summation order cannot change the comparison.
+summation order cannot change the comparison.  Every query reads whole
+driver tables through the fixture views.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlog.functions.text import round6
+from fleetlog.functions.calendar import RANGE_KEYS, Period, normalize_boundary, resolve_range
+from fleetlog.functions.text import round6, strip_ws
 from fleetlog.operators import aggregates as agg
-from fleetlog.operators.asof import odometer_at
-from fleetlog.operators.consumption import consumption_estimates
+from fleetlog.operators import distance as dist
+from fleetlog.operators import lookups as lk
+from fleetlog.operators import rules
+from fleetlog.operators.asof import distance_between, odometer_at
+from fleetlog.operators.consumption import (
+    consumption_estimates, consumption_flat as _flat, consumption_in_period as _in_period,
+    consumption_summary as _summary,
+)
+from fleetlog.operators.pairs import tolerance_pairs
+from fleetlog.plans import report
 from fleetlog.schema import KEY, ROW, TS
 from fleetlog.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Fixed query parameters (the oracle uses the same literals).
+PERIOD = Period(normalize_boundary(date(2024, 1, 8), None, False),
+                normalize_boundary(date(2024, 1, 21), None, True))
+AS_OF = datetime(2024, 1, 20, 12, 0, 0)
+CUSTOM = ("2024-01-08", "2024-01-21")
+HISTORY_K = 3
+IMPORT_CUTOFF = datetime(2024, 1, 4)   # the store already holds the first three days
+DIM_MAX_NATIONKEY = 20
+PRIMARY_NATIONS = ("GERMANY", "FRANCE", "ITALY")
+
+
+def _r6(*cols):
+    return [round6(c).alias(c.split(".")[-1] if isinstance(c, str) else c) for c in cols]
+
+
+# --- fuel aggregates --------------------------------------------------------
+
+def fuel_totals(spark, d):
+    t = agg.fuel_totals(fx.fx_log(spark, d))
+    return t.select(KEY, "entries", *_r6("total_liters", "total_eur", "avg_price_per_liter"))
+
+
+def month_to_date(spark, d):
+    t = agg.month_to_date(fx.fx_fuel(spark, d), AS_OF)
+    return t.select(KEY, "month_entries", *_r6("month_liters", "month_eur"))
+
+
+def fuel_price_over_time(spark, d):
+    # a single division: identical IEEE result in every engine, so it is not rounded
+    return agg.fuel_price_over_time(fx.fx_fuel(spark, d)).select(KEY, TS, ROW, "price_per_liter_eur")
+
+
+def fuel_type_summary(spark, d):
+    return agg.fuel_type_summary(fx.fx_log(spark, d)).select(KEY, "fuel_type", "count",
+                                                              *_r6("total_liters", "total_eur"))
+
+
+def fuel_type_share(spark, d):
+    return agg.fuel_type_share(fx.fx_log(spark, d)).select(
+        KEY, "fuel_type", "count", *_r6("stops_share_pct", "liters_share_pct", "eur_share_pct"))
+
+
+def avg_price_by_country(spark, d):
+    return agg.avg_price_by_country(fx.fx_log(spark, d)).select(KEY, "country",
+                                                                 *_r6("avg_price_per_liter", "total_liters"))
+
+
+def avg_price_by_city(spark, d):
+    return agg.avg_price_by_city(fx.fx_log(spark, d)).select(KEY, "city", *_r6("avg_price_per_liter", "total_liters"))
+
+
+def _overview(column):
+    def q(spark, d):
+        return agg.location_overview(fx.fx_log(spark, d), column).select(
+            KEY, column, "stops", *_r6("liters", "eur", "avg_price_per_liter"), "rank")
+    q.__name__ = f"location_overview_{column}"
+    return q
+
+
+def _af(spark, d):
+    """The A+F subset of the long history (return flag A, line status F): has gap months."""
+    return fx.fx_log(spark, d).filter((F.col("fuel_type") == "A") & (F.col("is_full_tank") == "true"))
+
+
+def monthly_liters(spark, d):
+    return agg.monthly_liters(_af(spark, d)).select(KEY, "month", *_r6("liters"))
+
+
+def monthly_spending(spark, d):
+    return agg.monthly_spending(_af(spark, d)).select(KEY, "month", *_r6("amount_eur"))
+
+
+def fuel_price_trend(spark, d):
+    return agg.fuel_price_trend(_af(spark, d)).select(KEY, "month", *_r6("avg_price_per_liter"))
+
+
+# --- odometer series --------------------------------------------------------
+
+def total_distance(spark, d):
+    return dist.total_distance(fx.fx_odo(spark, d)).select(KEY, "readings", *_r6("total_km"))
+
+
+def total_distance_raw(spark, d):
+    return dist.total_distance(fx.fx_odo_raw(spark, d)).select(KEY, "readings", *_r6("total_km"))
+
+
+def monthly_km_driven(spark, d):
+    return dist.monthly_km_driven(fx.fx_odo(spark, d)).select(KEY, "month", *_r6("km_driven"))
+
+
+def cumulative_distance(spark, d):
+    return dist.cumulative_distance(fx.fx_odo(spark, d)).select(KEY, TS, ROW, *_r6("cumulative_km"))
+
+
+def distance_timeline(spark, d):
+    return dist.distance_timeline(fx.fx_odo(spark, d), PERIOD).select(KEY, TS, ROW, *_r6("km_since_last_entry"))
+
+
+def odometer_readings_in_period(spark, d):
+    return dist.odometer_readings_in_period(fx.fx_odo(spark, d), PERIOD).select(
+        KEY, TS, ROW, *_r6("odometer_km", "km_since_previous"))
+
+
+# --- as-of, consumption -----------------------------------------------------
 
 def odometer_at_fuel(spark, d):
     e = odometer_at(fx.fx_fuel(spark, d).select(KEY, TS, ROW), fx.fx_odo(spark, d))
@@ -30,8 +145,7 @@ def odometer_at_fuel(spark, d):
                     F.col("odometer.source_interval").alias("source_interval"))
 
 
-def consumption_segments(spark, d):
-    c = consumption_estimates(fx.fx_fuel(spark, d), fx.fx_odo(spark, d))
+def _segments(c: DataFrame) -> DataFrame:
     return c.select(KEY, "previous_fuel_datetime", "previous_row_num", "fuel_datetime", ROW,
                     "liters", "amount_eur", round6("estimated_km").alias("estimated_km"),
                     round6("odometer_at_previous.value").alias("odometer_at_previous"),
@@ -43,16 +157,265 @@ def consumption_segments(spark, d):
                     F.col("liters_per_100km.source_interval").alias("source_interval"))
 
 
-def fuel_totals(spark, d):
-    t = agg.fuel_totals(fx.fx_log(spark, d))
-    return t.select(KEY, "entries", round6("total_liters").alias("total_liters"),
-                    round6("total_eur").alias("total_eur"),
-                    round6("avg_price_per_liter").alias("avg_price_per_liter"))
+def consumption_segments(spark, d):
+    return _segments(consumption_estimates(fx.fx_fuel(spark, d), fx.fx_odo(spark, d)))
+
+
+def consumption_in_period(spark, d):
+    return _segments(_in_period(fx.fx_fuel(spark, d), fx.fx_odo(spark, d), PERIOD))
+
+
+def consumption_flat(spark, d):
+    f = _flat(consumption_estimates(fx.fx_fuel(spark, d), fx.fx_odo(spark, d)))
+    num = ["estimated_km", "odometer_at_previous", "odometer_at_current", "liters_per_100km", "cost_per_100km",
+           "cost_per_km"]
+    return f.select(*[round6(c).alias(c) if c in num else F.col(c) for c in f.columns])
+
+
+def consumption_summary(spark, d):
+    s = _summary(consumption_estimates(fx.fx_fuel(spark, d), fx.fx_odo(spark, d)))
+    return s.select(KEY, "segments", *_r6("avg_l_per_100km", "avg_cost_per_100km", "avg_cost_per_km"), "any_estimated")
+
+
+def _distance_between(readings: DataFrame) -> DataFrame:
+    keys = readings.select(KEY).distinct()
+    b = keys.select(KEY, F.lit(PERIOD.start).cast("timestamp_ntz").alias("start"),
+                    F.lit(PERIOD.end).cast("timestamp_ntz").alias("end"))
+    r = distance_between(b, readings)
+    return r.select(KEY, "start", "end", round6("distance.value").alias("distance_km"),
+                    F.col("distance.quality").alias("quality"),
+                    F.col("distance.source_interval").alias("source_interval"))
+
+
+def distance_between_q(spark, d):
+    return _distance_between(fx.fx_odo(spark, d))
+
+
+def distance_between_raw(spark, d):
+    return _distance_between(fx.fx_odo_raw(spark, d))
+
+
+def boundary_estimates(spark, d):
+    fuel, odo = fx.fx_fuel(spark, d), fx.fx_odo(spark, d)
+    b = report.boundary_estimates(odo, PERIOD, report.key_universe(fuel, odo))
+    return b.select(KEY, "boundary", TS, round6("odometer_km").alias("odometer_km"), "quality", "supporting_data")
+
+
+# --- validation ------------------------------------------------------------
+
+def _fuel_validated(spark, d):
+    return rules.validate_fuel(fx.fx_dirty(spark, d))
+
+
+def fuel_clean(spark, d):
+    g = _fuel_validated(spark, d).good
+    return g.select(ROW, TS, "amount_eur", "liters", "price_per_liter_eur",
+                    "fuel_type", "is_full_tank", "station_name", "city", "country", "notes")
+
+
+def fuel_issues(spark, d):
+    i = _fuel_validated(spark, d).issues
+    return i.select("dataset", "severity", "rule", ROW, "field", "pair_row_a", "pair_row_b")
+
+
+def issue_summary(spark, d):
+    return rules.issue_summary(_fuel_validated(spark, d).issues)
+
+
+def fuel_duplicates(spark, d):
+    good = _fuel_validated(spark, d).good
+    return rules.fuel_duplicates(good).select("liters", "a_ts", "a_row", "b_ts", "b_row")
+
+
+def _odo_validated(spark, d):
+    return rules.validate_odometer(fx.fx_dirty_odometer(spark, d))
+
+
+def odometer_clean(spark, d):
+    return _odo_validated(spark, d).good.select(ROW, TS, "odometer_km", "notes")
+
+
+def odometer_issues(spark, d):
+    return _odo_validated(spark, d).issues.select("dataset", "severity", "rule", ROW, "field",
+                                                  "pair_row_a", "pair_row_b")
+
+
+def quality_summary(spark, d):
+    return rules.quality_summary(_fuel_validated(spark, d), _odo_validated(spark, d))
+
+
+def odometer_monotonicity(spark, d):
+    m = rules.odometer_monotonicity(fx.fx_odo_raw(spark, d), [KEY])
+    return m.select(KEY, TS, ROW, "odometer_km", "previous_ts", "previous_row_num", "previous_km")
+
+
+def odometer_duplicates(spark, d):
+    ev = fx.table(spark, d, "events").select(F.col("user_id").alias(KEY), F.col("ts").alias(TS),
+                                             F.col("event_id").alias(ROW), "event_type")
+    return tolerance_pairs(ev, [KEY], ["event_type"], orient="time").select(
+        KEY, "event_type", "a_ts", "a_row", "b_ts", "b_row")
+
+
+def entry_validation(spark, d):
+    raw = fx.fx_dirty(spark, d).select(ROW, strip_ws("datetime").alias("entry_date"), "amount_eur", "liters",
+                                       "fuel_type", "is_full_tank", "station_name", "city", "country", "notes")
+    accepted, rejected = rules.validate_entries(raw)
+    a = accepted.select(ROW, F.lit(True).alias("accepted"), F.lit("").alias("error_fields"),
+                        F.size("warnings").alias("warnings"))
+    r = rejected.select(ROW, F.lit(False).alias("accepted"),
+                        F.array_join(F.array_sort(F.map_keys("errors")), ",").alias("error_fields"),
+                        F.lit(0).alias("warnings"))
+    cleaned = raw.select(ROW, rules.clean_decimal(F.col("liters")).alias("liters_clean"),
+                         rules.clean_decimal(F.col("amount_eur")).alias("amount_clean"))
+    return a.unionByName(r).join(cleaned, ROW)
+
+
+# --- lookups, history, periods ----------------------------------------------
+
+def _nation_dim(spark, d):
+    n = fx.table(spark, d, "nation")
+    return n.filter(F.col("n_nationkey") < DIM_MAX_NATIONKEY).select(
+        F.col("n_name").alias("code"), F.lower("n_name").alias("name"))
+
+
+def recent_history(spark, d):
+    top = lk.fetch_entries(fx.fx_fuel(spark, d), limit=HISTORY_K)
+    return lk.entry_view(top).select(KEY, ROW, "datetime", "date", "time", "liters", "amount_eur", "recency")
+
+
+def country_lookup(spark, d):
+    log = fx.fx_log(spark, d)
+    g = log.groupBy(KEY, "country").agg(F.count(F.lit(1)).alias("stops"))
+    return lk.with_country_name(g, _nation_dim(spark, d), known_small=False).select(
+        KEY, "country", "country_name", "stops")
+
+
+def unknown_countries(spark, d):
+    log = fx.fx_log(spark, d)
+    g = log.groupBy(KEY, "country").agg(F.count(F.lit(1)).alias("stops"))
+    return lk.known_codes(g, _nation_dim(spark, d), known=False, known_small=False).select(KEY, "country", "stops")
+
+
+def country_options(spark, d):
+    return lk.ordered_options(_nation_dim(spark, d), PRIMARY_NATIONS).select("code", "name", "position")
+
+
+def vehicles_for_user(spark, d):
+    users = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    li = fx.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    o = fx.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    bridge = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("o_custkey").alias("user_id"), F.col("l_suppkey").alias("car_id")).distinct()
+    cars = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("car_id"), "s_name")
+    return lk.vehicles_for_user(users, bridge, cars).select("user_id", "car_id", "c_name", "s_name")
+
+
+def import_missing_vehicles(spark, d):
+    incoming = fx.fx_fuel(spark, d)
+    target = incoming.filter(F.col(TS) < F.lit(IMPORT_CUTOFF).cast("timestamp_ntz"))
+    return lk.import_missing(incoming, target).groupBy(KEY).agg(F.count(F.lit(1)).alias("imported_rows"))
+
+
+def report_period(spark, d):
+    return lk.resolve_report_periods(fx.fx_fuel(spark, d), fx.fx_odo(spark, d)).select(KEY, "start", "end")
+
+
+def range_bounds(spark, d):
+    ranges = [resolve_range(k, AS_OF, *CUSTOM) for k in RANGE_KEYS]
+    arr = F.array(*[F.struct(F.lit(k).alias("range"), F.lit(p.start).cast("timestamp_ntz").alias("start"),
+                             F.lit(p.end).cast("timestamp_ntz").alias("end"))
+                    for k, p in zip(RANGE_KEYS, ranges)])
+    f = fx.fx_fuel(spark, d).select(KEY, TS, "liters", F.explode(arr).alias("_r"))
+    return (f.filter(F.col(TS).between(F.col("_r.start"), F.col("_r.end")))
+            .groupBy(KEY, F.col("_r.range").alias("range"), F.col("_r.start").alias("start"),
+                     F.col("_r.end").alias("end"))
+            .agg(F.count(F.lit(1)).alias("entries"), round6(F.sum("liters")).alias("liters")))
+
+
+# --- report and payload -----------------------------------------------------
+
+def report_cards(spark, d):
+    c = report.report_cards(fx.fx_fuel(spark, d), fx.fx_odo(spark, d), PERIOD)
+    return c.select(KEY, "section", "position", "metric", round6("value").alias("value"), "unit", "tone", "note")
+
+
+def summary_all(spark, d):
+    s = report.summary_all(fx.fx_fuel(spark, d), fx.fx_odo(spark, d))
+    return s.select(KEY, "entries", *_r6("total_liters", "total_eur", "avg_price_per_liter"), "readings",
+                    *_r6("total_km"), "segments", *_r6("avg_l_per_100km", "avg_cost_per_100km"))
+
+
+def analysis_metrics(spark, d):
+    period = resolve_range("custom", AS_OF, *CUSTOM)
+    m = report.analysis_metrics(fx.fx_fuel(spark, d), fx.fx_odo(spark, d), period)
+    return m.select(KEY, *_r6("total_liters", "total_eur", "avg_price_per_liter"), "entries",
+                    *_r6("avg_l_per_100km", "avg_cost_per_100km"))
+
+
+def analysis_payload(spark, d):
+    period = resolve_range("custom", AS_OF, *CUSTOM)
+    p = report.analysis_payload(fx.fx_fuel(spark, d), fx.fx_odo(spark, d), period)
+    return p.select(KEY, "range", "start", "end",
+                    F.size("charts.price_trend").alias("n_price_trend"),
+                    F.size("charts.monthly_liters").alias("n_monthly_liters"),
+                    F.size("charts.monthly_spending").alias("n_monthly_spending"),
+                    F.size("charts.fuel_type_summary").alias("n_fuel_types"),
+                    F.size("charts.country_breakdown").alias("n_countries"),
+                    F.col("consumption_points").alias("n_consumption"),
+                    F.col("metrics.entries").alias("entries"))
 
 
 def queries() -> dict[str, Query]:
+    from fleetlog.streaming import ingest
     return {
+        "fuel_totals": fuel_totals,
+        "month_to_date": month_to_date,
+        "fuel_price_over_time": fuel_price_over_time,
+        "fuel_type_summary": fuel_type_summary,
+        "fuel_type_share": fuel_type_share,
+        "avg_price_by_country": avg_price_by_country,
+        "avg_price_by_city": avg_price_by_city,
+        "location_overview_country": _overview("country"),
+        "location_overview_city": _overview("city"),
+        "monthly_liters": monthly_liters,
+        "monthly_spending": monthly_spending,
+        "fuel_price_trend": fuel_price_trend,
+        "total_distance": total_distance,
+        "total_distance_raw": total_distance_raw,
+        "monthly_km_driven": monthly_km_driven,
+        "cumulative_distance": cumulative_distance,
+        "distance_timeline": distance_timeline,
+        "odometer_readings_in_period": odometer_readings_in_period,
         "odometer_at_fuel": odometer_at_fuel,
         "consumption_segments": consumption_segments,
-        "fuel_totals": fuel_totals,
+        "consumption_flat": consumption_flat,
+        "consumption_summary": consumption_summary,
+        "consumption_in_period": consumption_in_period,
+        "distance_between": distance_between_q,
+        "distance_between_raw": distance_between_raw,
+        "boundary_estimates": boundary_estimates,
+        "fuel_clean": fuel_clean,
+        "fuel_issues": fuel_issues,
+        "issue_summary": issue_summary,
+        "fuel_duplicates": fuel_duplicates,
+        "odometer_clean": odometer_clean,
+        "odometer_issues": odometer_issues,
+        "quality_summary": quality_summary,
+        "odometer_monotonicity": odometer_monotonicity,
+        "odometer_duplicates": odometer_duplicates,
+        "entry_validation": entry_validation,
+        "recent_history": recent_history,
+        "country_lookup": country_lookup,
+        "unknown_countries": unknown_countries,
+        "country_options": country_options,
+        "vehicles_for_user": vehicles_for_user,
+        "import_missing_vehicles": import_missing_vehicles,
+        "report_period": report_period,
+        "range_bounds": range_bounds,
+        "report_cards": report_cards,
+        "summary_all": summary_all,
+        "analysis_metrics": analysis_metrics,
+        "analysis_payload": analysis_payload,
+        "stream_month_to_date": ingest.stream_month_to_date_query,
+        "stream_ingest": ingest.stream_ingest_query,
     }

@@ -3,11 +3,26 @@
 Each statement is self-contained: the fixture views of FIXTURES.md are
 inlined as CTEs over the driver's tables.  The oracle is written the way a
 SQL user would write each operator (ASOF JOINs, plain windows, naive
-self-joins), independently of how the Spark plans compute them.
+self-joins, one UNION branch per rule), independently of how the Spark
+plans compute them.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
+from fleetlog.functions.calendar import RANGE_KEYS, resolve_range
+from fleetlog.functions.text import ISO_TIMESTAMP_PATTERN, NUMBER_PATTERN
+from fleetlog.plans.fixture_queries import (
+    AS_OF, CUSTOM, DIM_MAX_NATIONKEY, HISTORY_K, IMPORT_CUTOFF, PERIOD, PRIMARY_NATIONS,
+)
+
+TOL_US = 20 * 60 * 1_000_000
+
+
+def lit_ts(t: datetime) -> str:
+    return f"TIMESTAMP '{t.isoformat(sep=' ')}'"
+
 
 def tstxt(e: str) -> str:
     """Python ``str(datetime)`` text of a TIMESTAMP expression."""
@@ -20,13 +35,29 @@ def isotxt(e: str) -> str:
             f"THEN '.' || strftime({e}, '%f') ELSE '' END)")
 
 
+def strip(e: str) -> str:
+    return f"regexp_replace(coalesce({e}, ''), '^\\s+|\\s+$', '', 'g')"
+
+
+def ts_parse(e: str) -> str:
+    return f"CASE WHEN regexp_full_match({e}, '{ISO_TIMESTAMP_PATTERN}') THEN TRY_CAST(replace({e}, ',', '.') AS TIMESTAMP) END"
+
+
+def num_parse(e: str) -> str:
+    return f"CASE WHEN regexp_full_match({e}, '{NUMBER_PATTERN}') THEN TRY_CAST(replace({e}, '_', '') AS DOUBLE) END"
+
+
+P_START, P_END = lit_ts(PERIOD.start), lit_ts(PERIOD.end)
+
 EV = """ev AS (SELECT user_id AS vehicle_id, ts AS event_ts, event_id AS row_num, event_type, value, props FROM events)"""
 
 FUEL = EV + """,
-fuel AS (SELECT vehicle_id, event_ts, row_num, value AS amount_eur,
-                CAST(json_extract(props, '$.k') AS DOUBLE) + 1 AS liters,
-                value / (CAST(json_extract(props, '$.k') AS DOUBLE) + 1) AS price_per_liter_eur
-         FROM ev WHERE event_type = 'purchase')"""
+fuel AS (SELECT vehicle_id, event_ts, row_num, value AS amount_eur, CAST(k AS DOUBLE) + 1 AS liters,
+                value / (CAST(k AS DOUBLE) + 1) AS price_per_liter_eur,
+                CASE WHEN k % 3 = 0 THEN 'E5' ELSE 'E10' END AS fuel_type, 'true' AS is_full_tank,
+                'Station ' || (k % 7) AS station_name, 'City ' || (k % 5) AS city,
+                CASE k % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'AT' ELSE 'IT' END AS country
+         FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM ev WHERE event_type = 'purchase'))"""
 
 ODO = """odo AS (SELECT vehicle_id, event_ts, row_num, odometer_km FROM (
          SELECT *, CAST(SUM(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY vehicle_id ORDER BY event_ts, row_num) AS DOUBLE) AS odometer_km
@@ -41,6 +72,9 @@ LOG = """log AS (SELECT l_suppkey AS vehicle_id, l_shipdate AS event_ts, l_exten
                 s_name AS station_name, CASE WHEN s_suppkey % 10 = 0 THEN ' ' ELSE s_name END AS city, n_name AS country
          FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
 
+AF = LOG + """,
+af AS (SELECT * FROM log WHERE fuel_type = 'A' AND is_full_tank = 'true')"""
+
 DIRTY = """dirty AS (SELECT o_orderkey + 2 AS row_num,
   CASE WHEN o_orderkey % 97 = 0 THEN 'not-a-date' WHEN o_orderkey % 89 = 0 THEN ''
        ELSE ' ' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' ' END AS datetime,
@@ -56,6 +90,52 @@ DIRTY = """dirty AS (SELECT o_orderkey + 2 AS row_num,
        WHEN 2 THEN CASE WHEN o_orderkey % 17 = 0 THEN 'Germany' ELSE 'FR' END ELSE 'DE' END AS country, '' AS notes
 FROM orders)"""
 
+DIRTY_PARSED = DIRTY + f""",
+ds AS (SELECT *, {strip('datetime')} AS dt_s, {strip('amount_eur')} AS am_s, {strip('liters')} AS li_s,
+              {strip('fuel_type')} AS ft, {strip('is_full_tank')} AS tk_s, {strip('station_name')} AS st,
+              {strip('city')} AS ci, {strip('country')} AS co, {strip('notes')} AS nt FROM dirty),
+dp AS (SELECT *, {ts_parse('dt_s')} AS ts, {num_parse('am_s')} AS amount, {num_parse('li_s')} AS lit,
+              CASE WHEN lower(tk_s) IN ('', 'na', 'none') THEN 'unknown' WHEN lower(tk_s) IN ('true', '1', 'yes') THEN 'true'
+                   WHEN lower(tk_s) IN ('false', '0', 'no') THEN 'false' END AS tank,
+              regexp_full_match(co, '^[A-Z]{{2}}$') AS co_ok FROM ds),
+good AS (SELECT * FROM dp WHERE ts IS NOT NULL AND amount > 0 AND lit > 0 AND ft IN ('E5', 'E10')
+           AND tank IS NOT NULL AND st <> '' AND co_ok)"""
+
+FUEL_ISSUES = DIRTY_PARSED + f""",
+fi AS (
+  SELECT 'fuel' AS dataset, 'error' AS severity, 'datetime_unparsable' AS rule, row_num, 'datetime' AS field, NULL::BIGINT AS pair_row_a, NULL::BIGINT AS pair_row_b FROM dp WHERE ts IS NULL
+  UNION ALL SELECT 'fuel', 'error', 'amount_eur_not_numeric', row_num, 'amount_eur', NULL, NULL FROM dp WHERE amount IS NULL
+  UNION ALL SELECT 'fuel', 'error', 'amount_eur_range', row_num, 'amount_eur', NULL, NULL FROM dp WHERE amount <= 0
+  UNION ALL SELECT 'fuel', 'error', 'liters_not_numeric', row_num, 'liters', NULL, NULL FROM dp WHERE lit IS NULL
+  UNION ALL SELECT 'fuel', 'error', 'liters_range', row_num, 'liters', NULL, NULL FROM dp WHERE lit <= 0
+  UNION ALL SELECT 'fuel', 'error', 'fuel_type_invalid', row_num, 'fuel_type', NULL, NULL FROM dp WHERE ft NOT IN ('E5', 'E10')
+  UNION ALL SELECT 'fuel', 'error', 'full_tank_invalid', row_num, 'is_full_tank', NULL, NULL FROM dp WHERE tank IS NULL
+  UNION ALL SELECT 'fuel', 'error', 'station_missing', row_num, 'station_name', NULL, NULL FROM dp WHERE tank IS NOT NULL AND st = ''
+  UNION ALL SELECT 'fuel', 'warning', 'city_missing', row_num, 'city', NULL, NULL FROM dp WHERE tank IS NOT NULL AND ci = ''
+  UNION ALL SELECT 'fuel', 'error', 'country_format', row_num, 'country', NULL, NULL FROM dp WHERE tank IS NOT NULL AND NOT co_ok
+  UNION ALL SELECT 'fuel', 'warning', 'country_not_primary', row_num, 'country', NULL, NULL FROM dp
+            WHERE tank IS NOT NULL AND co_ok AND co NOT IN ('DE', 'AT', 'IT', 'FR', 'HR', 'CH')
+  UNION ALL SELECT 'fuel', 'warning', 'price_low', row_num, 'amount_eur', NULL, NULL FROM good WHERE amount / lit < 0.8
+  UNION ALL SELECT 'fuel', 'warning', 'price_high', row_num, 'amount_eur', NULL, NULL FROM good WHERE amount / lit > 3.0
+  UNION ALL SELECT 'fuel', 'warning', 'potential_duplicate', NULL, NULL, a.row_num, b.row_num
+            FROM good a JOIN good b ON a.lit = b.lit AND a.row_num < b.row_num
+            WHERE abs(epoch_us(a.ts) - epoch_us(b.ts)) <= {TOL_US})"""
+
+ODO_TAIL = f"""ods AS (SELECT row_num, {strip('datetime')} AS dt_s, {strip('amount_eur')} AS km_s, {strip('notes')} AS nt FROM dirty),
+odp AS (SELECT *, {ts_parse('dt_s')} AS ts, {num_parse('km_s')} AS km FROM ods),
+ogood AS (SELECT * FROM odp WHERE ts IS NOT NULL AND km >= 0),
+oseq AS (SELECT *, lag(km) OVER w AS p_km, lag(row_num) OVER w AS p_row FROM ogood WINDOW w AS (ORDER BY ts, row_num)),
+oi AS (
+  SELECT 'odometer' AS dataset, 'error' AS severity, 'datetime_unparsable' AS rule, row_num, 'datetime' AS field, NULL::BIGINT AS pair_row_a, NULL::BIGINT AS pair_row_b FROM odp WHERE ts IS NULL
+  UNION ALL SELECT 'odometer', 'error', 'odometer_km_not_numeric', row_num, 'odometer_km', NULL, NULL FROM odp WHERE km IS NULL
+  UNION ALL SELECT 'odometer', 'error', 'odometer_km_range', row_num, 'odometer_km', NULL, NULL FROM odp WHERE km < 0
+  UNION ALL SELECT 'odometer', 'warning', 'monotonicity', NULL, 'odometer_km', p_row, row_num FROM oseq WHERE km < p_km
+  UNION ALL SELECT 'odometer', 'warning', 'potential_duplicate', NULL, NULL, a.row_num, b.row_num
+            FROM ogood a JOIN ogood b ON a.km = b.km AND (a.ts < b.ts OR (a.ts = b.ts AND a.row_num < b.row_num))
+            WHERE abs(epoch_us(a.ts) - epoch_us(b.ts)) <= {TOL_US})"""
+
+ODO_DIRTY = DIRTY + ",\n" + ODO_TAIL
+
 
 def asof_est(probe: str, readings: str, name: str) -> str:
     """CTE ``name``: probe rows + est_value/est_quality/est_interval via ASOF joins."""
@@ -80,38 +160,393 @@ def asof_est(probe: str, readings: str, name: str) -> str:
   FROM {name}_b b JOIN {name}_a a USING (vehicle_id, row_num) LEFT JOIN {name}_x x USING (vehicle_id, row_num))"""
 
 
-def _segments(probe: str = "fuel") -> str:
-    return f""",
-{asof_est(probe, 'odo', 'est')},
-seq AS (SELECT f.vehicle_id, f.event_ts, f.row_num, f.liters, f.amount_eur, e.est_value, e.est_quality, e.est_interval,
+def segments(probe: str = "fuel", readings: str = "odo", name: str = "seg") -> str:
+    """CTE ``name``: accepted consecutive-refuel segments of ``probe``."""
+    return f"""{asof_est(probe, readings, name + '_est')},
+{name}_seq AS (SELECT f.vehicle_id, f.event_ts, f.row_num, f.liters, f.amount_eur, e.est_value, e.est_quality, e.est_interval,
           lag(f.event_ts) OVER w AS p_ts, lag(f.row_num) OVER w AS p_row, lag(e.est_value) OVER w AS p_value,
           lag(e.est_quality) OVER w AS p_quality, lag(e.est_interval) OVER w AS p_interval
-        FROM {probe} f JOIN est e USING (vehicle_id, row_num)
+        FROM {probe} f JOIN {name}_est e USING (vehicle_id, row_num)
         WINDOW w AS (PARTITION BY f.vehicle_id ORDER BY f.event_ts, f.row_num)),
-seg AS (SELECT *, est_value - p_value AS km,
+{name} AS (SELECT *, est_value - p_value AS km,
           CASE WHEN p_quality = 'estimated' OR est_quality = 'estimated' THEN 'estimated' ELSE 'exact' END AS quality,
           {tstxt('p_ts')} || ' -> ' || {tstxt('event_ts')} AS interval
-        FROM seq WHERE p_ts IS NOT NULL AND p_quality <> 'insufficient' AND est_quality <> 'insufficient'
+        FROM {name}_seq WHERE p_ts IS NOT NULL AND p_quality <> 'insufficient' AND est_quality <> 'insufficient'
           AND est_value - p_value > 0)"""
 
 
+SEG_COLUMNS = """vehicle_id, p_ts AS previous_fuel_datetime, p_row AS previous_row_num, event_ts AS fuel_datetime, row_num,
+       liters, amount_eur, round(km, 6) AS estimated_km,
+       round(p_value, 6) AS odometer_at_previous, round(est_value, 6) AS odometer_at_current,
+       round(liters / km * 100, 6) AS liters_per_100km, round(amount_eur / km * 100, 6) AS cost_per_100km,
+       round(amount_eur / km, 6) AS cost_per_km, quality, interval AS source_interval"""
+
+
+def _monthly(value: str, agg: str, fill: str | None) -> str:
+    v = f"coalesce(g.v, {fill})" if fill is not None else "g.v"
+    return f"""WITH {AF},
+g AS (SELECT vehicle_id, last_day(event_ts) AS month, {agg} AS v FROM af GROUP BY 1, 2),
+span AS (SELECT vehicle_id, min(month) AS lo, max(month) AS hi FROM g GROUP BY 1),
+sk AS (SELECT vehicle_id, last_day(unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH))) AS month FROM span)
+SELECT sk.vehicle_id, CAST(sk.month AS TIMESTAMP) AS month, round({v}, 6) AS {value}
+FROM sk LEFT JOIN g ON sk.vehicle_id = g.vehicle_id AND sk.month = g.month"""
+
+
+def _distance_between(readings_cte: str, readings: str) -> str:
+    return f"""WITH {EV}, {readings_cte},
+pr AS (SELECT vehicle_id, 0 AS row_num, {P_START} AS event_ts FROM (SELECT DISTINCT vehicle_id FROM {readings})
+       UNION ALL SELECT vehicle_id, 1, {P_END} FROM (SELECT DISTINCT vehicle_id FROM {readings})),
+{asof_est('pr', readings, 'est')},
+se AS (SELECT s.vehicle_id, s.est_value AS sv, s.est_quality AS sq, s.est_interval AS si,
+              e.est_value AS ev, e.est_quality AS eq, e.est_interval AS ei
+       FROM est s JOIN est e ON s.vehicle_id = e.vehicle_id AND s.row_num = 0 AND e.row_num = 1),
+sx AS (SELECT *, (sq = 'insufficient' OR eq = 'insufficient') AS insuf, ev - sv AS d FROM se)
+SELECT vehicle_id, {P_START} AS start, {P_END} AS "end",
+  CASE WHEN insuf OR d < 0 THEN 0.0 ELSE round(d, 6) END AS distance_km,
+  CASE WHEN insuf OR d < 0 THEN 'insufficient' WHEN sq = 'estimated' OR eq = 'estimated' THEN 'estimated' ELSE 'exact' END AS quality,
+  CASE WHEN insuf THEN 'start: ' || coalesce(si, 'unknown') || '; end: ' || coalesce(ei, 'unknown')
+       WHEN d < 0 THEN 'negative distance between ' || {tstxt(P_START)} || ' and ' || {tstxt(P_END)}
+       ELSE 'start: ' || coalesce(si, {tstxt(P_START)}) || '; end: ' || coalesce(ei, {tstxt(P_END)}) END AS source_interval
+FROM sx"""
+
+
+def _ranges_values() -> str:
+    rows = []
+    for k in RANGE_KEYS:
+        p = resolve_range(k, AS_OF, *CUSTOM)
+        rows.append(f"('{k}', {lit_ts(p.start)}, {lit_ts(p.end)})")
+    return "rng(range, start, \"end\") AS (VALUES " + ", ".join(rows) + ")"
+
+
 def queries() -> dict[str, str]:
     q: dict[str, str] = {}
+    custom = resolve_range("custom", AS_OF, *CUSTOM)
+    c_start, c_end = lit_ts(custom.start), lit_ts(custom.end)
+
+    # --- fuel aggregates -----------------------------------------------------
+    q["fuel_totals"] = f"""WITH {LOG}
+SELECT vehicle_id, CAST(count(*) AS BIGINT) AS entries, round(sum(liters), 6) AS total_liters,
+       round(sum(amount_eur), 6) AS total_eur, round(sum(amount_eur) / sum(liters), 6) AS avg_price_per_liter
+FROM log GROUP BY vehicle_id"""
+
+    q["month_to_date"] = f"""WITH {FUEL}
+SELECT vehicle_id, CAST(count(*) AS BIGINT) AS month_entries, round(sum(liters), 6) AS month_liters,
+       round(sum(amount_eur), 6) AS month_eur
+FROM fuel WHERE event_ts BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-31 23:59:59.999999'
+GROUP BY vehicle_id"""
+
+    q["fuel_price_over_time"] = f"""WITH {FUEL}
+SELECT vehicle_id, event_ts, row_num, amount_eur / liters AS price_per_liter_eur FROM fuel"""
+
+    q["fuel_type_summary"] = f"""WITH {LOG}
+SELECT vehicle_id, fuel_type, CAST(count(*) AS BIGINT) AS count, round(sum(liters), 6) AS total_liters,
+       round(sum(amount_eur), 6) AS total_eur FROM log GROUP BY 1, 2"""
+
+    q["fuel_type_share"] = f"""WITH {LOG},
+s AS (SELECT vehicle_id, fuel_type, CAST(count(*) AS BIGINT) AS count, sum(liters) AS l, sum(amount_eur) AS e FROM log GROUP BY 1, 2)
+SELECT vehicle_id, fuel_type, count,
+  round(count * 100.0 / sum(count) OVER (PARTITION BY vehicle_id), 6) AS stops_share_pct,
+  round(l * 100.0 / sum(l) OVER (PARTITION BY vehicle_id), 6) AS liters_share_pct,
+  round(e * 100.0 / sum(e) OVER (PARTITION BY vehicle_id), 6) AS eur_share_pct
+FROM s"""
+
+    q["avg_price_by_country"] = f"""WITH {LOG}
+SELECT vehicle_id, country, round(sum(amount_eur) / sum(liters), 6) AS avg_price_per_liter,
+       round(sum(liters), 6) AS total_liters FROM log GROUP BY 1, 2"""
+
+    q["avg_price_by_city"] = f"""WITH {LOG}
+SELECT vehicle_id, city, round(sum(amount_eur) / sum(liters), 6) AS avg_price_per_liter,
+       round(sum(liters), 6) AS total_liters FROM log WHERE {strip('city')} <> '' GROUP BY 1, 2"""
+
+    for col, where in (("country", ""), ("city", f"WHERE {strip('city')} <> ''")):
+        q[f"location_overview_{col}"] = f"""WITH {LOG},
+g AS (SELECT vehicle_id, {col}, CAST(count(*) AS BIGINT) AS stops, sum(liters) AS liters, sum(amount_eur) AS eur
+      FROM log {where} GROUP BY 1, 2)
+SELECT vehicle_id, {col}, stops, round(liters, 6) AS liters, round(eur, 6) AS eur,
+       round(eur / liters, 6) AS avg_price_per_liter,
+       CAST(row_number() OVER (PARTITION BY vehicle_id ORDER BY liters DESC, stops DESC, {col}) AS INTEGER) AS rank
+FROM g"""
+
+    q["monthly_liters"] = _monthly("liters", "sum(liters)", "0.0")
+    q["monthly_spending"] = _monthly("amount_eur", "sum(amount_eur)", "0.0")
+    q["fuel_price_trend"] = _monthly("avg_price_per_liter", "avg(amount_eur / liters)", None)
 
+    # --- odometer series -----------------------------------------------------
+    for name, cte, src in (("total_distance", ODO, "odo"), ("total_distance_raw", ODO_RAW, "odo_raw")):
+        q[name] = f"""WITH {EV}, {cte}
+SELECT vehicle_id, CAST(count(*) AS BIGINT) AS readings,
+       round(CASE WHEN count(*) < 2 THEN 0.0 ELSE arg_max(odometer_km, event_ts) - arg_min(odometer_km, event_ts) END, 6) AS total_km
+FROM {src} GROUP BY vehicle_id"""
+
+    q["monthly_km_driven"] = f"""WITH {EV}, {ODO}
+SELECT vehicle_id, CAST(date_trunc('month', event_ts) AS TIMESTAMP) AS month,
+       round(CASE WHEN count(*) < 2 THEN 0.0 ELSE arg_max(odometer_km, event_ts) - arg_min(odometer_km, event_ts) END, 6) AS km_driven
+FROM odo GROUP BY 1, 2"""
+
+    q["cumulative_distance"] = f"""WITH {EV}, {ODO}
+SELECT vehicle_id, event_ts, row_num,
+       round(odometer_km - first_value(odometer_km) OVER (PARTITION BY vehicle_id ORDER BY event_ts, row_num), 6) AS cumulative_km
+FROM odo"""
+
+    q["distance_timeline"] = f"""WITH {EV}, {ODO},
+d AS (SELECT *, odometer_km - lag(odometer_km) OVER (PARTITION BY vehicle_id ORDER BY event_ts, row_num) AS delta FROM odo)
+SELECT vehicle_id, event_ts, row_num, round(delta, 6) AS km_since_last_entry FROM d
+WHERE event_ts BETWEEN {P_START} AND {P_END} AND delta IS NOT NULL"""
+
+    q["odometer_readings_in_period"] = f"""WITH {EV}, {ODO},
+d AS (SELECT *, odometer_km - lag(odometer_km) OVER (PARTITION BY vehicle_id ORDER BY event_ts, row_num) AS delta FROM odo)
+SELECT vehicle_id, event_ts, row_num, round(odometer_km, 6) AS odometer_km, round(delta, 6) AS km_since_previous FROM d
+WHERE event_ts BETWEEN {P_START} AND {P_END}"""
+
+    # --- as-of, consumption --------------------------------------------------
     q["odometer_at_fuel"] = f"""WITH {FUEL}, {ODO}, {asof_est('fuel', 'odo', 'est')}
 SELECT vehicle_id, event_ts, row_num, round(est_value, 6) AS odometer_km, est_quality AS quality,
        'linear' AS method, est_interval AS source_interval FROM est"""
 
-    q["consumption_segments"] = f"""WITH {FUEL}, {ODO}{_segments()}
-SELECT vehicle_id, p_ts AS previous_fuel_datetime, p_row AS previous_row_num, event_ts AS fuel_datetime, row_num,
-       liters, amount_eur, round(km, 6) AS estimated_km,
-       round(p_value, 6) AS odometer_at_previous, round(est_value, 6) AS odometer_at_current,
-       round(liters / km * 100, 6) AS liters_per_100km, round(amount_eur / km * 100, 6) AS cost_per_100km,
-       round(amount_eur / km, 6) AS cost_per_km, quality, interval AS source_interval
+    q["consumption_segments"] = f"""WITH {FUEL}, {ODO}, {segments()}
+SELECT {SEG_COLUMNS} FROM seg"""
+
+    q["consumption_in_period"] = f"""WITH {FUEL}, {ODO},
+fuel_p AS (SELECT * FROM fuel WHERE event_ts BETWEEN {P_START} AND {P_END}), {segments('fuel_p')}
+SELECT {SEG_COLUMNS} FROM seg"""
+
+    q["consumption_flat"] = f"""WITH {FUEL}, {ODO}, {segments()}
+SELECT vehicle_id, p_row AS previous_row_num, row_num, p_ts AS previous_fuel_datetime, event_ts AS datetime, liters,
+       round(km, 6) AS estimated_km,
+       round(p_value, 6) AS odometer_at_previous, p_quality AS odometer_at_previous_quality,
+       'linear' AS odometer_at_previous_method, p_interval AS odometer_at_previous_source_interval,
+       round(est_value, 6) AS odometer_at_current, est_quality AS odometer_at_current_quality,
+       'linear' AS odometer_at_current_method, est_interval AS odometer_at_current_source_interval,
+       round(liters / km * 100, 6) AS liters_per_100km, quality AS liters_per_100km_quality,
+       'linear' AS liters_per_100km_method,
+       round(amount_eur / km * 100, 6) AS cost_per_100km, quality AS cost_per_100km_quality,
+       round(amount_eur / km, 6) AS cost_per_km, quality AS cost_per_km_quality,
+       'linear' AS estimation_method, interval AS source_interval, amount_eur
 FROM seg"""
 
-    q["fuel_totals"] = f"""WITH {LOG}
-SELECT vehicle_id, CAST(count(*) AS BIGINT) AS entries, round(sum(liters), 6) AS total_liters,
-       round(sum(amount_eur), 6) AS total_eur, round(sum(amount_eur) / sum(liters), 6) AS avg_price_per_liter
-FROM log GROUP BY vehicle_id"""
+    q["consumption_summary"] = f"""WITH {FUEL}, {ODO}, {segments()}
+SELECT vehicle_id, CAST(count(*) AS BIGINT) AS segments, round(avg(liters / km * 100), 6) AS avg_l_per_100km,
+       round(avg(amount_eur / km * 100), 6) AS avg_cost_per_100km, round(avg(amount_eur / km), 6) AS avg_cost_per_km,
+       bool_or(quality = 'estimated') AS any_estimated
+FROM seg GROUP BY vehicle_id"""
+
+    q["distance_between"] = _distance_between(ODO, "odo")
+    q["distance_between_raw"] = _distance_between(ODO_RAW, "odo_raw")
+
+    q["boundary_estimates"] = f"""WITH {FUEL}, {ODO},
+u AS (SELECT vehicle_id FROM fuel UNION SELECT vehicle_id FROM odo),
+pr AS (SELECT vehicle_id, 0 AS row_num, 'Start of report' AS boundary, {P_START} AS event_ts FROM u
+       UNION ALL SELECT vehicle_id, 1, 'End of report', {P_END} FROM u),
+{asof_est('pr', 'odo', 'est')}
+SELECT pr.vehicle_id, pr.boundary, pr.event_ts,
+       CASE WHEN est_quality = 'insufficient' THEN NULL ELSE round(est_value, 6) END AS odometer_km,
+       est_quality AS quality,
+       coalesce(est_interval, CASE est_quality WHEN 'insufficient' THEN 'Not enough odometer data.'
+                WHEN 'exact' THEN 'Exact reading.' ELSE 'Estimated by interpolation.' END) AS supporting_data
+FROM pr JOIN est USING (vehicle_id, row_num)"""
+
+    # --- validation ----------------------------------------------------------
+    q["fuel_clean"] = f"""WITH {DIRTY_PARSED}
+SELECT row_num, ts AS event_ts, amount AS amount_eur, lit AS liters, amount / lit AS price_per_liter_eur,
+       ft AS fuel_type, tank AS is_full_tank, st AS station_name, ci AS city, co AS country, nt AS notes FROM good"""
+
+    q["fuel_issues"] = f"""WITH {FUEL_ISSUES}
+SELECT dataset, severity, rule, row_num, field, pair_row_a, pair_row_b FROM fi"""
+
+    q["issue_summary"] = f"""WITH {FUEL_ISSUES}
+SELECT dataset, severity, rule, CAST(count(*) AS BIGINT) AS issues FROM fi GROUP BY 1, 2, 3"""
+
+    q["fuel_duplicates"] = f"""WITH {DIRTY_PARSED}
+SELECT a.lit AS liters, a.ts AS a_ts, a.row_num AS a_row, b.ts AS b_ts, b.row_num AS b_row
+FROM good a JOIN good b ON a.lit = b.lit AND a.row_num < b.row_num
+WHERE abs(epoch_us(a.ts) - epoch_us(b.ts)) <= {TOL_US}"""
+
+    q["odometer_clean"] = f"""WITH {ODO_DIRTY}
+SELECT row_num, ts AS event_ts, km AS odometer_km, nt AS notes FROM ogood"""
+
+    q["odometer_issues"] = f"""WITH {ODO_DIRTY}
+SELECT dataset, severity, rule, row_num, field, pair_row_a, pair_row_b FROM oi"""
+
+    q["quality_summary"] = f"""WITH {FUEL_ISSUES}, {ODO_TAIL}
+SELECT 'fuel' AS dataset, (SELECT CAST(count(*) AS BIGINT) FROM good) AS valid_records,
+       CAST(count(*) FILTER (WHERE severity = 'error') AS BIGINT) AS errors,
+       CAST(count(*) FILTER (WHERE severity = 'warning') AS BIGINT) AS warnings,
+       count(*) FILTER (WHERE severity = 'error') = 0 AS is_valid FROM fi
+UNION ALL
+SELECT 'odometer', (SELECT CAST(count(*) AS BIGINT) FROM ogood),
+       CAST(count(*) FILTER (WHERE severity = 'error') AS BIGINT), CAST(count(*) FILTER (WHERE severity = 'warning') AS BIGINT),
+       count(*) FILTER (WHERE severity = 'error') = 0 FROM oi"""
+
+    q["odometer_monotonicity"] = f"""WITH {EV}, {ODO_RAW},
+s AS (SELECT *, lag(event_ts) OVER w AS previous_ts, lag(row_num) OVER w AS previous_row_num,
+             lag(odometer_km) OVER w AS previous_km FROM odo_raw
+      WINDOW w AS (PARTITION BY vehicle_id ORDER BY event_ts, row_num))
+SELECT vehicle_id, event_ts, row_num, odometer_km, previous_ts, previous_row_num, previous_km FROM s
+WHERE odometer_km < previous_km"""
+
+    q["odometer_duplicates"] = f"""WITH {EV}
+SELECT a.vehicle_id, a.event_type, a.event_ts AS a_ts, a.row_num AS a_row, b.event_ts AS b_ts, b.row_num AS b_row
+FROM ev a JOIN ev b ON a.vehicle_id = b.vehicle_id AND a.event_type = b.event_type
+  AND (a.event_ts < b.event_ts OR (a.event_ts = b.event_ts AND a.row_num < b.row_num))
+WHERE abs(epoch_us(a.event_ts) - epoch_us(b.event_ts)) <= {TOL_US}"""
+
+    q["entry_validation"] = f"""WITH {DIRTY},
+e AS (SELECT row_num, {strip('datetime')} AS entry_date, amount_eur, liters, fuel_type, is_full_tank,
+             station_name, city, country FROM dirty),
+c AS (SELECT row_num, liters AS l_raw, amount_eur AS a_raw,
+        {num_parse(strip('liters'))} AS l, {num_parse(strip('amount_eur'))} AS a,
+        list_filter([
+          CASE WHEN {strip('station_name')} = '' THEN 'station_name' END,
+          CASE WHEN {strip('city')} = '' THEN 'city' END,
+          CASE WHEN NOT regexp_full_match(upper({strip('country')}), '^[A-Z]{{2}}$') THEN 'country' END,
+          CASE WHEN coalesce({num_parse(strip('liters'))} <= 0, true) THEN 'liters' END,
+          CASE WHEN coalesce({num_parse(strip('amount_eur'))} <= 0, true) THEN 'amount_eur' END,
+          CASE WHEN {strip('fuel_type')} NOT IN ('E5', 'E10') THEN 'fuel_type' END,
+          CASE WHEN lower({strip("coalesce(is_full_tank, 'unknown')")}) NOT IN ('true', 'false', 'unknown') THEN 'is_full_tank' END,
+          CASE WHEN ({ts_parse(strip('entry_date'))}) IS NULL THEN 'entry_date' END], lambda x: x IS NOT NULL) AS errs
+      FROM e)
+SELECT row_num, len(errs) = 0 AS accepted, array_to_string(list_sort(errs), ',') AS error_fields,
+       CAST(CASE WHEN len(errs) = 0 THEN (CASE WHEN a / l < 0.8 THEN 1 ELSE 0 END) + (CASE WHEN a / l > 3.0 THEN 1 ELSE 0 END) ELSE 0 END AS INTEGER) AS warnings,
+       floor(TRY_CAST(regexp_replace(l_raw, '^([^,]*),', '\\1.') AS DOUBLE) * 100 + 0.5) / 100 AS liters_clean,
+       floor(TRY_CAST(regexp_replace(a_raw, '^([^,]*),', '\\1.') AS DOUBLE) * 100 + 0.5) / 100 AS amount_clean
+FROM c"""
+
+    # --- lookups, history, periods -------------------------------------------
+    q["recent_history"] = f"""WITH {FUEL},
+r AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY event_ts DESC, row_num DESC) AS recency FROM fuel)
+SELECT vehicle_id, row_num, {isotxt('event_ts')} AS datetime, strftime(event_ts, '%Y-%m-%d') AS date,
+       strftime(event_ts, '%H:%M') AS time, liters, amount_eur, CAST(recency AS INTEGER) AS recency
+FROM r WHERE recency <= {HISTORY_K}"""
+
+    dim = f"dim AS (SELECT n_name AS code, lower(n_name) AS name FROM nation WHERE n_nationkey < {DIM_MAX_NATIONKEY})"
+    q["country_lookup"] = f"""WITH {LOG}, {dim},
+g AS (SELECT vehicle_id, country, CAST(count(*) AS BIGINT) AS stops FROM log GROUP BY 1, 2)
+SELECT g.vehicle_id, g.country, coalesce(dim.name, g.country) AS country_name, g.stops
+FROM g LEFT JOIN dim ON g.country = dim.code"""
+
+    q["unknown_countries"] = f"""WITH {LOG}, {dim},
+g AS (SELECT vehicle_id, country, CAST(count(*) AS BIGINT) AS stops FROM log GROUP BY 1, 2)
+SELECT vehicle_id, country, stops FROM g WHERE country NOT IN (SELECT code FROM dim)"""
+
+    case = " ".join(f"WHEN '{c}' THEN {i + 1}" for i, c in enumerate(PRIMARY_NATIONS))
+    q["country_options"] = f"""WITH {dim}
+SELECT code, name, CAST(row_number() OVER (ORDER BY CASE code {case} ELSE {len(PRIMARY_NATIONS) + 1} END, name, code) AS INTEGER) AS position
+FROM dim"""
+
+    q["vehicles_for_user"] = """WITH bridge AS (SELECT DISTINCT o_custkey AS user_id, l_suppkey AS car_id
+                FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT c_custkey AS user_id, s_suppkey AS car_id, c_name, s_name
+FROM customer JOIN bridge ON c_custkey = bridge.user_id JOIN supplier ON s_suppkey = bridge.car_id"""
+
+    q["import_missing_vehicles"] = f"""WITH {FUEL}
+SELECT vehicle_id, CAST(count(*) AS BIGINT) AS imported_rows FROM fuel
+WHERE vehicle_id NOT IN (SELECT vehicle_id FROM fuel WHERE event_ts < {lit_ts(IMPORT_CUTOFF)})
+GROUP BY vehicle_id"""
+
+    q["report_period"] = f"""WITH {FUEL}, {ODO},
+b AS (SELECT vehicle_id, event_ts FROM fuel UNION ALL SELECT vehicle_id, event_ts FROM odo)
+SELECT vehicle_id, min(event_ts) AS start, max(event_ts) AS "end" FROM b GROUP BY vehicle_id"""
+
+    q["range_bounds"] = f"""WITH {FUEL}, {_ranges_values()}
+SELECT f.vehicle_id, r.range, r.start, r."end", CAST(count(*) AS BIGINT) AS entries, round(sum(f.liters), 6) AS liters
+FROM fuel f JOIN rng r ON f.event_ts BETWEEN r.start AND r."end"
+GROUP BY 1, 2, 3, 4"""
+
+    # --- report and payload --------------------------------------------------
+    q["report_cards"] = f"""WITH {FUEL}, {ODO},
+u AS (SELECT vehicle_id FROM fuel UNION SELECT vehicle_id FROM odo),
+fuel_p AS (SELECT * FROM fuel WHERE event_ts BETWEEN {P_START} AND {P_END}),
+ft AS (SELECT vehicle_id, count(*) AS n, sum(liters) AS l, sum(amount_eur) AS e FROM fuel_p GROUP BY 1),
+odo_p AS (SELECT * FROM odo WHERE event_ts BETWEEN {P_START} AND {P_END}),
+ob AS (SELECT vehicle_id, count(*) AS n,
+              CASE WHEN count(*) < 2 THEN 0.0 ELSE arg_max(odometer_km, event_ts) - arg_min(odometer_km, event_ts) END AS km
+       FROM odo_p GROUP BY 1),
+pr AS (SELECT vehicle_id, 0 AS row_num, {P_START} AS event_ts FROM u UNION ALL SELECT vehicle_id, 1, {P_END} FROM u),
+{asof_est('pr', 'odo', 'be')},
+se AS (SELECT s.vehicle_id, s.est_value AS sv, s.est_quality AS sq, s.est_interval AS si,
+              e.est_value AS ev, e.est_quality AS eq, e.est_interval AS ei
+       FROM be s JOIN be e ON s.vehicle_id = e.vehicle_id AND s.row_num = 0 AND e.row_num = 1),
+dx AS (SELECT vehicle_id, sq = 'insufficient' OR eq = 'insufficient' OR ev - sv < 0 AS insuf,
+              ev - sv AS d,
+              CASE WHEN sq = 'insufficient' OR eq = 'insufficient' OR ev - sv < 0 THEN 'insufficient'
+                   WHEN sq = 'estimated' OR eq = 'estimated' THEN 'estimated' ELSE 'exact' END AS q,
+              CASE WHEN sq = 'insufficient' OR eq = 'insufficient' THEN 'start: ' || coalesce(si, 'unknown') || '; end: ' || coalesce(ei, 'unknown')
+                   WHEN ev - sv < 0 THEN 'negative distance between ' || {tstxt(P_START)} || ' and ' || {tstxt(P_END)}
+                   ELSE 'start: ' || coalesce(si, {tstxt(P_START)}) || '; end: ' || coalesce(ei, {tstxt(P_END)}) END AS i
+       FROM se),
+{segments('fuel_p')},
+cs AS (SELECT vehicle_id, count(*) AS n, avg(liters / km * 100) AS l100, avg(amount_eur / km * 100) AS c100,
+              avg(amount_eur / km) AS c1, bool_or(quality = 'estimated') AS anyest FROM seg GROUP BY 1),
+cards AS (
+  SELECT u.vehicle_id, 'fuel' AS section, 1 AS position, 'fuel_stops' AS metric, CAST(coalesce(ft.n, 0) AS DOUBLE) AS value,
+         'count' AS unit, CASE WHEN coalesce(ft.n, 0) > 0 THEN 'exact' ELSE 'neutral' END AS tone, '' AS note
+  FROM u LEFT JOIN ft USING (vehicle_id)
+  UNION ALL SELECT vehicle_id, 'fuel', 2, 'fuel_purchased', l, 'L', 'exact', '' FROM ft
+  UNION ALL SELECT vehicle_id, 'fuel', 3, 'fuel_spending', e, 'EUR', 'exact', '' FROM ft
+  UNION ALL SELECT vehicle_id, 'fuel', 4, 'average_fuel_price', e / l, 'EUR/L', 'exact', '' FROM ft
+  UNION ALL SELECT u.vehicle_id, 'distance', 1, 'observed_odometer_readings', CAST(coalesce(ob.n, 0) AS DOUBLE), 'count', 'exact', ''
+  FROM u LEFT JOIN ob USING (vehicle_id)
+  UNION ALL SELECT u.vehicle_id, 'distance', 2, 'observed_distance_driven', coalesce(ob.km, 0.0), 'km', 'exact', ''
+  FROM u LEFT JOIN ob USING (vehicle_id)
+  UNION ALL SELECT vehicle_id, 'distance', 3, 'estimated_overall_distance_driven', CASE WHEN insuf THEN NULL ELSE d END, 'km',
+         CASE WHEN q = 'exact' THEN 'exact' ELSE 'estimated' END,
+         CASE WHEN insuf THEN coalesce(i, 'Not enough odometer data is available for the selected period.')
+              WHEN q = 'exact' THEN '' ELSE 'At least one report boundary required interpolation.' END FROM dx
+  UNION ALL SELECT u.vehicle_id, 'estimated', 1, 'consumption_intervals', CAST(coalesce(cs.n, 0) AS DOUBLE), 'count',
+         CASE WHEN cs.n IS NULL THEN 'neutral' WHEN cs.anyest THEN 'estimated' ELSE 'exact' END, ''
+  FROM u LEFT JOIN cs USING (vehicle_id)
+  UNION ALL SELECT vehicle_id, 'estimated', 2, 'average_consumption', l100, 'L/100km', CASE WHEN anyest THEN 'estimated' ELSE 'exact' END, '' FROM cs
+  UNION ALL SELECT vehicle_id, 'estimated', 3, 'average_cost_per_100km', c100, 'EUR', CASE WHEN anyest THEN 'estimated' ELSE 'exact' END, '' FROM cs
+  UNION ALL SELECT vehicle_id, 'estimated', 4, 'average_cost_per_km', c1, 'EUR', CASE WHEN anyest THEN 'estimated' ELSE 'exact' END, '' FROM cs)
+SELECT vehicle_id, section, CAST(position AS INTEGER) AS position, metric, round(value, 6) AS value, unit, tone, note FROM cards"""
+
+    q["summary_all"] = f"""WITH {FUEL}, {ODO},
+u AS (SELECT vehicle_id FROM fuel UNION SELECT vehicle_id FROM odo),
+ft AS (SELECT vehicle_id, count(*) AS n, sum(liters) AS l, sum(amount_eur) AS e FROM fuel GROUP BY 1),
+ot AS (SELECT vehicle_id, count(*) AS n,
+              CASE WHEN count(*) < 2 THEN 0.0 ELSE arg_max(odometer_km, event_ts) - arg_min(odometer_km, event_ts) END AS km
+       FROM odo GROUP BY 1),
+{segments()},
+cs AS (SELECT vehicle_id, count(*) AS n, avg(liters / km * 100) AS l100, avg(amount_eur / km * 100) AS c100 FROM seg GROUP BY 1)
+SELECT u.vehicle_id, CAST(coalesce(ft.n, 0) AS BIGINT) AS entries, round(coalesce(ft.l, 0.0), 6) AS total_liters,
+       round(coalesce(ft.e, 0.0), 6) AS total_eur, round(coalesce(ft.e / ft.l, 0.0), 6) AS avg_price_per_liter,
+       CAST(coalesce(ot.n, 0) AS BIGINT) AS readings, round(coalesce(ot.km, 0.0), 6) AS total_km,
+       CAST(coalesce(cs.n, 0) AS BIGINT) AS segments, round(cs.l100, 6) AS avg_l_per_100km,
+       round(cs.c100, 6) AS avg_cost_per_100km
+FROM u LEFT JOIN ft USING (vehicle_id) LEFT JOIN ot USING (vehicle_id) LEFT JOIN cs USING (vehicle_id)"""
+
+    q["analysis_metrics"] = f"""WITH {FUEL}, {ODO},
+u AS (SELECT vehicle_id FROM fuel UNION SELECT vehicle_id FROM odo),
+fuel_p AS (SELECT * FROM fuel WHERE event_ts BETWEEN {c_start} AND {c_end}),
+ft AS (SELECT vehicle_id, count(*) AS n, sum(liters) AS l, sum(amount_eur) AS e FROM fuel_p GROUP BY 1),
+{segments('fuel_p')},
+cs AS (SELECT vehicle_id, avg(liters / km * 100) AS l100, avg(amount_eur / km * 100) AS c100 FROM seg GROUP BY 1)
+SELECT u.vehicle_id, round(coalesce(ft.l, 0.0), 6) AS total_liters, round(coalesce(ft.e, 0.0), 6) AS total_eur,
+       round(coalesce(ft.e / ft.l, 0.0), 6) AS avg_price_per_liter, CAST(coalesce(ft.n, 0) AS BIGINT) AS entries,
+       round(cs.l100, 6) AS avg_l_per_100km, round(cs.c100, 6) AS avg_cost_per_100km
+FROM u LEFT JOIN ft USING (vehicle_id) LEFT JOIN cs USING (vehicle_id)"""
+
+    q["analysis_payload"] = f"""WITH {FUEL}, {ODO},
+u AS (SELECT vehicle_id FROM fuel UNION SELECT vehicle_id FROM odo),
+fuel_p AS (SELECT * FROM fuel WHERE event_ts BETWEEN {c_start} AND {c_end}),
+m AS (SELECT vehicle_id, CAST(date_diff('month', date_trunc('month', min(event_ts)), date_trunc('month', max(event_ts))) + 1 AS INTEGER) AS months,
+             CAST(count(DISTINCT fuel_type) AS INTEGER) AS types, CAST(count(DISTINCT country) AS INTEGER) AS countries,
+             CAST(count(*) AS BIGINT) AS n FROM fuel_p GROUP BY 1),
+{segments('fuel_p')},
+cs AS (SELECT vehicle_id, CAST(count(*) AS BIGINT) AS n FROM seg GROUP BY 1)
+SELECT u.vehicle_id, 'custom' AS range, '{custom.start.isoformat()}' AS start, '{custom.end.isoformat()}' AS "end",
+       coalesce(m.months, 0) AS n_price_trend, coalesce(m.months, 0) AS n_monthly_liters,
+       coalesce(m.months, 0) AS n_monthly_spending, coalesce(m.types, 0) AS n_fuel_types,
+       coalesce(m.countries, 0) AS n_countries, coalesce(cs.n, 0) AS n_consumption, coalesce(m.n, 0) AS entries
+FROM u LEFT JOIN m USING (vehicle_id) LEFT JOIN cs USING (vehicle_id)"""
+
+    # --- streaming (batch equivalents) ---------------------------------------
+    q["stream_month_to_date"] = f"""WITH {FUEL}
+SELECT vehicle_id, CAST(date_trunc('month', event_ts) AS TIMESTAMP) AS month, CAST(count(*) AS BIGINT) AS month_entries,
+       round(sum(liters), 6) AS month_liters, round(sum(amount_eur), 6) AS month_eur
+FROM fuel GROUP BY 1, 2"""
+
+    q["stream_ingest"] = f"""WITH {DIRTY_PARSED}
+SELECT row_num, ts AS event_ts, amount AS amount_eur, lit AS liters, ft AS fuel_type, tank AS is_full_tank,
+       st AS station_name, ci AS city, co AS country FROM good"""
     return q

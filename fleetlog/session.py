@@ -61,17 +61,23 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir``.
+    """Shared folder for lineage cuts and streaming state: ``spark.checkpoint.dir``.
 
-    Only when the session has none (local runs, tests) a private folder is
-    created and registered.  A machine-local folder is never chosen while a
-    cluster-wide setting exists.
+    The cluster's setting is always used when present.  Only when the session
+    has none (a bare local run or a test) a private folder is created.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(configured)
+        return configured.removeprefix("file:")
     local = tempfile.mkdtemp(prefix="fleetlog-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory (for written intermediate tables)."""
+    import uuid
+    return f"{checkpoint_dir(spark).rstrip('/')}/fleetlog/{name}-{uuid.uuid4().hex[:12]}"

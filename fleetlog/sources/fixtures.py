@@ -26,10 +26,17 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_fuel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases as refuels: amount = value, litres = 1 + props.k."""
+    """Purchases as refuels: amount = value, litres = 1 + props.k; type, station,
+    city and country derived from props.k so that breakdowns have groups."""
+    k = F.get_json_object("props", "$.k").cast("long")
     return (_events(spark, sf_dir).filter(F.col("event_type") == "purchase")
-            .select(KEY, TS, ROW, F.col("value").alias("amount_eur"),
-                    (F.get_json_object("props", "$.k").cast("double") + 1).alias("liters"))
+            .select(KEY, TS, ROW, F.col("value").alias("amount_eur"), (k.cast("double") + 1).alias("liters"),
+                    F.when(k % 3 == 0, F.lit("E5")).otherwise(F.lit("E10")).alias("fuel_type"),
+                    F.lit("true").alias("is_full_tank"),
+                    F.concat(F.lit("Station "), (k % 7).cast("string")).alias("station_name"),
+                    F.concat(F.lit("City "), (k % 5).cast("string")).alias("city"),
+                    F.when(k % 3 == 0, F.lit("DE")).when(k % 3 == 1, F.lit("AT")).otherwise(F.lit("IT")).alias("country"),
+                    F.lit("").alias("notes"))
             .withColumn("price_per_liter_eur", F.try_divide("amount_eur", "liters")))
 
 
@@ -69,7 +76,11 @@ def fx_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw all-string fuel rows rendered from ``orders`` with deterministic faults."""
-    o = table(spark, sf_dir, "orders")
+    return dirty_rows(table(spark, sf_dir, "orders"))
+
+
+def dirty_rows(o: DataFrame) -> DataFrame:
+    """The ``fx_dirty`` projection of an ``orders`` frame (batch or streaming)."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     s = lambda x: F.lit(x)
     return o.select(
