@@ -283,16 +283,18 @@ def issue_lines(issues: DataFrame) -> DataFrame:
 
 
 def quality_summary(fuel: Validated, odometer: Validated) -> DataFrame:
-    """Valid-record counts, error and warning counts and pass/fail per log."""
-    def one(name: str, v: Validated) -> DataFrame:
-        counts = v.issues.agg(F.count_if(F.col("severity") == ERROR).alias("errors"),
-                              F.count_if(F.col("severity") == WARNING).alias("warnings"))
-        valid = v.good.agg(F.count(F.lit(1)).alias("valid_records"))
-        # two one-row aggregates side by side (equi-join on a constant, no cartesian product)
-        return (counts.withColumn("_j", F.lit(1)).join(valid.withColumn("_j", F.lit(1)), "_j")
-                .select(F.lit(name).alias("dataset"), "valid_records", "errors", "warnings",
-                        (F.col("errors") == 0).alias("is_valid")))
-    return one("fuel", fuel).unionByName(one("odometer", odometer))
+    """Valid-record counts, error and warning counts and pass/fail per log.
+
+    One aggregation over the union of issue rows and good rows per log."""
+    def tagged(name: str, v: Validated) -> DataFrame:
+        return (v.issues.select(F.lit(name).alias("dataset"), F.col("severity"), F.lit(0).alias("_good"))
+                .unionByName(v.good.select(F.lit(name).alias("dataset"), F.lit(None).cast("string").alias("severity"),
+                                           F.lit(1).alias("_good"))))
+    return (tagged("fuel", fuel).unionByName(tagged("odometer", odometer)).groupBy("dataset")
+            .agg(F.sum("_good").cast("long").alias("valid_records"),
+                 F.count_if(F.col("severity") == ERROR).alias("errors"),
+                 F.count_if(F.col("severity") == WARNING).alias("warnings"))
+            .withColumn("is_valid", F.col("errors") == 0))
 
 
 # ---------------------------------------------------------------------------
