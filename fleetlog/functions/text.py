@@ -23,26 +23,35 @@ def _col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Every character Python's str.strip() removes (str.isspace() is true), by rule.
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def strip_ws(c: ColumnLike) -> Column:
-    """Strip leading/trailing whitespace of any kind (``trim`` only removes spaces)."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    """Strip leading/trailing whitespace like Python's ``str.strip()``.
+
+    Spark's one-argument ``trim`` removes spaces only; the two-argument form
+    with the full whitespace set is a native character scan (no regex)."""
+    return F.trim(_col(c), F.lit(PY_WHITESPACE))
 
 
 def is_blank(c: ColumnLike) -> Column:
     return F.coalesce(strip_ws(c) == F.lit(""), F.lit(True))
 
 
-def parse_iso_timestamp(c: ColumnLike) -> Column:
-    """Stripped ISO text -> TIMESTAMP_NTZ, null when it is not a valid local date-time."""
-    s = strip_ws(c)
+def parse_iso_timestamp(c: ColumnLike, stripped: bool = False) -> Column:
+    """ISO text -> TIMESTAMP_NTZ, null when it is not a valid local date-time.
+
+    The text is whitespace-stripped first unless ``stripped`` says it already is."""
+    s = _col(c) if stripped else strip_ws(c)
     return F.when(s.rlike(ISO_TIMESTAMP_PATTERN),
-                  F.regexp_replace(s, ",", ".").try_cast("timestamp_ntz"))
+                  F.replace(s, F.lit(","), F.lit(".")).try_cast("timestamp_ntz"))
 
 
-def parse_number(c: ColumnLike) -> Column:
-    """Stripped decimal text -> DOUBLE, null when not a finite decimal literal."""
-    s = strip_ws(c)
-    return F.when(s.rlike(NUMBER_PATTERN), F.regexp_replace(s, "_", "").try_cast("double"))
+def parse_number(c: ColumnLike, stripped: bool = False) -> Column:
+    """Decimal text -> DOUBLE, null when not a finite decimal literal."""
+    s = _col(c) if stripped else strip_ws(c)
+    return F.when(s.rlike(NUMBER_PATTERN), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def epoch_micros(c: ColumnLike) -> Column:
@@ -68,4 +77,10 @@ def money(c: ColumnLike) -> Column:
 
 
 def round6(c: ColumnLike) -> Column:
-    return F.round(_col(c), 6)
+    """Six-decimal half-up rounding by plain IEEE arithmetic, ``floor(x*1e6 + 0.5) / 1e6``.
+
+    Spark's ``round`` rounds the shortest decimal text of a double, SQL engines
+    usually the binary value; this formula gives the same result for the same
+    double everywhere (used where results are compared across engines)."""
+    x = _col(c)
+    return F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)

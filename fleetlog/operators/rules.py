@@ -73,29 +73,26 @@ def _issue(dataset: str, severity: str, rule: str, seq: int, field: str | None,
 
 def _explode_issues(df: DataFrame, keys: list[str], rules: list[tuple[Column, Column]]) -> DataFrame:
     arr = F.array(*[F.when(cond, issue) for cond, issue in rules])
-    return df.select(*keys, F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("_i")).select(
+    return df.select(*keys, F.explode(F.array_compact(arr)).alias("_i")).select(
         *keys, *[F.col(f"_i.{f}").alias(f) for f in ISSUE_FIELDS])
 
 
-def _number_rules(dataset: str, field: str, seq: int, positive: bool) -> tuple[Column, list[tuple[Column, Column]], Column]:
-    raw = _s(field)
-    num = parse_number(raw)
-    bad_num = num.isNull()
-    bad_range = (num <= 0) if positive else (num < 0)
+def _number_issues(dataset: str, field: str, seq: int, positive: bool) -> list[tuple[Column, Column]]:
+    """Not-numeric / out-of-range issues from the staged ``_<field>`` value."""
+    num = F.col(f"_{field}")
     word = "positive" if positive else "non-negative"
-    rules = [
-        (bad_num, _issue(dataset, ERROR, f"{field}_not_numeric", seq, field,
-                         F.concat(F.lit(f"Invalid numeric value for {field}: '"), raw, F.lit("'")))),
-        (~bad_num & bad_range, _issue(dataset, ERROR, f"{field}_range", seq + 1, field,
-                                      F.concat(F.lit(f"{field} must be {word}, got "), _py_float_text(num)))),
+    bad_range = (num <= 0) if positive else (num < 0)
+    return [
+        (num.isNull(), _issue(dataset, ERROR, f"{field}_not_numeric", seq, field,
+                              F.concat(F.lit(f"Invalid numeric value for {field}: '"), _s(field), F.lit("'")))),
+        (num.isNotNull() & bad_range, _issue(dataset, ERROR, f"{field}_range", seq + 1, field,
+                                             F.concat(F.lit(f"{field} must be {word}, got "), _py_float_text(num)))),
     ]
-    ok = ~bad_num & ~bad_range
-    return num, rules, ok
 
 
-def tank_state(c: Column) -> Column:
+def tank_state(c: Column, stripped_lower: bool = False) -> Column:
     """Tri-state full-tank parse; null when the text is not recognised (V5)."""
-    v = F.lower(strip_ws(c))
+    v = c if stripped_lower else F.lower(strip_ws(c))
     return (F.when(v.isin(*TANK_UNKNOWN_WORDS), F.lit("unknown")).when(v.isin(*TANK_TRUE_WORDS), F.lit("true"))
             .when(v.isin(*TANK_FALSE_WORDS), F.lit("false")))
 
@@ -103,40 +100,40 @@ def tank_state(c: Column) -> Column:
 def validate_fuel_rows(raw: DataFrame, keys: list[str] | None = None,
                        config: RuleConfig = RuleConfig()) -> tuple[DataFrame, DataFrame]:
     """Row rules for fuel rows (V1-V11).  ``raw`` holds the nine raw text columns
-    plus ``row_num`` (and ``keys``).  Returns ``(parsed rows with row_ok, row issues)``."""
+    plus ``row_num`` (and ``keys``).  Returns ``(parsed rows with row_ok, row issues)``.
+
+    Three projections -- strip, parse, flag -- so every regular expression runs
+    once per cell; the rule conditions only compare the staged columns.
+    """
     keys = list(keys or [])
     ds = "fuel"
-    dt_raw = _s("datetime")
-    ts = parse_iso_timestamp(dt_raw)
-    amount, _, amount_ok = _number_rules(ds, "amount_eur", 2, True)
-    liters, _, liters_ok = _number_rules(ds, "liters", 4, True)
-    ftype = strip_ws(_s("fuel_type"))
-    ftype_ok = ftype.isin(*config.fuel_types)
-    tank = tank_state(_s("is_full_tank"))
-    tank_ok = tank.isNotNull()
-    station = strip_ws(_s("station_name"))
-    city = strip_ws(_s("city"))
-    country = strip_ws(_s("country"))
-    country_ok = country.rlike(COUNTRY_CODE_PATTERN)
-    station_ok = station != ""
-    row_ok = ts.isNotNull() & amount_ok & liters_ok & ftype_ok & tank_ok & station_ok & country_ok
-
-    parsed = raw.select(
-        *keys, F.col(ROW).cast("long").alias(ROW), *[c for c in raw.columns if c not in keys and c != ROW],
-        ts.alias("_ts"), amount.alias("_amount"), liters.alias("_liters"), ftype.alias("_ftype"),
-        tank.alias("_tank"), station.alias("_station"), city.alias("_city"), country.alias("_country"),
-        strip_ws(_s("notes")).alias("_notes"), row_ok.alias("row_ok"),
-    )
     c = F.col
-    p_ts = c("_ts")
+    passthrough = [x for x in raw.columns if x not in keys and x != ROW]
+    stripped = raw.select(
+        *keys, c(ROW).cast("long").alias(ROW), *passthrough,
+        strip_ws(_s("datetime")).alias("_dt_s"), strip_ws(_s("amount_eur")).alias("_am_s"),
+        strip_ws(_s("liters")).alias("_li_s"), strip_ws(_s("fuel_type")).alias("_ftype"),
+        F.lower(strip_ws(_s("is_full_tank"))).alias("_tk_s"), strip_ws(_s("station_name")).alias("_station"),
+        strip_ws(_s("city")).alias("_city"), strip_ws(_s("country")).alias("_country"),
+        strip_ws(_s("notes")).alias("_notes"))
+    staged = stripped.select(
+        "*", parse_iso_timestamp("_dt_s", stripped=True).alias("_ts"),
+        parse_number("_am_s", stripped=True).alias("_amount_eur"),
+        parse_number("_li_s", stripped=True).alias("_liters"),
+        tank_state(c("_tk_s"), stripped_lower=True).alias("_tank"),
+        c("_country").rlike(COUNTRY_CODE_PATTERN).alias("_country_ok")).drop("_dt_s", "_am_s", "_li_s", "_tk_s")
+    row_ok = (c("_ts").isNotNull() & (c("_amount_eur") > 0) & (c("_liters") > 0)
+              & c("_ftype").isin(*config.fuel_types) & c("_tank").isNotNull() & (c("_station") != "")
+              & c("_country_ok"))
+    parsed = staged.withColumn("row_ok", F.coalesce(row_ok, F.lit(False))).withColumn(
+        "_amount", c("_amount_eur"))
     p_price = c("_amount") / c("_liters")
     p_tank_ok = c("_tank").isNotNull()
     rules = [
-        (p_ts.isNull(), _issue(ds, ERROR, "datetime_unparsable", 1, "datetime",
-                               F.concat(F.lit("Unparsable datetime: '"), _s("datetime"), F.lit("'")))),
+        (c("_ts").isNull(), _issue(ds, ERROR, "datetime_unparsable", 1, "datetime",
+                                   F.concat(F.lit("Unparsable datetime: '"), _s("datetime"), F.lit("'")))),
     ]
-    # number rules are re-derived on the parsed frame's raw columns
-    rules += _number_rules(ds, "amount_eur", 2, True)[1] + _number_rules(ds, "liters", 4, True)[1]
+    rules += _number_issues(ds, "amount_eur", 2, True) + _number_issues(ds, "liters", 4, True)
     rules += [
         (~c("_ftype").isin(*config.fuel_types),
          _issue(ds, ERROR, "fuel_type_invalid", 6, "fuel_type",
@@ -149,11 +146,11 @@ def validate_fuel_rows(raw: DataFrame, keys: list[str] | None = None,
         (p_tank_ok & (c("_station") == ""), _issue(ds, ERROR, "station_missing", 8, "station_name",
                                                    F.lit("Missing station_name"))),
         (p_tank_ok & (c("_city") == ""), _issue(ds, WARNING, "city_missing", 9, "city", F.lit("Missing city value"))),
-        (p_tank_ok & ~c("_country").rlike(COUNTRY_CODE_PATTERN),
+        (p_tank_ok & ~c("_country_ok"),
          _issue(ds, ERROR, "country_format", 10, "country",
                 F.concat(F.lit("Invalid country code format: '"), c("_country"),
                          F.lit("'. Expected 2-letter ISO code.")))),
-        (p_tank_ok & c("_country").rlike(COUNTRY_CODE_PATTERN) & ~c("_country").isin(*config.primary_countries),
+        (p_tank_ok & c("_country_ok") & ~c("_country").isin(*config.primary_countries),
          _issue(ds, WARNING, "country_not_primary", 11, "country",
                 F.concat(F.lit("Country '"), c("_country"),
                          F.lit(f"' is not in the primary set {_pylist(config.primary_countries)}")))),
@@ -169,13 +166,26 @@ def validate_fuel_rows(raw: DataFrame, keys: list[str] | None = None,
     return parsed, _explode_issues(parsed, keys, rules)
 
 
+def surviving(parsed: DataFrame, cols: list[Column]) -> DataFrame:
+    """Rows with ``row_ok``, projected to ``cols``.
+
+    Written as a generator over a zero-or-one element array rather than a
+    ``filter``: Catalyst pushes a filter below the staged projections and
+    inlines every parse into one predicate (each regex then runs twice per
+    cell); a predicate cannot move below a generator.
+    """
+    one = F.array_compact(F.array(F.when(F.col("row_ok"), F.struct(*cols))))
+    return parsed.select(F.explode(one).alias("_g")).select("_g.*")
+
+
 def fuel_good_rows(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    return parsed.filter(F.col("row_ok")).select(
-        *keys, F.col("_ts").alias(TS), F.col("_amount").alias("amount_eur"), F.col("_liters").alias("liters"),
-        (F.col("_amount") / F.col("_liters")).alias("price_per_liter_eur"),
-        F.col("_ftype").alias("fuel_type"), F.col("_tank").alias("is_full_tank"),
-        F.col("_station").alias("station_name"), F.col("_city").alias("city"),
-        F.col("_country").alias("country"), F.col("_notes").alias("notes"), ROW)
+    c = F.col
+    return surviving(parsed, [
+        *[c(k) for k in keys], c("_ts").alias(TS), c("_amount").alias("amount_eur"), c("_liters").alias("liters"),
+        (c("_amount") / c("_liters")).alias("price_per_liter_eur"),
+        c("_ftype").alias("fuel_type"), c("_tank").alias("is_full_tank"),
+        c("_station").alias("station_name"), c("_city").alias("city"),
+        c("_country").alias("country"), c("_notes").alias("notes"), c(ROW)])
 
 
 def fuel_duplicates(good: DataFrame, keys: list[str] | None = None,
@@ -209,18 +219,20 @@ def validate_fuel(raw: DataFrame, keys: list[str] | None = None,
 
 
 def validate_odometer_rows(raw: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Row rules for odometer rows."""
+    """Row rules for odometer rows (V1, V3, V12), staged like the fuel rules."""
     keys = list(keys or [])
     ds = "odometer"
-    ts = parse_iso_timestamp(_s("datetime"))
-    km, km_rules, km_ok = _number_rules(ds, "odometer_km", 2, False)
-    parsed = raw.select(*keys, F.col(ROW).cast("long").alias(ROW),
-                        *[c for c in raw.columns if c not in keys and c != ROW],
-                        ts.alias("_ts"), km.alias("_km"), strip_ws(_s("notes")).alias("_notes"),
-                        (ts.isNotNull() & km_ok).alias("row_ok"))
-    rules = [(F.col("_ts").isNull(), _issue(ds, ERROR, "datetime_unparsable", 1, "datetime",
-                                            F.concat(F.lit("Unparsable datetime: '"), _s("datetime"), F.lit("'"))))]
-    rules += km_rules
+    c = F.col
+    passthrough = [x for x in raw.columns if x not in keys and x != ROW]
+    stripped = raw.select(*keys, c(ROW).cast("long").alias(ROW), *passthrough,
+                          strip_ws(_s("datetime")).alias("_dt_s"), strip_ws(_s("odometer_km")).alias("_km_s"),
+                          strip_ws(_s("notes")).alias("_notes"))
+    staged = stripped.select("*", parse_iso_timestamp("_dt_s", stripped=True).alias("_ts"),
+                             parse_number("_km_s", stripped=True).alias("_odometer_km")).drop("_dt_s", "_km_s")
+    parsed = staged.withColumn("row_ok", F.coalesce(c("_ts").isNotNull() & (c("_odometer_km") >= 0), F.lit(False)))
+    rules = [(c("_ts").isNull(), _issue(ds, ERROR, "datetime_unparsable", 1, "datetime",
+                                        F.concat(F.lit("Unparsable datetime: '"), _s("datetime"), F.lit("'"))))]
+    rules += _number_issues(ds, "odometer_km", 2, False)
     return parsed, _explode_issues(parsed, keys, rules)
 
 
@@ -246,8 +258,8 @@ def validate_odometer(raw: DataFrame, keys: list[str] | None = None,
     """Row rules, then monotonicity and duplicates on surviving rows."""
     keys = list(keys or [])
     parsed, row_issues = validate_odometer_rows(raw, keys)
-    good = parsed.filter(F.col("row_ok")).select(*keys, F.col("_ts").alias(TS), F.col("_km").alias("odometer_km"),
-                                                 F.col("_notes").alias("notes"), ROW)
+    good = surviving(parsed, [*[F.col(k) for k in keys], F.col("_ts").alias(TS),
+                              F.col("_odometer_km").alias("odometer_km"), F.col("_notes").alias("notes"), F.col(ROW)])
     mono = odometer_monotonicity(good, keys, bucket).select(
         *keys, F.lit("odometer").alias("dataset"), F.lit(WARNING).alias("severity"),
         F.lit("monotonicity").alias("rule"), F.lit(20).alias("rule_seq"), F.lit(None).cast("long").alias(ROW),
@@ -335,15 +347,14 @@ def validate_entries(entries: DataFrame, keys: list[str] | None = None,
         ("is_full_tank", ~tank.isin(*TANK_STATES), "Must be true, false, or unknown."),
         ("entry_date", when_ts.isNull(), "Must be a valid date/time."),
     ]
-    errs = F.filter(F.array(*[F.when(bad, F.struct(F.lit(f).alias("field"), F.lit(m).alias("message")))
-                              for f, bad, m in checks]), lambda x: x.isNotNull())
+    errs = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(f).alias("field"), F.lit(m).alias("message")))
+                                     for f, bad, m in checks]))
     price = amount / liters
-    warns = F.filter(F.array(
+    warns = F.array_compact(F.array(
         F.when(price < config.price_min_warn, F.concat(F.lit("Derived price per liter ("), F.format_string("%.3f", price),
                                                        F.lit(" EUR/L) is suspiciously low."))),
         F.when(price > config.price_max_warn, F.concat(F.lit("Derived price per liter ("), F.format_string("%.3f", price),
-                                                       F.lit(" EUR/L) is suspiciously high.")))),
-        lambda x: x.isNotNull())
+                                                       F.lit(" EUR/L) is suspiciously high.")))))
     staged = entries.select(*keys, *([ROW] if ROW in entries.columns else []), errs.alias("_errs"),
                             when_ts.alias(TS), amount.alias("amount_eur"), liters.alias("liters"),
                             ftype.alias("fuel_type"), tank.alias("is_full_tank"), station.alias("station_name"),

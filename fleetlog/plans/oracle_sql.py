@@ -49,6 +49,28 @@ def num_parse(e: str) -> str:
 
 P_START, P_END = lit_ts(PERIOD.start), lit_ts(PERIOD.end)
 
+
+
+def _expand_r6(sql: str) -> str:
+    """Inline ``r6(x)``: six-decimal rounding by the same IEEE formula the Spark side
+    uses (``functions.text.round6``), so equal doubles always round equally."""
+    out, i = [], 0
+    while (j := sql.find("r6(", i)) >= 0:
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 3])
+            i = j + 3
+            continue
+        depth, k = 0, j + 2
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        out.append(sql[i:j] + f"(floor(({_expand_r6(sql[j + 3:k])}) * 1e6 + 0.5) / 1e6)")
+        i = k + 1
+    out.append(sql[i:])
+    return "".join(out)
+
 EV = """ev AS (SELECT user_id AS vehicle_id, ts AS event_ts, event_id AS row_num, event_type, value, props FROM events)"""
 
 FUEL = EV + """,
@@ -176,10 +198,10 @@ def segments(probe: str = "fuel", readings: str = "odo", name: str = "seg") -> s
 
 
 SEG_COLUMNS = """vehicle_id, p_ts AS previous_fuel_datetime, p_row AS previous_row_num, event_ts AS fuel_datetime, row_num,
-       liters, amount_eur, round(km, 6) AS estimated_km,
-       round(p_value, 6) AS odometer_at_previous, round(est_value, 6) AS odometer_at_current,
-       round(liters / km * 100, 6) AS liters_per_100km, round(amount_eur / km * 100, 6) AS cost_per_100km,
-       round(amount_eur / km, 6) AS cost_per_km, quality, interval AS source_interval"""
+       liters, amount_eur, r6(km) AS estimated_km,
+       r6(p_value) AS odometer_at_previous, r6(est_value) AS odometer_at_current,
+       r6(liters / km * 100) AS liters_per_100km, r6(amount_eur / km * 100) AS cost_per_100km,
+       r6(amount_eur / km) AS cost_per_km, quality, interval AS source_interval"""
 
 
 def _monthly(value: str, agg: str, fill: str | None) -> str:
@@ -188,7 +210,7 @@ def _monthly(value: str, agg: str, fill: str | None) -> str:
 g AS (SELECT vehicle_id, last_day(event_ts) AS month, {agg} AS v FROM af GROUP BY 1, 2),
 span AS (SELECT vehicle_id, min(month) AS lo, max(month) AS hi FROM g GROUP BY 1),
 sk AS (SELECT vehicle_id, last_day(unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH))) AS month FROM span)
-SELECT sk.vehicle_id, CAST(sk.month AS TIMESTAMP) AS month, round({v}, 6) AS {value}
+SELECT sk.vehicle_id, CAST(sk.month AS TIMESTAMP) AS month, r6({v}) AS {value}
 FROM sk LEFT JOIN g ON sk.vehicle_id = g.vehicle_id AND sk.month = g.month"""
 
 
@@ -202,7 +224,7 @@ se AS (SELECT s.vehicle_id, s.est_value AS sv, s.est_quality AS sq, s.est_interv
        FROM est s JOIN est e ON s.vehicle_id = e.vehicle_id AND s.row_num = 0 AND e.row_num = 1),
 sx AS (SELECT *, (sq = 'insufficient' OR eq = 'insufficient') AS insuf, ev - sv AS d FROM se)
 SELECT vehicle_id, {P_START} AS start, {P_END} AS "end",
-  CASE WHEN insuf OR d < 0 THEN 0.0 ELSE round(d, 6) END AS distance_km,
+  CASE WHEN insuf OR d < 0 THEN 0.0 ELSE r6(d) END AS distance_km,
   CASE WHEN insuf OR d < 0 THEN 'insufficient' WHEN sq = 'estimated' OR eq = 'estimated' THEN 'estimated' ELSE 'exact' END AS quality,
   CASE WHEN insuf THEN 'start: ' || coalesce(si, 'unknown') || '; end: ' || coalesce(ei, 'unknown')
        WHEN d < 0 THEN 'negative distance between ' || {tstxt(P_START)} || ' and ' || {tstxt(P_END)}
@@ -225,13 +247,13 @@ def queries() -> dict[str, str]:
 
     # --- fuel aggregates -----------------------------------------------------
     q["fuel_totals"] = f"""WITH {LOG}
-SELECT vehicle_id, CAST(count(*) AS BIGINT) AS entries, round(sum(liters), 6) AS total_liters,
-       round(sum(amount_eur), 6) AS total_eur, round(sum(amount_eur) / sum(liters), 6) AS avg_price_per_liter
+SELECT vehicle_id, CAST(count(*) AS BIGINT) AS entries, r6(sum(liters)) AS total_liters,
+       r6(sum(amount_eur)) AS total_eur, r6(sum(amount_eur) / sum(liters)) AS avg_price_per_liter
 FROM log GROUP BY vehicle_id"""
 
     q["month_to_date"] = f"""WITH {FUEL}
-SELECT vehicle_id, CAST(count(*) AS BIGINT) AS month_entries, round(sum(liters), 6) AS month_liters,
-       round(sum(amount_eur), 6) AS month_eur
+SELECT vehicle_id, CAST(count(*) AS BIGINT) AS month_entries, r6(sum(liters)) AS month_liters,
+       r6(sum(amount_eur)) AS month_eur
 FROM fuel WHERE event_ts BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-31 23:59:59.999999'
 GROUP BY vehicle_id"""
 
@@ -239,31 +261,31 @@ GROUP BY vehicle_id"""
 SELECT vehicle_id, event_ts, row_num, amount_eur / liters AS price_per_liter_eur FROM fuel"""
 
     q["fuel_type_summary"] = f"""WITH {LOG}
-SELECT vehicle_id, fuel_type, CAST(count(*) AS BIGINT) AS count, round(sum(liters), 6) AS total_liters,
-       round(sum(amount_eur), 6) AS total_eur FROM log GROUP BY 1, 2"""
+SELECT vehicle_id, fuel_type, CAST(count(*) AS BIGINT) AS count, r6(sum(liters)) AS total_liters,
+       r6(sum(amount_eur)) AS total_eur FROM log GROUP BY 1, 2"""
 
     q["fuel_type_share"] = f"""WITH {LOG},
 s AS (SELECT vehicle_id, fuel_type, CAST(count(*) AS BIGINT) AS count, sum(liters) AS l, sum(amount_eur) AS e FROM log GROUP BY 1, 2)
 SELECT vehicle_id, fuel_type, count,
-  round(count * 100.0 / sum(count) OVER (PARTITION BY vehicle_id), 6) AS stops_share_pct,
-  round(l * 100.0 / sum(l) OVER (PARTITION BY vehicle_id), 6) AS liters_share_pct,
-  round(e * 100.0 / sum(e) OVER (PARTITION BY vehicle_id), 6) AS eur_share_pct
+  r6(count * 100.0 / sum(count) OVER (PARTITION BY vehicle_id)) AS stops_share_pct,
+  r6(l * 100.0 / sum(l) OVER (PARTITION BY vehicle_id)) AS liters_share_pct,
+  r6(e * 100.0 / sum(e) OVER (PARTITION BY vehicle_id)) AS eur_share_pct
 FROM s"""
 
     q["avg_price_by_country"] = f"""WITH {LOG}
-SELECT vehicle_id, country, round(sum(amount_eur) / sum(liters), 6) AS avg_price_per_liter,
-       round(sum(liters), 6) AS total_liters FROM log GROUP BY 1, 2"""
+SELECT vehicle_id, country, r6(sum(amount_eur) / sum(liters)) AS avg_price_per_liter,
+       r6(sum(liters)) AS total_liters FROM log GROUP BY 1, 2"""
 
     q["avg_price_by_city"] = f"""WITH {LOG}
-SELECT vehicle_id, city, round(sum(amount_eur) / sum(liters), 6) AS avg_price_per_liter,
-       round(sum(liters), 6) AS total_liters FROM log WHERE {strip('city')} <> '' GROUP BY 1, 2"""
+SELECT vehicle_id, city, r6(sum(amount_eur) / sum(liters)) AS avg_price_per_liter,
+       r6(sum(liters)) AS total_liters FROM log WHERE {strip('city')} <> '' GROUP BY 1, 2"""
 
     for col, where in (("country", ""), ("city", f"WHERE {strip('city')} <> ''")):
         q[f"location_overview_{col}"] = f"""WITH {LOG},
 g AS (SELECT vehicle_id, {col}, CAST(count(*) AS BIGINT) AS stops, sum(liters) AS liters, sum(amount_eur) AS eur
       FROM log {where} GROUP BY 1, 2)
-SELECT vehicle_id, {col}, stops, round(liters, 6) AS liters, round(eur, 6) AS eur,
-       round(eur / liters, 6) AS avg_price_per_liter,
+SELECT vehicle_id, {col}, stops, r6(liters) AS liters, r6(eur) AS eur,
+       r6(eur / liters) AS avg_price_per_liter,
        CAST(row_number() OVER (PARTITION BY vehicle_id ORDER BY liters DESC, stops DESC, {col}) AS INTEGER) AS rank
 FROM g"""
 
@@ -275,32 +297,32 @@ FROM g"""
     for name, cte, src in (("total_distance", ODO, "odo"), ("total_distance_raw", ODO_RAW, "odo_raw")):
         q[name] = f"""WITH {EV}, {cte}
 SELECT vehicle_id, CAST(count(*) AS BIGINT) AS readings,
-       round(CASE WHEN count(*) < 2 THEN 0.0 ELSE arg_max(odometer_km, event_ts) - arg_min(odometer_km, event_ts) END, 6) AS total_km
+       r6(CASE WHEN count(*) < 2 THEN 0.0 ELSE arg_max(odometer_km, event_ts) - arg_min(odometer_km, event_ts) END) AS total_km
 FROM {src} GROUP BY vehicle_id"""
 
     q["monthly_km_driven"] = f"""WITH {EV}, {ODO}
 SELECT vehicle_id, CAST(date_trunc('month', event_ts) AS TIMESTAMP) AS month,
-       round(CASE WHEN count(*) < 2 THEN 0.0 ELSE arg_max(odometer_km, event_ts) - arg_min(odometer_km, event_ts) END, 6) AS km_driven
+       r6(CASE WHEN count(*) < 2 THEN 0.0 ELSE arg_max(odometer_km, event_ts) - arg_min(odometer_km, event_ts) END) AS km_driven
 FROM odo GROUP BY 1, 2"""
 
     q["cumulative_distance"] = f"""WITH {EV}, {ODO}
 SELECT vehicle_id, event_ts, row_num,
-       round(odometer_km - first_value(odometer_km) OVER (PARTITION BY vehicle_id ORDER BY event_ts, row_num), 6) AS cumulative_km
+       r6(odometer_km - first_value(odometer_km) OVER (PARTITION BY vehicle_id ORDER BY event_ts, row_num)) AS cumulative_km
 FROM odo"""
 
     q["distance_timeline"] = f"""WITH {EV}, {ODO},
 d AS (SELECT *, odometer_km - lag(odometer_km) OVER (PARTITION BY vehicle_id ORDER BY event_ts, row_num) AS delta FROM odo)
-SELECT vehicle_id, event_ts, row_num, round(delta, 6) AS km_since_last_entry FROM d
+SELECT vehicle_id, event_ts, row_num, r6(delta) AS km_since_last_entry FROM d
 WHERE event_ts BETWEEN {P_START} AND {P_END} AND delta IS NOT NULL"""
 
     q["odometer_readings_in_period"] = f"""WITH {EV}, {ODO},
 d AS (SELECT *, odometer_km - lag(odometer_km) OVER (PARTITION BY vehicle_id ORDER BY event_ts, row_num) AS delta FROM odo)
-SELECT vehicle_id, event_ts, row_num, round(odometer_km, 6) AS odometer_km, round(delta, 6) AS km_since_previous FROM d
+SELECT vehicle_id, event_ts, row_num, r6(odometer_km) AS odometer_km, r6(delta) AS km_since_previous FROM d
 WHERE event_ts BETWEEN {P_START} AND {P_END}"""
 
     # --- as-of, consumption --------------------------------------------------
     q["odometer_at_fuel"] = f"""WITH {FUEL}, {ODO}, {asof_est('fuel', 'odo', 'est')}
-SELECT vehicle_id, event_ts, row_num, round(est_value, 6) AS odometer_km, est_quality AS quality,
+SELECT vehicle_id, event_ts, row_num, r6(est_value) AS odometer_km, est_quality AS quality,
        'linear' AS method, est_interval AS source_interval FROM est"""
 
     q["consumption_segments"] = f"""WITH {FUEL}, {ODO}, {segments()}
@@ -312,21 +334,21 @@ SELECT {SEG_COLUMNS} FROM seg"""
 
     q["consumption_flat"] = f"""WITH {FUEL}, {ODO}, {segments()}
 SELECT vehicle_id, p_row AS previous_row_num, row_num, p_ts AS previous_fuel_datetime, event_ts AS datetime, liters,
-       round(km, 6) AS estimated_km,
-       round(p_value, 6) AS odometer_at_previous, p_quality AS odometer_at_previous_quality,
+       r6(km) AS estimated_km,
+       r6(p_value) AS odometer_at_previous, p_quality AS odometer_at_previous_quality,
        'linear' AS odometer_at_previous_method, p_interval AS odometer_at_previous_source_interval,
-       round(est_value, 6) AS odometer_at_current, est_quality AS odometer_at_current_quality,
+       r6(est_value) AS odometer_at_current, est_quality AS odometer_at_current_quality,
        'linear' AS odometer_at_current_method, est_interval AS odometer_at_current_source_interval,
-       round(liters / km * 100, 6) AS liters_per_100km, quality AS liters_per_100km_quality,
+       r6(liters / km * 100) AS liters_per_100km, quality AS liters_per_100km_quality,
        'linear' AS liters_per_100km_method,
-       round(amount_eur / km * 100, 6) AS cost_per_100km, quality AS cost_per_100km_quality,
-       round(amount_eur / km, 6) AS cost_per_km, quality AS cost_per_km_quality,
+       r6(amount_eur / km * 100) AS cost_per_100km, quality AS cost_per_100km_quality,
+       r6(amount_eur / km) AS cost_per_km, quality AS cost_per_km_quality,
        'linear' AS estimation_method, interval AS source_interval, amount_eur
 FROM seg"""
 
     q["consumption_summary"] = f"""WITH {FUEL}, {ODO}, {segments()}
-SELECT vehicle_id, CAST(count(*) AS BIGINT) AS segments, round(avg(liters / km * 100), 6) AS avg_l_per_100km,
-       round(avg(amount_eur / km * 100), 6) AS avg_cost_per_100km, round(avg(amount_eur / km), 6) AS avg_cost_per_km,
+SELECT vehicle_id, CAST(count(*) AS BIGINT) AS segments, r6(avg(liters / km * 100)) AS avg_l_per_100km,
+       r6(avg(amount_eur / km * 100)) AS avg_cost_per_100km, r6(avg(amount_eur / km)) AS avg_cost_per_km,
        bool_or(quality = 'estimated') AS any_estimated
 FROM seg GROUP BY vehicle_id"""
 
@@ -339,7 +361,7 @@ pr AS (SELECT vehicle_id, 0 AS row_num, 'Start of report' AS boundary, {P_START}
        UNION ALL SELECT vehicle_id, 1, 'End of report', {P_END} FROM u),
 {asof_est('pr', 'odo', 'est')}
 SELECT pr.vehicle_id, pr.boundary, pr.event_ts,
-       CASE WHEN est_quality = 'insufficient' THEN NULL ELSE round(est_value, 6) END AS odometer_km,
+       CASE WHEN est_quality = 'insufficient' THEN NULL ELSE r6(est_value) END AS odometer_km,
        est_quality AS quality,
        coalesce(est_interval, CASE est_quality WHEN 'insufficient' THEN 'Not enough odometer data.'
                 WHEN 'exact' THEN 'Exact reading.' ELSE 'Estimated by interpolation.' END) AS supporting_data
@@ -448,7 +470,7 @@ b AS (SELECT vehicle_id, event_ts FROM fuel UNION ALL SELECT vehicle_id, event_t
 SELECT vehicle_id, min(event_ts) AS start, max(event_ts) AS "end" FROM b GROUP BY vehicle_id"""
 
     q["range_bounds"] = f"""WITH {FUEL}, {_ranges_values()}
-SELECT f.vehicle_id, r.range, r.start, r."end", CAST(count(*) AS BIGINT) AS entries, round(sum(f.liters), 6) AS liters
+SELECT f.vehicle_id, r.range, r.start, r."end", CAST(count(*) AS BIGINT) AS entries, r6(sum(f.liters)) AS liters
 FROM fuel f JOIN rng r ON f.event_ts BETWEEN r.start AND r."end"
 GROUP BY 1, 2, 3, 4"""
 
@@ -498,7 +520,7 @@ cards AS (
   UNION ALL SELECT vehicle_id, 'estimated', 2, 'average_consumption', l100, 'L/100km', CASE WHEN anyest THEN 'estimated' ELSE 'exact' END, '' FROM cs
   UNION ALL SELECT vehicle_id, 'estimated', 3, 'average_cost_per_100km', c100, 'EUR', CASE WHEN anyest THEN 'estimated' ELSE 'exact' END, '' FROM cs
   UNION ALL SELECT vehicle_id, 'estimated', 4, 'average_cost_per_km', c1, 'EUR', CASE WHEN anyest THEN 'estimated' ELSE 'exact' END, '' FROM cs)
-SELECT vehicle_id, section, CAST(position AS INTEGER) AS position, metric, round(value, 6) AS value, unit, tone, note FROM cards"""
+SELECT vehicle_id, section, CAST(position AS INTEGER) AS position, metric, r6(value) AS value, unit, tone, note FROM cards"""
 
     q["summary_all"] = f"""WITH {FUEL}, {ODO},
 u AS (SELECT vehicle_id FROM fuel UNION SELECT vehicle_id FROM odo),
@@ -508,11 +530,11 @@ ot AS (SELECT vehicle_id, count(*) AS n,
        FROM odo GROUP BY 1),
 {segments()},
 cs AS (SELECT vehicle_id, count(*) AS n, avg(liters / km * 100) AS l100, avg(amount_eur / km * 100) AS c100 FROM seg GROUP BY 1)
-SELECT u.vehicle_id, CAST(coalesce(ft.n, 0) AS BIGINT) AS entries, round(coalesce(ft.l, 0.0), 6) AS total_liters,
-       round(coalesce(ft.e, 0.0), 6) AS total_eur, round(coalesce(ft.e / ft.l, 0.0), 6) AS avg_price_per_liter,
-       CAST(coalesce(ot.n, 0) AS BIGINT) AS readings, round(coalesce(ot.km, 0.0), 6) AS total_km,
-       CAST(coalesce(cs.n, 0) AS BIGINT) AS segments, round(cs.l100, 6) AS avg_l_per_100km,
-       round(cs.c100, 6) AS avg_cost_per_100km
+SELECT u.vehicle_id, CAST(coalesce(ft.n, 0) AS BIGINT) AS entries, r6(coalesce(ft.l, 0.0)) AS total_liters,
+       r6(coalesce(ft.e, 0.0)) AS total_eur, r6(coalesce(ft.e / ft.l, 0.0)) AS avg_price_per_liter,
+       CAST(coalesce(ot.n, 0) AS BIGINT) AS readings, r6(coalesce(ot.km, 0.0)) AS total_km,
+       CAST(coalesce(cs.n, 0) AS BIGINT) AS segments, r6(cs.l100) AS avg_l_per_100km,
+       r6(cs.c100) AS avg_cost_per_100km
 FROM u LEFT JOIN ft USING (vehicle_id) LEFT JOIN ot USING (vehicle_id) LEFT JOIN cs USING (vehicle_id)"""
 
     q["analysis_metrics"] = f"""WITH {FUEL}, {ODO},
@@ -521,9 +543,9 @@ fuel_p AS (SELECT * FROM fuel WHERE event_ts BETWEEN {c_start} AND {c_end}),
 ft AS (SELECT vehicle_id, count(*) AS n, sum(liters) AS l, sum(amount_eur) AS e FROM fuel_p GROUP BY 1),
 {segments('fuel_p')},
 cs AS (SELECT vehicle_id, avg(liters / km * 100) AS l100, avg(amount_eur / km * 100) AS c100 FROM seg GROUP BY 1)
-SELECT u.vehicle_id, round(coalesce(ft.l, 0.0), 6) AS total_liters, round(coalesce(ft.e, 0.0), 6) AS total_eur,
-       round(coalesce(ft.e / ft.l, 0.0), 6) AS avg_price_per_liter, CAST(coalesce(ft.n, 0) AS BIGINT) AS entries,
-       round(cs.l100, 6) AS avg_l_per_100km, round(cs.c100, 6) AS avg_cost_per_100km
+SELECT u.vehicle_id, r6(coalesce(ft.l, 0.0)) AS total_liters, r6(coalesce(ft.e, 0.0)) AS total_eur,
+       r6(coalesce(ft.e / ft.l, 0.0)) AS avg_price_per_liter, CAST(coalesce(ft.n, 0) AS BIGINT) AS entries,
+       r6(cs.l100) AS avg_l_per_100km, r6(cs.c100) AS avg_cost_per_100km
 FROM u LEFT JOIN ft USING (vehicle_id) LEFT JOIN cs USING (vehicle_id)"""
 
     q["analysis_payload"] = f"""WITH {FUEL}, {ODO},
@@ -543,10 +565,10 @@ FROM u LEFT JOIN m USING (vehicle_id) LEFT JOIN cs USING (vehicle_id)"""
     # --- streaming (batch equivalents) ---------------------------------------
     q["stream_month_to_date"] = f"""WITH {FUEL}
 SELECT vehicle_id, CAST(date_trunc('month', event_ts) AS TIMESTAMP) AS month, CAST(count(*) AS BIGINT) AS month_entries,
-       round(sum(liters), 6) AS month_liters, round(sum(amount_eur), 6) AS month_eur
+       r6(sum(liters)) AS month_liters, r6(sum(amount_eur)) AS month_eur
 FROM fuel GROUP BY 1, 2"""
 
     q["stream_ingest"] = f"""WITH {DIRTY_PARSED}
 SELECT row_num, ts AS event_ts, amount AS amount_eur, lit AS liters, ft AS fuel_type, tank AS is_full_tank,
        st AS station_name, ci AS city, co AS country FROM good"""
-    return q
+    return {name: _expand_r6(sql) for name, sql in q.items()}

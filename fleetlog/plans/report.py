@@ -43,7 +43,7 @@ def _card(position: int, metric: str, value: Column, unit: str, source: str, ton
 
 
 def _cards(df: DataFrame, keys: list[str], section: str, cards: Column) -> DataFrame:
-    return df.select(*keys, F.explode(F.filter(cards, lambda x: x.isNotNull())).alias("_c")).select(
+    return df.select(*keys, F.explode(F.array_compact(cards)).alias("_c")).select(
         *keys, F.lit(section).alias("section"), "_c.*")
 
 
