@@ -9,7 +9,7 @@ timestamp as an ``EST`` struct ``(value, quality, method, source_interval)``:
 * otherwise ``insufficient`` with value 0.0 (no extrapolation).
 
 Plan: probes and readings are unioned and aligned with
-``sequence.nearest_strict`` -- one shuffle on ``(keys, time bucket)``,
+``sequence.asof_neighbours`` -- one shuffle on ``(keys, time bucket)``,
 O(N log N), no join between the two logs.
 """
 
@@ -21,12 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlog.functions.text import epoch_micros, ts_text
-from fleetlog.operators.sequence import BUCKET, DEFAULT_BUCKET, nearest_strict
+from fleetlog.operators.sequence import BUCKET, DEFAULT_BUCKET, asof_neighbours
 from fleetlog.schema import ESTIMATED, EXACT, INSUFFICIENT, KEY, ROW, TS
 
-READING = "_reading"
-
-
 def _linear(t: Column, before: Column, after: Column, exact: Column) -> Column:
     """Linear interpolation between the bracketing readings (EST struct)."""
     both = before.isNotNull() & after.isNotNull()
@@ -58,19 +55,14 @@ def get_interpolation_strategy(method: str = "linear"):
 
 def attach_odometer(probes: DataFrame, readings: DataFrame, keys: list[str] | None = None,
                     out: str = "odometer", method: str = "linear", ts: str = TS,
-                    row: str = ROW, km: str = "odometer_km", bucket=DEFAULT_BUCKET) -> DataFrame:
-    """Probes + ``out`` EST column; keeps the ``_bucket`` column for downstream reuse."""
+                    row: str = ROW, km: str = "odometer_km", bucket=DEFAULT_BUCKET,
+                    probe_buckets: DataFrame | None = None) -> DataFrame:
+    """Probes + ``out`` EST column (see ``sequence.asof_neighbours`` for the plan)."""
     keys = [KEY] if keys is None else list(keys)
     strategy = get_interpolation_strategy(method)
-    rd = readings.select(*keys, ts, F.struct(epoch_micros(ts).alias("_t"), F.col(row).alias("_n"),
-                                             F.col(ts).alias("ts"), F.col(km).cast("double").alias("km"))
-                         .alias(READING))
-    pr = probes.withColumn(READING, F.lit(None).cast(rd.schema[READING].dataType))
-    events = (pr.withColumn("_probe", F.lit(True))
-              .unionByName(rd.withColumn("_probe", F.lit(False)), allowMissingColumns=True))
-    aligned = nearest_strict(events, keys, READING, ts, bucket).filter(F.col("_probe"))
+    aligned = asof_neighbours(probes, readings, keys, km, ts, row, bucket, probe_buckets)
     est = strategy(F.col(ts), F.col("_before"), F.col("_after"), F.col("_exact"))
-    return aligned.withColumn(out, est).drop(READING, "_probe", "_before", "_after", "_exact")
+    return aligned.withColumn(out, est).drop("_before", "_after", "_exact")
 
 
 def odometer_at(probes: DataFrame, readings: DataFrame, keys: list[str] | None = None,

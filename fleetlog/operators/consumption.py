@@ -29,34 +29,47 @@ def consumption_estimates(fuel: DataFrame, readings: DataFrame, keys: list[str]
     Columns: keys, previous_fuel_datetime, previous_row_num, fuel_datetime, row_num,
     liters, amount_eur, estimated_km, odometer_at_previous, odometer_at_current,
     liters_per_100km, cost_per_100km, cost_per_km.
+
+    Plan: (1) each refuel learns its predecessor from the fuel log alone (bucketed
+    lag); (2) both instants of every pair are probed in ONE as-of pass over the
+    readings; (3) the two estimates are brought back together per refuel.  No step
+    re-runs another step's shuffle.  A refuel is identified by (keys, time, row).
     """
     keys = [KEY] if keys is None else list(keys)
     f = fuel.select(*keys, TS, ROW, "liters", "amount_eur")
-    f = attach_odometer(f, readings, keys, "odometer_at_current", method, bucket=bucket)
-    f = previous_row(f, keys, [F.col(TS).alias("ts"), F.col(ROW).alias("n"),
-                               F.col("odometer_at_current").alias("odo")], "_prev", bucket=bucket)
-    prev, cur = F.col("_prev"), F.col("odometer_at_current")
-    km = cur["value"] - prev["odo"]["value"]
-    keep = (prev.isNotNull() & (prev["odo"]["quality"] != INSUFFICIENT)
-            & (cur["quality"] != INSUFFICIENT) & (km > 0))
-    quality = F.when((prev["odo"]["quality"] == ESTIMATED) | (cur["quality"] == ESTIMATED),
+    f = previous_row(f, keys, {"ts": F.col(TS), "n": F.col(ROW)}, "_prev", bucket=bucket).drop(BUCKET)
+    sides = F.array_compact(F.array(
+        F.struct(F.lit(1).alias("side"), F.col(TS).alias("t")),
+        F.when(F.col("_prev").isNotNull(), F.struct(F.lit(0).alias("side"), F.col("_prev.ts").alias("t")))))
+    probes = (f.select(*keys, F.col(TS).alias("_cur_ts"), F.col(ROW).alias("_cur_row"), "liters", "amount_eur",
+                       "_prev", F.explode(sides).alias("_s"))
+              .select("*", F.col("_s.side").alias("_side"), F.col("_s.t").alias(TS)).drop("_s"))
+    est = attach_odometer(probes, readings, keys, "_est", method, bucket=bucket,
+                          probe_buckets=fuel.select(*keys, TS)).drop(BUCKET)
+    pairs = est.groupBy(*keys, "_cur_ts", "_cur_row").agg(
+        F.max(F.when(F.col("_side") == 1, F.col("_est"))).alias("odometer_at_current"),
+        F.max(F.when(F.col("_side") == 0, F.col("_est"))).alias("odometer_at_previous"),
+        F.max("_prev").alias("_prev"), F.max("liters").alias("liters"), F.max("amount_eur").alias("amount_eur"))
+    prev, cur, prv = F.col("_prev"), F.col("odometer_at_current"), F.col("odometer_at_previous")
+    km = cur["value"] - prv["value"]
+    keep = (prv.isNotNull() & (prv["quality"] != INSUFFICIENT) & (cur["quality"] != INSUFFICIENT) & (km > 0))
+    quality = F.when((prv["quality"] == ESTIMATED) | (cur["quality"] == ESTIMATED),
                      F.lit(ESTIMATED)).otherwise(F.lit(EXACT))
-    interval = F.concat(ts_text(prev["ts"]), F.lit(" -> "), ts_text(F.col(TS)))
+    interval = F.concat(ts_text(prev["ts"]), F.lit(" -> "), ts_text(F.col("_cur_ts")))
 
-    def est(v):
+    def est_col(v):
         return F.struct(v.alias("value"), quality.alias("quality"), F.lit(method).alias("method"),
                         interval.alias("source_interval"))
 
-    return f.filter(keep).select(
+    return pairs.filter(keep).select(
         *keys,
         prev["ts"].alias("previous_fuel_datetime"), prev["n"].alias("previous_row_num"),
-        F.col(TS).alias("fuel_datetime"), ROW, "liters", "amount_eur",
-        km.alias("estimated_km"),
-        prev["odo"].alias("odometer_at_previous"), cur.alias("odometer_at_current"),
-        est(F.col("liters") / km * 100).alias("liters_per_100km"),
-        est(F.col("amount_eur") / km * 100).alias("cost_per_100km"),
-        est(F.col("amount_eur") / km).alias("cost_per_km"),
-    ).drop(BUCKET)
+        F.col("_cur_ts").alias("fuel_datetime"), F.col("_cur_row").alias(ROW), "liters", "amount_eur",
+        km.alias("estimated_km"), "odometer_at_previous", "odometer_at_current",
+        est_col(F.col("liters") / km * 100).alias("liters_per_100km"),
+        est_col(F.col("amount_eur") / km * 100).alias("cost_per_100km"),
+        est_col(F.col("amount_eur") / km).alias("cost_per_km"),
+    )
 
 
 def consumption_flat(estimates: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -59,7 +59,7 @@ def with_delta(odo: DataFrame, keys: list[str] | None = None, out: str = "km_sin
                bucket=DEFAULT_BUCKET) -> DataFrame:
     """Adds ``out`` = km minus the previous reading's km over the full log."""
     k = _keys(keys)
-    d = previous_row(odo, k, [F.col("odometer_km").alias("km")], "_prev", bucket=bucket)
+    d = previous_row(odo, k, {"km": F.col("odometer_km")}, "_prev", bucket=bucket)
     return d.withColumn(out, F.col("odometer_km") - F.col("_prev.km")).drop("_prev", "_bucket")
 
 

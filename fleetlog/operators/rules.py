@@ -239,8 +239,8 @@ def validate_odometer_rows(raw: DataFrame, keys: list[str] | None = None) -> tup
 def odometer_monotonicity(good: DataFrame, keys: list[str] | None = None, bucket=DEFAULT_BUCKET) -> DataFrame:
     """Adjacent readings (time order, ties by row) where the odometer goes down."""
     keys = list(keys or [])
-    d = previous_row(good, keys, [F.col(TS).alias("ts"), F.col(ROW).alias("n"), F.col("odometer_km").alias("km")],
-                     "_prev", bucket=bucket)
+    d = previous_row(good, keys, {"ts": F.col(TS), "n": F.col(ROW), "km": F.col("odometer_km")}, "_prev",
+                     bucket=bucket)
     return d.filter(F.col("odometer_km") < F.col("_prev.km")).select(
         *keys, TS, ROW, "odometer_km", F.col("_prev.ts").alias("previous_ts"),
         F.col("_prev.n").alias("previous_row_num"), F.col("_prev.km").alias("previous_km"))

@@ -5,8 +5,14 @@ ordered operator here instead partitions by ``(keys, time bucket)``: the
 in-bucket part is an ordinary window over a small group, and whatever a row
 needs from earlier (or later) buckets is *carried* from a per-bucket summary
 table (one row per key and non-empty bucket) by a window over that small
-table and an equi-join on ``(keys, bucket)``.  The join and the windows share
-one hash partitioning, so the large side is shuffled once.
+table and an equi-join on ``(keys, bucket)``.  The large side is shuffled
+once; AQE broadcasts the carry table while it is small.
+
+Summaries are hash aggregations: the ``(time, row)`` order is packed into
+one DECIMAL(38,0) key (``order_key``) so that ``max``/``max_by`` run in
+Spark's hash aggregate with map-side combine (a ``max`` over a struct would
+fall back to a sort-based aggregate).  Summaries read the operator's *input*
+only, so no branch of the plan re-runs the ordered work.
 
 With ``keys=[]`` (the single-vehicle case of the original tool) the same
 plans apply; only the tiny bucket table is ordered globally.
@@ -28,6 +34,8 @@ DEFAULT_BUCKET = "1 day"
 
 _UNITS = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000,
           "hour": 3_600_000_000, "day": 86_400_000_000, "week": 7 * 86_400_000_000}
+_ROW_SHIFT = 10 ** 20          # room for any row number (a LONG shifted to be non-negative)
+_ROW_OFFSET = 2 ** 63
 
 
 def bucket_micros(bucket: str | timedelta | int) -> int:
@@ -42,43 +50,54 @@ def bucket_micros(bucket: str | timedelta | int) -> int:
     return int(m.group(1)) * _UNITS[m.group(2)]
 
 
+def bucket_of(ts: str = TS, bucket=DEFAULT_BUCKET) -> Column:
+    return F.floor(epoch_micros(ts) / F.lit(bucket_micros(bucket)))
+
+
 def with_bucket(df: DataFrame, ts: str = TS, bucket=DEFAULT_BUCKET) -> DataFrame:
     if BUCKET in df.columns:
         return df
-    return df.withColumn(BUCKET, F.floor(epoch_micros(ts) / F.lit(bucket_micros(bucket))))
+    return df.withColumn(BUCKET, bucket_of(ts, bucket))
+
+
+def order_key(ts: str = TS, row: str | None = ROW) -> Column:
+    """DECIMAL(38,0) that sorts like ``(ts, row)``: ``micros * 1e20 + (row + 2**63)``."""
+    t = epoch_micros(ts).cast("decimal(38,0)") * _dec(_ROW_SHIFT)
+    n = (F.coalesce(F.col(row), F.lit(0)) if row else F.lit(0)).cast("decimal(38,0)") + _dec(_ROW_OFFSET)
+    return (t + n).cast("decimal(38,0)")
 
 
-def _order_key(ts: str, row: str | None) -> Column:
-    """Struct that sorts like ``(ts, row)``."""
+def _order_struct(ts: str, row: str | None) -> Column:
     fields = [epoch_micros(ts).alias("_t")]
     if row:
         fields.append(F.col(row).alias("_n"))
     return F.struct(*fields)
 
 
-def previous_row(df: DataFrame, keys: list[str], payload: list[str], out: str,
+def previous_row(df: DataFrame, keys: list[str], payload: dict[str, Column], out: str,
                  ts: str = TS, row: str | None = ROW, bucket=DEFAULT_BUCKET) -> DataFrame:
-    """Add ``out`` = struct of ``payload`` from the previous row in ``(ts, row)`` order.
+    """Add ``out`` = struct of ``payload`` (name -> primitive column) from the previous
+    row in ``(ts, row)`` order.
 
     Null on each key's first row.  Equivalent to ``lag(struct(payload))`` over
     ``partitionBy(keys).orderBy(ts, row)`` without the one-task-per-key limit.
     """
-    d = with_bucket(df, ts, bucket).withColumn(
-        "_r", F.struct(_order_key(ts, row).alias("_o"), F.struct(*payload).alias("_v")))
+    names = list(payload)
+    d = (with_bucket(df, ts, bucket).withColumn("_v", F.struct(*[c.alias(n) for n, c in payload.items()]))
+         .withColumn("_k", order_key(ts, row)))
     kb = keys + [BUCKET]
-    last = d.groupBy(*kb).agg(F.max("_r").alias("_last"))
-    carry = last.select(*kb, F.lag("_last").over(Window.partitionBy(*keys).orderBy(BUCKET))
-                        .alias("_carry"))
-    in_bucket = Window.partitionBy(*kb).orderBy(F.col("_r._o"))
+    last = d.groupBy(*kb).agg(*[F.max_by(F.col("_v")[n], "_k").alias(n) for n in names])
+    carry = last.select(*kb, F.lag(F.struct(*names)).over(Window.partitionBy(*keys).orderBy(BUCKET)).alias("_carry"))
+    in_bucket = Window.partitionBy(*kb).orderBy("_k")
     return (d.join(carry, kb, "left")
-            .withColumn(out, F.coalesce(F.lag("_r").over(in_bucket), F.col("_carry")).getField("_v"))
-            .drop("_r", "_carry"))
+            .withColumn(out, F.coalesce(F.lag("_v").over(in_bucket), F.col("_carry")))
+            .drop("_v", "_k", "_carry"))
 
 
 def running_total(df: DataFrame, keys: list[str], value: Column, out: str,
                   ts: str = TS, row: str | None = ROW, bucket=DEFAULT_BUCKET) -> DataFrame:
     """Add ``out`` = cumulative sum of ``value`` in ``(ts, row)`` order per key (rows frame)."""
-    d = with_bucket(df, ts, bucket).withColumn("_x", value).withColumn("_o", _order_key(ts, row))
+    d = with_bucket(df, ts, bucket).withColumn("_x", value).withColumn("_o", _order_struct(ts, row))
     kb = keys + [BUCKET]
     totals = d.groupBy(*kb).agg(F.sum("_x").alias("_tot"))
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -90,31 +109,63 @@ def running_total(df: DataFrame, keys: list[str], value: Column, out: str,
             .drop("_x", "_o", "_carry"))
 
 
-def nearest_strict(events: DataFrame, keys: list[str], r: str, ts: str = TS,
-                   bucket=DEFAULT_BUCKET, before: str = "_before", after: str = "_after",
-                   exact: str | None = "_exact") -> DataFrame:
-    """As-of neighbours of every row among the rows whose struct ``r`` is not null.
+def _dec(value: int) -> Column:
+    return F.lit(str(value)).cast("decimal(38,0)")
+
+
+def _decode(key: Column, value: Column) -> Column:
+    """(order key, value) -> reading struct ``(_t, _n, ts, km)``; null when the key is null."""
+    t = F.floor(key / _dec(_ROW_SHIFT)).cast("long")
+    n = ((key % _dec(_ROW_SHIFT)) - _dec(_ROW_OFFSET)).cast("long")
+    return F.when(key.isNotNull(), F.struct(t.alias("_t"), n.alias("_n"),
+                                            F.timestamp_micros(t).cast("timestamp_ntz").alias("ts"),
+                                            value.alias("km")))
+
+
+def asof_neighbours(probes: DataFrame, readings: DataFrame, keys: list[str], value: str,
+                    ts: str = TS, row: str = ROW, bucket=DEFAULT_BUCKET,
+                    probe_buckets: DataFrame | None = None) -> DataFrame:
+    """For each probe row, the nearest readings strictly before / after and at the same instant.
 
-    ``r`` must be a struct whose first field is the epoch-microsecond time
-    (so struct order = time order, then the tie-break fields).  Adds
+    Adds struct columns ``_before`` (last reading with ts < t; ties -> highest row),
+    ``_after`` (first reading with ts > t; ties -> lowest row) and ``_exact`` (first
+    reading with ts = t), each ``(_t, _n, ts, km)``.  Plan: probes and readings are
+    unioned and shuffled once by ``(keys, bucket)``; three range windows find the
+    in-bucket neighbours; neighbours in other buckets come from a per-bucket summary
+    of the readings carried by windows over that small table.
 
-    * ``before``: ``max(r)`` over rows strictly earlier,
-    * ``after``:  ``min(r)`` over rows strictly later,
-    * ``exact``:  ``min(r)`` over rows at the same instant.
+    ``probe_buckets`` (keys + ``ts``) may stand in for ``probes`` when computing the
+    set of probe buckets -- pass a cheap frame (e.g. the scanned input the probes
+    were derived from) so that the summary never re-runs the probes' own plan.
     """
-    d = with_bucket(events, ts, bucket)
+    b = bucket_micros(bucket)
     kb = keys + [BUCKET]
-    summary = d.groupBy(*kb).agg(F.min(r).alias("_first"), F.max(r).alias("_last"))
-    asc = Window.partitionBy(*keys).orderBy(F.col(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    rd = readings.select(*keys, F.col(ts).alias(TS), F.col(row).cast("long").alias("_n"),
+                         F.col(value).cast("double").alias("_km"))
+    rd = rd.withColumn(BUCKET, bucket_of(TS, b)).withColumn("_k", order_key(TS, "_n"))
+    src = probes if probe_buckets is None else probe_buckets
+    pb = src.select(*keys, bucket_of(ts, b).alias(BUCKET), F.lit(None).cast("decimal(38,0)").alias("_k"),
+                    F.lit(None).cast("double").alias("_km"))
+    summary = (rd.select(*kb, "_k", "_km").unionByName(pb).groupBy(*kb)
+               .agg(F.min("_k").alias("_fk"), F.min_by("_km", "_k").alias("_fkm"),
+                    F.max("_k").alias("_lk"), F.max_by("_km", "_k").alias("_lkm")))
+    asc = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     desc = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*kb, F.max("_last").over(asc).alias("_prev_last"),
-                           F.min("_first").over(desc).alias("_next_first"))
-    d = d.join(carry, kb, "left").withColumn("_tq", epoch_micros(ts))
+    carry = summary.select(
+        *kb, _decode(F.max("_lk").over(asc), F.max_by("_lkm", "_lk").over(asc)).alias("_prev_last"),
+        _decode(F.min("_fk").over(desc), F.min_by("_fkm", "_fk").over(desc)).alias("_next_first"))
+    reading = F.struct(epoch_micros(TS).alias("_t"), F.col("_n"), F.col(TS).alias("ts"), F.col("_km").alias("km"))
+    rd_rows = rd.select(*kb, F.col(TS).alias(ts) if ts != TS else F.col(TS), reading.alias("_r"),
+                        F.lit(False).alias("_probe"))
+    pr_rows = (probes.withColumn(BUCKET, bucket_of(ts, b))
+               .withColumn("_r", F.lit(None).cast(rd_rows.schema["_r"].dataType)).withColumn("_probe", F.lit(True)))
+    events = pr_rows.unionByName(rd_rows, allowMissingColumns=True).join(carry, kb, "left") \
+        .withColumn("_tq", epoch_micros(ts))
     w_up = Window.partitionBy(*kb).orderBy("_tq").rangeBetween(Window.unboundedPreceding, -1)
     w_down = Window.partitionBy(*kb).orderBy(F.col("_tq").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    out = (d.withColumn(before, F.coalesce(F.max(r).over(w_up), F.col("_prev_last")))
-            .withColumn(after, F.coalesce(F.min(r).over(w_down), F.col("_next_first"))))
-    if exact:
-        w_eq = Window.partitionBy(*kb).orderBy("_tq").rangeBetween(0, 0)
-        out = out.withColumn(exact, F.min(r).over(w_eq))
-    return out.drop("_prev_last", "_next_first", "_tq")
+    w_eq = Window.partitionBy(*kb).orderBy("_tq").rangeBetween(0, 0)
+    return (events.withColumn("_before", F.coalesce(F.max("_r").over(w_up), F.col("_prev_last")))
+            .withColumn("_after", F.coalesce(F.min("_r").over(w_down), F.col("_next_first")))
+            .withColumn("_exact", F.min("_r").over(w_eq))
+            .filter(F.col("_probe"))
+            .drop("_r", "_probe", "_prev_last", "_next_first", "_tq"))
