@@ -84,3 +84,12 @@ def round6(c: ColumnLike) -> Column:
     double everywhere (used where results are compared across engines)."""
     x = _col(c)
     return F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+
+
+def fixed(c: ColumnLike, places: int) -> Column:
+    """Fixed-decimal display text (F9), e.g. ``fixed(liters, 1)`` -> ``'42.5'``.
+
+    Numbers stay numeric in every dataset; this is only for text sinks.  Java's
+    formatter rounds the exact binary value half-up, Python half-even: they
+    differ only on exact binary ties such as 0.125."""
+    return F.format_string(f"%.{int(places)}f", _col(c))

@@ -50,6 +50,13 @@ def month_to_date(fuel: DataFrame, as_of: datetime, keys: list[str] | None = Non
             .withColumn("month_start", F.lit(start).cast("timestamp_ntz")))
 
 
+def with_derived(fuel: DataFrame) -> DataFrame:
+    """Derived per-purchase columns: ``price_per_liter_eur = amount / liters`` (P1) and
+    ``computed_amount = liters * price`` (P2; equals the amount by construction)."""
+    price = F.try_divide(F.col("amount_eur"), F.col("liters"))
+    return fuel.withColumns({"price_per_liter_eur": price, "computed_amount": F.col("liters") * price})
+
+
 def fuel_price_over_time(fuel: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Price per litre at each purchase."""
     return fuel.select(*_keys(keys), TS, *([c for c in ("row_num",) if c in fuel.columns]),
@@ -95,6 +102,19 @@ def avg_price_by_city(fuel: DataFrame, keys: list[str] | None = None) -> DataFra
             .select(*k, "city", F.try_divide("_eur", "total_liters").alias("avg_price_per_liter"), "total_liters"))
 
 
+# Display headers of the location overview table (fixed values of the original report).
+OVERVIEW_HEADERS = {"stops": "Stops", "liters": "Liters", "eur": "EUR", "avg_price_per_liter": "Avg price per liter (EUR)"}
+
+
+def overview_table(overview: DataFrame, column: str) -> DataFrame:
+    """Location overview with display headers: title-cased label column (F10) and the
+    report's column names, values kept numeric."""
+    out = overview.withColumnRenamed(column, column.title())
+    for src, dst in OVERVIEW_HEADERS.items():
+        out = out.withColumnRenamed(src, dst)
+    return out
+
+
 def location_overview(fuel: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
     """Stops, litres, EUR and weighted price per country or city, ranked by
     litres desc, stops desc (A12, O4).  ``rank`` makes the order explicit."""

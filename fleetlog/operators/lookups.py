@@ -90,6 +90,14 @@ def fetch_entries(fuel: DataFrame, start: datetime | None = None, end: datetime
     return out
 
 
+HISTORY_LIMIT = 30   # rows shown in the recent-history list
+
+
+def recent_history(fuel: DataFrame, k: int = HISTORY_LIMIT, keys: list[str] | None = None) -> DataFrame:
+    """The ``k`` newest entries per key (O2) as display rows."""
+    return entry_view(fetch_entries(fuel, limit=k, keys=keys), keys=keys)
+
+
 def entry_view(fuel: DataFrame, dim: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """History row for display: ISO datetime, date, HH:MM, country name."""
     keys = [KEY] if keys is None else list(keys)
