@@ -59,9 +59,19 @@ def epoch_micros(c: ColumnLike) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _col(c))
 
 
+def ts_text_sql(e: str, sep: str = " ") -> str:
+    """SQL text of ``ts_text`` for a column / field path ``e``."""
+    return (f"concat(date_format({e}, 'yyyy-MM-dd''{sep}''HH:mm:ss'), CASE WHEN date_format({e}, 'SSSSSS') <> '000000' "
+            f"THEN concat('.', date_format({e}, 'SSSSSS')) ELSE '' END)")
+
+
 def ts_text(c: ColumnLike, sep: str = " ") -> Column:
-    """A timestamp as Python prints it: seconds always, microseconds only when non-zero."""
-    t = _col(c)
+    """A timestamp as Python prints it: seconds always, microseconds only when non-zero.
+
+    ``c`` may be a column name or field path (``"_prev.ts"``) or a Column."""
+    if isinstance(c, str):
+        return F.expr(ts_text_sql(c, sep))
+    t = c
     frac = F.date_format(t, "SSSSSS")
     return F.concat(F.date_format(t, f"yyyy-MM-dd'{sep}'HH:mm:ss"),
                     F.when(frac != "000000", F.concat(F.lit("."), frac)).otherwise(F.lit("")))
@@ -72,6 +82,9 @@ def iso_text(c: ColumnLike) -> Column:
     return ts_text(c, "T")
 
 
+EPOCH_MICROS_SQL = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})"
+
+
 def money(c: ColumnLike) -> Column:
     return F.round(_col(c), 2)
 

@@ -20,27 +20,32 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlog.functions.text import epoch_micros, ts_text
+from fleetlog.functions.text import EPOCH_MICROS_SQL, ts_text_sql
 from fleetlog.operators.sequence import BUCKET, DEFAULT_BUCKET, asof_neighbours
 from fleetlog.schema import ESTIMATED, EXACT, INSUFFICIENT, KEY, ROW, TS
 
-def _linear(t: Column, before: Column, after: Column, exact: Column) -> Column:
-    """Linear interpolation between the bracketing readings (EST struct)."""
-    both = before.isNotNull() & after.isNotNull()
-    # Seconds as Python's timedelta.total_seconds() gives them.
-    frac = ((epoch_micros(t) - before["_t"]) / F.lit(1e6)) / ((after["_t"] - before["_t"]) / F.lit(1e6))
-    value = (F.when(exact.isNotNull(), exact["km"])
-             .when(both, before["km"] + frac * (after["km"] - before["km"]))
-             .otherwise(F.lit(0.0)))
-    quality = (F.when(exact.isNotNull(), F.lit(EXACT)).when(both, F.lit(ESTIMATED))
-               .otherwise(F.lit(INSUFFICIENT)))
-    interval = (F.when(exact.isNotNull(), F.concat(F.lit("exact match at "), ts_text(exact["ts"])))
-                .when(both, F.concat(ts_text(before["ts"]), F.lit(" -> "), ts_text(after["ts"])))
-                .when(after.isNotNull(), F.concat(F.lit("before first record ("), ts_text(after["ts"]), F.lit(")")))
-                .when(before.isNotNull(), F.concat(F.lit("after last record ("), ts_text(before["ts"]), F.lit(")"))))
-    # both neighbours missing <=> the key has no readings at all: interval stays null
-    return F.struct(value.cast("double").alias("value"), quality.alias("quality"),
-                    F.lit("linear").alias("method"), interval.alias("source_interval"))
+def _linear(t: str, before: str, after: str, exact: str) -> Column:
+    """Linear interpolation between the bracketing readings (EST struct).
+
+    Inputs are column names: the probe time and the three neighbour structs
+    ``(_t, _n, ts, km)``.  Built as one SQL expression (parsed once on the JVM)."""
+    b, a, x = before, after, exact
+    both = f"({b} IS NOT NULL AND {a} IS NOT NULL)"
+    t_us = EPOCH_MICROS_SQL.format(t)
+    # seconds as Python's timedelta.total_seconds() gives them
+    frac = f"(({t_us} - {b}._t) / 1e6) / (({a}._t - {b}._t) / 1e6)"
+    return F.expr(f"""named_struct(
+        'value', CAST(CASE WHEN {x} IS NOT NULL THEN {x}.km
+                           WHEN {both} THEN {b}.km + {frac} * ({a}.km - {b}.km)
+                           ELSE 0.0 END AS DOUBLE),
+        'quality', CASE WHEN {x} IS NOT NULL THEN '{EXACT}' WHEN {both} THEN '{ESTIMATED}' ELSE '{INSUFFICIENT}' END,
+        'method', 'linear',
+        'source_interval', CASE WHEN {x} IS NOT NULL THEN concat('exact match at ', {ts_text_sql(x + '.ts')})
+                                WHEN {both} THEN concat({ts_text_sql(b + '.ts')}, ' -> ', {ts_text_sql(a + '.ts')})
+                                WHEN {a} IS NOT NULL THEN concat('before first record (', {ts_text_sql(a + '.ts')}, ')')
+                                WHEN {b} IS NOT NULL THEN concat('after last record (', {ts_text_sql(b + '.ts')}, ')')
+                           END)""")
+    # both neighbours missing <=> the key has no readings at all: the interval stays null
 
 
 # Interpolation strategies by name; each maps (t, before, after, exact) to an EST column.
@@ -61,7 +66,7 @@ def attach_odometer(probes: DataFrame, readings: DataFrame, keys: list[str] | No
     keys = [KEY] if keys is None else list(keys)
     strategy = get_interpolation_strategy(method)
     aligned = asof_neighbours(probes, readings, keys, km, ts, row, bucket, probe_buckets)
-    est = strategy(F.col(ts), F.col("_before"), F.col("_after"), F.col("_exact"))
+    est = strategy(ts, "_before", "_after", "_exact")
     return aligned.withColumn(out, est).drop("_before", "_after", "_exact")
 
 
@@ -79,23 +84,23 @@ def flatten_estimate(c: str, prefix: str | None = None) -> list[Column]:
             F.col(c)["method"].alias(f"{p}_method"), F.col(c)["source_interval"].alias(f"{p}_source_interval")]
 
 
-def _combine_distance(start: Column, end: Column, start_ts: Column, end_ts: Column) -> Column:
-    """EST distance between two boundary estimates (I8)."""
-    insufficient = (start["quality"] == INSUFFICIENT) | (end["quality"] == INSUFFICIENT)
-    dist = end["value"] - start["value"]
-    value = F.when(insufficient | (dist < 0), F.lit(0.0)).otherwise(dist)
-    quality = (F.when(insufficient | (dist < 0), F.lit(INSUFFICIENT))
-               .when((start["quality"] == ESTIMATED) | (end["quality"] == ESTIMATED), F.lit(ESTIMATED))
-               .otherwise(F.lit(EXACT)))
-    unknown = F.lit("unknown")
-    interval = (F.when(insufficient, F.concat(F.lit("start: "), F.coalesce(start["source_interval"], unknown),
-                                              F.lit("; end: "), F.coalesce(end["source_interval"], unknown)))
-                .when(dist < 0, F.concat(F.lit("negative distance between "), ts_text(start_ts),
-                                         F.lit(" and "), ts_text(end_ts)))
-                .otherwise(F.concat(F.lit("start: "), F.coalesce(start["source_interval"], ts_text(start_ts)),
-                                    F.lit("; end: "), F.coalesce(end["source_interval"], ts_text(end_ts)))))
-    return F.struct(value.alias("value"), quality.alias("quality"), start["method"].alias("method"),
-                    interval.alias("source_interval"))
+def _combine_distance(start: str, end: str, start_ts: str, end_ts: str) -> Column:
+    """EST distance between two boundary estimates (I8); inputs are column names."""
+    insufficient = f"({start}.quality = '{INSUFFICIENT}' OR {end}.quality = '{INSUFFICIENT}')"
+    dist = f"({end}.value - {start}.value)"
+    return F.expr(f"""named_struct(
+        'value', CASE WHEN {insufficient} OR {dist} < 0 THEN 0.0D ELSE {dist} END,
+        'quality', CASE WHEN {insufficient} OR {dist} < 0 THEN '{INSUFFICIENT}'
+                        WHEN {start}.quality = '{ESTIMATED}' OR {end}.quality = '{ESTIMATED}' THEN '{ESTIMATED}'
+                        ELSE '{EXACT}' END,
+        'method', {start}.method,
+        'source_interval', CASE
+            WHEN {insufficient} THEN concat('start: ', coalesce({start}.source_interval, 'unknown'),
+                                            '; end: ', coalesce({end}.source_interval, 'unknown'))
+            WHEN {dist} < 0 THEN concat('negative distance between ', {ts_text_sql(start_ts)}, ' and ',
+                                        {ts_text_sql(end_ts)})
+            ELSE concat('start: ', coalesce({start}.source_interval, {ts_text_sql(start_ts)}),
+                        '; end: ', coalesce({end}.source_interval, {ts_text_sql(end_ts)})) END)""")
 
 
 def distance_between(bounds: DataFrame, readings: DataFrame, keys: list[str] | None = None,
@@ -118,8 +123,7 @@ def distance_between(bounds: DataFrame, readings: DataFrame, keys: list[str] | N
     return (est.groupBy(*keys, "_s", "_e").agg(
                 F.max(F.when(F.col("_side") == 0, F.col("_est"))).alias("start_odometer"),
                 F.max(F.when(F.col("_side") == 1, F.col("_est"))).alias("end_odometer"))
-            .withColumn(out, _combine_distance(F.col("start_odometer"), F.col("end_odometer"),
-                                               F.col("_s"), F.col("_e")))
+            .withColumn(out, _combine_distance("start_odometer", "end_odometer", "_s", "_e"))
             .withColumnRenamed("_s", start).withColumnRenamed("_e", end))
 
 

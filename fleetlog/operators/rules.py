@@ -65,28 +65,41 @@ def _py_float_text(c: Column) -> Column:
     return c.cast("string")
 
 
-def _issue(dataset: str, severity: str, rule: str, seq: int, field: str | None, message: Column) -> Column:
-    return F.struct(F.lit(dataset).alias("dataset"), F.lit(severity).alias("severity"), F.lit(rule).alias("rule"),
-                    F.lit(seq).alias("rule_seq"), F.col(ROW).cast("long").alias(ROW),
-                    F.lit(field).cast("string").alias("field"), message.cast("string").alias("message"))
+def _raw_sql(field: str) -> str:
+    """SQL text of a raw cell; a missing cell reads as ''."""
+    return f"coalesce(CAST({field} AS STRING), '')"
 
 
-def _explode_issues(df: DataFrame, keys: list[str], rules: list[tuple[Column, Column]]) -> DataFrame:
-    arr = F.array(*[F.when(cond, issue) for cond, issue in rules])
-    return df.select(*keys, F.explode(F.array_compact(arr)).alias("_i")).select(
+def _sql_list(values) -> str:
+    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+
+
+def _issue(dataset: str, severity: str, rule: str, seq: int, field: str | None, message_sql: str) -> str:
+    """SQL text of one issue struct (``message_sql`` is an SQL string expression)."""
+    f = f"'{field}'" if field else "CAST(NULL AS STRING)"
+    return (f"named_struct('dataset', '{dataset}', 'severity', '{severity}', 'rule', '{rule}', 'rule_seq', {seq}, "
+            f"'{ROW}', CAST({ROW} AS BIGINT), 'field', {f}, 'message', CAST({message_sql} AS STRING))")
+
+
+def _explode_issues(df: DataFrame, keys: list[str], rules: list[tuple[str, str]]) -> DataFrame:
+    """One row per rule that fired: ``explode`` of the issue structs in rule order.
+
+    ``rules`` are ``(condition SQL, issue SQL)`` pairs, combined into one expression."""
+    arr = ", ".join(f"CASE WHEN {cond} THEN {issue} END" for cond, issue in rules)
+    return df.select(*keys, F.expr(f"explode(array_compact(array({arr})))").alias("_i")).select(
         *keys, *[F.col(f"_i.{f}").alias(f) for f in ISSUE_FIELDS])
 
 
-def _number_issues(dataset: str, field: str, seq: int, positive: bool) -> list[tuple[Column, Column]]:
+def _number_issues(dataset: str, field: str, seq: int, positive: bool) -> list[tuple[str, str]]:
     """Not-numeric / out-of-range issues from the staged ``_<field>`` value."""
-    num = F.col(f"_{field}")
+    num = f"_{field}"
     word = "positive" if positive else "non-negative"
-    bad_range = (num <= 0) if positive else (num < 0)
+    bad_range = f"{num} <= 0" if positive else f"{num} < 0"
     return [
-        (num.isNull(), _issue(dataset, ERROR, f"{field}_not_numeric", seq, field,
-                              F.concat(F.lit(f"Invalid numeric value for {field}: '"), _s(field), F.lit("'")))),
-        (num.isNotNull() & bad_range, _issue(dataset, ERROR, f"{field}_range", seq + 1, field,
-                                             F.concat(F.lit(f"{field} must be {word}, got "), _py_float_text(num)))),
+        (f"{num} IS NULL", _issue(dataset, ERROR, f"{field}_not_numeric", seq, field,
+                                  f"concat(\"Invalid numeric value for {field}: '\", {_raw_sql(field)}, \"'\")")),
+        (f"{num} IS NOT NULL AND {bad_range}", _issue(dataset, ERROR, f"{field}_range", seq + 1, field,
+                                                      f"concat('{field} must be {word}, got ', CAST({num} AS STRING))")),
     ]
 
 
@@ -127,41 +140,36 @@ def validate_fuel_rows(raw: DataFrame, keys: list[str] | None = None,
               & c("_country_ok"))
     parsed = staged.withColumn("row_ok", F.coalesce(row_ok, F.lit(False))).withColumn(
         "_amount", c("_amount_eur"))
-    p_price = c("_amount") / c("_liters")
-    p_tank_ok = c("_tank").isNotNull()
+    tank_ok = "_tank IS NOT NULL"
+    price = "(_amount / _liters)"
     rules = [
-        (c("_ts").isNull(), _issue(ds, ERROR, "datetime_unparsable", 1, "datetime",
-                                   F.concat(F.lit("Unparsable datetime: '"), _s("datetime"), F.lit("'")))),
+        ("_ts IS NULL", _issue(ds, ERROR, "datetime_unparsable", 1, "datetime",
+                               f"concat(\"Unparsable datetime: '\", {_raw_sql('datetime')}, \"'\")")),
     ]
     rules += _number_issues(ds, "amount_eur", 2, True) + _number_issues(ds, "liters", 4, True)
     rules += [
-        (~c("_ftype").isin(*config.fuel_types),
+        (f"NOT _ftype IN ({_sql_list(config.fuel_types)})",
          _issue(ds, ERROR, "fuel_type_invalid", 6, "fuel_type",
-                F.concat(F.lit("Invalid fuel_type: '"), c("_ftype"),
-                         F.lit(f"'. Allowed: {_pylist(config.fuel_types)}")))),
-        (~p_tank_ok, _issue(ds, ERROR, "full_tank_invalid", 7, "is_full_tank",
-                            F.concat(F.lit("Invalid full tank value: '"), _s("is_full_tank"),
-                                     F.lit("'. Expected true/false/empty or yes/no/1/0.")))),
+                f"concat(\"Invalid fuel_type: '\", _ftype, \"'. Allowed: {_pylist(config.fuel_types)}\")")),
+        (f"NOT ({tank_ok})", _issue(ds, ERROR, "full_tank_invalid", 7, "is_full_tank",
+                                    f"concat(\"Invalid full tank value: '\", {_raw_sql('is_full_tank')}, "
+                                    f"\"'. Expected true/false/empty or yes/no/1/0.\")")),
         # V6-V10 are not evaluated for a row whose tank value is invalid.
-        (p_tank_ok & (c("_station") == ""), _issue(ds, ERROR, "station_missing", 8, "station_name",
-                                                   F.lit("Missing station_name"))),
-        (p_tank_ok & (c("_city") == ""), _issue(ds, WARNING, "city_missing", 9, "city", F.lit("Missing city value"))),
-        (p_tank_ok & ~c("_country_ok"),
+        (f"{tank_ok} AND _station = ''", _issue(ds, ERROR, "station_missing", 8, "station_name",
+                                                "'Missing station_name'")),
+        (f"{tank_ok} AND _city = ''", _issue(ds, WARNING, "city_missing", 9, "city", "'Missing city value'")),
+        (f"{tank_ok} AND NOT _country_ok",
          _issue(ds, ERROR, "country_format", 10, "country",
-                F.concat(F.lit("Invalid country code format: '"), c("_country"),
-                         F.lit("'. Expected 2-letter ISO code.")))),
-        (p_tank_ok & c("_country_ok") & ~c("_country").isin(*config.primary_countries),
+                "concat(\"Invalid country code format: '\", _country, \"'. Expected 2-letter ISO code.\")")),
+        (f"{tank_ok} AND _country_ok AND NOT _country IN ({_sql_list(config.primary_countries)})",
          _issue(ds, WARNING, "country_not_primary", 11, "country",
-                F.concat(F.lit("Country '"), c("_country"),
-                         F.lit(f"' is not in the primary set {_pylist(config.primary_countries)}")))),
-        (c("row_ok") & (p_price < config.price_min_warn),
+                f"concat(\"Country '\", _country, \"' is not in the primary set {_pylist(config.primary_countries)}\")")),
+        (f"row_ok AND {price} < {config.price_min_warn}",
          _issue(ds, WARNING, "price_low", 12, "amount_eur",
-                F.concat(F.lit("Suspiciously low derived price per liter: "), F.format_string("%.3f", p_price),
-                         F.lit(" EUR")))),
-        (c("row_ok") & (p_price > config.price_max_warn),
+                f"concat('Suspiciously low derived price per liter: ', format_string('%.3f', {price}), ' EUR')")),
+        (f"row_ok AND {price} > {config.price_max_warn}",
          _issue(ds, WARNING, "price_high", 13, "amount_eur",
-                F.concat(F.lit("Suspiciously high derived price per liter: "), F.format_string("%.3f", p_price),
-                         F.lit(" EUR")))),
+                f"concat('Suspiciously high derived price per liter: ', format_string('%.3f', {price}), ' EUR')")),
     ]
     return parsed, _explode_issues(parsed, keys, rules)
 
@@ -230,8 +238,8 @@ def validate_odometer_rows(raw: DataFrame, keys: list[str] | None = None) -> tup
     staged = stripped.select("*", parse_iso_timestamp("_dt_s", stripped=True).alias("_ts"),
                              parse_number("_km_s", stripped=True).alias("_odometer_km")).drop("_dt_s", "_km_s")
     parsed = staged.withColumn("row_ok", F.coalesce(c("_ts").isNotNull() & (c("_odometer_km") >= 0), F.lit(False)))
-    rules = [(c("_ts").isNull(), _issue(ds, ERROR, "datetime_unparsable", 1, "datetime",
-                                        F.concat(F.lit("Unparsable datetime: '"), _s("datetime"), F.lit("'"))))]
+    rules = [("_ts IS NULL", _issue(ds, ERROR, "datetime_unparsable", 1, "datetime",
+                                    f"concat(\"Unparsable datetime: '\", {_raw_sql('datetime')}, \"'\")"))]
     rules += _number_issues(ds, "odometer_km", 2, False)
     return parsed, _explode_issues(parsed, keys, rules)
 

@@ -34,16 +34,16 @@ def _keys(keys):
     return [KEY] if keys is None else list(keys)
 
 
-def _card(position: int, metric: str, value: Column, unit: str, source: str, tone: Column | str,
-          note: Column | str = "") -> Column:
-    return F.struct(F.lit(position).alias("position"), F.lit(metric).alias("metric"),
-                    value.cast("double").alias("value"), F.lit(unit).alias("unit"), F.lit(source).alias("source"),
-                    (tone if isinstance(tone, Column) else F.lit(tone)).alias("tone"),
-                    (note if isinstance(note, Column) else F.lit(note)).alias("note"))
+def _card(position: int, metric: str, value: str, unit: str, source: str, tone: str, note: str = "''",
+          when: str | None = None) -> str:
+    """SQL text of one KPI card struct; ``value``, ``tone``, ``note`` and ``when`` are SQL expressions."""
+    card = (f"named_struct('position', {position}, 'metric', '{metric}', 'value', CAST({value} AS DOUBLE), "
+            f"'unit', '{unit}', 'source', '{source}', 'tone', {tone}, 'note', {note})")
+    return f"CASE WHEN {when} THEN {card} END" if when else card
 
 
-def _cards(df: DataFrame, keys: list[str], section: str, cards: Column) -> DataFrame:
-    return df.select(*keys, F.explode(F.array_compact(cards)).alias("_c")).select(
+def _cards(df: DataFrame, keys: list[str], section: str, cards: list[str]) -> DataFrame:
+    return df.select(*keys, F.expr(f"explode(array_compact(array({', '.join(cards)})))").alias("_c")).select(
         *keys, F.lit(section).alias("section"), "_c.*")
 
 
@@ -57,14 +57,14 @@ def fuel_cards(fuel_in_period: DataFrame, universe: DataFrame, keys: list[str] |
     """Stops, litres, EUR and weighted price; a key without stops gets only ``stops = 0`` (K1)."""
     k = _keys(keys)
     t = universe.join(agg.fuel_totals(fuel_in_period, k), k, "left")
-    has = F.coalesce(F.col("entries"), F.lit(0)) > 0
-    tone = F.when(has, F.lit(EXACT)).otherwise(F.lit("neutral"))
-    cards = F.array(
-        _card(1, "fuel_stops", F.coalesce(F.col("entries"), F.lit(0)), "count", FUEL_SRC, tone),
-        F.when(has, _card(2, "fuel_purchased", F.col("total_liters"), "L", FUEL_SRC, EXACT)),
-        F.when(has, _card(3, "fuel_spending", F.col("total_eur"), "EUR", FUEL_SRC, EXACT)),
-        F.when(has, _card(4, "average_fuel_price", F.col("avg_price_per_liter"), "EUR/L", FUEL_SRC, EXACT)),
-    )
+    has = "coalesce(entries, 0) > 0"
+    ex = f"'{EXACT}'"
+    cards = [
+        _card(1, "fuel_stops", "coalesce(entries, 0)", "count", FUEL_SRC, f"CASE WHEN {has} THEN {ex} ELSE 'neutral' END"),
+        _card(2, "fuel_purchased", "total_liters", "L", FUEL_SRC, ex, when=has),
+        _card(3, "fuel_spending", "total_eur", "EUR", FUEL_SRC, ex, when=has),
+        _card(4, "average_fuel_price", "avg_price_per_liter", "EUR/L", FUEL_SRC, ex, when=has),
+    ]
     return _cards(t, k, "fuel", cards)
 
 
@@ -77,18 +77,16 @@ def distance_cards(odo: DataFrame, period: Period, universe: DataFrame, keys: li
                              F.lit(period.end).cast("timestamp_ntz").alias("end"))
     est = distance_between(bounds, odo, k).select(*k, "distance")
     t = universe.join(observed, k, "left").join(est, k, "left")
-    q = F.col("distance.quality")
-    insufficient = q == INSUFFICIENT
-    note = (F.when(insufficient, F.coalesce(F.col("distance.source_interval"),
-                                            F.lit("Not enough odometer data is available for the selected period.")))
-            .when(q == EXACT, F.lit("")).otherwise(F.lit("At least one report boundary required interpolation.")))
-    cards = F.array(
-        _card(1, "observed_odometer_readings", F.coalesce(F.col("readings"), F.lit(0)), "count", ODO_SRC, EXACT),
-        _card(2, "observed_distance_driven", F.coalesce(F.col("total_km"), F.lit(0.0)), "km", ODO_SRC, EXACT),
-        _card(3, "estimated_overall_distance_driven",
-              F.when(insufficient, F.lit(None)).otherwise(F.col("distance.value")), "km", EST_SRC,
-              F.when(q == EXACT, F.lit(EXACT)).otherwise(F.lit(ESTIMATED)), note),
-    )
+    insufficient = f"distance.quality = '{INSUFFICIENT}'"
+    note = (f"CASE WHEN {insufficient} THEN coalesce(distance.source_interval, "
+            f"'Not enough odometer data is available for the selected period.') "
+            f"WHEN distance.quality = '{EXACT}' THEN '' ELSE 'At least one report boundary required interpolation.' END")
+    cards = [
+        _card(1, "observed_odometer_readings", "coalesce(readings, 0)", "count", ODO_SRC, f"'{EXACT}'"),
+        _card(2, "observed_distance_driven", "coalesce(total_km, 0.0)", "km", ODO_SRC, f"'{EXACT}'"),
+        _card(3, "estimated_overall_distance_driven", f"CASE WHEN {insufficient} THEN NULL ELSE distance.value END",
+              "km", EST_SRC, f"CASE WHEN distance.quality = '{EXACT}' THEN '{EXACT}' ELSE '{ESTIMATED}' END", note),
+    ]
     return _cards(t, k, "distance", cards)
 
 
@@ -96,16 +94,15 @@ def estimated_cards(estimates: DataFrame, universe: DataFrame, keys: list[str] |
     """Consumption intervals and unweighted means; none -> ``intervals = 0`` (K3)."""
     k = _keys(keys)
     t = universe.join(consumption_summary(estimates, k), k, "left")
-    has = F.coalesce(F.col("segments"), F.lit(0)) > 0
-    tone = F.when(~has, F.lit("neutral")).when(F.col("any_estimated"), F.lit(ESTIMATED)).otherwise(F.lit(EXACT))
-    src = CONS_SRC
-    cards = F.array(
-        F.when(has, _card(1, "consumption_intervals", F.col("segments"), "count", src, tone))
-        .otherwise(_card(1, "consumption_intervals", F.lit(0), "count", CONS_EMPTY_SRC, tone)),
-        F.when(has, _card(2, "average_consumption", F.col("avg_l_per_100km"), "L/100km", src, tone)),
-        F.when(has, _card(3, "average_cost_per_100km", F.col("avg_cost_per_100km"), "EUR", src, tone)),
-        F.when(has, _card(4, "average_cost_per_km", F.col("avg_cost_per_km"), "EUR", src, tone)),
-    )
+    has = "coalesce(segments, 0) > 0"
+    tone = f"CASE WHEN NOT ({has}) THEN 'neutral' WHEN any_estimated THEN '{ESTIMATED}' ELSE '{EXACT}' END"
+    cards = [
+        _card(1, "consumption_intervals", "segments", "count", CONS_SRC, tone, when=has),
+        _card(1, "consumption_intervals", "0", "count", CONS_EMPTY_SRC, tone, when=f"NOT ({has})"),
+        _card(2, "average_consumption", "avg_l_per_100km", "L/100km", CONS_SRC, tone, when=has),
+        _card(3, "average_cost_per_100km", "avg_cost_per_100km", "EUR", CONS_SRC, tone, when=has),
+        _card(4, "average_cost_per_km", "avg_cost_per_km", "EUR", CONS_SRC, tone, when=has),
+    ]
     return _cards(t, k, "estimated", cards)
 
 
