@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlog.functions.calendar import Period, month_start
-from fleetlog.operators.sequence import DEFAULT_BUCKET, previous_row
+from fleetlog.operators.sequence import DEFAULT_BUCKET, order_key, previous_row
 from fleetlog.schema import KEY, ROW, TS
 
 
@@ -21,7 +21,8 @@ def _keys(keys):
 
 
 def _order():
-    return F.struct(F.col(TS), F.col(ROW))
+    """(time, row) order as one DECIMAL key, so min_by/max_by stay hash aggregates."""
+    return order_key(TS, ROW)
 
 
 def total_distance(odo: DataFrame, keys: list[str] | None = None) -> DataFrame:
