@@ -122,6 +122,10 @@ def _decode(key: Column, value: Column) -> Column:
                                             value.alias("km")))
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def asof_neighbours(probes: DataFrame, readings: DataFrame, keys: list[str], value: str,
                     ts: str = TS, row: str = ROW, bucket=DEFAULT_BUCKET,
                     probe_buckets: DataFrame | None = None) -> DataFrame:
@@ -129,43 +133,80 @@ def asof_neighbours(probes: DataFrame, readings: DataFrame, keys: list[str], val
 
     Adds struct columns ``_before`` (last reading with ts < t; ties -> highest row),
     ``_after`` (first reading with ts > t; ties -> lowest row) and ``_exact`` (first
-    reading with ts = t), each ``(_t, _n, ts, km)``.  Plan: probes and readings are
-    unioned and shuffled once by ``(keys, bucket)``; three range windows find the
-    in-bucket neighbours; neighbours in other buckets come from a per-bucket summary
-    of the readings carried by windows over that small table.
-
-    ``probe_buckets`` (keys + ``ts``) may stand in for ``probes`` when computing the
-    set of probe buckets -- pass a cheap frame (e.g. the scanned input the probes
-    were derived from) so that the summary never re-runs the probes' own plan.
+    reading with ts = t), each ``(_t, _n, ts, km)``, plus ``_bucket``.
+
+    Plan: probes and readings are unioned and shuffled once by ``(keys, bucket)``;
+    three RANGE windows find the in-bucket neighbours; neighbours in other buckets
+    come from a per-bucket summary of the readings (hash aggregate on the packed
+    order key) carried by windows over that small table.  ``probe_buckets`` (keys +
+    ``ts``) may stand in for ``probes`` when listing probe buckets -- pass the cheap
+    scanned input the probes came from, so the summary never re-runs their plan.
+
+    Written as one SQL statement over the three inputs: Spark parses and analyses
+    it once instead of once per DataFrame step.
     """
+    spark = probes.sparkSession
     b = bucket_micros(bucket)
-    kb = keys + [BUCKET]
-    rd = readings.select(*keys, F.col(ts).alias(TS), F.col(row).cast("long").alias("_n"),
-                         F.col(value).cast("double").alias("_km"))
-    rd = rd.withColumn(BUCKET, bucket_of(TS, b)).withColumn("_k", order_key(TS, "_n"))
-    src = probes if probe_buckets is None else probe_buckets
-    pb = src.select(*keys, bucket_of(ts, b).alias(BUCKET), F.lit(None).cast("decimal(38,0)").alias("_k"),
-                    F.lit(None).cast("double").alias("_km"))
-    summary = (rd.select(*kb, "_k", "_km").unionByName(pb).groupBy(*kb)
-               .agg(F.min("_k").alias("_fk"), F.min_by("_km", "_k").alias("_fkm"),
-                    F.max("_k").alias("_lk"), F.max_by("_km", "_k").alias("_lkm")))
-    asc = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    desc = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(
-        *kb, _decode(F.max("_lk").over(asc), F.max_by("_lkm", "_lk").over(asc)).alias("_prev_last"),
-        _decode(F.min("_fk").over(desc), F.min_by("_fkm", "_fk").over(desc)).alias("_next_first"))
-    reading = F.struct(epoch_micros(TS).alias("_t"), F.col("_n"), F.col(TS).alias("ts"), F.col("_km").alias("km"))
-    rd_rows = rd.select(*kb, F.col(TS).alias(ts) if ts != TS else F.col(TS), reading.alias("_r"),
-                        F.lit(False).alias("_probe"))
-    pr_rows = (probes.withColumn(BUCKET, bucket_of(ts, b))
-               .withColumn("_r", F.lit(None).cast(rd_rows.schema["_r"].dataType)).withColumn("_probe", F.lit(True)))
-    events = pr_rows.unionByName(rd_rows, allowMissingColumns=True).join(carry, kb, "left") \
-        .withColumn("_tq", epoch_micros(ts))
-    w_up = Window.partitionBy(*kb).orderBy("_tq").rangeBetween(Window.unboundedPreceding, -1)
-    w_down = Window.partitionBy(*kb).orderBy(F.col("_tq").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    w_eq = Window.partitionBy(*kb).orderBy("_tq").rangeBetween(0, 0)
-    return (events.withColumn("_before", F.coalesce(F.max("_r").over(w_up), F.col("_prev_last")))
-            .withColumn("_after", F.coalesce(F.min("_r").over(w_down), F.col("_next_first")))
-            .withColumn("_exact", F.min("_r").over(w_eq))
-            .filter(F.col("_probe"))
-            .drop("_r", "_probe", "_prev_last", "_next_first", "_tq"))
+    k = ", ".join(_q(x) for x in keys)
+    kc = k + ", " if keys else ""
+    part = f"PARTITION BY {k}" if keys else ""
+    us = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})"
+    shift, offset = f"CAST('{_ROW_SHIFT}' AS DECIMAL(38,0))", f"CAST('{_ROW_OFFSET}' AS DECIMAL(38,0))"
+    pcols = [c for c in probes.columns if c not in keys]
+    ptypes = {f.name: f.dataType.simpleString() for f in probes.schema.fields}
+    probe_sel = ", ".join(_q(c) for c in probes.columns)
+    read_sel = ", ".join([*(_q(x) for x in keys),
+                          *(f"rd.event_ts AS {_q(c)}" if c == ts else f"CAST(NULL AS {ptypes[c]}) AS {_q(c)}"
+                            for c in pcols)])
+    reading_t = "STRUCT<_t: BIGINT, _n: BIGINT, ts: TIMESTAMP_NTZ, km: DOUBLE>"
+
+    def decode(key, km):
+        return (f"CASE WHEN {key} IS NOT NULL THEN named_struct('_t', CAST(floor({key} / {shift}) AS BIGINT), "
+                f"'_n', CAST(({key} % {shift}) - {offset} AS BIGINT), "
+                f"'ts', CAST(timestamp_micros(CAST(floor({key} / {shift}) AS BIGINT)) AS TIMESTAMP_NTZ), "
+                f"'km', {km}) END")
+
+    query = f"""
+WITH rd AS (
+  SELECT {kc}{_q(ts)} AS event_ts, CAST({_q(row)} AS BIGINT) AS _n, CAST({_q(value)} AS DOUBLE) AS _km,
+         floor({us.format(_q(ts))} / {b}) AS _bucket
+  FROM {{readings}}),
+rdk AS (
+  SELECT *, CAST(CAST({us.format('event_ts')} AS DECIMAL(38,0)) * {shift}
+                 + CAST(coalesce(_n, 0) AS DECIMAL(38,0)) + {offset} AS DECIMAL(38,0)) AS _k
+  FROM rd),
+summary AS (
+  SELECT {kc}_bucket, min(_k) AS _fk, min_by(_km, _k) AS _fkm, max(_k) AS _lk, max_by(_km, _k) AS _lkm
+  FROM (SELECT {kc}_bucket, _k, _km FROM rdk
+        UNION ALL
+        SELECT {kc}floor({us.format(_q(ts))} / {b}) AS _bucket, CAST(NULL AS DECIMAL(38,0)), CAST(NULL AS DOUBLE)
+        FROM {{bucket_src}})
+  GROUP BY {kc}_bucket),
+carry AS (
+  SELECT {kc}_bucket,
+         {decode('max(_lk) OVER w_up', 'max_by(_lkm, _lk) OVER w_up')} AS _prev_last,
+         {decode('min(_fk) OVER w_down', 'min_by(_fkm, _fk) OVER w_down')} AS _next_first
+  FROM summary
+  WINDOW w_up AS ({part} ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         w_down AS ({part} ORDER BY _bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+events AS (
+  SELECT {probe_sel}, floor({us.format(_q(ts))} / {b}) AS _bucket, CAST(NULL AS {reading_t}) AS _r, true AS _probe
+  FROM {{probes}}
+  UNION ALL
+  SELECT {read_sel}, rd._bucket,
+         named_struct('_t', {us.format('rd.event_ts')}, '_n', rd._n, 'ts', rd.event_ts, 'km', rd._km), false
+  FROM rd),
+joined AS (
+  SELECT e.*, c._prev_last, c._next_first, {us.format('e.' + _q(ts))} AS _tq
+  FROM events e LEFT JOIN carry c ON {' AND '.join([*(f'e.{_q(x)} <=> c.{_q(x)}' for x in keys), 'e._bucket = c._bucket'])})
+SELECT {probe_sel}, _bucket,
+       coalesce(max(_r) OVER (PARTITION BY {kc}_bucket ORDER BY _tq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                _prev_last) AS _before,
+       coalesce(min(_r) OVER (PARTITION BY {kc}_bucket ORDER BY _tq DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                _next_first) AS _after,
+       min(_r) OVER (PARTITION BY {kc}_bucket ORDER BY _tq RANGE BETWEEN CURRENT ROW AND CURRENT ROW) AS _exact,
+       _probe
+FROM joined"""
+    out = spark.sql(query, readings=readings, probes=probes,
+                    bucket_src=probes if probe_buckets is None else probe_buckets)
+    return out.filter("_probe").drop("_probe")
