@@ -132,11 +132,13 @@ def asof_neighbours(probes: DataFrame, readings: DataFrame, keys: list[str], val
     """For each probe row, the nearest readings strictly before / after and at the same instant.
 
     Adds struct columns ``_before`` (last reading with ts < t; ties -> highest row),
-    ``_after`` (first reading with ts > t; ties -> lowest row) and ``_exact`` (first
-    reading with ts = t), each ``(_t, _n, ts, km)``, plus ``_bucket``.
+    ``_exact`` (first reading with ts = t) and ``_after`` (first reading with ts > t;
+    ties -> lowest row; only set when there is no exact reading, which is the only
+    case that needs it), each ``(_t, _n, ts, km)``, plus ``_bucket``.
 
     Plan: probes and readings are unioned and shuffled once by ``(keys, bucket)``;
-    three RANGE windows find the in-bucket neighbours; neighbours in other buckets
+    two ``last(ignore nulls)`` row windows (one ascending, one descending; primitive
+    sort keys, incremental frames) find the in-bucket neighbours; neighbours in other buckets
     come from a per-bucket summary of the readings (hash aggregate on the packed
     order key) carried by windows over that small table.  ``probe_buckets`` (keys +
     ``ts``) may stand in for ``probes`` when listing probe buckets -- pass the cheap
@@ -197,16 +199,22 @@ events AS (
          named_struct('_t', {us.format('rd.event_ts')}, '_n', rd._n, 'ts', rd.event_ts, 'km', rd._km), false
   FROM rd),
 joined AS (
-  SELECT e.*, c._prev_last, c._next_first, {us.format('e.' + _q(ts))} AS _tq
-  FROM events e LEFT JOIN carry c ON {' AND '.join([*(f'e.{_q(x)} <=> c.{_q(x)}' for x in keys), 'e._bucket = c._bucket'])})
-SELECT {probe_sel}, _bucket,
-       coalesce(max(_r) OVER (PARTITION BY {kc}_bucket ORDER BY _tq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-                _prev_last) AS _before,
-       coalesce(min(_r) OVER (PARTITION BY {kc}_bucket ORDER BY _tq DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-                _next_first) AS _after,
-       min(_r) OVER (PARTITION BY {kc}_bucket ORDER BY _tq RANGE BETWEEN CURRENT ROW AND CURRENT ROW) AS _exact,
+  SELECT e.*, c._prev_last, c._next_first, {us.format('e.' + _q(ts))} AS _tq, e._r._n AS _rn
+  FROM events e LEFT JOIN carry c ON {' AND '.join([*(f'e.{_q(x)} <=> c.{_q(x)}' for x in keys), 'e._bucket = c._bucket'])}),
+aligned AS (
+  SELECT *,
+         -- last reading strictly before: probes sort before readings of the same instant
+         coalesce(last(_r, true) OVER (PARTITION BY {kc}_bucket ORDER BY _tq, _probe DESC, _rn
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), _prev_last) AS _before,
+         -- first reading at or after: descending, readings before probes of the same instant
+         coalesce(last(_r, true) OVER (PARTITION BY {kc}_bucket ORDER BY _tq DESC, _probe, _rn DESC
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), _next_first) AS _ge
+  FROM joined)
+SELECT {probe_sel}, _bucket, _before,
+       CASE WHEN _ge.ts > {_q(ts)} THEN _ge END AS _after,
+       CASE WHEN _ge.ts = {_q(ts)} THEN _ge END AS _exact,
        _probe
-FROM joined"""
+FROM aligned"""
     out = spark.sql(query, readings=readings, probes=probes,
                     bucket_src=probes if probe_buckets is None else probe_buckets)
     return out.filter("_probe").drop("_probe")
