@@ -28,8 +28,6 @@ LOCAL_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # small inputs: keep shuffled partitions small enough that every core gets work
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
