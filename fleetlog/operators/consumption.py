@@ -6,8 +6,10 @@ vehicle; the pair is kept when both odometer estimates are usable and the
 distance is positive.  A dropped pair's later event still serves as the
 predecessor of the next one.  Litres and cost belong to the *current* event.
 
-The whole chain is one shuffle of fuel and odometer rows on
-``(vehicle, time bucket)``: the pairing reuses the as-of step's partitioning.
+Plan: the pairing runs on the fuel log alone (bucketed lag), both instants of
+every pair are probed in one as-of pass over the readings (one shuffle on
+``(vehicle, time bucket)``), and the two probes of a refuel are regrouped by a
+hash aggregate over primitive neighbour fields.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 from fleetlog.functions.calendar import Period
 from fleetlog.functions.text import ts_text
-from fleetlog.operators.asof import attach_odometer, flatten_estimate
-from fleetlog.operators.sequence import BUCKET, DEFAULT_BUCKET, previous_row
+from fleetlog.operators.asof import flatten_estimate, get_interpolation_strategy
+from fleetlog.operators.sequence import BUCKET, DEFAULT_BUCKET, asof_neighbours, previous_row
 from fleetlog.schema import ESTIMATED, EXACT, INSUFFICIENT, KEY, ROW, TS
 
 
@@ -36,23 +38,36 @@ def consumption_estimates(fuel: DataFrame, readings: DataFrame, keys: list[str]
     re-runs another step's shuffle.  A refuel is identified by (keys, time, row).
     """
     keys = [KEY] if keys is None else list(keys)
+    strategy = get_interpolation_strategy(method)
     f = fuel.select(*keys, TS, ROW, "liters", "amount_eur")
     f = previous_row(f, keys, {"ts": F.col(TS), "n": F.col(ROW)}, "_prev", bucket=bucket).drop(BUCKET)
     sides = F.array_compact(F.array(
         F.struct(F.lit(1).alias("side"), F.col(TS).alias("t")),
         F.when(F.col("_prev").isNotNull(), F.struct(F.lit(0).alias("side"), F.col("_prev.ts").alias("t")))))
     probes = (f.select(*keys, F.col(TS).alias("_cur_ts"), F.col(ROW).alias("_cur_row"), "liters", "amount_eur",
-                       "_prev", F.explode(sides).alias("_s"))
+                       F.col("_prev.ts").alias("_prev_ts"), F.col("_prev.n").alias("_prev_n"),
+                       F.explode(sides).alias("_s"))
               .select("*", F.col("_s.side").alias("_side"), F.col("_s.t").alias(TS)).drop("_s"))
-    est = attach_odometer(probes, readings, keys, "_est", method, bucket=bucket,
-                          probe_buckets=fuel.select(*keys, TS)).drop(BUCKET)
-    pairs = est.groupBy(*keys, "_cur_ts", "_cur_row").agg(
-        F.max(F.when(F.col("_side") == 1, F.col("_est"))).alias("odometer_at_current"),
-        F.max(F.when(F.col("_side") == 0, F.col("_est"))).alias("odometer_at_previous"),
-        F.max("_prev").alias("_prev"), F.max("liters").alias("liters"), F.max("amount_eur").alias("amount_eur"))
-    prev, cur, prv = F.col("_prev"), F.col("odometer_at_current"), F.col("odometer_at_previous")
+    aligned = asof_neighbours(probes, readings, keys, "odometer_km", bucket=bucket,
+                              probe_buckets=fuel.select(*keys, TS))
+    # Regroup the two probes of each refuel with a hash aggregate over primitive
+    # neighbour fields; the estimate structs (with their text) are built afterwards.
+    parts = {"t": "_t", "ts": "ts", "km": "km"}
+    aggs = [F.max(F.when(F.col("_side") == side, F.col(f"_{nb}.{fld}"))).alias(f"_{nb}_{p}{side}")
+            for side in (0, 1) for nb in ("before", "after", "exact") for p, fld in parts.items()]
+    aggs += [F.max(c).alias(c) for c in ("_prev_ts", "_prev_n", "liters", "amount_eur")]
+    pairs = aligned.groupBy(*keys, "_cur_ts", "_cur_row").agg(*aggs)
+    neighbours = {f"_{nb}{side}": F.when(F.col(f"_{nb}_t{side}").isNotNull(), F.struct(
+        *[F.col(f"_{nb}_{p}{side}").alias(fld) for p, fld in parts.items()]))
+        for side in (0, 1) for nb in ("before", "after", "exact")}
+    pairs = pairs.withColumns(neighbours).withColumns({
+        "odometer_at_current": strategy("_cur_ts", "_before1", "_after1", "_exact1"),
+        "odometer_at_previous": strategy("_prev_ts", "_before0", "_after0", "_exact0")})
+    prev = F.struct(F.col("_prev_ts").alias("ts"), F.col("_prev_n").alias("n"))
+    cur, prv = F.col("odometer_at_current"), F.col("odometer_at_previous")
     km = cur["value"] - prv["value"]
-    keep = (prv.isNotNull() & (prv["quality"] != INSUFFICIENT) & (cur["quality"] != INSUFFICIENT) & (km > 0))
+    keep = (F.col("_prev_ts").isNotNull() & (prv["quality"] != INSUFFICIENT) & (cur["quality"] != INSUFFICIENT)
+            & (km > 0))
     quality = F.when((prv["quality"] == ESTIMATED) | (cur["quality"] == ESTIMATED),
                      F.lit(ESTIMATED)).otherwise(F.lit(EXACT))
     interval = F.concat(ts_text(prev["ts"]), F.lit(" -> "), ts_text(F.col("_cur_ts")))
