@@ -103,6 +103,33 @@ def _combine_distance(start: str, end: str, start_ts: str, end_ts: str) -> Colum
                         '; end: ', coalesce({end}.source_interval, {ts_text_sql(end_ts)})) END)""")
 
 
+_NB_PARTS = {"t": "_t", "ts": "ts", "km": "km"}
+
+
+def regroup_sides(aligned: DataFrame, group: list[str], side: str, sides: dict[int, tuple[str, str]],
+                  method: str = "linear", extra: list[str] = ()) -> DataFrame:
+    """Bring several as-of probes of one entity onto one row.
+
+    ``aligned`` is ``asof_neighbours`` output with a ``side`` column; ``sides`` maps a
+    side value to ``(output EST column, probe time column)``.  The regroup is a hash
+    aggregate over primitive neighbour fields (time, km); the EST structs and their
+    provenance text are built after it.  ``extra`` primitive columns are carried
+    (``max``; they must be equal on all sides)."""
+    strategy = get_interpolation_strategy(method)
+    aggs = [F.max(F.when(F.col(side) == v, F.col(f"_{nb}.{fld}"))).alias(f"_{nb}_{p}{v}")
+            for v in sides for nb in ("before", "after", "exact") for p, fld in _NB_PARTS.items()]
+    aggs += [F.max(F.when(F.col(side) == v, F.col(t))).alias(f"_t{v}") for v, (_, t) in sides.items()]
+    aggs += [F.max(c).alias(c) for c in extra]
+    out = aligned.groupBy(*group).agg(*aggs)
+    out = out.withColumns({f"_{nb}{v}": F.when(F.col(f"_{nb}_t{v}").isNotNull(), F.struct(
+        *[F.col(f"_{nb}_{p}{v}").alias(fld) for p, fld in _NB_PARTS.items()]))
+        for v in sides for nb in ("before", "after", "exact")})
+    out = out.withColumns({name: strategy(f"_t{v}", f"_before{v}", f"_after{v}", f"_exact{v}")
+                           for v, (name, _) in sides.items()})
+    return out.drop(*[c for c in out.columns if c.startswith(("_before", "_after", "_exact", "_t"))
+                      and c not in group])
+
+
 def distance_between(bounds: DataFrame, readings: DataFrame, keys: list[str] | None = None,
                      start: str = "start", end: str = "end", out: str = "distance",
                      method: str = "linear", bucket=DEFAULT_BUCKET) -> DataFrame:
@@ -117,13 +144,11 @@ def distance_between(bounds: DataFrame, readings: DataFrame, keys: list[str] | N
     probes = bounds.select(*keys, s.alias("_s"), F.col(end).alias("_e")).select(
         *keys, "_s", "_e", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_s").alias("t")),
                                              F.struct(F.lit(1).alias("side"), F.col("_e").alias("t")))).alias("_p")
-    ).select(*keys, "_s", "_e", F.col("_p.side").alias("_side"), F.col("_p.t").alias(TS),
-             F.lit(None).cast("long").alias(ROW))
-    est = odometer_at(probes, readings, keys, "_est", method, bucket=bucket)
-    return (est.groupBy(*keys, "_s", "_e").agg(
-                F.max(F.when(F.col("_side") == 0, F.col("_est"))).alias("start_odometer"),
-                F.max(F.when(F.col("_side") == 1, F.col("_est"))).alias("end_odometer"))
-            .withColumn(out, _combine_distance("start_odometer", "end_odometer", "_s", "_e"))
+    ).select(*keys, "_s", "_e", F.col("_p.side").alias("_side"), F.col("_p.t").alias(TS))
+    aligned = asof_neighbours(probes, readings, keys, "odometer_km", bucket=bucket)
+    est = regroup_sides(aligned, [*keys, "_s", "_e"], "_side",
+                        {0: ("start_odometer", "_s"), 1: ("end_odometer", "_e")}, method)
+    return (est.withColumn(out, _combine_distance("start_odometer", "end_odometer", "_s", "_e"))
             .withColumnRenamed("_s", start).withColumnRenamed("_e", end))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fleetlog.functions.calendar import Period
 from fleetlog.functions.text import ts_text
-from fleetlog.operators.asof import flatten_estimate, get_interpolation_strategy
+from fleetlog.operators.asof import flatten_estimate, regroup_sides
 from fleetlog.operators.sequence import BUCKET, DEFAULT_BUCKET, asof_neighbours, previous_row
 from fleetlog.schema import ESTIMATED, EXACT, INSUFFICIENT, KEY, ROW, TS
 
@@ -38,7 +38,6 @@ def consumption_estimates(fuel: DataFrame, readings: DataFrame, keys: list[str]
     re-runs another step's shuffle.  A refuel is identified by (keys, time, row).
     """
     keys = [KEY] if keys is None else list(keys)
-    strategy = get_interpolation_strategy(method)
     f = fuel.select(*keys, TS, ROW, "liters", "amount_eur")
     f = previous_row(f, keys, {"ts": F.col(TS), "n": F.col(ROW)}, "_prev", bucket=bucket).drop(BUCKET)
     sides = F.array_compact(F.array(
@@ -50,19 +49,10 @@ def consumption_estimates(fuel: DataFrame, readings: DataFrame, keys: list[str]
               .select("*", F.col("_s.side").alias("_side"), F.col("_s.t").alias(TS)).drop("_s"))
     aligned = asof_neighbours(probes, readings, keys, "odometer_km", bucket=bucket,
                               probe_buckets=fuel.select(*keys, TS))
-    # Regroup the two probes of each refuel with a hash aggregate over primitive
-    # neighbour fields; the estimate structs (with their text) are built afterwards.
-    parts = {"t": "_t", "ts": "ts", "km": "km"}
-    aggs = [F.max(F.when(F.col("_side") == side, F.col(f"_{nb}.{fld}"))).alias(f"_{nb}_{p}{side}")
-            for side in (0, 1) for nb in ("before", "after", "exact") for p, fld in parts.items()]
-    aggs += [F.max(c).alias(c) for c in ("_prev_ts", "_prev_n", "liters", "amount_eur")]
-    pairs = aligned.groupBy(*keys, "_cur_ts", "_cur_row").agg(*aggs)
-    neighbours = {f"_{nb}{side}": F.when(F.col(f"_{nb}_t{side}").isNotNull(), F.struct(
-        *[F.col(f"_{nb}_{p}{side}").alias(fld) for p, fld in parts.items()]))
-        for side in (0, 1) for nb in ("before", "after", "exact")}
-    pairs = pairs.withColumns(neighbours).withColumns({
-        "odometer_at_current": strategy("_cur_ts", "_before1", "_after1", "_exact1"),
-        "odometer_at_previous": strategy("_prev_ts", "_before0", "_after0", "_exact0")})
+    # the two probes of each refuel back on one row (hash aggregate, see regroup_sides)
+    pairs = regroup_sides(aligned, [*keys, "_cur_ts", "_cur_row"], "_side",
+                          {0: ("odometer_at_previous", "_prev_ts"), 1: ("odometer_at_current", "_cur_ts")},
+                          method, extra=["_prev_ts", "_prev_n", "liters", "amount_eur"])
     prev = F.struct(F.col("_prev_ts").alias("ts"), F.col("_prev_n").alias("n"))
     cur, prv = F.col("odometer_at_current"), F.col("odometer_at_previous")
     km = cur["value"] - prv["value"]
@@ -70,7 +60,7 @@ def consumption_estimates(fuel: DataFrame, readings: DataFrame, keys: list[str]
             & (km > 0))
     quality = F.when((prv["quality"] == ESTIMATED) | (cur["quality"] == ESTIMATED),
                      F.lit(ESTIMATED)).otherwise(F.lit(EXACT))
-    interval = F.concat(ts_text(prev["ts"]), F.lit(" -> "), ts_text(F.col("_cur_ts")))
+    interval = F.concat(ts_text("_prev_ts"), F.lit(" -> "), ts_text("_cur_ts"))
 
     def est_col(v):
         return F.struct(v.alias("value"), quality.alias("quality"), F.lit(method).alias("method"),
