@@ -15,8 +15,17 @@ from fleetlog.operators.sequence import running_total
 from fleetlog.schema import KEY, ROW, TS
 
 
+_SCANS: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan of one driver table.  The scan DataFrame (an immutable plan) is reused
+    per session and path, so schema discovery runs once rather than per query."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(path)
+    return _SCANS[key]
 
 
 def spread(df: DataFrame) -> DataFrame:
