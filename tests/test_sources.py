@@ -115,3 +115,17 @@ def test_table_row_conversion(spark):
                                "vehicle_id long, notes string, is_full_tank string, liters double, amount_eur double")
     r = csvsrc.table_rows_to_fuel(df).first()
     assert r["notes"] == "" and r["is_full_tank"] == "unknown" and r["price_per_liter_eur"] == 2.0
+
+
+def test_single_log_without_keys(spark, logs):
+    """keys=[]: the whole input is one log (the original tool's case)."""
+    fuel, odo, d = logs
+    f = csvsrc.load_fuel_csv(spark, str(d / "fuel_log.csv"))
+    o = csvsrc.load_odometer_csv(spark, str(d / "odometer_log.csv"))
+    assert "vehicle_id" not in f.good.columns
+    seg = sorted(consumption_estimates(f.good, o.good, keys=[]).collect(), key=lambda r: r["fuel_datetime"])
+    keyed = sorted(consumption_estimates(fuel.good, odo.good).collect(), key=lambda r: r["fuel_datetime"])
+    assert [round(s["estimated_km"], 6) for s in seg] == [round(s["estimated_km"], 6) for s in keyed]
+    s = consumption_summary(consumption_estimates(f.good, o.good, keys=[]), keys=[]).first()
+    assert s["avg_l_per_100km"] == pytest.approx(5.899985, abs=1e-6)
+    assert dist.total_distance(o.good, keys=[]).first()["total_km"] == 5420
