@@ -97,6 +97,17 @@ def fx_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dirty_rows(spread(table(spark, sf_dir, "orders")))
 
 
+def _round2_binary(x):
+    """Two-decimal rounding of the binary double, half away from zero (the SQL twin's
+    ``round``): scale, then compare the exact fractional part with one half.  Spark's
+    ``round`` would round the shortest decimal text instead (36.245 -> 36.25, while the
+    double 36.2449999... rounds to 36.24)."""
+    v = x * F.lit(100.0)
+    frac = F.abs(v) - F.floor(F.abs(v))
+    mag = F.when(frac >= 0.5, F.ceil(F.abs(v))).otherwise(F.floor(F.abs(v))).cast("double")
+    return F.when(v < 0, -mag).otherwise(mag) / F.lit(100.0)
+
+
 def dirty_rows(o: DataFrame) -> DataFrame:
     """The ``fx_dirty`` projection of an ``orders`` frame (batch or streaming)."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
@@ -106,7 +117,7 @@ def dirty_rows(o: DataFrame) -> DataFrame:
         F.when(k % 97 == 0, s("not-a-date")).when(k % 89 == 0, s(""))
         .otherwise(F.concat(s(" "), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), s(" "))).alias("datetime"),
         F.when(k % 83 == 0, s("-10")).when(k % 79 == 0, s("abc"))
-        .otherwise(F.round(F.col("o_totalprice") / 3000, 2).cast("string")).alias("amount_eur"),
+        .otherwise(_round2_binary(F.col("o_totalprice") / 3000).cast("string")).alias("amount_eur"),
         F.when(k % 73 == 0, s("0")).otherwise((20 + c % 40).cast("string")).alias("liters"),
         F.when(k % 71 == 0, s("E15")).when(F.col("o_orderstatus") == "F", s("E5")).otherwise(s("E10")).alias("fuel_type"),
         F.when(k % 11 == 0, s("")).when(k % 11 == 1, s("NO")).when(k % 11 == 2, s("na"))
