@@ -129,3 +129,18 @@ def test_single_log_without_keys(spark, logs):
     s = consumption_summary(consumption_estimates(f.good, o.good, keys=[]), keys=[]).first()
     assert s["avg_l_per_100km"] == pytest.approx(5.899985, abs=1e-6)
     assert dist.total_distance(o.good, keys=[]).first()["total_km"] == 5420
+
+
+def test_append_entries_writes_accepted_and_returns_rejected(spark, tmp_path):
+    cols = ("vehicle_id long, row_num long, station_name string, city string, country string, liters string, "
+            "amount_eur string, entry_date string, fuel_type string, is_full_tank string, notes string")
+    rows = [(1, 1, "Aral", "Munich", "de", "40", "70", "2024-03-15T08:30", "E10", "true", " note "),
+            (1, 2, "", "Munich", "DE", "40", "70", "2024-03-16T08:30", "E10", "true", ""),
+            (2, 3, "OMV", "Graz", "AT", "30", "51", "2024-03-17", "E5", "unknown", "")]
+    rejected = store.append_entries(spark, spark.createDataFrame(rows, cols), str(tmp_path / "fuel"))
+    bad = rejected.collect()
+    assert [r["row_num"] for r in bad] == [2] and bad[0]["errors"] == {"station_name": "Required."}
+    stored = store.read_log(spark, str(tmp_path / "fuel"))
+    got = {r["row_num"]: r for r in stored.collect()}
+    assert set(got) == {1, 3} and got[1]["country"] == "DE" and got[1]["notes"] == "note"
+    assert got[3]["price_per_liter_eur"] == pytest.approx(1.7)
