@@ -5,17 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlog.llm import bpe
+from fleetlog.llm import bpe, language_id, quality_rules, toxicity
 from fleetlog.llm.textkit import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Person insults and words of contempt that split the labelled toxic texts
+#: into the categories of the chain.  Fixed values.
+INSULTS = ("clown", "idiot", "loser", "moron", "scum", "stupid")
+CONTEMPT = ("disgusting", "pathetic", "trash", "worthless")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    ids = language_id.identify(docs, model)
+    held = F.coalesce(language_id.held_out(), F.lit(False))
+    return ids.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+def labelled_texts(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and the categories ``insult, contempt, toxic`` of the
+    labelled documents: the label itself, and the label where the text also
+    has one of the listed words."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").dropna().dropDuplicates(["doc_id"])
+    words = F.lower("text")
+    rows = docs.select("doc_id", "text").join(labels, "doc_id")
+    for name, listed in (("insult", INSULTS), ("contempt", CONTEMPT)):
+        rows = rows.withColumn(name, F.col("toxic") * words.rlike(rf"\b({'|'.join(listed)})\b").cast("int"))
+    return rows
+
+
+def toxicity_chain(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Chain:
+    return toxicity.fit(labelled_texts(spark, sf_dir, docs), ["insult", "contempt", "toxic"])
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity_chain(spark, sf_dir, docs))
+    return found.withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_bpe,)}
+    return {f.__name__: f for f in (op1_language_id, op6_bpe, op9_quality_rules, op10_toxicity)}

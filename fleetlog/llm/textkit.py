@@ -165,7 +165,8 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def byte_grams(words: pa.Array, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """(gram, word index) for the byte n-grams of `` word `` (framed by a blank
     on both sides); a gram packs its size and bytes exactly (sizes up to 7)."""
-    framed = pc.binary_join_element_wise(" ", words.cast(pa.large_string()), " ", "")
+    blank = pa.scalar(" ", pa.large_string())
+    framed = pc.binary_join_element_wise(blank, words.cast(pa.large_string()), blank, pa.scalar("", pa.large_string()))
     lengths = pc.binary_length(framed).to_numpy(zero_copy_only=False).astype(np.int64)
     joined = np.frombuffer(b"".join(framed.cast(pa.large_binary()).to_pylist()), np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), lengths)
