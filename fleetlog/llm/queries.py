@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlog.llm import bpe, language_id, quality_rules, toxicity
-from fleetlog.llm.textkit import table
+from fleetlog.llm import bpe, html_text, language_id, line_dedup, quality_rules, topk, toxicity
+from fleetlog.llm.textkit import bounded_sample, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -27,6 +27,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, "vec_id % 100 = 0", 10)
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.without_boilerplate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -36,12 +50,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_texts(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` and the categories ``insult, contempt, toxic`` of the
-    labelled documents: the label itself, and the label where the text also
-    has one of the listed words."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").dropna().dropDuplicates(["doc_id"])
+    """``doc_id, text`` and the categories ``insult, contempt, toxic`` of at
+    most ``toxicity.SAMPLE_ROWS`` labelled documents: the label itself, and the
+    label where the text also has one of the listed words."""
+    labels = bounded_sample(table(spark, sf_dir, "labels").select("doc_id", "toxic").dropna(), toxicity.SAMPLE_ROWS)
     words = F.lower("text")
-    rows = docs.select("doc_id", "text").join(labels, "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
     for name, listed in (("insult", INSULTS), ("contempt", CONTEMPT)):
         rows = rows.withColumn(name, F.col("toxic") * words.rlike(rf"\b({'|'.join(listed)})\b").cast("int"))
     return rows
@@ -53,9 +67,10 @@ def toxicity_chain(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicit
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = toxicity.score(docs, toxicity_chain(spark, sf_dir, docs))
-    return found.withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
+    chain = toxicity_chain(spark, sf_dir, docs)
+    found = toxicity.score(docs, chain)
+    return found.withColumn("toxic", F.col("p_toxic") >= chain.thresholds[-1])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op6_bpe, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op3_top_k, op4_html_text, op5_line_dedup, op6_bpe, op9_quality_rules, op10_toxicity)}

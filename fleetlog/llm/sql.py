@@ -3,5 +3,44 @@
 from __future__ import annotations
 
 
+TOP_K = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+LINE_DEDUP = """
+WITH lines AS (
+  SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), keyed AS (
+  SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS own FROM lines
+), spread AS (
+  SELECT own, min(doc_id) AS home FROM keyed WHERE length(own) >= 20
+  GROUP BY own HAVING count(DISTINCT source) >= 10
+), marked AS (
+  SELECT k.doc_id, k.text, k.line, k.pos, s.own IS NOT NULL AND k.doc_id IS DISTINCT FROM s.home AS away
+  FROM keyed k LEFT JOIN spread s ON k.own = s.own
+), rebuilt AS (
+  SELECT doc_id, text, count(DISTINCT pos) AS n_lines, count(DISTINCT pos) FILTER (WHERE away) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT away), '') AS kept
+  FROM (SELECT DISTINCT doc_id, text, line, pos, away FROM marked) GROUP BY doc_id, text
+)
+SELECT d.doc_id, CAST(coalesce(r.n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(r.n_removed, 0) AS INTEGER) AS n_removed, r.kept AS text
+FROM documents d LEFT JOIN rebuilt r ON d.doc_id IS NOT DISTINCT FROM r.doc_id AND d.text = r.text
+"""
+
+
 def queries() -> dict[str, str]:
-    return {}
+    return {"op3_top_k": TOP_K, "op5_line_dedup": LINE_DEDUP}

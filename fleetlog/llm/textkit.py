@@ -53,6 +53,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` different rows of ``df``, the first in the order of a
+    hash of all columns.  Only hashes are sorted, so what reaches the driver on
+    the way is 8 bytes a row."""
+    keyed = df.withColumn("_key", F.xxhash64(*df.columns))
+    first = keyed.select("_key").distinct().orderBy("_key").limit(rows)
+    return keyed.join(F.broadcast(first), "_key").dropDuplicates(["_key"]).orderBy("_key").drop("_key")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts add up to about ``limit`` bytes (a single
     longer text makes a slice of its own)."""
