@@ -7,7 +7,7 @@ word.  Runs of one label are the spans; the language that covers most letters
 is the text's language and its share of the letters is the score.
 
 The model is fitted on at most ``sample_rows`` labelled texts, the first in the
-order of a hash of their id; every text is then labelled whole.  Texts that are
+order of their hash; every text is then labelled whole.  Texts that are
 null or have no letter give ``und`` and score 0, as do texts without a word
 that any language can claim (a script no training text uses).  Repeated rows
 give repeated results, an empty training set labels everything ``und``, and of
@@ -24,9 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlog.llm.textkit import Words, byte_grams, mix, prepare, slices, texts_of, words_of
+from fleetlog.llm.textkit import Words, bounded_sample, byte_grams, mix, prepare, slices, texts_of, words_of
 
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 4_000
 SWITCH_PENALTY = 12.0
 GRAM_SIZES = (2, 3, 4)
 TABLE_BITS = 18
@@ -70,14 +70,13 @@ def _cells(bare: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fit on ``doc_id, text, lang``; rows with null text or lang are left out."""
+    """Fit on ``text, lang``; rows with null text or lang are left out."""
     prepare(training.sparkSession)
-    rows = training.select("doc_id", "text", "lang").dropna(subset=["text", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(sample_rows)
-    sample = pa.Table.from_pandas(rows.select("text", "lang").toPandas(), pa.schema([("text", pa.string()), ("lang", pa.string())]))
+    sample = bounded_sample(training.select("text", "lang").dropna(), sample_rows).toArrow()
     languages = sorted(set(sample["lang"].to_pylist()))
     counts = np.zeros((1 << TABLE_BITS, len(languages)))
     scripts = np.zeros((len(_NAMES), len(languages)))
-    for batch in sample.combine_chunks().to_batches(max_chunksize=2000):
+    for batch in sample.combine_chunks().to_batches(max_chunksize=1000):
         for part in slices(batch, "text"):
             found = words_of(texts_of(part))
             if not len(found.words):
