@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlog.llm.textkit import Words, hash_words, lines_of, mix, prepare, repeated, row_sums, slices, texts_of, window_hashes, words_of
+from fleetlog.llm.textkit import Words, checkpointed, hash_words, lines_of, mix, prepare, repeated, row_sums, slices, texts_of, window_hashes, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Character classes, in this order; what is left over is the last class.
@@ -89,7 +89,7 @@ def references(docs: DataFrame, rules: QualityRules = QualityRules()) -> tuple[d
     counted = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(
         count, "lang string, word string, n long, class int"
     )
-    summed = counted.groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
+    summed = checkpointed(counted.groupBy("lang", "word", "class").agg(F.sum("n").alias("n")))
     whole = summed.filter("word IS NULL AND class = -1").select("lang", F.col("n").alias("whole"))
     rows = summed.join(whole, "lang").filter(F.col("word").isNull() | (F.col("n") >= rules.common_share * F.col("whole"))).collect()
     chars: dict[str, np.ndarray] = {}
