@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlog.llm import bpe, html_text, language_id, line_dedup, quality_rules, topk, toxicity
+from fleetlog.llm import bpe, html_text, language_id, line_dedup, quality_rules, substring_dedup, topk, toxicity
 from fleetlog.llm.textkit import bounded_sample, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -45,6 +45,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = substring_dedup.without_repeats(docs, joined=True)
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return kept.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
@@ -73,4 +80,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_top_k, op4_html_text, op5_line_dedup, op6_bpe, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op3_top_k, op4_html_text, op5_line_dedup, op6_bpe, op7_substring_dedup, op9_quality_rules, op10_toxicity)}

@@ -42,5 +42,30 @@ FROM documents d LEFT JOIN rebuilt r ON d.doc_id IS NOT DISTINCT FROM r.doc_id A
 """
 
 
+SUBSTRING_DEDUP = """
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), starts AS (
+  SELECT row, words, unnest(range(1, len(words) - 33)) AS pos FROM docs WHERE len(words) >= 35
+), windows AS (
+  SELECT row, pos, md5(array_to_string(words[pos:pos + 34], ' ')) AS w FROM starts
+), again AS (
+  SELECT row, pos FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)
+), covered AS (
+  SELECT DISTINCT row, pos + k AS pos FROM again, (SELECT unnest(range(0, 35)) AS k)
+), gone AS (
+  SELECT row, list(pos) AS away FROM covered GROUP BY row
+), split AS (
+  SELECT d.row, d.doc_id, d.words, unnest(range(1, len(d.words) + 1)) AS pos FROM docs d
+), kept AS (
+  SELECT s.row, string_agg(s.words[s.pos], ' ' ORDER BY s.pos) AS text
+  FROM split s LEFT JOIN covered c ON s.row = c.row AND s.pos = c.pos WHERE c.row IS NULL GROUP BY s.row
+)
+SELECT d.doc_id, len(d.words) AS n_words, coalesce(len(g.away), 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN gone g ON d.row = g.row LEFT JOIN kept k ON d.row = k.row
+"""
+
+
 def queries() -> dict[str, str]:
-    return {"op3_top_k": TOP_K, "op5_line_dedup": LINE_DEDUP}
+    return {"op3_top_k": TOP_K, "op5_line_dedup": LINE_DEDUP, "op7_substring_dedup": SUBSTRING_DEDUP}
