@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlog.llm import bpe, html_text, language_id, line_dedup, quality_rules, substring_dedup, topk, toxicity
+from fleetlog.llm import bpe, html_text, language_id, line_dedup, ngram_join, quality_rules, substring_dedup, topk, toxicity
 from fleetlog.llm.textkit import bounded_sample, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, "vec_id % 100 = 0", 10)
@@ -80,4 +84,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_top_k, op4_html_text, op5_line_dedup, op6_bpe, op7_substring_dedup, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_top_k, op4_html_text, op5_line_dedup, op6_bpe, op7_substring_dedup, op9_quality_rules, op10_toxicity)}

@@ -107,7 +107,10 @@ def _coded(pieces: pa.Array, drop: str | None) -> Words:
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The texts, null as empty, copied to buffers of their own: some kernels
+    misread what a slice's cast leaves."""
+    texts = batch.column(column)
+    return pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
 
 
 def words_of(texts: pa.Array) -> Words:
