@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlog.llm import bpe, html_text, language_id, line_dedup, ngram_join, quality_rules, substring_dedup, topk, toxicity
+from fleetlog.llm import bpe, html_text, language_id, line_dedup, ngram_join, packing, quality_rules, substring_dedup, topk, toxicity
 from fleetlog.llm.textkit import bounded_sample, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -56,6 +56,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_digest(packing.packed(table(spark, sf_dir, "documents"), VOCABULARY))
+
+
+def packing_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
@@ -84,4 +92,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_top_k, op4_html_text, op5_line_dedup, op6_bpe, op7_substring_dedup, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_top_k, op4_html_text, op5_line_dedup, op6_bpe, op7_substring_dedup, op8_packing, op9_quality_rules, op10_toxicity)}
