@@ -32,6 +32,7 @@ FEATURES = 512
 FOLDS = 5
 MIN_DOCUMENTS = 4  # that a feature must occur in
 MIN_CHI_SQUARE = 30.0
+PRECISION = 0.97  # that a threshold must have on out-of-fold predictions
 _WORD = np.uint64(1 << 63)
 _FILTER_BITS = 20
 
@@ -158,15 +159,15 @@ def _matrix(parts: list[pa.RecordBatch], features: np.ndarray) -> np.ndarray:
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle, on the log scale, of the widest range of probabilities that
-    give the best F1 on out-of-fold predictions; 0.5 without positives."""
-    if not y.any():
-        return 0.5
+    """On out-of-fold predictions, the best F1 among the cuts whose precision is
+    at least ``PRECISION``; of cuts alike, the middle of the widest gap between
+    probabilities, on the log scale.  0.5 without such a cut."""
     order = np.argsort(-p, kind="stable")
-    ranked, hits = p[order], np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    below = np.append(ranked[1:], ranked[-1] / 2)
-    f1[below == ranked] = -1  # equal probabilities stay together
+    ranked, hits, taken = p[order], np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    below = np.append(ranked[1:], 0.0)[: len(y)]
+    f1 = np.where((below < ranked) & (hits >= PRECISION * taken), 2 * hits / (taken + max(1.0, y.sum())), 0)
+    if not f1.any():
+        return 0.5
     best = np.flatnonzero(f1 >= f1.max() - 1e-9)
     k = best[np.argmax(np.log(ranked[best] + 1e-9) - np.log(below[best] + 1e-9))]
     return float(np.sqrt((ranked[k] + 1e-9) * (below[k] + 1e-9)))
@@ -197,16 +198,16 @@ def score(docs: DataFrame, chain: Chain, columns: list[str] = ["doc_id"]) -> Dat
     """``columns`` of every row and ``p_<category>`` for each category."""
     prepare(docs.sparkSession)
     names = [f"p_{c}" for c in chain.categories]
+    own = "text" if "text" in columns else "_text"
+    passed = docs.select(*columns, *([] if own in columns else [F.col("text").alias(own)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
-                x = _matrix([part.select(["_text"]).rename_columns(["text"])], chain.features)
+            for part in slices(batch, own):
+                x = _matrix([part.select([own]).rename_columns(["text"])], chain.features)
                 for w in chain.weights:
                     x = np.concatenate([x, _sigmoid(x @ w).astype(np.float32)[:, None]], axis=1)
                 found = x[:, x.shape[1] - len(names) :].astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(found[:, k]) for k in range(len(names)))], [*columns, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], *(pa.array(found[:, k]) for k in range(len(names)))], [*columns, *names])
 
-    chosen = docs.select(*columns, F.col("text").alias("_text"))
-    schema = chosen.select(*columns, *(F.lit(0.0).alias(n) for n in names)).schema
-    return chosen.mapInArrow(run, schema)
+    return passed.mapInArrow(run, passed.select(*columns, *(F.lit(0.0).alias(n) for n in names)).schema)
