@@ -246,14 +246,26 @@ def links(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket: in
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """``doc_id, key, n_shingles, component_id`` of every row; ``key`` is
-    ``xxhash64(id, text)``, by which rows find their component."""
+    """``doc_id, key, n_shingles, class, component_id`` of every row; ``key`` is
+    ``xxhash64(id, text)``, by which rows find their component, and ``class`` is
+    one number for each component, null for empty sets."""
     prepare(docs.sparkSession)
     rows = checkpointed(members(docs, words, percent, id_column, text_column))
     found = connected(links(rows, docs, words, percent, bucket, id_column, text_column))
     own = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("smallest")).join(found.withColumnRenamed("node", "sid"), "sid", "left")
     own = own.select("sid", "smallest", F.coalesce("label", "sid").alias("label"))
     classes = own.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    out = rows.drop("prefix", "gid").join(own.join(classes, "label").select("sid", "component_id"), "sid", "left")
+    out = rows.drop("prefix", "gid").join(own.join(classes, "label").select("sid", "label", "component_id"), "sid", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("label").alias("class"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id, and all
+    rows with empty sets."""
+    has_word = F.coalesce(F.col(text_column).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    found = near_duplicates(docs, id_column=id_column, text_column=text_column, **options).filter("n_shingles > 0")
+    first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
+    keys = first.select(F.col("first.key").alias("_key"))
+    kept = docs.filter(has_word).withColumn("_key", F.xxhash64(id_column, text_column)).join(keys, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).drop("_key").unionByName(docs.filter(~has_word))

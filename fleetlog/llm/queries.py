@@ -28,7 +28,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("key", "class")
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

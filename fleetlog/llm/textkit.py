@@ -8,6 +8,8 @@ the slice size and on the longest single text, not on the partition.
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,22 +39,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder all executors share
-    (``spark.checkpoint.dir``); a private folder is set only where none is."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a
+    private one is made only where none is set and there is one machine."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            import tempfile
-
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             configured = tempfile.mkdtemp(prefix="fleetlog-checkpoint-")
         spark.sparkContext.setCheckpointDir(configured)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and cut from its lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under the shared folder, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
     """At most ``rows`` different rows of ``df``, the first in the order of a
     hash of all columns.  Only hashes are sorted, so what reaches the driver on
