@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -59,15 +60,21 @@ class BpeCodec:
             self.strings[i] = piece
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        symbols = _byte_symbols()
-        self.inner = [vocab[s] for s in symbols]
-        self.final = [vocab[s + end] for s in symbols]
+        # the same for lower-case ASCII, which the standard module matches faster
+        self.plain_words = re.compile(self.words.pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
+        self.stand_ins = _byte_symbols()
+        self.inner = [vocab[s] for s in self.stand_ins]
+        self.final = [vocab[s + end] for s in self.stand_ins]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(model["merges"]):
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.known_words: dict[str, tuple[int, ...]] = {}
         self.known_chunks: dict[bytes, bytes] = {}
 
+    def symbols(self, word: str) -> str:
+        """The word as the vocabulary writes its bytes."""
+        return word if word.isascii() and word.isalnum() else "".join(map(self.stand_ins.__getitem__, word.encode()))
+
     def merge(self, word: str) -> tuple[int, ...]:
         """The ids of one word."""
         raw = word.encode()
@@ -93,23 +100,31 @@ class BpeCodec:
                 heapq.heappush(queue, (m[0], h, ids[h], joined, m[1]))
         return tuple(i for i in ids if i >= 0)
 
+    def parts(self, text: str) -> Iterator[str | int]:
+        """Words, and the ids of special strings, of a text without white space."""
+        if text.isascii() and "<|" not in text:
+            yield from self.plain_words.findall(text.lower())
+            return
+        for part in self.cut.split(text) if "<|" in text else (text,):
+            if part in self.special:
+                yield self.special[part]
+            else:
+                # lower case by code point: no final sigma
+                yield from self.words.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+
     def chunk(self, chunk: bytes) -> bytes:
         """The ids, as little-endian 32-bit integers, of a text without white space."""
         out: list[int] = []
-        text = chunk.decode()
-        for part in self.cut.split(text) if "<|" in text else (text,):
-            if part in self.special:
-                out.append(self.special[part])
+        for word in self.parts(chunk.decode()):
+            if isinstance(word, int):
+                out.append(word)
                 continue
-            # lower case by code point: no final sigma
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in self.words.findall(part):
-                ids = self.known_words.get(word)
-                if ids is None:
-                    if len(self.known_words) >= CACHE_ENTRIES:
-                        self.known_words.clear()
-                    self.known_words[word] = ids = self.merge(word)
-                out.extend(ids)
+            ids = self.known_words.get(word)
+            if ids is None:
+                if len(self.known_words) >= CACHE_ENTRIES:
+                    self.known_words.clear()
+                self.known_words[word] = ids = self.merge(word)
+            out.extend(ids)
         return struct.pack(f"<{len(out)}I", *out)
 
     def encode_bytes(self, text: str | None) -> bytes:

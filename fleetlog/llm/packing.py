@@ -25,47 +25,86 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from fleetlog.llm.bpe import codec
 from fleetlog.llm.textkit import Words, prepare, words_of
 
 LENGTH = 4096
 END_ID = 2
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 8 << 20
+CACHE_ENTRIES = 400_000  # words in each of the two generations of a worker's cache
 K1, B = 1.2, 0.75
-CACHE_ENTRIES = 400_000
+
+
+def _gather(codes: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` (``sizes`` long, end to end) that the codes name, joined, and
+    where each code's run begins and the last one ends."""
+    many = sizes[codes]
+    ends = np.cumsum(many)
+    starts = np.concatenate([[0], ends]).astype(np.int64)
+    if not len(codes):
+        return values[:0], starts
+    first = np.cumsum(sizes) - sizes
+    return values[np.arange(starts[-1]) + np.repeat(first[codes] - starts[:-1], many)], starts
 
 
 class ChunkEncoder:
-    """Ids of texts by the ids of their white-space-separated chunks, which the
-    vocabulary never joins."""
+    """Ids of texts by their white-space-separated chunks, which the vocabulary never
+    joins, and those by their words, which the library's model splits: every step runs
+    once for each different chunk or word of a shard."""
+
+    #: Chunks of these characters alone are normalised by lower case and cut by the pattern
+    #: in Arrow; the others, and those with special strings, by the rules one by one.
+    PLAIN = "^[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e]*$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, np.ndarray] = {}
+        self.rules = codec(path)
+        self.model = Tokenizer.from_file(path).model
+        self.cut = "(" + self.rules.words.pattern + ")"
+        #: no word looks like the name of a special string: words are never control and digit
+        self.names = {i: f"\0{i}" for i in self.rules.special.values()}
+        self.fixed = {name: i.to_bytes(4, "little") for i, name in self.names.items()}
+        self.new: dict[str, bytes] = dict(self.fixed)
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word.  Words are remembered in two generations: those not asked
+        for while one filled up are forgotten."""
+        if len(self.new) >= CACHE_ENTRIES:
+            self.old, self.new = self.new, dict(self.fixed)
+        new, old, model, symbols = self.new, self.old, self.model, self.rules.symbols
+        out = [new.get(w) for w in words]
+        for i, ids in enumerate(out):
+            if ids is None:
+                w = words[i]
+                ids = old.get(w)
+                if ids is None:
+                    ids = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(symbols(w))]) if w else b""
+                if len(w) <= 64:
+                    new[w] = ids
+                out[i] = ids
+        return out
 
     def encode(self, found: Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of the rows)"""
-        chunks, known = found.words.to_pylist(), self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        new = [c for c in chunks if c not in known]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for chunk, encoded in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                known[chunk] = np.array(encoded.ids, "<u4")
-        pieces = [known[c] for c in chunks]
-        if not pieces:
+        if not len(found.words):
             return np.zeros(0, "<u4"), np.zeros(len(found.offsets), np.int64)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        starts = np.cumsum(sizes) - sizes
-        many = sizes[found.codes]
-        ends = np.cumsum(many)
-        at = np.arange(ends[-1]) + np.repeat(starts[found.codes] - (ends - many), many)
-        return np.concatenate(pieces)[at], np.concatenate([[0], ends])[found.offsets]
+        plain = pc.and_(pc.match_substring_regex(found.words, self.PLAIN), pc.invert(pc.match_substring(found.words, "<|")))
+        spaced = pc.replace_substring_regex(pc.utf8_lower(found.words), self.cut, r"\1 ")
+        odd = pc.indices_nonzero(pc.invert(plain))
+        if len(odd):
+            own = [" ".join(self.names[p] if isinstance(p, int) else p for p in self.rules.parts(c)) + " " for c in found.words.take(odd).to_pylist()]
+            spaced = pc.replace_with_mask(spaced, pc.invert(plain), pa.array(own, pa.large_string()))
+        parts = words_of(spaced)
+        runs = self._ids(parts.words.to_pylist())
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        ids = np.frombuffer(b"".join(runs), "<u4")
+        chunk_ids, starts = _gather(parts.codes, ids, sizes)
+        chunk_sizes = starts[parts.offsets[1:]] - starts[parts.offsets[:-1]]
+        out, starts = _gather(found.codes, chunk_ids, chunk_sizes)
+        return out, starts[found.offsets]
 
 
 @cache
