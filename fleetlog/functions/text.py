@@ -35,10 +35,6 @@ def strip_ws(c: ColumnLike) -> Column:
     return F.trim(_col(c), F.lit(PY_WHITESPACE))
 
 
-def is_blank(c: ColumnLike) -> Column:
-    return F.coalesce(strip_ws(c) == F.lit(""), F.lit(True))
-
-
 def parse_iso_timestamp(c: ColumnLike, stripped: bool = False) -> Column:
     """ISO text -> TIMESTAMP_NTZ, null when it is not a valid local date-time.
 
@@ -85,10 +81,6 @@ def iso_text(c: ColumnLike) -> Column:
 EPOCH_MICROS_SQL = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})"
 
 
-def money(c: ColumnLike) -> Column:
-    return F.round(_col(c), 2)
-
-
 def round6(c: ColumnLike) -> Column:
     """Six-decimal half-up rounding by plain IEEE arithmetic, ``floor(x*1e6 + 0.5) / 1e6``.
 
@@ -99,10 +91,39 @@ def round6(c: ColumnLike) -> Column:
     return F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
 
 
-def fixed(c: ColumnLike, places: int) -> Column:
-    """Fixed-decimal display text (F9), e.g. ``fixed(liters, 1)`` -> ``'42.5'``.
+def exact_sum(c: ColumnLike) -> Column:
+    """Sum of doubles that does not depend on their order: added up as decimals with
+    nine places, turned into a double once at the end."""
+    return F.sum(_col(c).cast("decimal(28,9)")).cast("double")
+
 
-    Numbers stay numeric in every dataset; this is only for text sinks.  Java's
-    formatter rounds the exact binary value half-up, Python half-even: they
-    differ only on exact binary ties such as 0.125."""
-    return F.format_string(f"%.{int(places)}f", _col(c))
+def fixed(c: ColumnLike, places: int) -> Column:
+    """Fixed-decimal display text (F9) as Python's ``f"{x:.1f}"`` gives it, e.g.
+    ``fixed(liters, 1)`` -> ``'42.5'``: the binary value, rounded half to even.
+
+    Below 1024 in size the value is scaled by a power of two, which is exact from 2^-10 on,
+    and rounded in whole numbers; beyond, its shortest decimal text is rounded.  Numbers
+    stay numeric in every dataset, this is only for text sinks."""
+    x, unit = _col(c), 10 ** int(places)
+    size = F.when(F.abs(x) < 1024, F.abs(x))
+    scale = F.when(size < 1, F.lit(2 ** 62)).otherwise(F.lit(2 ** 52))
+    whole = (size * scale.cast("double")).cast("long").cast("decimal(20,0)") * F.lit(unit).cast("decimal(10,0)")
+    one = scale.cast("decimal(20,0)")
+    quotient = F.floor(whole / one)
+    quotient = F.when(quotient * one > whole, quotient - 1).otherwise(quotient)  # the division rounds
+    twice = (whole - quotient * one) * 2
+    rounded = F.when((twice > one) | ((twice == one) & (quotient % 2 == 1)), quotient + 1).otherwise(quotient)
+    near = (rounded.cast("decimal(30,0)") / F.lit(unit).cast("decimal(10,0)")).cast(f"decimal(30,{int(places)})").cast("string")
+    far = F.bround(x.cast("decimal(38,15)"), int(places)).cast(f"decimal(38,{int(places)})").cast("string")
+    return F.when(F.abs(x) < 1024, F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), near)).otherwise(far)
+
+
+def py_float(c: ColumnLike) -> Column:
+    """A double as Python prints it: plain digits from 1e-4 up to 1e16, where Spark
+    changes to an exponent at 1e-3 and 1e7."""
+    x = _col(c)
+    text = x.cast("string")
+    inside = (F.abs(x) >= 1e-4) & (F.abs(x) < 1e16)
+    plain = F.rtrim(F.when(inside, text.try_cast("decimal(38,17)")).cast("string"), F.lit("0"))
+    plain = F.when(F.endswith(plain, F.lit(".")), F.concat(plain, F.lit("0"))).otherwise(plain)
+    return F.when(text.contains("E") & inside, plain).otherwise(text)

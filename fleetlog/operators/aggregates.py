@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlog.functions.calendar import Period, month_bounds, month_end_label
-from fleetlog.functions.text import strip_ws
+from fleetlog.functions.text import exact_sum, strip_ws
 from fleetlog.schema import KEY, TS
 
 
@@ -23,7 +23,7 @@ def _keys(keys):
 
 
 def _sum0(c: str) -> Column:
-    return F.coalesce(F.sum(c), F.lit(0.0))
+    return F.coalesce(exact_sum(c), F.lit(0.0))
 
 
 def _weighted_price(eur: Column, liters: Column) -> Column:
@@ -67,8 +67,8 @@ def fuel_type_summary(fuel: DataFrame, keys: list[str] | None = None) -> DataFra
     """Count, litres and EUR per fuel type (A5)."""
     k = _keys(keys)
     return fuel.groupBy(*k, "fuel_type").agg(F.count(F.lit(1)).alias("count"),
-                                              F.sum("liters").alias("total_liters"),
-                                              F.sum("amount_eur").alias("total_eur"))
+                                              exact_sum("liters").alias("total_liters"),
+                                              exact_sum("amount_eur").alias("total_eur"))
 
 
 def fuel_type_share(fuel: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def fuel_type_share(fuel: DataFrame, keys: list[str] | None = None) -> DataFrame
 def avg_price_by_country(fuel: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Volume-weighted price and litres per country."""
     k = _keys(keys)
-    return (fuel.groupBy(*k, "country").agg(F.sum("amount_eur").alias("_eur"), F.sum("liters").alias("total_liters"))
+    return (fuel.groupBy(*k, "country").agg(exact_sum("amount_eur").alias("_eur"), exact_sum("liters").alias("total_liters"))
             .select(*k, "country", F.try_divide("_eur", "total_liters").alias("avg_price_per_liter"), "total_liters"))
 
 
@@ -98,7 +98,7 @@ def avg_price_by_city(fuel: DataFrame, keys: list[str] | None = None) -> DataFra
     Grouping is on the unstripped city value."""
     k = _keys(keys)
     return (fuel.filter(strip_ws("city") != "")
-            .groupBy(*k, "city").agg(F.sum("amount_eur").alias("_eur"), F.sum("liters").alias("total_liters"))
+            .groupBy(*k, "city").agg(exact_sum("amount_eur").alias("_eur"), exact_sum("liters").alias("total_liters"))
             .select(*k, "city", F.try_divide("_eur", "total_liters").alias("avg_price_per_liter"), "total_liters"))
 
 
@@ -120,37 +120,40 @@ def location_overview(fuel: DataFrame, column: str, keys: list[str] | None = Non
     litres desc, stops desc (A12, O4).  ``rank`` makes the order explicit."""
     k = _keys(keys)
     src = fuel.filter(strip_ws(column) != "") if column == "city" else fuel
-    g = (src.groupBy(*k, column).agg(F.count(F.lit(1)).alias("stops"), F.sum("liters").alias("liters"),
-                                     F.sum("amount_eur").alias("eur"))
+    g = (src.groupBy(*k, column).agg(F.count(F.lit(1)).alias("stops"), exact_sum("liters").alias("liters"),
+                                     exact_sum("amount_eur").alias("eur"))
          .withColumn("avg_price_per_liter", F.try_divide("eur", "liters")))
     order = Window.partitionBy(*k).orderBy(F.col("liters").desc(), F.col("stops").desc(), F.col(column))
     return g.withColumn("rank", F.row_number().over(order))
 
 
 def _monthly(fuel: DataFrame, k: list[str], value: Column, fill: Column | None) -> DataFrame:
-    """Month-end series with every month between the key's first and last event."""
-    g = fuel.groupBy(*k, month_end_label(TS).alias("month")).agg(value.alias("_v"))
-    # The skeleton is built from the aggregated table (one row per key-month), not the raw log.
-    span = g.groupBy(*k).agg(F.min("month").alias("_lo"), F.max("month").alias("_hi"))
-    months = span.select(*k, F.explode(F.sequence(F.trunc(F.col("_lo").cast("date"), "month"),
-                                                  F.trunc(F.col("_hi").cast("date"), "month"),
-                                                  F.expr("INTERVAL 1 MONTH"))).alias("_m"))
-    skeleton = months.select(*k, month_end_label("_m").alias("month"))
-    out = skeleton.join(g, k + ["month"], "left")
-    return out.select(*k, "month", (F.coalesce("_v", fill) if fill is not None else F.col("_v")).alias("_v"))
+    """Month-end series with every month between the key's first and last event.
+
+    Gaps are filled on the aggregated table: each month is repeated up to the one
+    before the key's next month, so the log is read and shuffled once."""
+    g = fuel.groupBy(*k, F.trunc(F.col(TS).cast("date"), "month").alias("_m")).agg(value.alias("_v"))
+    following = F.lead("_m").over(Window.partitionBy(*k).orderBy("_m"))
+    upto = F.coalesce(F.add_months(following, -1), F.col("_m"))
+    filled = g.withColumn("_upto", upto).select(
+        *k, "_m", "_v", F.explode(F.sequence("_m", "_upto", F.expr("INTERVAL 1 MONTH"))).alias("_at"))
+    own = F.when(F.col("_at") == F.col("_m"), F.col("_v"))
+    return filled.select(*k, month_end_label("_at").alias("month"),
+                         (F.when(F.col("_at") == F.col("_m"), F.col("_v")).otherwise(fill) if fill is not None else own).alias("_v"))
 
 
 def monthly_liters(fuel: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Litres per month-end label, gap months 0.0 (A10)."""
-    return _monthly(fuel, _keys(keys), F.sum("liters"), F.lit(0.0)).withColumnRenamed("_v", "liters")
+    return _monthly(fuel, _keys(keys), exact_sum("liters"), F.lit(0.0)).withColumnRenamed("_v", "liters")
 
 
 def monthly_spending(fuel: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """EUR per month-end label, gap months 0.0 (A10)."""
-    return _monthly(fuel, _keys(keys), F.sum("amount_eur"), F.lit(0.0)).withColumnRenamed("_v", "amount_eur")
+    return _monthly(fuel, _keys(keys), exact_sum("amount_eur"), F.lit(0.0)).withColumnRenamed("_v", "amount_eur")
 
 
 def fuel_price_trend(fuel: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Unweighted mean price per month-end label; gap months null."""
     price = F.try_divide(F.col("amount_eur"), F.col("liters"))
-    return _monthly(fuel, _keys(keys), F.avg(price), None).withColumnRenamed("_v", "avg_price_per_liter")
+    mean = F.try_divide(exact_sum(price), F.count(price))
+    return _monthly(fuel, _keys(keys), mean, None).withColumnRenamed("_v", "avg_price_per_liter")

@@ -15,8 +15,6 @@ O(N log N), no join between the two logs.
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,11 +148,3 @@ def distance_between(bounds: DataFrame, readings: DataFrame, keys: list[str] | N
                         {0: ("start_odometer", "_s"), 1: ("end_odometer", "_e")}, method)
     return (est.withColumn(out, _combine_distance("start_odometer", "end_odometer", "_s", "_e"))
             .withColumnRenamed("_s", start).withColumnRenamed("_e", end))
-
-
-def period_bounds(keys_df: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """Attach literal ``start``/``end`` columns to every key row."""
-    if start > end:
-        raise ValueError("start_dt must be before or equal to end_dt")
-    return (keys_df.withColumn("start", F.lit(start).cast("timestamp_ntz"))
-            .withColumn("end", F.lit(end).cast("timestamp_ntz")))

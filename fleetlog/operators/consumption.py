@@ -14,11 +14,11 @@ hash aggregate over primitive neighbour fields.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlog.functions.calendar import Period
-from fleetlog.functions.text import ts_text
+from fleetlog.functions.text import exact_sum, ts_text
 from fleetlog.operators.asof import flatten_estimate, regroup_sides
 from fleetlog.operators.sequence import BUCKET, DEFAULT_BUCKET, asof_neighbours, previous_row
 from fleetlog.schema import ESTIMATED, EXACT, INSUFFICIENT, KEY, ROW, TS
@@ -35,24 +35,26 @@ def consumption_estimates(fuel: DataFrame, readings: DataFrame, keys: list[str]
     Plan: (1) each refuel learns its predecessor from the fuel log alone (bucketed
     lag); (2) both instants of every pair are probed in ONE as-of pass over the
     readings; (3) the two estimates are brought back together per refuel.  No step
-    re-runs another step's shuffle.  A refuel is identified by (keys, time, row).
+    re-runs another step's shuffle.  A refuel is identified by its place in its
+    (keys, bucket), so refuels that agree in time and row number stay apart.
     """
     keys = [KEY] if keys is None else list(keys)
     f = fuel.select(*keys, TS, ROW, "liters", "amount_eur")
-    f = previous_row(f, keys, {"ts": F.col(TS), "n": F.col(ROW)}, "_prev", bucket=bucket).drop(BUCKET)
+    f = previous_row(f, keys, {"ts": F.col(TS), "n": F.col(ROW)}, "_prev", bucket=bucket,
+                     ties=["liters", "amount_eur"], position="_pos").withColumnRenamed(BUCKET, "_own")
     sides = F.array_compact(F.array(
         F.struct(F.lit(1).alias("side"), F.col(TS).alias("t")),
         F.when(F.col("_prev").isNotNull(), F.struct(F.lit(0).alias("side"), F.col("_prev.ts").alias("t")))))
-    probes = (f.select(*keys, F.col(TS).alias("_cur_ts"), F.col(ROW).alias("_cur_row"), "liters", "amount_eur",
+    probes = (f.select(*keys, "_own", "_pos", F.col(TS).alias("_cur_ts"), F.col(ROW).alias("_cur_row"), "liters", "amount_eur",
                        F.col("_prev.ts").alias("_prev_ts"), F.col("_prev.n").alias("_prev_n"),
                        F.explode(sides).alias("_s"))
               .select("*", F.col("_s.side").alias("_side"), F.col("_s.t").alias(TS)).drop("_s"))
     aligned = asof_neighbours(probes, readings, keys, "odometer_km", bucket=bucket,
                               probe_buckets=fuel.select(*keys, TS))
     # the two probes of each refuel back on one row (hash aggregate, see regroup_sides)
-    pairs = regroup_sides(aligned, [*keys, "_cur_ts", "_cur_row"], "_side",
+    pairs = regroup_sides(aligned, [*keys, "_own", "_pos", "_cur_ts"], "_side",
                           {0: ("odometer_at_previous", "_prev_ts"), 1: ("odometer_at_current", "_cur_ts")},
-                          method, extra=["_prev_ts", "_prev_n", "liters", "amount_eur"])
+                          method, extra=["_cur_row", "_prev_ts", "_prev_n", "liters", "amount_eur"])
     prev = F.struct(F.col("_prev_ts").alias("ts"), F.col("_prev_n").alias("n"))
     cur, prv = F.col("odometer_at_current"), F.col("odometer_at_previous")
     km = cur["value"] - prv["value"]
@@ -98,14 +100,18 @@ def consumption_flat(estimates: DataFrame, keys: list[str] | None = None) -> Dat
     )
 
 
+def _mean(c: str) -> Column:
+    return F.try_divide(exact_sum(c), F.count(c))
+
+
 def consumption_summary(estimates: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Unweighted means over segments per key (C4); keys without segments are absent."""
     keys = [KEY] if keys is None else list(keys)
     return estimates.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("segments"),
-        F.avg("liters_per_100km.value").alias("avg_l_per_100km"),
-        F.avg("cost_per_100km.value").alias("avg_cost_per_100km"),
-        F.avg("cost_per_km.value").alias("avg_cost_per_km"),
+        _mean("liters_per_100km.value").alias("avg_l_per_100km"),
+        _mean("cost_per_100km.value").alias("avg_cost_per_100km"),
+        _mean("cost_per_km.value").alias("avg_cost_per_km"),
         F.max(F.col("liters_per_100km.quality") == ESTIMATED).alias("any_estimated"),
     )
 

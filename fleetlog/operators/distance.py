@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlog.functions.calendar import Period, month_start
-from fleetlog.operators.sequence import DEFAULT_BUCKET, order_key, previous_row
+from fleetlog.operators.sequence import DEFAULT_BUCKET, first_value, order_key, previous_row
 from fleetlog.schema import KEY, ROW, TS
 
 
@@ -44,16 +44,11 @@ def monthly_km_driven(odo: DataFrame, keys: list[str] | None = None) -> DataFram
             .select(*k, "month", F.when(F.col("_n") < 2, F.lit(0.0)).otherwise(F.col("_d")).alias("km_driven")))
 
 
-def cumulative_distance(odo: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Each reading minus the key's first reading.
-
-    The first reading comes from an aggregate joined back on the key (AQE
-    broadcasts it while small and splits skewed partitions otherwise)."""
+def cumulative_distance(odo: DataFrame, keys: list[str] | None = None, bucket=DEFAULT_BUCKET) -> DataFrame:
+    """Each reading minus the key's first reading (W2); null keys are a key of their own."""
     k = _keys(keys)
-    jk = k or ["_all"]
-    src = odo if k else odo.withColumn("_all", F.lit(0))
-    first = src.groupBy(*jk).agg(F.min_by("odometer_km", _order()).alias("_first"))
-    return src.join(first, jk).select(*k, TS, ROW, (F.col("odometer_km") - F.col("_first")).alias("cumulative_km"))
+    d = first_value(odo, k, "odometer_km", "_first", bucket=bucket)
+    return d.select(*k, TS, ROW, (F.col("odometer_km") - F.col("_first")).alias("cumulative_km"))
 
 
 def with_delta(odo: DataFrame, keys: list[str] | None = None, out: str = "km_since_last_entry",

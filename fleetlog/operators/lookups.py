@@ -1,52 +1,37 @@
 """Lookups, membership tests, history top-k and periods.
 
-Dimension tables here are small by construction (the fixed country list or a
-caller's dimension); they are broadcast only through ``dimension_join``,
-which checks a row bound first, otherwise the join is left to the planner
-(AQE still broadcasts it at run time when the shuffle statistics are small).
+Joins with dimensions carry no hint: the planner and AQE broadcast a side whose
+size in bytes they know to be small, and shuffle otherwise.
 """
 
 from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlog.functions.calendar import Period, normalize_boundary
 from fleetlog.functions.text import iso_text
 from fleetlog.schema import COUNTRIES, KEY, PRIMARY_COUNTRY_CODES, ROW, TS
 
-MAX_BROADCAST_ROWS = 100_000
-
 
 def countries_dimension(spark: SparkSession) -> DataFrame:
     """The fixed country list as a two-column dimension ``(code, name)``."""
     return spark.createDataFrame(list(COUNTRIES), "code string, name string")
 
 
-def dimension_join(facts: DataFrame, dim: DataFrame, on, how: str = "left",
-                   max_rows: int = MAX_BROADCAST_ROWS, known_small: bool = False) -> DataFrame:
-    """Join a fact table with a dimension, broadcasting the dimension only when it is
-    known small (fixed list) or a bounded row probe proves ``rows <= max_rows``."""
-    small = known_small or dim.limit(max_rows + 1).count() <= max_rows
-    return facts.join(F.broadcast(dim) if small else dim, on, how)
-
-
-def with_country_name(df: DataFrame, dim: DataFrame, code: str = "country", out: str = "country_name",
-                      known_small: bool = True) -> DataFrame:
+def with_country_name(df: DataFrame, dim: DataFrame, code: str = "country", out: str = "country_name") -> DataFrame:
     """``name`` of the code from the dimension; a miss keeps the code itself."""
     d = dim.select(F.col("code").alias("_code"), F.col("name").alias("_name"))
-    joined = dimension_join(df, d, df[code] == d["_code"], "left", known_small=known_small)
+    joined = df.join(d, df[code] == d["_code"], "left")
     return joined.withColumn(out, F.coalesce("_name", F.col(code))).drop("_code", "_name")
 
 
-def known_codes(df: DataFrame, dim: DataFrame, code: str = "country", known: bool = True,
-                known_small: bool = True) -> DataFrame:
+def known_codes(df: DataFrame, dim: DataFrame, code: str = "country", known: bool = True) -> DataFrame:
     """Rows whose code is (``known=True``) or is not in the dimension (J4): semi / anti join."""
     d = dim.select(F.col("code").alias("_code"))
-    return dimension_join(df, d, df[code] == d["_code"], "left_semi" if known else "left_anti",
-                          known_small=known_small)
+    return df.join(d, df[code] == d["_code"], "left_semi" if known else "left_anti")
 
 
 def ordered_options(dim: DataFrame, primary=PRIMARY_COUNTRY_CODES) -> DataFrame:
@@ -71,8 +56,12 @@ def import_missing(incoming: DataFrame, target: DataFrame, keys: list[str] | Non
 
 
 def fetch_entries(fuel: DataFrame, start: datetime | None = None, end: datetime | None = None,
-                  limit: int | None = None, keys: list[str] | None = None) -> DataFrame:
-    """A key's entries, newest first, optional inclusive bounds and per-key limit (O1-O3).
+                  limit: int | None = None, keys: list[str] | None = None, ascending: bool = False,
+                  ordered: bool = False) -> DataFrame:
+    """A key's entries, optional inclusive bounds and per-key limit (O1-O3).
+
+    ``ordered`` sorts the result by key and time, newest first or ``ascending``, for a
+    sink that shows it; the limit keeps the newest either way.
 
     The per-key limit is a ``row_number <= k`` filter, which Spark plans as a
     window group limit: every task keeps at most ``k`` rows per key before the
@@ -87,6 +76,9 @@ def fetch_entries(fuel: DataFrame, start: datetime | None = None, end: datetime
     if limit is not None:
         w = Window.partitionBy(*keys).orderBy(F.col(TS).desc(), F.col(ROW).desc())
         out = out.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= limit)
+    if ordered:
+        order = [F.col(c).asc() if ascending else F.col(c).desc() for c in (TS, ROW)]
+        out = out.orderBy(*keys, *order)
     return out
 
 
@@ -144,11 +136,3 @@ def report_period(fuel: DataFrame, odo: DataFrame, start: date | datetime | None
     if s > e:
         raise ValueError("Report start date must not be after the end date.")
     return Period(s, e)
-
-
-def in_period(df: DataFrame, period: Period | None = None, start: Column | None = None,
-              end: Column | None = None) -> DataFrame:
-    """Inclusive period filter from a literal period or per-row bound columns (P5)."""
-    if period is not None:
-        return df.filter(period.contains(TS))
-    return df.filter(F.col(TS).between(start, end))

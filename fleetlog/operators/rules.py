@@ -14,8 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlog.functions.text import parse_iso_timestamp, parse_number, strip_ws, ts_text
-from fleetlog.operators.pairs import tolerance_pairs
+from fleetlog.functions.text import fixed, parse_iso_timestamp, parse_number, py_float, strip_ws, ts_text
+from fleetlog.operators.pairs import tolerance_groups
 from fleetlog.operators.sequence import DEFAULT_BUCKET, previous_row
 from fleetlog.schema import (
     ALLOWED_FUEL_TYPES, COUNTRY_CODE_PATTERN, DUPLICATE_TOLERANCE_MINUTES, ERROR, KEY,
@@ -60,9 +60,9 @@ def _pylist(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in sorted(values)) + "]"
 
 
-def _py_float_text(c: Column) -> Column:
-    """Float text close to Python's repr for ordinary magnitudes."""
-    return c.cast("string")
+def _sql_text(value: str) -> str:
+    """An SQL string literal of any text."""
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _raw_sql(field: str) -> str:
@@ -71,7 +71,7 @@ def _raw_sql(field: str) -> str:
 
 
 def _sql_list(values) -> str:
-    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+    return ", ".join(_sql_text(v) for v in values)
 
 
 def _issue(dataset: str, severity: str, rule: str, seq: int, field: str | None, message_sql: str) -> str:
@@ -99,7 +99,7 @@ def _number_issues(dataset: str, field: str, seq: int, positive: bool) -> list[t
         (f"{num} IS NULL", _issue(dataset, ERROR, f"{field}_not_numeric", seq, field,
                                   f"concat(\"Invalid numeric value for {field}: '\", {_raw_sql(field)}, \"'\")")),
         (f"{num} IS NOT NULL AND {bad_range}", _issue(dataset, ERROR, f"{field}_range", seq + 1, field,
-                                                      f"concat('{field} must be {word}, got ', CAST({num} AS STRING))")),
+                                                      f"concat('{field} must be {word}, got ', {num}_text)")),
     ]
 
 
@@ -138,8 +138,9 @@ def validate_fuel_rows(raw: DataFrame, keys: list[str] | None = None,
     row_ok = (c("_ts").isNotNull() & (c("_amount_eur") > 0) & (c("_liters") > 0)
               & c("_ftype").isin(*config.fuel_types) & c("_tank").isNotNull() & (c("_station") != "")
               & c("_country_ok"))
-    parsed = staged.withColumn("row_ok", F.coalesce(row_ok, F.lit(False))).withColumn(
-        "_amount", c("_amount_eur"))
+    parsed = staged.withColumns({"row_ok": F.coalesce(row_ok, F.lit(False)), "_amount": c("_amount_eur"),
+                                 "_amount_eur_text": py_float("_amount_eur"), "_liters_text": py_float("_liters"),
+                                 "_price_text": fixed(F.try_divide("_amount_eur", "_liters"), 3)})
     tank_ok = "_tank IS NOT NULL"
     price = "(_amount / _liters)"
     rules = [
@@ -150,7 +151,7 @@ def validate_fuel_rows(raw: DataFrame, keys: list[str] | None = None,
     rules += [
         (f"NOT _ftype IN ({_sql_list(config.fuel_types)})",
          _issue(ds, ERROR, "fuel_type_invalid", 6, "fuel_type",
-                f"concat(\"Invalid fuel_type: '\", _ftype, \"'. Allowed: {_pylist(config.fuel_types)}\")")),
+                f"concat(\"Invalid fuel_type: '\", _ftype, {_sql_text(f"'. Allowed: {_pylist(config.fuel_types)}")})")),
         (f"NOT ({tank_ok})", _issue(ds, ERROR, "full_tank_invalid", 7, "is_full_tank",
                                     f"concat(\"Invalid full tank value: '\", {_raw_sql('is_full_tank')}, "
                                     f"\"'. Expected true/false/empty or yes/no/1/0.\")")),
@@ -163,13 +164,13 @@ def validate_fuel_rows(raw: DataFrame, keys: list[str] | None = None,
                 "concat(\"Invalid country code format: '\", _country, \"'. Expected 2-letter ISO code.\")")),
         (f"{tank_ok} AND _country_ok AND NOT _country IN ({_sql_list(config.primary_countries)})",
          _issue(ds, WARNING, "country_not_primary", 11, "country",
-                f"concat(\"Country '\", _country, \"' is not in the primary set {_pylist(config.primary_countries)}\")")),
+                f"concat(\"Country '\", _country, {_sql_text(f"' is not in the primary set {_pylist(config.primary_countries)}")})")),
         (f"row_ok AND {price} < {config.price_min_warn}",
          _issue(ds, WARNING, "price_low", 12, "amount_eur",
-                f"concat('Suspiciously low derived price per liter: ', format_string('%.3f', {price}), ' EUR')")),
+                f"concat('Suspiciously low derived price per liter: ', _price_text, ' EUR')")),
         (f"row_ok AND {price} > {config.price_max_warn}",
          _issue(ds, WARNING, "price_high", 13, "amount_eur",
-                f"concat('Suspiciously high derived price per liter: ', format_string('%.3f', {price}), ' EUR')")),
+                f"concat('Suspiciously high derived price per liter: ', _price_text, ' EUR')")),
     ]
     return parsed, _explode_issues(parsed, keys, rules)
 
@@ -198,8 +199,21 @@ def fuel_good_rows(parsed: DataFrame, keys: list[str]) -> DataFrame:
 
 def fuel_duplicates(good: DataFrame, keys: list[str] | None = None,
                     tolerance_minutes: float = DUPLICATE_TOLERANCE_MINUTES) -> DataFrame:
-    """Pairs of surviving fuel rows with equal litres within the tolerance."""
-    return tolerance_pairs(good, list(keys or []), ["liters"], tolerance_minutes=tolerance_minutes, orient="row")
+    """Instants of surviving fuel rows with equal litres within the tolerance (V13, J2),
+    one row for each instant with its nearest earlier partner and its pair count."""
+    return tolerance_groups(good, list(keys or []), ["liters"], tolerance_minutes=tolerance_minutes)
+
+
+def _duplicate_issues(groups: DataFrame, keys: list[str], dataset: str, seq: int, what: Column, minutes: float) -> DataFrame:
+    """One issue for each instant with partners; ``pairs`` counts the pairs it stands for."""
+    partner = F.coalesce(F.col("nearest_ts"), F.col(TS))
+    return groups.select(*keys, F.lit(dataset).alias("dataset"), F.lit(WARNING).alias("severity"),
+                         F.lit("potential_duplicate").alias("rule"), F.lit(seq).alias("rule_seq"),
+                         F.lit(None).cast("long").alias(ROW), F.lit(None).cast("string").alias("field"),
+                         F.concat(what, ts_text(partner), F.lit(" and "), ts_text(TS),
+                                  F.lit(f" (within {_tolerance_text(minutes)})")).alias("message"),
+                         F.coalesce("nearest_row", "first_row").alias("pair_row_a"), F.col("last_row").alias("pair_row_b"),
+                         "pairs")
 
 
 def _tolerance_text(minutes: float) -> str:
@@ -207,22 +221,22 @@ def _tolerance_text(minutes: float) -> str:
     return f"{total // 3600}:{total % 3600 // 60:02d}:{total % 60:02d}"
 
 
+def _single(issues: DataFrame) -> DataFrame:
+    """Row issues with the columns of pair issues; each stands for itself."""
+    none = F.lit(None).cast("long")
+    return issues.withColumns({"pair_row_a": none, "pair_row_b": none, "pairs": F.lit(1).cast("long")})
+
+
 def validate_fuel(raw: DataFrame, keys: list[str] | None = None,
                   config: RuleConfig = RuleConfig()) -> Validated:
     """Row rules, then the duplicate rule on surviving rows."""
     keys = list(keys or [])
     parsed, row_issues = validate_fuel_rows(raw, keys, config)
     good = fuel_good_rows(parsed, keys)
-    pairs = fuel_duplicates(good, keys, config.duplicate_minutes)
-    dup = pairs.select(*keys, F.lit("fuel").alias("dataset"), F.lit(WARNING).alias("severity"),
-                       F.lit("potential_duplicate").alias("rule"), F.lit(20).alias("rule_seq"),
-                       F.lit(None).cast("long").alias(ROW), F.lit(None).cast("string").alias("field"),
-                       F.concat(F.lit("Potential duplicate: rows with "), _py_float_text(F.col("liters")),
-                                F.lit("L at "), ts_text("a_ts"), F.lit(" and "), ts_text("b_ts"),
-                                F.lit(f" (within {_tolerance_text(config.duplicate_minutes)})")).alias("message"),
-                       F.col("a_row").alias("pair_row_a"), F.col("b_row").alias("pair_row_b"))
-    issues = row_issues.withColumn("pair_row_a", F.lit(None).cast("long")).withColumn(
-        "pair_row_b", F.lit(None).cast("long")).unionByName(dup)
+    what = F.concat(F.lit("Potential duplicate: rows with "), py_float("liters"), F.lit("L at "))
+    dup = _duplicate_issues(fuel_duplicates(good, keys, config.duplicate_minutes), keys, "fuel", 20, what,
+                            config.duplicate_minutes)
+    issues = _single(row_issues).unionByName(dup)
     return Validated(good, issues)
 
 
@@ -237,7 +251,8 @@ def validate_odometer_rows(raw: DataFrame, keys: list[str] | None = None) -> tup
                           strip_ws(_s("notes")).alias("_notes"))
     staged = stripped.select("*", parse_iso_timestamp("_dt_s", stripped=True).alias("_ts"),
                              parse_number("_km_s", stripped=True).alias("_odometer_km")).drop("_dt_s", "_km_s")
-    parsed = staged.withColumn("row_ok", F.coalesce(c("_ts").isNotNull() & (c("_odometer_km") >= 0), F.lit(False)))
+    parsed = staged.withColumns({"row_ok": F.coalesce(c("_ts").isNotNull() & (c("_odometer_km") >= 0), F.lit(False)),
+                                 "_odometer_km_text": py_float("_odometer_km")})
     rules = [("_ts IS NULL", _issue(ds, ERROR, "datetime_unparsable", 1, "datetime",
                                     f"concat(\"Unparsable datetime: '\", {_raw_sql('datetime')}, \"'\")"))]
     rules += _number_issues(ds, "odometer_km", 2, False)
@@ -256,9 +271,8 @@ def odometer_monotonicity(good: DataFrame, keys: list[str] | None = None, bucket
 
 def odometer_duplicates(good: DataFrame, keys: list[str] | None = None, equal: list[str] | None = None,
                         tolerance_minutes: float = DUPLICATE_TOLERANCE_MINUTES) -> DataFrame:
-    """Pairs of readings with the same km within the tolerance, in time order."""
-    return tolerance_pairs(good, list(keys or []), list(equal or ["odometer_km"]),
-                           tolerance_minutes=tolerance_minutes, orient="time")
+    """Instants of readings with the same km within the tolerance (V15, J2), like ``fuel_duplicates``."""
+    return tolerance_groups(good, list(keys or []), list(equal or ["odometer_km"]), tolerance_minutes=tolerance_minutes)
 
 
 def validate_odometer(raw: DataFrame, keys: list[str] | None = None,
@@ -272,26 +286,21 @@ def validate_odometer(raw: DataFrame, keys: list[str] | None = None,
         *keys, F.lit("odometer").alias("dataset"), F.lit(WARNING).alias("severity"),
         F.lit("monotonicity").alias("rule"), F.lit(20).alias("rule_seq"), F.lit(None).cast("long").alias(ROW),
         F.lit("odometer_km").alias("field"),
-        F.concat(F.lit("Odometer monotonicity violation: "), _py_float_text(F.col("odometer_km")), F.lit(" km at "),
-                 ts_text(TS), F.lit(" is less than "), _py_float_text(F.col("previous_km")), F.lit(" km at "),
+        F.concat(F.lit("Odometer monotonicity violation: "), py_float("odometer_km"), F.lit(" km at "),
+                 ts_text(TS), F.lit(" is less than "), py_float("previous_km"), F.lit(" km at "),
                  ts_text("previous_ts")).alias("message"),
         F.col("previous_row_num").alias("pair_row_a"), F.col(ROW).alias("pair_row_b"))
-    dups = odometer_duplicates(good, keys, tolerance_minutes=config.duplicate_minutes).select(
-        *keys, F.lit("odometer").alias("dataset"), F.lit(WARNING).alias("severity"),
-        F.lit("potential_duplicate").alias("rule"), F.lit(21).alias("rule_seq"), F.lit(None).cast("long").alias(ROW),
-        F.lit(None).cast("string").alias("field"),
-        F.concat(F.lit("Potential duplicate: odometer readings of "), _py_float_text(F.col("odometer_km")),
-                 F.lit(" km at "), ts_text("a_ts"), F.lit(" and "), ts_text("b_ts"),
-                 F.lit(f" (within {_tolerance_text(config.duplicate_minutes)})")).alias("message"),
-        F.col("a_row").alias("pair_row_a"), F.col("b_row").alias("pair_row_b"))
-    issues = (row_issues.withColumn("pair_row_a", F.lit(None).cast("long"))
-              .withColumn("pair_row_b", F.lit(None).cast("long")).unionByName(mono).unionByName(dups))
+    what = F.concat(F.lit("Potential duplicate: odometer readings of "), py_float("odometer_km"), F.lit(" km at "))
+    dups = _duplicate_issues(odometer_duplicates(good, keys, tolerance_minutes=config.duplicate_minutes), keys, "odometer",
+                             21, what, config.duplicate_minutes)
+    issues = _single(row_issues).unionByName(mono.withColumn("pairs", F.lit(1).cast("long"))).unionByName(dups)
     return Validated(good, issues)
 
 
 def issue_summary(issues: DataFrame) -> DataFrame:
-    """Issue counts per dataset, severity and rule."""
-    return issues.groupBy("dataset", "severity", "rule").agg(F.count(F.lit(1)).alias("issues"))
+    """Issue counts per dataset, severity and rule (V16, A13); a duplicate issue counts
+    the pairs that it stands for."""
+    return issues.groupBy("dataset", "severity", "rule").agg(F.sum("pairs").alias("issues"))
 
 
 def issue_lines(issues: DataFrame) -> DataFrame:
@@ -307,13 +316,13 @@ def quality_summary(fuel: Validated, odometer: Validated) -> DataFrame:
 
     One aggregation over the union of issue rows and good rows per log."""
     def tagged(name: str, v: Validated) -> DataFrame:
-        return (v.issues.select(F.lit(name).alias("dataset"), F.col("severity"), F.lit(0).alias("_good"))
+        return (v.issues.select(F.lit(name).alias("dataset"), "severity", "pairs", F.lit(0).alias("_good"))
                 .unionByName(v.good.select(F.lit(name).alias("dataset"), F.lit(None).cast("string").alias("severity"),
-                                           F.lit(1).alias("_good"))))
+                                           F.lit(0).cast("long").alias("pairs"), F.lit(1).alias("_good"))))
     return (tagged("fuel", fuel).unionByName(tagged("odometer", odometer)).groupBy("dataset")
             .agg(F.sum("_good").cast("long").alias("valid_records"),
-                 F.count_if(F.col("severity") == ERROR).alias("errors"),
-                 F.count_if(F.col("severity") == WARNING).alias("warnings"))
+                 F.sum(F.when(F.col("severity") == ERROR, F.col("pairs")).otherwise(0)).alias("errors"),
+                 F.sum(F.when(F.col("severity") == WARNING, F.col("pairs")).otherwise(0)).alias("warnings"))
             .withColumn("is_valid", F.col("errors") == 0))
 
 
@@ -327,16 +336,25 @@ def clean_decimal(c: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
 
-def validate_entries(entries: DataFrame, keys: list[str] | None = None,
-                     config: RuleConfig = RuleConfig()) -> tuple[DataFrame, DataFrame]:
-    """Entry-form rules: whole record rejected on any error.
+def clean_entries(entries: DataFrame) -> DataFrame:
+    """The form's decimal clean-up of ``liters`` and ``amount_eur`` (V19); text that is no
+    number stays as it is, for the rules to reject."""
+    def cleaned(field: str) -> Column:
+        return F.coalesce(clean_decimal(F.col(field)).cast("string"), F.col(field).cast("string"))
+    return entries.withColumns({field: cleaned(field) for field in ("liters", "amount_eur")})
+
+
+def validate_entries(entries: DataFrame, keys: list[str] | None = None, config: RuleConfig = RuleConfig(),
+                     clean: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Entry-form rules: whole record rejected on any error (V18); ``clean`` runs V19 first.
 
     Input columns: station_name, city, country, liters, amount_eur, entry_date,
     fuel_type, is_full_tank, notes (+ keys, row_num).  Returns ``(accepted,
     rejected)``; accepted rows carry ``warnings`` (array of price warnings),
-    rejected rows an ``errors`` map field -> message.
+    rejected rows all their input columns and an ``errors`` map field -> message.
     """
     keys = list(keys or [])
+    entries = clean_entries(entries) if clean else entries
     station = strip_ws(_s("station_name"))
     city = strip_ws(_s("city"))
     country = F.upper(strip_ws(_s("country")))
@@ -357,19 +375,18 @@ def validate_entries(entries: DataFrame, keys: list[str] | None = None,
     ]
     errs = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(f).alias("field"), F.lit(m).alias("message")))
                                      for f, bad, m in checks]))
-    price = amount / liters
+    price = F.try_divide(amount, liters)
     warns = F.array_compact(F.array(
-        F.when(price < config.price_min_warn, F.concat(F.lit("Derived price per liter ("), F.format_string("%.3f", price),
+        F.when(price < config.price_min_warn, F.concat(F.lit("Derived price per liter ("), fixed(price, 3),
                                                        F.lit(" EUR/L) is suspiciously low."))),
-        F.when(price > config.price_max_warn, F.concat(F.lit("Derived price per liter ("), F.format_string("%.3f", price),
+        F.when(price > config.price_max_warn, F.concat(F.lit("Derived price per liter ("), fixed(price, 3),
                                                        F.lit(" EUR/L) is suspiciously high.")))))
-    staged = entries.select(*keys, *([ROW] if ROW in entries.columns else []), errs.alias("_errs"),
-                            when_ts.alias(TS), amount.alias("amount_eur"), liters.alias("liters"),
-                            ftype.alias("fuel_type"), tank.alias("is_full_tank"), station.alias("station_name"),
-                            city.alias("city"), country.alias("country"), strip_ws(_s("notes")).alias("notes"),
-                            warns.alias("warnings"))
-    accepted = staged.filter(F.size("_errs") == 0).drop("_errs").withColumn(
-        "price_per_liter_eur", F.col("amount_eur") / F.col("liters"))
-    rejected = staged.filter(F.size("_errs") > 0).select(
-        *keys, *([ROW] if ROW in entries.columns else []), F.map_from_entries("_errs").alias("errors"))
+    number = [ROW] if ROW in entries.columns else []
+    staged = entries.select("*", errs.alias("_errs"))
+    accepted = staged.filter(F.size("_errs") == 0).select(
+        *keys, *number, when_ts.alias(TS), amount.alias("amount_eur"), liters.alias("liters"), ftype.alias("fuel_type"),
+        tank.alias("is_full_tank"), station.alias("station_name"), city.alias("city"), country.alias("country"),
+        strip_ws(_s("notes")).alias("notes"), warns.alias("warnings"),
+        F.try_divide(amount, liters).alias("price_per_liter_eur"))
+    rejected = staged.filter(F.size("_errs") > 0).withColumn("errors", F.map_from_entries("_errs")).drop("_errs")
     return accepted, rejected

@@ -15,7 +15,8 @@ fall back to a sort-based aggregate).  Summaries read the operator's *input*
 only, so no branch of the plan re-runs the ordered work.
 
 With ``keys=[]`` (the single-vehicle case of the original tool) the same
-plans apply; only the tiny bucket table is ordered globally.
+plans apply; only the tiny bucket table is ordered globally.  Null keys are a
+key of their own in every operator here (``key_id``).
 """
 
 from __future__ import annotations
@@ -74,52 +75,65 @@ def _order_struct(ts: str, row: str | None) -> Column:
     return F.struct(*fields)
 
 
+def key_id(keys: list[str]) -> Column:
+    """All keys as one column that is never null, so that null keys are a key of
+    their own under plain equality: windows, aggregates and joins on it share one
+    partitioning (a null-safe join would hash other expressions and shuffle again)."""
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+
+
 def previous_row(df: DataFrame, keys: list[str], payload: dict[str, Column], out: str,
-                 ts: str = TS, row: str | None = ROW, bucket=DEFAULT_BUCKET) -> DataFrame:
+                 ts: str = TS, row: str | None = ROW, bucket=DEFAULT_BUCKET,
+                 ties: list[str] = (), position: str | None = None) -> DataFrame:
     """Add ``out`` = struct of ``payload`` (name -> primitive column) from the previous
-    row in ``(ts, row)`` order.
+    row in ``(ts, row, *ties)`` order.
 
     Null on each key's first row.  Equivalent to ``lag(struct(payload))`` over
     ``partitionBy(keys).orderBy(ts, row)`` without the one-task-per-key limit.
+    ``position`` names a column that numbers the rows of a (keys, bucket), which
+    identifies a row even where times and row numbers repeat.
     """
     names = list(payload)
     d = (with_bucket(df, ts, bucket).withColumn("_v", F.struct(*[c.alias(n) for n, c in payload.items()]))
-         .withColumn("_k", order_key(ts, row)))
-    kb = keys + [BUCKET]
-    last = d.groupBy(*kb).agg(*[F.max_by(F.col("_v")[n], "_k").alias(n) for n in names])
-    carry = last.select(*kb, F.lag(F.struct(*names)).over(Window.partitionBy(*keys).orderBy(BUCKET)).alias("_carry"))
-    in_bucket = Window.partitionBy(*kb).orderBy("_k")
-    return (d.join(carry, kb, "left")
-            .withColumn(out, F.coalesce(F.lag("_v").over(in_bucket), F.col("_carry")))
-            .drop("_v", "_k", "_carry"))
+         .withColumn("_k", order_key(ts, row)).withColumn("_kid", key_id(keys)))
+    tie = [*ties, *(F.col("_v")[n] for n in names)]
+    last = d.groupBy("_kid", BUCKET).agg(*[F.max_by(F.col("_v")[n], "_k").alias(n) for n in names])
+    carry = last.select("_kid", BUCKET, F.lag(F.struct(*names)).over(Window.partitionBy("_kid").orderBy(BUCKET)).alias("_carry"))
+    in_bucket = Window.partitionBy("_kid", BUCKET).orderBy("_k", *tie)
+    found = d.join(carry, ["_kid", BUCKET], "left").withColumn(out, F.coalesce(F.lag("_v").over(in_bucket), F.col("_carry")))
+    if position:
+        found = found.withColumn(position, F.row_number().over(in_bucket))
+    return found.drop("_v", "_k", "_carry", "_kid")
 
 
 def running_total(df: DataFrame, keys: list[str], value: Column, out: str,
                   ts: str = TS, row: str | None = ROW, bucket=DEFAULT_BUCKET) -> DataFrame:
     """Add ``out`` = cumulative sum of ``value`` in ``(ts, row)`` order per key (rows frame)."""
-    d = with_bucket(df, ts, bucket).withColumn("_x", value).withColumn("_o", _order_struct(ts, row))
-    kb = keys + [BUCKET]
-    totals = d.groupBy(*kb).agg(F.sum("_x").alias("_tot"))
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*kb, F.sum("_tot").over(before).alias("_carry"))
-    upto = Window.partitionBy(*kb).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    d = (with_bucket(df, ts, bucket).withColumn("_x", value).withColumn("_o", _order_struct(ts, row))
+         .withColumn("_kid", key_id(keys)))
+    totals = d.groupBy("_kid", BUCKET).agg(F.sum("_x").alias("_tot"))
+    before = Window.partitionBy("_kid").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("_kid", BUCKET, F.sum("_tot").over(before).alias("_carry"))
+    upto = Window.partitionBy("_kid", BUCKET).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
     zero = F.lit(0).cast(d.schema["_x"].dataType)
-    return (d.join(carry, kb, "left")
+    return (d.join(carry, ["_kid", BUCKET], "left")
             .withColumn(out, F.sum("_x").over(upto) + F.coalesce("_carry", zero))
-            .drop("_x", "_o", "_carry"))
+            .drop("_x", "_o", "_carry", "_kid"))
 
 
-def _dec(value: int) -> Column:
-    return F.lit(str(value)).cast("decimal(38,0)")
+def first_value(df: DataFrame, keys: list[str], value: str, out: str,
+                ts: str = TS, row: str | None = ROW, bucket=DEFAULT_BUCKET) -> DataFrame:
+    """Add ``out`` = ``value`` of each key's first row in ``(ts, row)`` order, carried to
+    the key's buckets so that a key's rows never meet in one task."""
+    d = with_bucket(df, ts, bucket).withColumn("_kid", key_id(keys))
+    heads = d.groupBy("_kid", BUCKET).agg(F.min_by(value, order_key(ts, row)).alias("_head"))
+    of_key = Window.partitionBy("_kid").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)
+    carry = heads.select("_kid", BUCKET, F.first("_head").over(of_key).alias(out))
+    return d.join(carry, ["_kid", BUCKET]).drop("_kid")
 
 
-def _decode(key: Column, value: Column) -> Column:
-    """(order key, value) -> reading struct ``(_t, _n, ts, km)``; null when the key is null."""
-    t = F.floor(key / _dec(_ROW_SHIFT)).cast("long")
-    n = ((key % _dec(_ROW_SHIFT)) - _dec(_ROW_OFFSET)).cast("long")
-    return F.when(key.isNotNull(), F.struct(t.alias("_t"), n.alias("_n"),
-                                            F.timestamp_micros(t).cast("timestamp_ntz").alias("ts"),
-                                            value.alias("km")))
+def _dec(value: int) -> Column:
+    return F.lit(str(value)).cast("decimal(38,0)")
 
 
 def _q(name: str) -> str:
@@ -134,43 +148,45 @@ def asof_neighbours(probes: DataFrame, readings: DataFrame, keys: list[str], val
     Adds struct columns ``_before`` (last reading with ts < t; ties -> highest row),
     ``_exact`` (first reading with ts = t) and ``_after`` (first reading with ts > t;
     ties -> lowest row; only set when there is no exact reading, which is the only
-    case that needs it), each ``(_t, _n, ts, km)``, plus ``_bucket``.
-
-    Plan: probes and readings are unioned and shuffled once by ``(keys, bucket)``;
-    two ``last(ignore nulls)`` row windows (one ascending, one descending; primitive
-    sort keys, incremental frames) find the in-bucket neighbours; neighbours in other buckets
-    come from a per-bucket summary of the readings (hash aggregate on the packed
-    order key) carried by windows over that small table.  ``probe_buckets`` (keys +
-    ``ts``) may stand in for ``probes`` when listing probe buckets -- pass the cheap
-    scanned input the probes came from, so the summary never re-runs their plan.
+    case that needs it), each ``(_t, _n, ts, km)``, plus ``_bucket``.  Readings that
+    agree in time and row are taken in the order of their value.
+
+    Plan: probes and readings are unioned, each column by name, and shuffled once by
+    ``(keys, bucket)``; two ``last(ignore nulls)`` row windows (one ascending, one
+    descending; incremental frames) find the in-bucket neighbours; neighbours in
+    other buckets come from a per-bucket summary of the readings (hash aggregate on
+    the packed order key) carried by windows over that small table and joined on the
+    same partitioning.  ``probe_buckets`` (keys + ``ts``) may stand in for ``probes``
+    when listing probe buckets -- pass the cheap scanned input the probes came from,
+    so the summary never re-runs their plan.
 
     Written as one SQL statement over the three inputs: Spark parses and analyses
     it once instead of once per DataFrame step.
     """
     spark = probes.sparkSession
     b = bucket_micros(bucket)
-    k = ", ".join(_q(x) for x in keys)
-    kc = k + ", " if keys else ""
-    part = f"PARTITION BY {k}" if keys else ""
+    kid = f"named_struct({', '.join(f'{x!r}, {_q(x)}' for x in keys)})" if keys else "named_struct('_all', 0)"
     us = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})"
     shift, offset = f"CAST('{_ROW_SHIFT}' AS DECIMAL(38,0))", f"CAST('{_ROW_OFFSET}' AS DECIMAL(38,0))"
-    pcols = [c for c in probes.columns if c not in keys]
-    ptypes = {f.name: f.dataType.simpleString() for f in probes.schema.fields}
-    probe_sel = ", ".join(_q(c) for c in probes.columns)
-    read_sel = ", ".join([*(_q(x) for x in keys),
-                          *(f"rd.event_ts AS {_q(c)}" if c == ts else f"CAST(NULL AS {ptypes[c]}) AS {_q(c)}"
-                            for c in pcols)])
+    columns = probes.columns
+    types = {f.name: f.dataType.simpleString() for f in probes.schema.fields}
+    probe_sel = ", ".join(_q(c) for c in columns)
+    # the readings in the probes' column order
+    read_sel = ", ".join(_q(c) if c in keys else f"event_ts AS {_q(c)}" if c == ts else f"CAST(NULL AS {types[c]}) AS {_q(c)}"
+                         for c in columns)
+    key_sel = "".join(f"{_q(x)}, " for x in keys)
     reading_t = "STRUCT<_t: BIGINT, _n: BIGINT, ts: TIMESTAMP_NTZ, km: DOUBLE>"
 
     def decode(key, km):
-        return (f"CASE WHEN {key} IS NOT NULL THEN named_struct('_t', CAST(floor({key} / {shift}) AS BIGINT), "
-                f"'_n', CAST(({key} % {shift}) - {offset} AS BIGINT), "
-                f"'ts', CAST(timestamp_micros(CAST(floor({key} / {shift}) AS BIGINT)) AS TIMESTAMP_NTZ), "
-                f"'km', {km}) END")
+        t = f"CAST(floor({key} / {shift}) AS BIGINT)"
+        # pmod: the order key of a time before 1970 is negative
+        return (f"CASE WHEN {key} IS NOT NULL THEN named_struct('_t', {t}, "
+                f"'_n', CAST(pmod({key}, {shift}) - {offset} AS BIGINT), "
+                f"'ts', CAST(timestamp_micros({t}) AS TIMESTAMP_NTZ), 'km', {km}) END")
 
     query = f"""
 WITH rd AS (
-  SELECT {kc}{_q(ts)} AS event_ts, CAST({_q(row)} AS BIGINT) AS _n, CAST({_q(value)} AS DOUBLE) AS _km,
+  SELECT {key_sel}{kid} AS _kid, {_q(ts)} AS event_ts, CAST({_q(row)} AS BIGINT) AS _n, CAST({_q(value)} AS DOUBLE) AS _km,
          floor({us.format(_q(ts))} / {b}) AS _bucket
   FROM {{readings}}),
 rdk AS (
@@ -178,36 +194,37 @@ rdk AS (
                  + CAST(coalesce(_n, 0) AS DECIMAL(38,0)) + {offset} AS DECIMAL(38,0)) AS _k
   FROM rd),
 summary AS (
-  SELECT {kc}_bucket, min(_k) AS _fk, min_by(_km, _k) AS _fkm, max(_k) AS _lk, max_by(_km, _k) AS _lkm
-  FROM (SELECT {kc}_bucket, _k, _km FROM rdk
+  SELECT _kid, _bucket, min(_k) AS _fk, min_by(_km, _k) AS _fkm, max(_k) AS _lk, max_by(_km, _k) AS _lkm
+  FROM (SELECT _kid, _bucket, _k, _km FROM rdk
         UNION ALL
-        SELECT {kc}floor({us.format(_q(ts))} / {b}) AS _bucket, CAST(NULL AS DECIMAL(38,0)), CAST(NULL AS DOUBLE)
+        SELECT {kid}, floor({us.format(_q(ts))} / {b}), CAST(NULL AS DECIMAL(38,0)), CAST(NULL AS DOUBLE)
         FROM {{bucket_src}})
-  GROUP BY {kc}_bucket),
+  GROUP BY _kid, _bucket),
 carry AS (
-  SELECT {kc}_bucket,
+  SELECT _kid, _bucket,
          {decode('max(_lk) OVER w_up', 'max_by(_lkm, _lk) OVER w_up')} AS _prev_last,
          {decode('min(_fk) OVER w_down', 'min_by(_fkm, _fk) OVER w_down')} AS _next_first
   FROM summary
-  WINDOW w_up AS ({part} ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-         w_down AS ({part} ORDER BY _bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  WINDOW w_up AS (PARTITION BY _kid ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         w_down AS (PARTITION BY _kid ORDER BY _bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 events AS (
-  SELECT {probe_sel}, floor({us.format(_q(ts))} / {b}) AS _bucket, CAST(NULL AS {reading_t}) AS _r, true AS _probe
+  SELECT {probe_sel}, {kid} AS _kid, floor({us.format(_q(ts))} / {b}) AS _bucket,
+         CAST(NULL AS {reading_t}) AS _r, true AS _probe
   FROM {{probes}}
   UNION ALL
-  SELECT {read_sel}, rd._bucket,
-         named_struct('_t', {us.format('rd.event_ts')}, '_n', rd._n, 'ts', rd.event_ts, 'km', rd._km), false
+  SELECT {read_sel}, _kid, _bucket,
+         named_struct('_t', {us.format('event_ts')}, '_n', _n, 'ts', event_ts, 'km', _km), false
   FROM rd),
 joined AS (
-  SELECT e.*, c._prev_last, c._next_first, {us.format('e.' + _q(ts))} AS _tq, e._r._n AS _rn
-  FROM events e LEFT JOIN carry c ON {' AND '.join([*(f'e.{_q(x)} <=> c.{_q(x)}' for x in keys), 'e._bucket = c._bucket'])}),
+  SELECT e.*, c._prev_last, c._next_first, {us.format('e.' + _q(ts))} AS _tq, e._r._n AS _rn, e._r.km AS _rkm
+  FROM events e LEFT JOIN carry c ON e._kid = c._kid AND e._bucket = c._bucket),
 aligned AS (
   SELECT *,
          -- last reading strictly before: probes sort before readings of the same instant
-         coalesce(last(_r, true) OVER (PARTITION BY {kc}_bucket ORDER BY _tq, _probe DESC, _rn
+         coalesce(last(_r, true) OVER (PARTITION BY _kid, _bucket ORDER BY _tq, _probe DESC, _rn, _rkm
                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), _prev_last) AS _before,
          -- first reading at or after: descending, readings before probes of the same instant
-         coalesce(last(_r, true) OVER (PARTITION BY {kc}_bucket ORDER BY _tq DESC, _probe, _rn DESC
+         coalesce(last(_r, true) OVER (PARTITION BY _kid, _bucket ORDER BY _tq DESC, _probe, _rn DESC, _rkm DESC
                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), _next_first) AS _ge
   FROM joined)
 SELECT {probe_sel}, _bucket, _before,

@@ -9,6 +9,7 @@ driver tables through the fixture views.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlog.functions.calendar import RANGE_KEYS, Period, normalize_boundary, resolve_range
-from fleetlog.functions.text import round6, strip_ws
+from fleetlog.functions.text import exact_sum, fixed, round6
 from fleetlog.operators import aggregates as agg
 from fleetlog.operators import distance as dist
 from fleetlog.operators import lookups as lk
@@ -24,12 +25,12 @@ from fleetlog.operators import rules
 from fleetlog.operators.asof import distance_between, odometer_at
 from fleetlog.operators.consumption import (
     consumption_estimates, consumption_flat as _flat, consumption_in_period as _in_period,
-    consumption_summary as _summary,
+    consumption_series as _series, consumption_summary as _summary,
 )
-from fleetlog.operators.pairs import tolerance_pairs
 from fleetlog.plans import report
-from fleetlog.schema import KEY, ROW, TS
-from fleetlog.sources import fixtures as fx
+from fleetlog.schema import FUEL_RAW_COLUMNS, FUEL_SCHEMA, KEY, ODO_SCHEMA, ROW, TS
+from fleetlog.session import scratch_path
+from fleetlog.sources import csv as csvsrc, fixtures as fx, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,7 +41,6 @@ AS_OF = datetime(2024, 1, 20, 12, 0, 0)
 CUSTOM = ("2024-01-08", "2024-01-21")
 HISTORY_K = 3
 IMPORT_CUTOFF = datetime(2024, 1, 4)   # the store already holds the first three days
-DIM_MAX_NATIONKEY = 20
 PRIMARY_NATIONS = ("GERMANY", "FRANCE", "ITALY")
 
 
@@ -92,21 +92,16 @@ def _overview(column):
     return q
 
 
-def _af(spark, d):
-    """The A+F subset of the long history (return flag A, line status F): has gap months."""
-    return fx.fx_log(spark, d).filter((F.col("fuel_type") == "A") & (F.col("is_full_tank") == "true"))
-
-
 def monthly_liters(spark, d):
-    return agg.monthly_liters(_af(spark, d)).select(KEY, "month", *_r6("liters"))
+    return agg.monthly_liters(fx.fx_gap_log(spark, d)).select(KEY, "month", *_r6("liters"))
 
 
 def monthly_spending(spark, d):
-    return agg.monthly_spending(_af(spark, d)).select(KEY, "month", *_r6("amount_eur"))
+    return agg.monthly_spending(fx.fx_gap_log(spark, d)).select(KEY, "month", *_r6("amount_eur"))
 
 
 def fuel_price_trend(spark, d):
-    return agg.fuel_price_trend(_af(spark, d)).select(KEY, "month", *_r6("avg_price_per_liter"))
+    return agg.fuel_price_trend(fx.fx_gap_log(spark, d)).select(KEY, "month", *_r6("avg_price_per_liter"))
 
 
 # --- odometer series --------------------------------------------------------
@@ -204,40 +199,43 @@ def boundary_estimates(spark, d):
 # --- validation ------------------------------------------------------------
 
 def _fuel_validated(spark, d):
-    return rules.validate_fuel(fx.fx_dirty(spark, d))
+    return rules.validate_fuel(fx.fx_dirty(spark, d), [KEY])
 
 
 def fuel_clean(spark, d):
     g = _fuel_validated(spark, d).good
-    return g.select(ROW, TS, "amount_eur", "liters", "price_per_liter_eur",
+    return g.select(KEY, ROW, TS, "amount_eur", "liters", "price_per_liter_eur",
                     "fuel_type", "is_full_tank", "station_name", "city", "country", "notes")
 
 
 def fuel_issues(spark, d):
     i = _fuel_validated(spark, d).issues
-    return i.select("dataset", "severity", "rule", ROW, "field", "pair_row_a", "pair_row_b")
+    return i.select(KEY, "dataset", "severity", "rule", ROW, "field", "message", "pair_row_a", "pair_row_b", "pairs")
 
 
 def issue_summary(spark, d):
     return rules.issue_summary(_fuel_validated(spark, d).issues)
 
 
+_GROUP = ("rows", "first_row", "last_row", "earlier_rows", "nearest_ts", "nearest_row", "pairs")
+
+
 def fuel_duplicates(spark, d):
     good = _fuel_validated(spark, d).good
-    return rules.fuel_duplicates(good).select("liters", "a_ts", "a_row", "b_ts", "b_row")
+    return rules.fuel_duplicates(good, [KEY]).select(KEY, "liters", TS, *_GROUP)
 
 
 def _odo_validated(spark, d):
-    return rules.validate_odometer(fx.fx_dirty_odometer(spark, d))
+    return rules.validate_odometer(fx.fx_dirty_odometer(spark, d), [KEY])
 
 
 def odometer_clean(spark, d):
-    return _odo_validated(spark, d).good.select(ROW, TS, "odometer_km", "notes")
+    return _odo_validated(spark, d).good.select(KEY, ROW, TS, "odometer_km", "notes")
 
 
 def odometer_issues(spark, d):
-    return _odo_validated(spark, d).issues.select("dataset", "severity", "rule", ROW, "field",
-                                                  "pair_row_a", "pair_row_b")
+    return _odo_validated(spark, d).issues.select(KEY, "dataset", "severity", "rule", ROW, "field", "message",
+                                                  "pair_row_a", "pair_row_b", "pairs")
 
 
 def quality_summary(spark, d):
@@ -252,30 +250,31 @@ def odometer_monotonicity(spark, d):
 def odometer_duplicates(spark, d):
     ev = fx.table(spark, d, "events").select(F.col("user_id").alias(KEY), F.col("ts").alias(TS),
                                              F.col("event_id").alias(ROW), "event_type")
-    return tolerance_pairs(ev, [KEY], ["event_type"], orient="time").select(
-        KEY, "event_type", "a_ts", "a_row", "b_ts", "b_row")
+    return rules.odometer_duplicates(ev, [KEY], ["event_type"]).select(KEY, "event_type", TS, *_GROUP)
 
 
 def entry_validation(spark, d):
-    raw = fx.fx_dirty(spark, d).select(ROW, strip_ws("datetime").alias("entry_date"), "amount_eur", "liters",
-                                       "fuel_type", "is_full_tank", "station_name", "city", "country", "notes")
-    accepted, rejected = rules.validate_entries(raw)
-    a = accepted.select(ROW, F.lit(True).alias("accepted"), F.lit("").alias("error_fields"),
-                        F.size("warnings").alias("warnings"))
-    r = rejected.select(ROW, F.lit(False).alias("accepted"),
-                        F.array_join(F.array_sort(F.map_keys("errors")), ",").alias("error_fields"),
-                        F.lit(0).alias("warnings"))
-    cleaned = raw.select(ROW, rules.clean_decimal(F.col("liters")).alias("liters_clean"),
-                         rules.clean_decimal(F.col("amount_eur")).alias("amount_clean"))
-    return a.unionByName(r).join(cleaned, ROW)
+    raw = fx.fx_dirty(spark, d).withColumnRenamed("datetime", "entry_date")
+    accepted, rejected = rules.validate_entries(raw, [KEY], clean=True)
+    a = accepted.select(KEY, ROW, F.lit(True).alias("accepted"), F.lit("").alias("errors"),
+                        F.size("warnings").alias("warnings"), "liters", "amount_eur")
+    errors = F.transform(F.array_sort(F.map_entries("errors")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    none = F.lit(None).cast("double")
+    r = rejected.select(KEY, ROW, F.lit(False).alias("accepted"), F.array_join(errors, " ").alias("errors"),
+                        F.lit(0).alias("warnings"), none.alias("liters"), none.alias("amount_eur"))
+    return a.unionByName(r)
 
 
 # --- lookups, history, periods ----------------------------------------------
 
 def _nation_dim(spark, d):
-    n = fx.table(spark, d, "nation")
-    return n.filter(F.col("n_nationkey") < DIM_MAX_NATIONKEY).select(
-        F.col("n_name").alias("code"), F.lower("n_name").alias("name"))
+    return fx.table(spark, d, "nation").select(F.col("n_name").alias("code"), F.lower("n_name").alias("name"))
+
+
+def _stops(spark, d):
+    """Stops per vehicle and country; every fourth vehicle writes codes that no dimension has."""
+    log = fx.fx_log(spark, d).withColumn("country", F.when(F.col(KEY) % 4 == 0, F.concat("country", F.lit("?"))).otherwise(F.col("country")))
+    return log.groupBy(KEY, "country").agg(F.count(F.lit(1)).alias("stops"))
 
 
 def recent_history(spark, d):
@@ -284,16 +283,11 @@ def recent_history(spark, d):
 
 
 def country_lookup(spark, d):
-    log = fx.fx_log(spark, d)
-    g = log.groupBy(KEY, "country").agg(F.count(F.lit(1)).alias("stops"))
-    return lk.with_country_name(g, _nation_dim(spark, d), known_small=False).select(
-        KEY, "country", "country_name", "stops")
+    return lk.with_country_name(_stops(spark, d), _nation_dim(spark, d)).select(KEY, "country", "country_name", "stops")
 
 
 def unknown_countries(spark, d):
-    log = fx.fx_log(spark, d)
-    g = log.groupBy(KEY, "country").agg(F.count(F.lit(1)).alias("stops"))
-    return lk.known_codes(g, _nation_dim(spark, d), known=False, known_small=False).select(KEY, "country", "stops")
+    return lk.known_codes(_stops(spark, d), _nation_dim(spark, d), known=False).select(KEY, "country", "stops")
 
 
 def country_options(spark, d):
@@ -321,15 +315,62 @@ def report_period(spark, d):
 
 
 def range_bounds(spark, d):
-    ranges = [resolve_range(k, AS_OF, *CUSTOM) for k in RANGE_KEYS]
-    arr = F.array(*[F.struct(F.lit(k).alias("range"), F.lit(p.start).cast("timestamp_ntz").alias("start"),
-                             F.lit(p.end).cast("timestamp_ntz").alias("end"))
-                    for k, p in zip(RANGE_KEYS, ranges)])
-    f = fx.fx_fuel(spark, d).select(KEY, TS, "liters", F.explode(arr).alias("_r"))
-    return (f.filter(F.col(TS).between(F.col("_r.start"), F.col("_r.end")))
-            .groupBy(KEY, F.col("_r.range").alias("range"), F.col("_r.start").alias("start"),
-                     F.col("_r.end").alias("end"))
-            .agg(F.count(F.lit(1)).alias("entries"), round6(F.sum("liters")).alias("liters")))
+    ranges = {k: resolve_range(k, AS_OF, *CUSTOM) for k in RANGE_KEYS}
+    inside = {k: p.contains(TS) for k, p in ranges.items()}
+    g = fx.fx_fuel(spark, d).groupBy(KEY).agg(
+        *[F.count_if(c).alias(f"_n_{k}") for k, c in inside.items()],
+        *[exact_sum(F.when(c, F.col("liters"))).alias(f"_l_{k}") for k, c in inside.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("range"), F.lit(p.start).cast("timestamp_ntz").alias("start"),
+                              F.lit(p.end).cast("timestamp_ntz").alias("end"), F.col(f"_n_{k}").alias("entries"),
+                              round6(f"_l_{k}").alias("liters")) for k, p in ranges.items()])
+    return g.select(KEY, F.inline(rows)).filter("entries > 0")
+
+
+# --- sources, stores and display -----------------------------------------------
+
+def csv_round_trip(spark, d):
+    """``fx_dirty`` written as CSV files and loaded back: the clean rows."""
+    path = scratch_path(spark, "csv")
+    raw = fx.fx_dirty(spark, d).select(*FUEL_RAW_COLUMNS)
+    raw.write.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path)
+    good = csvsrc.load_fuel_csv(spark, path).good
+    return good.select(TS, "amount_eur", "liters", "fuel_type", "is_full_tank", "station_name", "city", "country")
+
+
+def store_round_trip(spark, d):
+    """Purchases stored by month and read back for a period."""
+    path = scratch_path(spark, "store")
+    store.write_log(fx.fx_fuel(spark, d).select(*FUEL_SCHEMA.names), path)
+    back = csvsrc.table_rows_to_fuel(store.read_log(spark, path, PERIOD, schema=FUEL_SCHEMA))
+    return back.select(KEY, ROW, TS, "amount_eur", "liters", "price_per_liter_eur", "city", "is_full_tank")
+
+
+def import_counts(spark, d):
+    """Backfill of a store that holds the first days: imported rows of either log, twice."""
+    fuel, odo = fx.fx_fuel(spark, d).select(*FUEL_SCHEMA.names), fx.fx_odo(spark, d).select(*ODO_SCHEMA.names)
+    base = scratch_path(spark, "import")
+    for df, name in ((fuel, "fuel"), (odo, "odo")):
+        store.write_log(df.filter(F.col(TS) < F.lit(IMPORT_CUTOFF).cast("timestamp_ntz")), f"{base}/{name}")
+    first = store.import_if_empty(spark, fuel, odo, f"{base}/fuel", f"{base}/odo")
+    again = store.import_if_empty(spark, fuel, odo, f"{base}/fuel", f"{base}/odo")
+    rows = [("fuel", first[0], again[0]), ("odometer", first[1], again[1])]
+    return spark.createDataFrame(rows, "log string, imported long, imported_again long")
+
+
+def fuel_derived(spark, d):
+    """Price and computed amount of each purchase, and its display texts."""
+    f = agg.with_derived(fx.fx_fuel(spark, d))
+    return f.select(KEY, ROW, "price_per_liter_eur", "computed_amount", F.date_format(TS, "yyyy-MM").alias("month_text"),
+                    fixed("liters", 1).alias("liters_text"))
+
+
+def location_table(spark, d):
+    """The country overview under its display headers."""
+    o = agg.location_overview(fx.fx_log(spark, d), "country").drop("rank")
+    t = agg.overview_table(o, "country")
+    return t.select(KEY, *[round6(c).alias(c.replace(" ", "_")) if c in ("Liters", "EUR", "Avg price per liter (EUR)")
+                           else F.col(c) for c in t.columns if c != KEY]).withColumnRenamed("Avg_price_per_liter_(EUR)", "Avg_price")
 
 
 # --- report and payload -----------------------------------------------------
@@ -365,6 +406,33 @@ def analysis_payload(spark, d):
                     F.col("metrics.entries").alias("entries"))
 
 
+def consumption_series(spark, d):
+    c = consumption_estimates(fx.fx_fuel(spark, d), fx.fx_odo(spark, d))
+    return _series(c).select(KEY, ROW, "datetime", round6("liters_per_100km").alias("liters_per_100km"), "quality")
+
+
+def payload_series(spark, d):
+    """The six chart series of the analysis view in long form, by value."""
+    period = resolve_range("custom", AS_OF, *CUSTOM)
+    series = report.analysis_series(fx.fx_fuel(spark, d), fx.fx_odo(spark, d), period)
+    label = {"price_trend": ("month", "avg_price_per_liter"), "monthly_liters": ("month", "value"),
+             "monthly_spending": ("month", "value"), "fuel_type_summary": ("fuel_type", "total_eur"),
+             "country_breakdown": ("country", "avg_price_per_liter"), "consumption_series": ("datetime", "liters_per_100km")}
+    parts = [series[n].select(KEY, F.lit(n).alias("series"), F.col(at).cast("string").alias("label"),
+                              round6(v).alias("value")) for n, (at, v) in label.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def report_sections(spark, d):
+    """Rows and sums of the report's listed sections (K5-K7)."""
+    sections = report.build_report(fx.fx_fuel(spark, d), fx.fx_odo(spark, d), PERIOD)
+    value = {"consumption": "estimated_km", "overview_fuel": "liters", "overview_distance": "km_since_last_entry",
+             "price_over_time": "price_per_liter_eur", "odometer_readings": "odometer_km"}
+    parts = [sections[n].groupBy(KEY).agg(F.lit(n).alias("section"), F.count(F.lit(1)).alias("rows"), round6(exact_sum(c)).alias("total"))
+             for n, c in value.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def queries() -> dict[str, Query]:
     from fleetlog.streaming import ingest
     return {
@@ -418,4 +486,13 @@ def queries() -> dict[str, Query]:
         "analysis_payload": analysis_payload,
         "stream_month_to_date": ingest.stream_month_to_date_query,
         "stream_ingest": ingest.stream_ingest_query,
+        "stream_entries": ingest.stream_entries_query,
+        "csv_round_trip": csv_round_trip,
+        "store_round_trip": store_round_trip,
+        "import_counts": import_counts,
+        "fuel_derived": fuel_derived,
+        "location_table": location_table,
+        "consumption_series": consumption_series,
+        "payload_series": payload_series,
+        "report_sections": report_sections,
     }

@@ -11,11 +11,23 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from fleetlog.functions.calendar import RANGE_KEYS, resolve_range
-from fleetlog.functions.text import ISO_TIMESTAMP_PATTERN, NUMBER_PATTERN
-from fleetlog.plans.fixture_queries import (
-    AS_OF, CUSTOM, DIM_MAX_NATIONKEY, HISTORY_K, IMPORT_CUTOFF, PERIOD, PRIMARY_NATIONS,
+# The statements' own parameters and patterns, written out: nothing is taken from the
+# modules that they check.
+HISTORY_K = 3
+PRIMARY_NATIONS = ("GERMANY", "FRANCE", "ITALY")
+IMPORT_CUTOFF = datetime(2024, 1, 4)
+P_START, P_END = "TIMESTAMP '2024-01-08 00:00:00'", "TIMESTAMP '2024-01-21 23:59:59.999999'"
+C_START, C_END = "TIMESTAMP '2024-01-08 00:00:00'", "TIMESTAMP '2024-01-21 23:59:59'"
+RANGES = (
+    ("month", "2024-01-01 00:00:00", "2024-01-31 23:59:59.999999"),
+    ("last_month", "2023-12-01 00:00:00", "2023-12-31 23:59:59.999999"),
+    ("ytd", "2024-01-01 00:00:00", "2024-01-20 12:00:00"),
+    ("last_12_months", "2023-01-20 00:00:00", "2024-01-20 12:00:00"),
+    ("all_time", "1970-01-01 00:00:00", "2024-01-20 12:00:00"),
+    ("custom", "2024-01-08 00:00:00", "2024-01-21 23:59:59"),
 )
+ISO_TIMESTAMP = r"[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}(:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?)?)?"
+NUMBER = r"[+-]?([0-9](_?[0-9])*\.?([0-9](_?[0-9])*)?|\.[0-9](_?[0-9])*)([eE][+-]?[0-9](_?[0-9])*)?"
 
 TOL_US = 20 * 60 * 1_000_000
 
@@ -40,15 +52,19 @@ def strip(e: str) -> str:
 
 
 def ts_parse(e: str) -> str:
-    return f"CASE WHEN regexp_full_match({e}, '{ISO_TIMESTAMP_PATTERN}') THEN TRY_CAST(replace({e}, ',', '.') AS TIMESTAMP) END"
+    return f"CASE WHEN regexp_full_match({e}, '{ISO_TIMESTAMP}') THEN TRY_CAST(replace({e}, ',', '.') AS TIMESTAMP) END"
 
 
 def num_parse(e: str) -> str:
-    return f"CASE WHEN regexp_full_match({e}, '{NUMBER_PATTERN}') THEN TRY_CAST(replace({e}, '_', '') AS DOUBLE) END"
+    return f"CASE WHEN regexp_full_match({e}, '{NUMBER}') THEN TRY_CAST(replace({e}, '_', '') AS DOUBLE) END"
 
 
-P_START, P_END = lit_ts(PERIOD.start), lit_ts(PERIOD.end)
 
+def _exact_sums(sql: str) -> str:
+    """Sums of the logs' doubles as decimals, so that no order of addition shows."""
+    for c in ("amount_eur", "liters", "f.liters"):
+        sql = sql.replace(f"sum({c})", f"CAST(sum(CAST({c} AS DECIMAL(28,9))) AS DOUBLE)")
+    return sql
 
 
 def _expand_r6(sql: str) -> str:
@@ -94,10 +110,10 @@ LOG = """log AS (SELECT l_suppkey AS vehicle_id, l_shipdate AS event_ts, l_exten
                 s_name AS station_name, CASE WHEN s_suppkey % 10 = 0 THEN ' ' ELSE s_name END AS city, n_name AS country
          FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
 
-AF = LOG + """,
-af AS (SELECT * FROM log WHERE fuel_type = 'A' AND is_full_tank = 'true')"""
+GAP_LOG = LOG + """,
+gaplog AS (SELECT * REPLACE (CASE WHEN month(event_ts) IN (2, 8) THEN event_ts + INTERVAL 31 DAYS ELSE event_ts END AS event_ts) FROM log)"""
 
-DIRTY = """dirty AS (SELECT o_orderkey + 2 AS row_num,
+DIRTY = """dirty AS (SELECT o_custkey AS vehicle_id, o_orderkey + 2 AS row_num,
   CASE WHEN o_orderkey % 97 = 0 THEN 'not-a-date' WHEN o_orderkey % 89 = 0 THEN ''
        ELSE ' ' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' ' END AS datetime,
   CASE WHEN o_orderkey % 83 = 0 THEN '-10' WHEN o_orderkey % 79 = 0 THEN 'abc'
@@ -123,38 +139,78 @@ dp AS (SELECT *, {ts_parse('dt_s')} AS ts, {num_parse('am_s')} AS amount, {num_p
 good AS (SELECT * FROM dp WHERE ts IS NOT NULL AND amount > 0 AND lit > 0 AND ft IN ('E5', 'E10')
            AND tank IS NOT NULL AND st <> '' AND co_ok)"""
 
+def duplicate_groups(name: str, rows: str, value: str, ts: str = "ts") -> str:
+    """CTE ``name``: instants with partners of one value up to the tolerance before them."""
+    return f"""{name}_at AS (SELECT vehicle_id, {value}, {ts} AS event_ts, CAST(count(*) AS BIGINT) AS rows, min(row_num) AS first_row,
+         max(row_num) AS last_row FROM {rows} GROUP BY 1, 2, 3),
+{name}_near AS (SELECT *, coalesce(CAST(sum(rows) OVER w AS BIGINT), 0) AS earlier_rows, max(event_ts) OVER w AS nearest_ts,
+         last_value(last_row) OVER w AS nearest_row FROM {name}_at
+         WINDOW w AS (PARTITION BY vehicle_id, {value} ORDER BY epoch_us(event_ts) RANGE BETWEEN {TOL_US} PRECEDING AND 1 PRECEDING)),
+{name} AS (SELECT *, rows * (rows - 1) // 2 + rows * earlier_rows AS pairs FROM {name}_near
+         WHERE rows * (rows - 1) // 2 + rows * earlier_rows > 0)"""
+
+
+def _row_issues(dataset: str, rules: list[tuple], source: str) -> str:
+    """One branch for each rule: severity, rule, field, message, condition (and another source)."""
+    return "\n  UNION ALL ".join(
+        f"SELECT vehicle_id, '{dataset}' AS dataset, '{sev}' AS severity, '{rule}' AS rule, row_num, '{field}' AS field, {msg} AS message, "
+        f"NULL::BIGINT AS pair_row_a, NULL::BIGINT AS pair_row_b, 1::BIGINT AS pairs FROM {src[0] if src else source} WHERE {cond}"
+        for sev, rule, field, msg, cond, *src in rules)
+
+
+def _quoted(before: str, value: str, after: str = "'") -> str:
+    esc = lambda t: t.replace("'", "''")
+    return f"'{esc(before)}' || {value} || '{esc(after)}'"
+
+
+_FUEL_RULES = [
+    ("error", "datetime_unparsable", "datetime", _quoted("Unparsable datetime: '", "coalesce(datetime, '')"), "ts IS NULL"),
+    ("error", "amount_eur_not_numeric", "amount_eur", _quoted("Invalid numeric value for amount_eur: '", "amount_eur"), "amount IS NULL"),
+    ("error", "amount_eur_range", "amount_eur", "'amount_eur must be positive, got ' || amount", "amount <= 0"),
+    ("error", "liters_not_numeric", "liters", _quoted("Invalid numeric value for liters: '", "liters"), "lit IS NULL"),
+    ("error", "liters_range", "liters", "'liters must be positive, got ' || lit", "lit <= 0"),
+    ("error", "fuel_type_invalid", "fuel_type", _quoted("Invalid fuel_type: '", "ft", "'. Allowed: ['E10', 'E5']"), "ft NOT IN ('E5', 'E10')"),
+    ("error", "full_tank_invalid", "is_full_tank",
+     _quoted("Invalid full tank value: '", "is_full_tank", "'. Expected true/false/empty or yes/no/1/0."), "tank IS NULL"),
+    ("error", "station_missing", "station_name", "'Missing station_name'", "tank IS NOT NULL AND st = ''"),
+    ("warning", "city_missing", "city", "'Missing city value'", "tank IS NOT NULL AND ci = ''"),
+    ("error", "country_format", "country", _quoted("Invalid country code format: '", "co", "'. Expected 2-letter ISO code."),
+     "tank IS NOT NULL AND NOT co_ok"),
+    ("warning", "country_not_primary", "country",
+     _quoted("Country '", "co", "' is not in the primary set ['AT', 'CH', 'DE', 'FR', 'HR', 'IT']"),
+     "tank IS NOT NULL AND co_ok AND co NOT IN ('DE', 'AT', 'IT', 'FR', 'HR', 'CH')"),
+    ("warning", "price_low", "amount_eur", "'Suspiciously low derived price per liter: ' || printf('%.3f', amount / lit) || ' EUR'",
+     "amount / lit < 0.8", "good"),
+    ("warning", "price_high", "amount_eur", "'Suspiciously high derived price per liter: ' || printf('%.3f', amount / lit) || ' EUR'",
+     "amount / lit > 3.0", "good"),
+]
+
 FUEL_ISSUES = DIRTY_PARSED + f""",
-fi AS (
-  SELECT 'fuel' AS dataset, 'error' AS severity, 'datetime_unparsable' AS rule, row_num, 'datetime' AS field, NULL::BIGINT AS pair_row_a, NULL::BIGINT AS pair_row_b FROM dp WHERE ts IS NULL
-  UNION ALL SELECT 'fuel', 'error', 'amount_eur_not_numeric', row_num, 'amount_eur', NULL, NULL FROM dp WHERE amount IS NULL
-  UNION ALL SELECT 'fuel', 'error', 'amount_eur_range', row_num, 'amount_eur', NULL, NULL FROM dp WHERE amount <= 0
-  UNION ALL SELECT 'fuel', 'error', 'liters_not_numeric', row_num, 'liters', NULL, NULL FROM dp WHERE lit IS NULL
-  UNION ALL SELECT 'fuel', 'error', 'liters_range', row_num, 'liters', NULL, NULL FROM dp WHERE lit <= 0
-  UNION ALL SELECT 'fuel', 'error', 'fuel_type_invalid', row_num, 'fuel_type', NULL, NULL FROM dp WHERE ft NOT IN ('E5', 'E10')
-  UNION ALL SELECT 'fuel', 'error', 'full_tank_invalid', row_num, 'is_full_tank', NULL, NULL FROM dp WHERE tank IS NULL
-  UNION ALL SELECT 'fuel', 'error', 'station_missing', row_num, 'station_name', NULL, NULL FROM dp WHERE tank IS NOT NULL AND st = ''
-  UNION ALL SELECT 'fuel', 'warning', 'city_missing', row_num, 'city', NULL, NULL FROM dp WHERE tank IS NOT NULL AND ci = ''
-  UNION ALL SELECT 'fuel', 'error', 'country_format', row_num, 'country', NULL, NULL FROM dp WHERE tank IS NOT NULL AND NOT co_ok
-  UNION ALL SELECT 'fuel', 'warning', 'country_not_primary', row_num, 'country', NULL, NULL FROM dp
-            WHERE tank IS NOT NULL AND co_ok AND co NOT IN ('DE', 'AT', 'IT', 'FR', 'HR', 'CH')
-  UNION ALL SELECT 'fuel', 'warning', 'price_low', row_num, 'amount_eur', NULL, NULL FROM good WHERE amount / lit < 0.8
-  UNION ALL SELECT 'fuel', 'warning', 'price_high', row_num, 'amount_eur', NULL, NULL FROM good WHERE amount / lit > 3.0
-  UNION ALL SELECT 'fuel', 'warning', 'potential_duplicate', NULL, NULL, a.row_num, b.row_num
-            FROM good a JOIN good b ON a.lit = b.lit AND a.row_num < b.row_num
-            WHERE abs(epoch_us(a.ts) - epoch_us(b.ts)) <= {TOL_US})"""
-
-ODO_TAIL = f"""ods AS (SELECT row_num, {strip('datetime')} AS dt_s, {strip('amount_eur')} AS km_s, {strip('notes')} AS nt FROM dirty),
+{duplicate_groups('fd', 'good', 'lit')},
+fi AS ({_row_issues('fuel', _FUEL_RULES, 'dp')}
+  UNION ALL SELECT vehicle_id, 'fuel', 'warning', 'potential_duplicate', NULL, NULL,
+         'Potential duplicate: rows with ' || lit || 'L at ' || {tstxt('coalesce(nearest_ts, event_ts)')} || ' and ' || {tstxt('event_ts')} || ' (within 0:20:00)',
+         coalesce(nearest_row, first_row), last_row, pairs FROM fd)"""
+
+_ODO_RULES = [
+    ("error", "datetime_unparsable", "datetime", _quoted("Unparsable datetime: '", "coalesce(datetime, '')"), "ts IS NULL"),
+    ("error", "odometer_km_not_numeric", "odometer_km", _quoted("Invalid numeric value for odometer_km: '", "amount_eur"), "km IS NULL"),
+    ("error", "odometer_km_range", "odometer_km", "'odometer_km must be non-negative, got ' || km", "km < 0"),
+]
+
+ODO_TAIL = f"""ods AS (SELECT vehicle_id, row_num, datetime, amount_eur, {strip('datetime')} AS dt_s, {strip('amount_eur')} AS km_s, {strip('notes')} AS nt FROM dirty),
 odp AS (SELECT *, {ts_parse('dt_s')} AS ts, {num_parse('km_s')} AS km FROM ods),
 ogood AS (SELECT * FROM odp WHERE ts IS NOT NULL AND km >= 0),
-oseq AS (SELECT *, lag(km) OVER w AS p_km, lag(row_num) OVER w AS p_row FROM ogood WINDOW w AS (ORDER BY ts, row_num)),
-oi AS (
-  SELECT 'odometer' AS dataset, 'error' AS severity, 'datetime_unparsable' AS rule, row_num, 'datetime' AS field, NULL::BIGINT AS pair_row_a, NULL::BIGINT AS pair_row_b FROM odp WHERE ts IS NULL
-  UNION ALL SELECT 'odometer', 'error', 'odometer_km_not_numeric', row_num, 'odometer_km', NULL, NULL FROM odp WHERE km IS NULL
-  UNION ALL SELECT 'odometer', 'error', 'odometer_km_range', row_num, 'odometer_km', NULL, NULL FROM odp WHERE km < 0
-  UNION ALL SELECT 'odometer', 'warning', 'monotonicity', NULL, 'odometer_km', p_row, row_num FROM oseq WHERE km < p_km
-  UNION ALL SELECT 'odometer', 'warning', 'potential_duplicate', NULL, NULL, a.row_num, b.row_num
-            FROM ogood a JOIN ogood b ON a.km = b.km AND (a.ts < b.ts OR (a.ts = b.ts AND a.row_num < b.row_num))
-            WHERE abs(epoch_us(a.ts) - epoch_us(b.ts)) <= {TOL_US})"""
+oseq AS (SELECT *, lag(km) OVER w AS p_km, lag(row_num) OVER w AS p_row, lag(ts) OVER w AS p_ts FROM ogood
+         WINDOW w AS (PARTITION BY vehicle_id ORDER BY ts, row_num)),
+{duplicate_groups('od', 'ogood', 'km')},
+oi AS ({_row_issues('odometer', _ODO_RULES, 'odp')}
+  UNION ALL SELECT vehicle_id, 'odometer', 'warning', 'monotonicity', NULL, 'odometer_km',
+         'Odometer monotonicity violation: ' || km || ' km at ' || {tstxt('ts')} || ' is less than ' || p_km || ' km at ' || {tstxt('p_ts')},
+         p_row, row_num, 1 FROM oseq WHERE km < p_km
+  UNION ALL SELECT vehicle_id, 'odometer', 'warning', 'potential_duplicate', NULL, NULL,
+         'Potential duplicate: odometer readings of ' || km || ' km at ' || {tstxt('coalesce(nearest_ts, event_ts)')} || ' and ' || {tstxt('event_ts')} || ' (within 0:20:00)',
+         coalesce(nearest_row, first_row), last_row, pairs FROM od)"""
 
 ODO_DIRTY = DIRTY + ",\n" + ODO_TAIL
 
@@ -206,8 +262,8 @@ SEG_COLUMNS = """vehicle_id, p_ts AS previous_fuel_datetime, p_row AS previous_r
 
 def _monthly(value: str, agg: str, fill: str | None) -> str:
     v = f"coalesce(g.v, {fill})" if fill is not None else "g.v"
-    return f"""WITH {AF},
-g AS (SELECT vehicle_id, last_day(event_ts) AS month, {agg} AS v FROM af GROUP BY 1, 2),
+    return f"""WITH {GAP_LOG},
+g AS (SELECT vehicle_id, last_day(event_ts) AS month, {agg} AS v FROM gaplog GROUP BY 1, 2),
 span AS (SELECT vehicle_id, min(month) AS lo, max(month) AS hi FROM g GROUP BY 1),
 sk AS (SELECT vehicle_id, last_day(unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH))) AS month FROM span)
 SELECT sk.vehicle_id, CAST(sk.month AS TIMESTAMP) AS month, r6({v}) AS {value}
@@ -233,17 +289,13 @@ FROM sx"""
 
 
 def _ranges_values() -> str:
-    rows = []
-    for k in RANGE_KEYS:
-        p = resolve_range(k, AS_OF, *CUSTOM)
-        rows.append(f"('{k}', {lit_ts(p.start)}, {lit_ts(p.end)})")
+    rows = [f"('{k}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for k, a, b in RANGES]
     return "rng(range, start, \"end\") AS (VALUES " + ", ".join(rows) + ")"
 
 
 def queries() -> dict[str, str]:
     q: dict[str, str] = {}
-    custom = resolve_range("custom", AS_OF, *CUSTOM)
-    c_start, c_end = lit_ts(custom.start), lit_ts(custom.end)
+    c_start, c_end = C_START, C_END
 
     # --- fuel aggregates -----------------------------------------------------
     q["fuel_totals"] = f"""WITH {LOG}
@@ -291,7 +343,7 @@ FROM g"""
 
     q["monthly_liters"] = _monthly("liters", "sum(liters)", "0.0")
     q["monthly_spending"] = _monthly("amount_eur", "sum(amount_eur)", "0.0")
-    q["fuel_price_trend"] = _monthly("avg_price_per_liter", "avg(amount_eur / liters)", None)
+    q["fuel_price_trend"] = _monthly("avg_price_per_liter", "CAST(sum(CAST(amount_eur / liters AS DECIMAL(28,9))) AS DOUBLE) / count(*)", None)
 
     # --- odometer series -----------------------------------------------------
     for name, cte, src in (("total_distance", ODO, "odo"), ("total_distance_raw", ODO_RAW, "odo_raw")):
@@ -369,34 +421,33 @@ FROM pr JOIN est USING (vehicle_id, row_num)"""
 
     # --- validation ----------------------------------------------------------
     q["fuel_clean"] = f"""WITH {DIRTY_PARSED}
-SELECT row_num, ts AS event_ts, amount AS amount_eur, lit AS liters, amount / lit AS price_per_liter_eur,
+SELECT vehicle_id, row_num, ts AS event_ts, amount AS amount_eur, lit AS liters, amount / lit AS price_per_liter_eur,
        ft AS fuel_type, tank AS is_full_tank, st AS station_name, ci AS city, co AS country, nt AS notes FROM good"""
 
     q["fuel_issues"] = f"""WITH {FUEL_ISSUES}
-SELECT dataset, severity, rule, row_num, field, pair_row_a, pair_row_b FROM fi"""
+SELECT vehicle_id, dataset, severity, rule, row_num, field, message, pair_row_a, pair_row_b, pairs FROM fi"""
 
     q["issue_summary"] = f"""WITH {FUEL_ISSUES}
-SELECT dataset, severity, rule, CAST(count(*) AS BIGINT) AS issues FROM fi GROUP BY 1, 2, 3"""
+SELECT dataset, severity, rule, CAST(sum(pairs) AS BIGINT) AS issues FROM fi GROUP BY 1, 2, 3"""
 
-    q["fuel_duplicates"] = f"""WITH {DIRTY_PARSED}
-SELECT a.lit AS liters, a.ts AS a_ts, a.row_num AS a_row, b.ts AS b_ts, b.row_num AS b_row
-FROM good a JOIN good b ON a.lit = b.lit AND a.row_num < b.row_num
-WHERE abs(epoch_us(a.ts) - epoch_us(b.ts)) <= {TOL_US}"""
+    group = "rows, first_row, last_row, earlier_rows, nearest_ts, nearest_row, pairs"
+    q["fuel_duplicates"] = f"""WITH {DIRTY_PARSED}, {duplicate_groups('fd', 'good', 'lit')}
+SELECT vehicle_id, lit AS liters, event_ts, {group} FROM fd"""
 
     q["odometer_clean"] = f"""WITH {ODO_DIRTY}
-SELECT row_num, ts AS event_ts, km AS odometer_km, nt AS notes FROM ogood"""
+SELECT vehicle_id, row_num, ts AS event_ts, km AS odometer_km, nt AS notes FROM ogood"""
 
     q["odometer_issues"] = f"""WITH {ODO_DIRTY}
-SELECT dataset, severity, rule, row_num, field, pair_row_a, pair_row_b FROM oi"""
+SELECT vehicle_id, dataset, severity, rule, row_num, field, message, pair_row_a, pair_row_b, pairs FROM oi"""
 
     q["quality_summary"] = f"""WITH {FUEL_ISSUES}, {ODO_TAIL}
 SELECT 'fuel' AS dataset, (SELECT CAST(count(*) AS BIGINT) FROM good) AS valid_records,
-       CAST(count(*) FILTER (WHERE severity = 'error') AS BIGINT) AS errors,
-       CAST(count(*) FILTER (WHERE severity = 'warning') AS BIGINT) AS warnings,
+       CAST(coalesce(sum(pairs) FILTER (WHERE severity = 'error'), 0) AS BIGINT) AS errors,
+       CAST(coalesce(sum(pairs) FILTER (WHERE severity = 'warning'), 0) AS BIGINT) AS warnings,
        count(*) FILTER (WHERE severity = 'error') = 0 AS is_valid FROM fi
 UNION ALL
 SELECT 'odometer', (SELECT CAST(count(*) AS BIGINT) FROM ogood),
-       CAST(count(*) FILTER (WHERE severity = 'error') AS BIGINT), CAST(count(*) FILTER (WHERE severity = 'warning') AS BIGINT),
+       CAST(coalesce(sum(pairs) FILTER (WHERE severity = 'error'), 0) AS BIGINT), CAST(coalesce(sum(pairs) FILTER (WHERE severity = 'warning'), 0) AS BIGINT),
        count(*) FILTER (WHERE severity = 'error') = 0 FROM oi"""
 
     q["odometer_monotonicity"] = f"""WITH {EV}, {ODO_RAW},
@@ -406,33 +457,34 @@ s AS (SELECT *, lag(event_ts) OVER w AS previous_ts, lag(row_num) OVER w AS prev
 SELECT vehicle_id, event_ts, row_num, odometer_km, previous_ts, previous_row_num, previous_km FROM s
 WHERE odometer_km < previous_km"""
 
-    q["odometer_duplicates"] = f"""WITH {EV}
-SELECT a.vehicle_id, a.event_type, a.event_ts AS a_ts, a.row_num AS a_row, b.event_ts AS b_ts, b.row_num AS b_row
-FROM ev a JOIN ev b ON a.vehicle_id = b.vehicle_id AND a.event_type = b.event_type
-  AND (a.event_ts < b.event_ts OR (a.event_ts = b.event_ts AND a.row_num < b.row_num))
-WHERE abs(epoch_us(a.event_ts) - epoch_us(b.event_ts)) <= {TOL_US}"""
-
-    q["entry_validation"] = f"""WITH {DIRTY},
-e AS (SELECT row_num, {strip('datetime')} AS entry_date, amount_eur, liters, fuel_type, is_full_tank,
-             station_name, city, country FROM dirty),
-c AS (SELECT row_num, liters AS l_raw, amount_eur AS a_raw,
-        {num_parse(strip('liters'))} AS l, {num_parse(strip('amount_eur'))} AS a,
-        list_filter([
-          CASE WHEN {strip('station_name')} = '' THEN 'station_name' END,
-          CASE WHEN {strip('city')} = '' THEN 'city' END,
-          CASE WHEN NOT regexp_full_match(upper({strip('country')}), '^[A-Z]{{2}}$') THEN 'country' END,
-          CASE WHEN coalesce({num_parse(strip('liters'))} <= 0, true) THEN 'liters' END,
-          CASE WHEN coalesce({num_parse(strip('amount_eur'))} <= 0, true) THEN 'amount_eur' END,
-          CASE WHEN {strip('fuel_type')} NOT IN ('E5', 'E10') THEN 'fuel_type' END,
-          CASE WHEN lower({strip("coalesce(is_full_tank, 'unknown')")}) NOT IN ('true', 'false', 'unknown') THEN 'is_full_tank' END,
-          CASE WHEN ({ts_parse(strip('entry_date'))}) IS NULL THEN 'entry_date' END], lambda x: x IS NOT NULL) AS errs
-      FROM e)
-SELECT row_num, len(errs) = 0 AS accepted, array_to_string(list_sort(errs), ',') AS error_fields,
+    q["odometer_duplicates"] = f"""WITH {EV}, {duplicate_groups('ed', 'ev', 'event_type', 'event_ts')}
+SELECT vehicle_id, event_type, event_ts, {group} FROM ed"""
+
+    def cleaned(c: str) -> str:
+        return f"floor(TRY_CAST(regexp_replace({c}, '^([^,]*),', '\\1.') AS DOUBLE) * 100 + 0.5) / 100"
+
+    checks = [("amount_eur", "coalesce(a <= 0, true)", "Must be greater than 0."), ("city", f"{strip('city')} = ''", "Required."),
+              ("country", f"NOT regexp_full_match(upper({strip('country')}), '[A-Z]{{2}}')", "Must be a 2-letter ISO country code."),
+              ("entry_date", f"({ts_parse(strip('datetime'))}) IS NULL", "Must be a valid date/time."),
+              ("fuel_type", f"{strip('fuel_type')} NOT IN ('E5', 'E10')", "Must be one of [''E10'', ''E5'']."),
+              ("is_full_tank", f"lower({strip('is_full_tank')}) NOT IN ('true', 'false', 'unknown')", "Must be true, false, or unknown."),
+              ("liters", "coalesce(l <= 0, true)", "Must be greater than 0."), ("station_name", f"{strip('station_name')} = ''", "Required.")]
+    listed = ", ".join(f"CASE WHEN {cond} THEN '{field}: {text}' END" for field, cond, text in checks)
+    entries = f"""e AS (SELECT *, coalesce({cleaned('liters')}, {num_parse(strip('liters'))}) AS l,
+             coalesce({cleaned('amount_eur')}, {num_parse(strip('amount_eur'))}) AS a FROM dirty),
+c AS (SELECT *, list_filter([{listed}], lambda x: x IS NOT NULL) AS errs FROM e)"""
+    q["entry_validation"] = f"""WITH {DIRTY}, {entries}
+SELECT vehicle_id, row_num, len(errs) = 0 AS accepted, array_to_string(errs, ' ') AS errors,
        CAST(CASE WHEN len(errs) = 0 THEN (CASE WHEN a / l < 0.8 THEN 1 ELSE 0 END) + (CASE WHEN a / l > 3.0 THEN 1 ELSE 0 END) ELSE 0 END AS INTEGER) AS warnings,
-       floor(TRY_CAST(regexp_replace(l_raw, '^([^,]*),', '\\1.') AS DOUBLE) * 100 + 0.5) / 100 AS liters_clean,
-       floor(TRY_CAST(regexp_replace(a_raw, '^([^,]*),', '\\1.') AS DOUBLE) * 100 + 0.5) / 100 AS amount_clean
+       CASE WHEN len(errs) = 0 THEN l END AS liters, CASE WHEN len(errs) = 0 THEN a END AS amount_eur
 FROM c"""
 
+    plain = f"""e AS (SELECT *, {num_parse(strip('liters'))} AS l, {num_parse(strip('amount_eur'))} AS a FROM dirty),
+c AS (SELECT *, list_filter([{listed}], lambda x: x IS NOT NULL) AS errs FROM e)"""
+    q["stream_entries"] = f"""WITH {DIRTY}, {plain}
+SELECT vehicle_id, row_num, array_to_string([split_part(x, ':', 1) for x in errs], ',') AS error_fields,
+       CASE WHEN len(errs) > 0 THEN liters END AS entered FROM c"""
+
     # --- lookups, history, periods -------------------------------------------
     q["recent_history"] = f"""WITH {FUEL},
 r AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY event_ts DESC, row_num DESC) AS recency FROM fuel)
@@ -440,14 +492,14 @@ SELECT vehicle_id, row_num, {isotxt('event_ts')} AS datetime, strftime(event_ts,
        strftime(event_ts, '%H:%M') AS time, liters, amount_eur, CAST(recency AS INTEGER) AS recency
 FROM r WHERE recency <= {HISTORY_K}"""
 
-    dim = f"dim AS (SELECT n_name AS code, lower(n_name) AS name FROM nation WHERE n_nationkey < {DIM_MAX_NATIONKEY})"
-    q["country_lookup"] = f"""WITH {LOG}, {dim},
-g AS (SELECT vehicle_id, country, CAST(count(*) AS BIGINT) AS stops FROM log GROUP BY 1, 2)
+    dim = "dim AS (SELECT n_name AS code, lower(n_name) AS name FROM nation)"
+    stops = """g AS (SELECT vehicle_id, CASE WHEN vehicle_id % 4 = 0 THEN country || '?' ELSE country END AS country,
+      CAST(count(*) AS BIGINT) AS stops FROM log GROUP BY 1, 2)"""
+    q["country_lookup"] = f"""WITH {LOG}, {dim}, {stops}
 SELECT g.vehicle_id, g.country, coalesce(dim.name, g.country) AS country_name, g.stops
 FROM g LEFT JOIN dim ON g.country = dim.code"""
 
-    q["unknown_countries"] = f"""WITH {LOG}, {dim},
-g AS (SELECT vehicle_id, country, CAST(count(*) AS BIGINT) AS stops FROM log GROUP BY 1, 2)
+    q["unknown_countries"] = f"""WITH {LOG}, {dim}, {stops}
 SELECT vehicle_id, country, stops FROM g WHERE country NOT IN (SELECT code FROM dim)"""
 
     case = " ".join(f"WHEN '{c}' THEN {i + 1}" for i, c in enumerate(PRIMARY_NATIONS))
@@ -556,7 +608,7 @@ m AS (SELECT vehicle_id, CAST(date_diff('month', date_trunc('month', min(event_t
              CAST(count(*) AS BIGINT) AS n FROM fuel_p GROUP BY 1),
 {segments('fuel_p')},
 cs AS (SELECT vehicle_id, CAST(count(*) AS BIGINT) AS n FROM seg GROUP BY 1)
-SELECT u.vehicle_id, 'custom' AS range, '{custom.start.isoformat()}' AS start, '{custom.end.isoformat()}' AS "end",
+SELECT u.vehicle_id, 'custom' AS range, '2024-01-08T00:00:00' AS start, '2024-01-21T23:59:59' AS "end",
        coalesce(m.months, 0) AS n_price_trend, coalesce(m.months, 0) AS n_monthly_liters,
        coalesce(m.months, 0) AS n_monthly_spending, coalesce(m.types, 0) AS n_fuel_types,
        coalesce(m.countries, 0) AS n_countries, coalesce(cs.n, 0) AS n_consumption, coalesce(m.n, 0) AS entries
@@ -571,4 +623,47 @@ FROM fuel GROUP BY 1, 2"""
     q["stream_ingest"] = f"""WITH {DIRTY_PARSED}
 SELECT row_num, ts AS event_ts, amount AS amount_eur, lit AS liters, ft AS fuel_type, tank AS is_full_tank,
        st AS station_name, ci AS city, co AS country FROM good"""
-    return {name: _expand_r6(sql) for name, sql in q.items()}
+    # --- sources, stores, display and series -----------------------------------
+    q["csv_round_trip"] = f"""WITH {DIRTY_PARSED}
+SELECT ts AS event_ts, amount AS amount_eur, lit AS liters, ft AS fuel_type, tank AS is_full_tank,
+       st AS station_name, ci AS city, co AS country FROM good"""
+
+    q["store_round_trip"] = f"""WITH {FUEL}
+SELECT vehicle_id, row_num, event_ts, amount_eur, liters, price_per_liter_eur, city, is_full_tank
+FROM fuel WHERE event_ts BETWEEN {P_START} AND {P_END}"""
+
+    q["import_counts"] = f"""WITH {FUEL}, {ODO}
+SELECT 'fuel' AS log, (SELECT CAST(count(*) AS BIGINT) FROM fuel WHERE vehicle_id NOT IN (SELECT vehicle_id FROM fuel WHERE event_ts < {lit_ts(IMPORT_CUTOFF)})) AS imported, CAST(0 AS BIGINT) AS imported_again
+UNION ALL SELECT 'odometer', (SELECT CAST(count(*) AS BIGINT) FROM odo WHERE vehicle_id NOT IN (SELECT vehicle_id FROM odo WHERE event_ts < {lit_ts(IMPORT_CUTOFF)})), 0"""
+
+    q["fuel_derived"] = f"""WITH {FUEL}
+SELECT vehicle_id, row_num, price_per_liter_eur, liters * price_per_liter_eur AS computed_amount,
+       strftime(event_ts, '%Y-%m') AS month_text, printf('%.1f', liters) AS liters_text FROM fuel"""
+
+    q["location_table"] = f"""WITH {LOG}
+SELECT vehicle_id, country AS "Country", CAST(count(*) AS BIGINT) AS "Stops", r6(sum(liters)) AS "Liters",
+       r6(sum(amount_eur)) AS "EUR", r6(sum(amount_eur) / sum(liters)) AS "Avg_price" FROM log GROUP BY 1, 2"""
+
+    q["consumption_series"] = f"""WITH {FUEL}, {ODO}, {segments()}
+SELECT vehicle_id, row_num, event_ts AS datetime, r6(liters / km * 100) AS liters_per_100km, quality FROM seg"""
+
+    q["payload_series"] = f"""WITH {FUEL}, {ODO},
+fuel_p AS (SELECT * FROM fuel WHERE event_ts BETWEEN {c_start} AND {c_end}), {segments('fuel_p')},
+m AS (SELECT vehicle_id, strftime(event_ts, '%Y-%m') AS label, sum(liters) AS l, sum(amount_eur) AS e, avg(price_per_liter_eur) AS p FROM fuel_p GROUP BY 1, 2)
+SELECT vehicle_id, 'price_trend' AS series, label, r6(p) AS value FROM m
+UNION ALL SELECT vehicle_id, 'monthly_liters', label, r6(l) FROM m
+UNION ALL SELECT vehicle_id, 'monthly_spending', label, r6(e) FROM m
+UNION ALL SELECT vehicle_id, 'fuel_type_summary', fuel_type, r6(sum(amount_eur)) FROM fuel_p GROUP BY 1, 3
+UNION ALL SELECT vehicle_id, 'country_breakdown', country, r6(sum(amount_eur) / sum(liters)) FROM fuel_p GROUP BY 1, 3
+UNION ALL SELECT vehicle_id, 'consumption_series', {isotxt('event_ts')}, r6(liters / km * 100) FROM seg"""
+
+    q["report_sections"] = f"""WITH {FUEL}, {ODO},
+fuel_p AS (SELECT * FROM fuel WHERE event_ts BETWEEN {P_START} AND {P_END}), {segments('fuel_p')},
+d AS (SELECT *, odometer_km - lag(odometer_km) OVER (PARTITION BY vehicle_id ORDER BY event_ts, row_num) AS delta FROM odo),
+o AS (SELECT * FROM d WHERE event_ts BETWEEN {P_START} AND {P_END})
+SELECT vehicle_id, 'consumption' AS section, CAST(count(*) AS BIGINT) AS rows, r6(CAST(sum(CAST(km AS DECIMAL(28,9))) AS DOUBLE)) AS total FROM seg GROUP BY 1
+UNION ALL SELECT vehicle_id, 'overview_fuel', count(*), r6(sum(liters)) FROM fuel_p GROUP BY 1
+UNION ALL SELECT vehicle_id, 'overview_distance', count(*), r6(CAST(sum(CAST(delta AS DECIMAL(28,9))) AS DOUBLE)) FROM o WHERE delta IS NOT NULL GROUP BY 1
+UNION ALL SELECT vehicle_id, 'price_over_time', count(*), r6(CAST(sum(CAST(price_per_liter_eur AS DECIMAL(28,9))) AS DOUBLE)) FROM fuel_p GROUP BY 1
+UNION ALL SELECT vehicle_id, 'odometer_readings', count(*), r6(CAST(sum(CAST(odometer_km AS DECIMAL(28,9))) AS DOUBLE)) FROM o GROUP BY 1"""
+    return {name: _expand_r6(_exact_sums(sql)) for name, sql in q.items()}

@@ -1,15 +1,12 @@
 """Report sections, summaries and the analysis payload as DataFrames.
 
-``build_report`` returns a dict of lazy DataFrames for one period.  The
-validated inputs are persisted once (MEMORY_AND_DISK: a lost executor's
-blocks are recomputed from lineage) because a dozen sections read them.
+``build_report`` returns a dict of lazy DataFrames for one period.
 KPI cards are long rows ``(keys, section, position, metric, value, unit,
 source, tone, note)`` with numeric values; formatting is left to the sink.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -224,13 +221,12 @@ def analysis_payload(fuel: DataFrame, odo: DataFrame, period: Period, range_key:
 
 
 def build_report(fuel: DataFrame, odo: DataFrame, period: Period, keys: list[str] | None = None,
-                 fuel_issues: DataFrame | None = None, odo_issues: DataFrame | None = None,
-                 persist: bool = True) -> dict[str, DataFrame]:
-    """All report sections for one period (K7); keys default to ``[vehicle_id]``."""
+                 fuel_issues: DataFrame | None = None, odo_issues: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All report sections for one period (K7); keys default to ``[vehicle_id]``.
+
+    Sections are lazy plans over the two logs: pass stored logs (``store.read_log``),
+    of which each section reads only the columns and months it needs."""
     k = _keys(keys)
-    if persist:
-        fuel = fuel.persist(StorageLevel.MEMORY_AND_DISK)
-        odo = odo.persist(StorageLevel.MEMORY_AND_DISK)
     universe = key_universe(fuel, odo, k)
     fuel_p = fuel.filter(period.contains(TS))
     est = consumption_estimates(fuel_p, odo, k)

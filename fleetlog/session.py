@@ -10,7 +10,6 @@ is not already configured.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -65,20 +64,20 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts and streaming state: ``spark.checkpoint.dir``.
+    """Shared folder for lineage cuts and streaming state: ``spark.checkpoint.dir``,
+    used as configured, scheme and all.
 
-    The cluster's setting is always used when present.  Only when the session
-    has none (a bare local run or a test) a private folder is created.
-    """
+    Only where none is set and there is a single machine (a local run or a test) a
+    private folder is made; on a cluster a missing setting is an error."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if configured:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(configured)
-        return configured.removeprefix("file:")
-    local = tempfile.mkdtemp(prefix="fleetlog-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    return local
+    configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="fleetlog-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

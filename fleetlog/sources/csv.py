@@ -21,7 +21,9 @@ from fleetlog.schema import (
 
 
 def _reader(spark: SparkSession, multiline: bool):
-    return (spark.read.option("header", True).option("multiLine", multiline).option("quote", '"')
+    # enforceSchema off: a file of a folder whose header differs from the first one's fails the
+    # read, where Spark would otherwise bind its columns by position
+    return (spark.read.option("header", True).option("enforceSchema", False).option("multiLine", multiline).option("quote", '"')
             .option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "")
             .option("encoding", "UTF-8").option("mode", "PERMISSIVE"))
 
@@ -45,13 +47,14 @@ def _dataset_issue(spark: SparkSession, dataset: str, message: str) -> DataFrame
 
 
 def read_raw_csv(spark: SparkSession, path: str, required: tuple[str, ...], dataset: str,
-                 multiline: bool = True) -> tuple[DataFrame | None, DataFrame]:
+                 multiline: bool = False) -> tuple[DataFrame | None, DataFrame]:
     """Read a CSV log as text columns with ``row_num`` and ``source_file``.
 
     Returns ``(rows or None, file issues)``: a missing file, an empty file or
     missing required columns give one dataset-level error and no rows.
-    ``multiline=True`` accepts quoted newlines but makes each file one task;
-    set it to False for large files known to have none.
+    Files are split over tasks by lines; ``multiline=True`` accepts quoted newlines
+    and makes each file one task.  All files of a folder must have the same header
+    line; a row is identified by ``source_file`` and ``row_num``.
     """
     empty_issues = spark.createDataFrame([], ISSUE_SCHEMA)
     try:
@@ -72,13 +75,13 @@ def read_raw_csv(spark: SparkSession, path: str, required: tuple[str, ...], data
 
 def _with_issue_columns(issues: DataFrame, keys: list[str]) -> DataFrame:
     out = issues
-    for c in ("pair_row_a", "pair_row_b"):
+    for c in ("pair_row_a", "pair_row_b", "pairs"):
         if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast("long"))
+            out = out.withColumn(c, F.lit(1 if c == "pairs" else None).cast("long"))
     if "rule_seq" not in out.columns:
         out = out.withColumn("rule_seq", F.lit(0))
     return out.select(*keys, "dataset", "severity", "rule", "rule_seq", ROW, "field", "message",
-                      "pair_row_a", "pair_row_b")
+                      "pair_row_a", "pair_row_b", "pairs")
 
 
 def _no_rows(spark, schema, file_issues, keys, vehicle_id) -> rules.Validated:
@@ -92,7 +95,7 @@ def _no_rows(spark, schema, file_issues, keys, vehicle_id) -> rules.Validated:
 
 
 def load_fuel_csv(spark: SparkSession, path: str, vehicle_id: int | None = None,
-                  config: rules.RuleConfig = rules.RuleConfig(), multiline: bool = True) -> rules.Validated:
+                  config: rules.RuleConfig = rules.RuleConfig(), multiline: bool = False) -> rules.Validated:
     """CSV fuel log -> validated rows and issues.
 
     With ``vehicle_id`` the rows get that key; otherwise the whole input is one log."""
@@ -107,7 +110,7 @@ def load_fuel_csv(spark: SparkSession, path: str, vehicle_id: int | None = None,
 
 
 def load_odometer_csv(spark: SparkSession, path: str, vehicle_id: int | None = None,
-                      config: rules.RuleConfig = rules.RuleConfig(), multiline: bool = True) -> rules.Validated:
+                      config: rules.RuleConfig = rules.RuleConfig(), multiline: bool = False) -> rules.Validated:
     """CSV odometer log -> validated rows and issues."""
     rows, file_issues = read_raw_csv(spark, path, ODO_RAW_COLUMNS, "odometer", multiline)
     keys = [KEY] if vehicle_id is not None else []

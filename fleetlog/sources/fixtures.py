@@ -15,26 +15,9 @@ from fleetlog.operators.sequence import running_total
 from fleetlog.schema import KEY, ROW, TS
 
 
-_SCANS: dict[tuple[str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of one driver table.  The scan DataFrame (an immutable plan) is reused
-    per session and path, so schema discovery runs once rather than per query."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(path)
-    return _SCANS[key]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition when a scan yields fewer splits than the cluster has
-    cores (a small file with one row group is read by one task); CPU-heavy row work
-    after it then uses every core.  Large inputs already have enough splits and are
-    returned unchanged, so this never adds a shuffle at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Scan of one driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +75,17 @@ def fx_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("n_name").alias("country")))
 
 
+def fx_gap_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_log`` with the rows of February and August dated 31 days later, so that every
+    supplier has months without a row."""
+    moved = F.when(F.month(TS).isin(2, 8), F.col(TS) + F.expr("INTERVAL 31 DAYS")).otherwise(F.col(TS))
+    return fx_log(spark, sf_dir).withColumn(TS, moved)
+
+
 def fx_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw all-string fuel rows rendered from ``orders`` with deterministic faults."""
-    return dirty_rows(spread(table(spark, sf_dir, "orders")))
+    """Raw all-string fuel rows of vehicles (customers), rendered from ``orders`` with
+    deterministic faults."""
+    return dirty_rows(table(spark, sf_dir, "orders"))
 
 
 def _round2_binary(x):
@@ -113,7 +104,7 @@ def dirty_rows(o: DataFrame) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     s = lambda x: F.lit(x)
     return o.select(
-        (k + 2).alias(ROW),
+        c.alias(KEY), (k + 2).alias(ROW),
         F.when(k % 97 == 0, s("not-a-date")).when(k % 89 == 0, s(""))
         .otherwise(F.concat(s(" "), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), s(" "))).alias("datetime"),
         F.when(k % 83 == 0, s("-10")).when(k % 79 == 0, s("abc"))
@@ -132,4 +123,5 @@ def dirty_rows(o: DataFrame) -> DataFrame:
 
 def fx_dirty_odometer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw odometer rows: ``fx_dirty`` with its amount column read as the odometer."""
-    return fx_dirty(spark, sf_dir).select(ROW, "datetime", F.col("amount_eur").alias("odometer_km"), "notes")
+    return fx_dirty(spark, sf_dir).select(
+        KEY, ROW, "datetime", F.col("amount_eur").alias("odometer_km"), "notes")

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fleetlog.functions.calendar import Period
 from fleetlog.operators import rules
 from fleetlog.operators.lookups import import_missing
-from fleetlog.schema import KEY, TS
+from fleetlog.schema import FUEL_SCHEMA, KEY, TS
+from fleetlog.session import checkpoint_dir
 
 MONTH_COL = "event_month"
 
@@ -23,14 +25,20 @@ def write_log(df: DataFrame, path: str, mode: str = "append", keys: list[str] |
     """Append (or overwrite) a fuel or odometer log as a month-partitioned table."""
     keys = [KEY] if keys is None else list(keys)
     (df.withColumn(MONTH_COL, F.date_format(TS, "yyyy-MM"))
-     .repartition(MONTH_COL, *keys)
-     .sortWithinPartitions(*keys, TS)
+     # ranges of (month, keys, time): a vehicle with many rows in a month is split by time
+     .repartitionByRange(MONTH_COL, *keys, TS)
+     .sortWithinPartitions(MONTH_COL, *keys, TS)
      .write.mode(mode).partitionBy(MONTH_COL).parquet(path))
 
 
-def read_log(spark: SparkSession, path: str, period: Period | None = None, vehicle: int | None = None) -> DataFrame:
-    """Read a stored log; month partitions outside ``period`` are pruned."""
-    df = spark.read.parquet(path)
+def read_log(spark: SparkSession, path: str, period: Period | None = None, vehicle: int | None = None,
+             schema: StructType | None = None) -> DataFrame:
+    """Read a stored log; month partitions outside ``period`` are pruned.
+
+    ``schema`` (``FUEL_SCHEMA`` or ``ODO_SCHEMA``) fixes the columns: those that some files
+    lack are null there, others are left out."""
+    stored = StructType([*schema.fields, StructField(MONTH_COL, StringType())]) if schema else None
+    df = spark.read.schema(stored).parquet(path) if stored else spark.read.parquet(path)
     if period is not None:
         df = df.filter(F.col(MONTH_COL).between(period.start.strftime("%Y-%m"), period.end.strftime("%Y-%m")))
         df = df.filter(period.contains(TS))
@@ -50,24 +58,34 @@ def import_if_empty(spark: SparkSession, incoming_fuel: DataFrame, incoming_odo:
     """Idempotent backfill: append incoming rows only for vehicles with no rows yet in
     that log; the two logs are tested independently (S5).  Returns the imported counts."""
     keys = [KEY] if keys is None else list(keys)
+    checkpoint_dir(spark)
     counts = []
     for incoming, path in ((incoming_fuel, fuel_path), (incoming_odo, odo_path)):
         todo = import_missing(incoming, read_log(spark, path), keys) if _exists(spark, path) else incoming
-        # materialise once: the count and the write must see the same rows
-        staged = todo.withColumn("_one", F.lit(1))
+        # fixed once: the count and the write see the same rows of one state of the table
+        staged = todo.checkpoint(eager=True)
         n = staged.count()
         if n:
-            write_log(staged.drop("_one"), path, "append", keys)
+            write_log(staged, path, "append", keys)
         counts.append(n)
     return counts[0], counts[1]
 
 
 def append_entries(spark: SparkSession, entries: DataFrame, fuel_path: str,
-                   keys: list[str] | None = None) -> DataFrame:
-    """Validate form entries and append the accepted ones; returns the rejected rows with
-    their field errors (S6, V18).  Accepted rows keep their price warnings."""
-    accepted, rejected = rules.validate_entries(entries, keys)
-    write_log(accepted.drop("warnings"), fuel_path, "append", keys)
+                   keys: list[str] | None = None, clean: bool = False) -> DataFrame:
+    """Validate form entries (V18; ``clean`` runs the decimal clean-up V19 first) and append
+    the accepted ones; returns the rejected rows as entered with their field errors (S6).
+
+    The rejected rows are fixed before anything is written, so later reads of them
+    neither run the rules again nor see other entries.  Entries without ``row_num`` are
+    stored without one."""
+    keys = [KEY] if keys is None else list(keys)
+    accepted, rejected = rules.validate_entries(entries, keys, clean=clean)
+    checkpoint_dir(spark)
+    rejected = rejected.checkpoint(eager=True)
+    accepted = accepted.drop("warnings")
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in FUEL_SCHEMA if f.name not in accepted.columns}
+    write_log(accepted.withColumns(missing).select(*FUEL_SCHEMA.names), fuel_path, "append", keys)
     return rejected
 
 

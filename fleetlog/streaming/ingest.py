@@ -1,26 +1,27 @@
 """Structured Streaming: ingestion with quarantine (ST1) and running
 month-to-date totals per vehicle (ST2).
 
-ST1 applies the stateless row rules to every micro-batch and writes the
-accepted rows and the issues to two tables.  Each batch goes to its own
-``epoch=<id>`` folder written with overwrite, so a retried batch replaces
-its earlier attempt instead of duplicating it.
-
-ST2 keeps one state row per (vehicle, month).  ``window()`` has no month
-length, so the watermark is set on the month column itself: a month's state
-is dropped once event time has moved ``delay`` past the month's start, and
-later rows for that month are discarded as late.
+ST1 applies the entry rules (or the CSV row rules) to every micro-batch and
+writes accepted rows and rejected raw rows to two tables.  Each batch goes to
+its own ``epoch=<id>`` folder written with overwrite, so a retried batch
+replaces its earlier attempt instead of duplicating it.
+
+ST2 keeps no state: each micro-batch writes its own sums per (key, month), and
+the current value is the sum over epochs.  So a row counts whenever it arrives,
+in any order and however late; no watermark drops it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fleetlog.functions.calendar import month_start
+from fleetlog.functions.text import round6
 from fleetlog.operators import rules
 from fleetlog.schema import KEY, ROW, TS
-from fleetlog.session import scratch_path
+from fleetlog.session import checkpoint_dir, scratch_path
 from fleetlog.sources import fixtures as fx
 
 
@@ -40,51 +41,62 @@ def ingest_fuel(raw: DataFrame, accepted_path: str, issues_path: str, checkpoint
     keys = list(keys or [])
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
+        batch = batch.checkpoint(eager=True)  # parsed for both tables from one read of the source
         parsed, issues = rules.validate_fuel_rows(batch, keys, config)
-        good = rules.fuel_good_rows(parsed, keys)
-        good.write.mode("overwrite").parquet(f"{accepted_path}/epoch={epoch}")
+        rules.fuel_good_rows(parsed, keys).write.mode("overwrite").parquet(f"{accepted_path}/epoch={epoch}")
         issues.write.mode("overwrite").parquet(f"{issues_path}/epoch={epoch}")
 
-    w = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    checkpoint_dir(raw.sparkSession)
+    return _started(raw.writeStream.foreachBatch(write_batch), checkpoint, available_now)
 
 
-def month_to_date_stream(fuel: DataFrame, keys: list[str] | None = None, delay: str = "35 days") -> DataFrame:
-    """Running litres / EUR / entries per key and calendar month (ST2), for update mode.
+def _started(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
 
-    Event time is cast from TIMESTAMP_NTZ to TIMESTAMP (session zone UTC):
-    watermarks need a zoned timestamp."""
+
+def ingest_entries(entries: DataFrame, accepted_path: str, rejected_path: str, checkpoint: str,
+                   keys: list[str] | None = None, available_now: bool = True, clean: bool = False,
+                   config: rules.RuleConfig = rules.RuleConfig()) -> StreamingQuery:
+    """Validate a stream of form entries (V18, with ``clean`` V19 first); accepted rows and
+    rejected rows as entered, with their field errors, go to two Parquet tables (ST1)."""
     keys = [KEY] if keys is None else list(keys)
-    month = F.date_trunc("month", F.col(TS).cast("timestamp"))
-    return (fuel.withColumn("month", month).withWatermark("month", delay)
-            .groupBy(*keys, "month")
-            .agg(F.sum("liters").alias("month_liters"), F.sum("amount_eur").alias("month_eur"),
-                 F.count(F.lit(1)).alias("month_entries")))
+
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        accepted, rejected = rules.validate_entries(batch.checkpoint(eager=True), keys, config, clean)
+        accepted.write.mode("overwrite").parquet(f"{accepted_path}/epoch={epoch}")
+        rejected.write.mode("overwrite").parquet(f"{rejected_path}/epoch={epoch}")
+
+    checkpoint_dir(entries.sparkSession)
+    return _started(entries.writeStream.foreachBatch(write_batch), checkpoint, available_now)
+
+
+def month_sums(fuel: DataFrame, keys: list[str]) -> DataFrame:
+    """Litres, EUR and entries per key and calendar month, as exact decimals to add up further."""
+    def total(c: str) -> Column:
+        return F.sum(F.col(c).cast("decimal(28,9)")).alias(f"month_{c}")
+    return fuel.groupBy(*keys, month_start(TS).alias("month")).agg(total("liters"), total("amount_eur"),
+                                                                  F.count(F.lit(1)).alias("month_entries"))
 
 
 def run_month_to_date(fuel: DataFrame, out_path: str, checkpoint: str, keys: list[str] | None = None,
-                      delay: str = "35 days", available_now: bool = True) -> StreamingQuery:
-    """Write each batch's updated (key, month) rows under ``epoch=<id>``; the latest
-    epoch per (key, month) is the current value (see ``latest_month_to_date``)."""
-    agg = month_to_date_stream(fuel, keys, delay)
+                      available_now: bool = True) -> StreamingQuery:
+    """Write each batch's sums per (key, month) under ``epoch=<id>`` (ST2)."""
+    keys = [KEY] if keys is None else list(keys)
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        # the folder name is the epoch column on read (partition discovery)
-        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        month_sums(batch, keys).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
-    w = agg.writeStream.outputMode("update").foreachBatch(write_batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    return _started(fuel.writeStream.foreachBatch(write_batch), checkpoint, available_now)
 
 
 def latest_month_to_date(spark: SparkSession, out_path: str, keys: list[str] | None = None) -> DataFrame:
-    """Current month-to-date values: the row of the newest epoch per (key, month)."""
+    """Current month totals: the sum over all epochs."""
     keys = [KEY] if keys is None else list(keys)
-    updates = spark.read.parquet(out_path)
-    latest = updates.groupBy(*keys, "month").agg(F.max_by(F.struct("month_liters", "month_eur", "month_entries"),
-                                                          "epoch").alias("_v"))
-    return latest.select(*keys, "month", "_v.*")
+    sums = spark.read.parquet(out_path).groupBy(*keys, "month").agg(
+        *[F.sum(c).cast("double").alias(n) for c, n in (("month_liters", "month_liters"), ("month_amount_eur", "month_eur"))],
+        F.sum("month_entries").alias("month_entries"))
+    return sums
 
 
 def _fuel_from_events(events: DataFrame) -> DataFrame:
@@ -100,8 +112,7 @@ def stream_month_to_date_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = run_month_to_date(_fuel_from_events(table_stream(spark, sf_dir, "events")), f"{base}/out", f"{base}/ck")
     q.awaitTermination()
     return latest_month_to_date(spark, f"{base}/out").select(
-        KEY, F.col("month").cast("timestamp_ntz").alias("month"), "month_entries",
-        F.round("month_liters", 6).alias("month_liters"), F.round("month_eur", 6).alias("month_eur"))
+        KEY, "month", "month_entries", round6("month_liters").alias("month_liters"), round6("month_eur").alias("month_eur"))
 
 
 def stream_ingest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,3 +123,14 @@ def stream_ingest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.awaitTermination()
     return spark.read.parquet(f"{base}/accepted").select(ROW, TS, "amount_eur", "liters", "fuel_type",
                                                          "is_full_tank", "station_name", "city", "country")
+
+
+def stream_entries_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered query: ``fx_dirty`` rows streamed through the entry rules; every row with its verdict."""
+    base = scratch_path(spark, "stream-entries")
+    raw = fx.dirty_rows(table_stream(spark, sf_dir, "orders")).withColumnRenamed("datetime", "entry_date")
+    ingest_entries(raw, f"{base}/accepted", f"{base}/rejected", f"{base}/ck").awaitTermination()
+    accepted = spark.read.parquet(f"{base}/accepted").select(KEY, ROW, F.lit("").alias("error_fields"), F.lit(None).cast("string").alias("entered"))
+    fields = F.array_join(F.array_sort(F.map_keys("errors")), ",")
+    return accepted.unionByName(spark.read.parquet(f"{base}/rejected").select(
+        KEY, ROW, fields.alias("error_fields"), F.col("liters").alias("entered")))

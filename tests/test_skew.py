@@ -9,6 +9,7 @@ partition the large side by (vehicle, bucket) instead of vehicle alone.
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -16,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetlog.operators.sequence import previous_row, running_total
-from fleetlog.operators.distance import total_distance
+from fleetlog.operators.distance import cumulative_distance, total_distance
 from fleetlog.operators.consumption import consumption_estimates
 from fleetlog.schema import FUEL_SCHEMA, ODO_SCHEMA
 
@@ -65,14 +66,37 @@ def test_total_distance_equals_first_last(hot):
     assert got == {v: last[v] - first[v] for v in first}
 
 
-def test_consumption_plan_partitions_by_bucket(spark, hot):
+def test_consumption_plan_partitions_by_bucket(spark, hot, tmp_path):
+    """The final plan over stored logs, with nothing broadcast: the logs' rows are shuffled by
+    (key, bucket) alone, windows over them need no other exchange, and nothing sorts to aggregate."""
     fuel = hot.select("vehicle_id", "event_ts", F.col("odometer_km").alias("amount_eur"),
                       F.lit(40.0).alias("liters"), "row_num").filter(F.col("row_num") % 3 == 0)
-    plan = consumption_estimates(fuel, hot)._jdf.queryExecution().executedPlan().toString()
-    windows = [line for line in plan.split("\n") if "Window [" in line and "windowspecdefinition(vehicle_id" in line]
-    # every window over raw rows is partitioned by (vehicle, bucket); windows partitioned by
-    # vehicle alone only read the per-bucket summary tables
-    big = [line for line in windows if "_bucket" in line.split("windowspecdefinition(")[1].split(",")[1]]
-    assert big, plan
-    assert "SortAggregate(key=[vehicle_id" not in plan or "_cur_ts" in plan
+    fuel.write.parquet(str(tmp_path / "fuel"))
+    hot.write.parquet(str(tmp_path / "odo"))
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in old:
+        spark.conf.set(k, "-1")
+    try:
+        df = consumption_estimates(spark.read.parquet(str(tmp_path / "fuel")), spark.read.parquet(str(tmp_path / "odo")))
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert "isFinalPlan=true" in plan
+    keys = {re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)}
+    # rows by (key, bucket), bucket summaries by key, refuels by their place for the regroup
+    assert keys == {"_kid, _bucket", "_kid", "vehicle_id, _own, _pos, _cur_ts"}, keys
+    assert "coalesce(vehicle_id" not in plan and "SortAggregate" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_null_keys_are_a_key_of_their_own(spark):
+    rows = [(None, datetime(2024, 1, d), float(d), "", d) for d in (1, 2, 5)] + [(1, datetime(2024, 1, 3), 7.0, "", 9)]
+    odo = spark.createDataFrame(rows, ODO_SCHEMA)
+    got = {r["row_num"]: r["p"]["km"] if r["p"] else None
+           for r in previous_row(odo, ["vehicle_id"], {"km": F.col("odometer_km")}, "p").collect()}
+    assert got == {1: None, 2: 1.0, 5: 2.0, 9: None}
+    assert {r["row_num"]: r["cumulative_km"] for r in cumulative_distance(odo).collect()} == {1: 0.0, 2: 1.0, 5: 4.0, 9: 0.0}
+    run = {r["row_num"]: r["s"] for r in running_total(odo, ["vehicle_id"], F.col("odometer_km"), "s").collect()}
+    assert run == {1: 1.0, 2: 3.0, 5: 8.0, 9: 7.0}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from conftest import SF
 
 from fleetlog.operators import aggregates as agg
@@ -12,7 +14,7 @@ from fleetlog.streaming import ingest
 
 def test_stream_ingest_equals_batch(spark):
     streamed = {r["row_num"] for r in ingest.stream_ingest_query(spark, SF).collect()}
-    batch = {r["row_num"] for r in rules.validate_fuel(fx.fx_dirty(spark, SF)).good.collect()}
+    batch = {r["row_num"] for r in rules.validate_fuel(fx.fx_dirty(spark, SF), ["vehicle_id"]).good.collect()}
     assert streamed == batch and len(batch) == 1233
 
 
@@ -23,3 +25,40 @@ def test_stream_month_to_date_equals_batch(spark):
     batch = {r["vehicle_id"]: (r["month_entries"], round(r["month_liters"], 6))
              for r in agg.month_to_date(fx.fx_fuel(spark, SF), datetime(2024, 1, 15)).collect()}
     assert streamed == batch
+
+
+FUEL = "vehicle_id long, event_ts timestamp_ntz, row_num long, amount_eur double, liters double"
+
+
+def test_late_rows_in_any_order_count(spark, tmp_path):
+    """One file a batch, months shuffled, a restart in between: nothing is late (ST2)."""
+    src, days = tmp_path / "in", [(1, 10), (6, 10), (6, 11), (1, 20), (1, 21)]
+
+    def arrive(some):
+        for i, (month, day) in some:
+            df = spark.createDataFrame([(1, datetime(2024, month, day), i, 20.0, 10.0)], FUEL)
+            df.coalesce(1).write.mode("append").parquet(str(src))
+
+    def run():
+        stream = spark.readStream.schema(FUEL).option("maxFilesPerTrigger", 1).parquet(str(src))
+        ingest.run_month_to_date(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+        return {r["month"].month: (r["month_liters"], r["month_entries"]) for r in ingest.latest_month_to_date(spark, str(tmp_path / "out")).collect()}
+
+    arrive([*enumerate(days)][:3])
+    assert run() == {1: (10.0, 1), 6: (20.0, 2)}
+    arrive([*enumerate(days)][3:])
+    assert run() == {1: (30.0, 3), 6: (20.0, 2)}
+
+
+def test_entries_stream_keeps_rejected_rows_as_entered(spark, tmp_path):
+    cols = ("vehicle_id long, row_num long, station_name string, city string, country string, liters string, "
+            "amount_eur string, entry_date string, fuel_type string, is_full_tank string, notes string")
+    rows = [(1, 1, "Nord", "Kiel", "de", "42,5", "70,129", "2024-03-15T08:30", "E10", "true", ""),
+            (1, 2, "", "Kiel", "DE", "x1", "70", "2024-03-16", "E10", "true", "as written ")]
+    spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(cols).parquet(str(tmp_path / "in"))
+    ingest.ingest_entries(stream, str(tmp_path / "a"), str(tmp_path / "r"), str(tmp_path / "ck"), clean=True).awaitTermination()
+    good = spark.read.parquet(str(tmp_path / "a")).first()
+    assert (good["liters"], good["amount_eur"], good["country"]) == (42.5, 70.13, "DE")
+    bad = spark.read.parquet(str(tmp_path / "r")).first()
+    assert bad["liters"] == "x1" and bad["notes"] == "as written " and set(bad["errors"]) == {"station_name", "liters"}
