@@ -91,10 +91,10 @@ def round6(c: ColumnLike) -> Column:
     return F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
 
 
-def exact_sum(c: ColumnLike) -> Column:
+def exact_sum(c: ColumnLike, places: int = 9) -> Column:
     """Sum of doubles that does not depend on their order: added up as decimals with
-    nine places, turned into a double once at the end."""
-    return F.sum(_col(c).cast("decimal(28,9)")).cast("double")
+    ``places`` places (up to 15), turned into a double once at the end."""
+    return F.sum(_col(c).cast(f"decimal({19 + places if places < 10 else 38},{places})")).cast("double")
 
 
 def fixed(c: ColumnLike, places: int) -> Column:

@@ -101,7 +101,7 @@ def consumption_flat(estimates: DataFrame, keys: list[str] | None = None) -> Dat
 
 
 def _mean(c: str) -> Column:
-    return F.try_divide(exact_sum(c), F.count(c))
+    return F.try_divide(exact_sum(c, 15), F.count(c))
 
 
 def consumption_summary(estimates: DataFrame, keys: list[str] | None = None) -> DataFrame:
