@@ -21,7 +21,6 @@ import heapq
 import json
 import re
 import struct
-import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -29,9 +28,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from fleetlog.llm.textkit import prepare
 
+#: Chunks of these characters alone are normalised by lower case; none composes with another.
+PLAIN = "(?:(?!<\\|)[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e])*"
 CACHE_ENTRIES = 300_000  # of chunks, and as many of words, in each worker
 
 
@@ -63,6 +65,9 @@ class BpeCodec:
         # the same for lower-case ASCII, which the standard module matches faster
         self.plain_words = re.compile(self.words.pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.stand_ins = _byte_symbols()
+        self.byte_of = {s: b for b, s in enumerate(self.stand_ins)}
+        self.latin = re.compile(PLAIN)
+        self.library = Tokenizer.from_file(path)
         self.inner = [vocab[s] for s in self.stand_ins]
         self.final = [vocab[s + end] for s in self.stand_ins]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -105,12 +110,16 @@ class BpeCodec:
         if text.isascii() and "<|" not in text:
             yield from self.plain_words.findall(text.lower())
             return
-        for part in self.cut.split(text) if "<|" in text else (text,):
+        if self.latin.fullmatch(text):
+            yield from self.words.findall(text.lower())
+            return
+        # the library's own Unicode tables, newer than Python's, for all else
+        for part in self.cut.split(text):
             if part in self.special:
                 yield self.special[part]
-            else:
-                # lower case by code point: no final sigma
-                yield from self.words.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+            elif part:
+                for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
+                    yield bytes(map(self.byte_of.__getitem__, word)).decode()
 
     def chunk(self, chunk: bytes) -> bytes:
         """The ids, as little-endian 32-bit integers, of a text without white space."""

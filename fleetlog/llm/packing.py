@@ -30,8 +30,8 @@ from fleetlog.llm.textkit import Words, prepare, words_of
 
 LENGTH = 4096
 END_ID = 2
-SHARD_BYTES = 8 << 20
-CACHE_ENTRIES = 400_000  # words in each of the two generations of a worker's cache
+SHARD_BYTES = 6 << 20
+CACHE_ENTRIES = 250_000  # words in each of the two generations of a worker's cache
 K1, B = 1.2, 0.75
 
 
@@ -58,10 +58,8 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.rules = codec(path)
-        self.model = Tokenizer.from_file(path).model
+        self.model = self.rules.library.model
         self.cut = "(" + self.rules.words.pattern + ")"
         #: no word looks like the name of a special string: words are never control and digit
         self.names = {i: f"\0{i}" for i in self.rules.special.values()}
