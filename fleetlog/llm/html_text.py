@@ -7,7 +7,8 @@ lowered by the share of both that belong to links.  The element whose children
 have the largest sum of densities holds the article; the smallest density on
 the path from it to the body is the threshold for what else along that path is
 kept.  Where that element lies in an ``article`` or ``main`` element, the whole
-of the innermost one is the article.
+of the innermost one is the article; where it does not, the densest such element
+is, if it has at least a quarter of the page's characters.
 
 Inline markup counts as characters and tags of the block around it; it never
 is a block or a candidate itself.  Null and empty pages give an empty text;
@@ -229,7 +230,12 @@ def main_text(page: str | None) -> str:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     out: list[str] = []
-    if whole := next((node for node in path if node.tag in ARTICLE), None):
+    whole = next((node for node in path if node.tag in ARTICLE), None)
+    if whole is None:
+        # long text beside an article element outweighs it only if it is most of the page
+        named = max((node for node in order if node.tag in ARTICLE), key=lambda node: node.total, default=None)
+        whole = named if named is not None and 4 * named.chars >= root.chars else None
+    if whole:
         _blocks(whole, frozenset(), out)
         return "\n".join(out)
     body = next((i for i, node in enumerate(path) if node.tag == "body"), len(path) - 1)
