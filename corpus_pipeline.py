@@ -25,8 +25,8 @@ def _resized(changed: DataFrame, columns: list[str]) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents predicted toxic go."""
     chain = queries.toxicity_chain(spark, sf_dir, docs)
-    scored = toxicity.score(docs, chain, docs.columns)
-    return scored.filter(F.col("p_toxic") < chain.thresholds[-1]).select(*docs.columns)
+    scored = toxicity.score(docs, chain, docs.columns, "_p_")
+    return scored.filter(F.col("_p_toxic") < chain.thresholds[-1]).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlog.llm.textkit import checkpointed
+from fleetlog.llm.textkit import checkpointed, without
 
 MIN_SITES = 10
 MIN_CHARS = 20
@@ -58,7 +58,9 @@ def without_boilerplate(
     docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source"
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken from the text, and the columns
-    ``n_lines`` and ``n_removed`` of each row."""
+    ``n_lines`` and ``n_removed`` of each row; columns of these names, ``_key`` and
+    ``_away`` in ``docs`` give way."""
+    docs = without(docs, "n_lines", "n_removed", "_key", "_away")
     lines = checkpointed(line_table(docs, min_chars, id_column, text_column, site_column))
     found = boilerplate(lines, min_sites)
     away = (

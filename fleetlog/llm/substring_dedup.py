@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlog.llm.textkit import Words, checkpointed, hash_words, prepare, row_sums, slices, texts_of, window_hashes, words_of
+from fleetlog.llm.textkit import Words, checkpointed, hash_words, prepare, row_sums, slices, texts_of, window_hashes, without, words_of
 
 WIDTH = 35
 BLOCK_WINDOWS = 4 << 20  # windows that meet in one block
@@ -162,8 +162,10 @@ def _merged(sent: DataFrame, unpack) -> DataFrame:
 def without_repeats(docs: DataFrame, width: int = WIDTH, text_column: str = "text", joined: bool = False, stored: bool = True) -> DataFrame:
     """``docs`` without the words of repeated windows, and the columns
     ``n_words`` and ``n_removed``.  Kept words of a text that lost some are joined
-    by one blank; other texts stay as they are unless ``joined``."""
+    by one blank; other texts stay as they are unless ``joined``.  Columns of these
+    names and ``_slice`` in ``docs`` give way."""
     prepare(docs.sparkSession)
+    docs = without(docs, "n_words", "n_removed", "_slice")
     docs = docs if stored else checkpointed(docs)
     size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     layout = Layout(size // 6)

@@ -67,11 +67,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns that bear names which an operator gives to its own."""
+    return df.drop(*names)
+
+
 def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
     """At most ``rows`` different rows of ``df``, the first in the order of a
     hash of all columns.  Only hashes are sorted, so what reaches the driver on
     the way is 8 bytes a row."""
-    keyed = df.withColumn("_key", F.xxhash64(*df.columns))
+    keyed = without(df, "_key").withColumn("_key", F.xxhash64(*df.columns))
     first = keyed.select("_key").distinct().orderBy("_key").limit(rows)
     return keyed.join(F.broadcast(first), "_key").dropDuplicates(["_key"]).orderBy("_key").drop("_key")
 
@@ -89,6 +94,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # workers live on and share the executor's memory
 
 
 class Words(NamedTuple):

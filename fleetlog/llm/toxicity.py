@@ -194,10 +194,12 @@ def fit(labelled: DataFrame, categories: list[str], sample_rows: int = SAMPLE_RO
     return Chain(list(categories), chosen, weights, thresholds)
 
 
-def score(docs: DataFrame, chain: Chain, columns: list[str] = ["doc_id"]) -> DataFrame:
-    """``columns`` of every row and ``p_<category>`` for each category."""
+def score(docs: DataFrame, chain: Chain, columns: list[str] = ["doc_id"], prefix: str = "p_") -> DataFrame:
+    """``columns`` of every row and ``p_<category>`` for each category; columns of these
+    names give way."""
     prepare(docs.sparkSession)
-    names = [f"p_{c}" for c in chain.categories]
+    names = [f"{prefix}{c}" for c in chain.categories]
+    columns = [c for c in columns if c not in names]
     own = "text" if "text" in columns else "_text"
     passed = docs.select(*columns, *([] if own in columns else [F.col("text").alias(own)]))
 
