@@ -292,21 +292,23 @@ def _fits(percent: int) -> str:
     )
 
 
-def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> DataFrame:
-    """Those of the set pairs ``a, b`` that link: first by their bitmaps, which rule most of
-    them out, then on the full sets."""
-    members = rows.filter(F.col("kind") == _MEMBER)
-    short = members.select("sid", "n", F.col("payload").alias("short")).dropDuplicates(["sid"])
-    both = pairs.join(short.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("short").alias("left")), "a")
-    both = both.join(short.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("short").alias("right")), "b")
+def likely(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b`` whose ``bitmaps`` (``id, n, bits``) allow a link."""
+    both = pairs.join(bitmaps.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("bits").alias("left")), "a")
+    both = both.join(bitmaps.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("right")), "b")
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = (batch.column(c).to_pylist() for c in ("left", "n", "right", "m"))
             keep = [_may_link(x, n, y, m, percent) for x, n, y, m in zip(*sides)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = checkpointed(both.select("a", "b", "left", "n", "right", "m").mapInArrow(likely, "a long, b long"))
+    return checkpointed(both.select("a", "b", "left", "n", "right", "m").mapInArrow(run, "a long, b long"))
+
+
+def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """Those of the set pairs ``a, b`` that link, compared on their full sets."""
+    members = rows.filter(F.col("kind") == _MEMBER)
     asked = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     keys = members.select("sid", "key").join(asked, "sid").groupBy("sid").agg(F.min("key").alias("key"))
     texts = docs.select(F.xxhash64(id_column, text_column).alias("key"), F.col(text_column).alias("text")).join(keys, "key").select("sid", "text")
@@ -339,9 +341,11 @@ def _ordered_pairs(pairs: DataFrame) -> DataFrame:
 def links(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket: int, id_column: str, text_column: str) -> DataFrame:
     """Links ``a, b`` between sets that join every component of the rows."""
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def exactly(pairs: DataFrame) -> DataFrame:
         return verified(pairs, rows, docs, words, percent, id_column, text_column)
 
+    members = rows.filter(F.col("kind") == _MEMBER).filter("n > 0")
+    of_sets = members.select(F.col("sid").alias("id"), "n", F.col("payload").alias("bits")).dropDuplicates(["id"])
     sets = rows.filter(F.col("kind") == _MEMBER).filter("n > 0").select("sid", "gid", "n").distinct()
     groups = checkpointed(sets.groupBy("gid").agg(F.min("sid").alias("first"), F.count("*").alias("members"), F.min("n").alias("n")))
     # rare tokens meet in blocks
@@ -360,12 +364,14 @@ def links(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket: in
     centres = centres.join(groups.select(F.col("gid").alias("centre"), F.col("n").alias("m")), "centre").select("token", "centre", "m")
     star = often.join(centres, "token").filter(f"gid <> centre AND 100 * least(n, m) >= {percent} * greatest(n, m)")
     star = _ordered_pairs(star.select(F.col("gid").alias("a"), F.col("centre").alias("b")).unionByName(blocks.filter("kind = 1").select("a", "b")))
-    pairs = close.unionByName(star)
-    first = groups.select("gid", "first")
-    pairs = pairs.join(first.select(F.col("gid").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("gid").alias("b"), F.col("first").alias("y")), "b")
+    # a group stands for its first member, whose bitmap rules most pairs out
+    first = groups.select("gid", F.col("first").alias("sid"))
+    of_groups = members.join(first, ["gid", "sid"], "left_semi").select(F.col("gid").alias("id"), "n", F.col("payload").alias("bits")).dropDuplicates(["id"])
+    pairs = likely(close.unionByName(star).distinct(), of_groups, percent)
+    pairs = pairs.join(first.select(F.col("gid").alias("a"), F.col("sid").alias("x")), "a").join(first.select(F.col("gid").alias("b"), F.col("sid").alias("y")), "b")
     several = checkpointed(sets.select("sid", "gid").join(groups.filter("members > 1"), "gid"))
-    within = several.select(F.col("sid").alias("a"), F.col("first").alias("b"))
-    found = verify(_ordered_pairs(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(within)))
+    within = likely(_ordered_pairs(several.select(F.col("sid").alias("a"), F.col("first").alias("b"))), of_sets, percent)
+    found = exactly(_ordered_pairs(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(within)))
 
     # second step, between components only
     labels = connected(found)
@@ -389,8 +395,8 @@ def links(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket: in
         rest.append(pair.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")))
     for step in rest:
         left = _ordered_pairs(step)
-        if not left.isEmpty():
-            found = found.unionByName(verify(left))
+        if not left.isEmpty() and not (left := likely(left, of_sets, percent)).isEmpty():
+            found = found.unionByName(exactly(left))
     return found
 
 
