@@ -32,6 +32,7 @@ FEATURES = 512
 FOLDS = 5
 MIN_DOCUMENTS = 4  # that a feature must occur in
 MIN_CHI_SQUARE = 30.0
+SLICE = 1 << 19  # bytes of text that fitting turns into features at once, on the driver
 PRECISION = 0.97  # that a threshold must have on out-of-fold predictions
 _WORD = np.uint64(1 << 63)
 _FILTER_BITS = 20
@@ -127,16 +128,25 @@ def _select(parts: list[pa.RecordBatch], labels: np.ndarray, top: int) -> np.nda
     """The ``top`` features with the largest chi-square over all categories."""
     n, done = len(labels), 0
     rows = labels.shape[1] + 1
-    totals: dict[str, np.ndarray] = {"f": np.zeros(0, np.uint64), "n": np.zeros((0, rows))}
+    features, sums = [np.zeros(0, np.uint64)], [np.zeros((0, rows), np.float32)]
+
+    def merge() -> None:
+        merged, at = np.unique(np.concatenate(features), return_inverse=True)
+        both = np.concatenate(sums)
+        sums[:] = [np.stack([np.bincount(at, weights=both[:, k], minlength=len(merged)) for k in range(rows)], axis=1).astype(np.float32)]
+        features[:] = [merged]
+
     for part in parts:
         row, feature = _pairs(part)
         values, at = np.unique(feature, return_inverse=True)
         marks = np.concatenate([np.ones((part.num_rows, 1)), labels[done : done + part.num_rows]], axis=1)
-        counts = np.stack([np.bincount(at, weights=marks[row, k], minlength=len(values)) for k in range(rows)], axis=1)
-        merged, at = np.unique(np.concatenate([totals["f"], values]), return_inverse=True)
-        both = np.concatenate([totals["n"], counts])
-        totals = {"f": merged, "n": np.stack([np.bincount(at, weights=both[:, k], minlength=len(merged)) for k in range(rows)], axis=1)}
+        features.append(values)
+        sums.append(np.stack([np.bincount(at, weights=marks[row, k], minlength=len(values)) for k in range(rows)], axis=1).astype(np.float32))
         done += part.num_rows
+        if len(features) > 8:
+            merge()
+    merge()
+    totals = {"f": features[0], "n": sums[0].astype(np.float64)}
     seen, best = totals["n"][:, 0], np.zeros(len(totals["f"]))
     for k in range(1, rows):
         positive = labels[:, k - 1].sum()
@@ -179,7 +189,7 @@ def fit(labelled: DataFrame, categories: list[str], sample_rows: int = SAMPLE_RO
     marks = [F.col(c).cast("double").alias(c) for c in categories]
     sample = bounded_sample(labelled.select("text", *marks).dropna(), sample_rows).toArrow().combine_chunks()
     labels = np.stack([sample[c].to_numpy() for c in categories], axis=1).astype(np.float32)
-    parts = [part for batch in sample.select(["text"]).to_batches() for part in slices(batch, "text", 2 << 20)]
+    parts = [part for batch in sample.select(["text"]).to_batches() for part in slices(batch, "text", SLICE)]
     chosen = _select(parts, labels, features)
     x = _matrix(parts, chosen)
     fold = np.arange(len(labels)) % folds
