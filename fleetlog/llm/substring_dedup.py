@@ -22,9 +22,9 @@ Null texts have no words and stay null.  Documents with fewer words than a windo
 lose nothing.  A repeated row repeats its windows, so both rows lose them.  Words
 are compared unchanged, windows on the input alone.
 
-Slices must come out alike in the three reads: pass a stored table, or set
-``stored`` to False to have the rows written to the checkpoint folder first.  A
-slice that changes between reads fails the job.
+Slices are cut once, over all columns, and checkpointed as one compressed value
+each; the three passes read those, so how Arrow cuts its batches does not matter
+and ``docs`` is read once, stored or not.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlog.llm.textkit import Words, checkpointed, hash_words, prepare, row_sums, slices, texts_of, window_hashes, without, words_of
+from fleetlog.llm.textkit import Words, checkpointed, hash_words, prepare, row_sums, slices, window_hashes, without, words_of
 
 WIDTH = 35
 BLOCK_WINDOWS = 4 << 20  # windows that meet in one block
@@ -151,6 +151,18 @@ def _numbered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[
             number += 1
 
 
+def _packed(part: pa.RecordBatch) -> bytes:
+    """The rows of a slice as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(value: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(value.as_buffer()).read_all()
+
+
 def _merged(sent: DataFrame, unpack) -> DataFrame:
     def merge(block: pa.Table) -> pa.Table:
         hits = _answer([unpack(raw) for raw in block["bits"].to_pylist()])
@@ -163,36 +175,42 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, text_column: str = "tex
     """``docs`` without the words of repeated windows, and the columns
     ``n_words`` and ``n_removed``.  Kept words of a text that lost some are joined
     by one blank; other texts stay as they are unless ``joined``.  Columns of these
-    names and ``_slice`` in ``docs`` give way."""
+    names and ``_slice`` in ``docs`` give way.  ``stored`` makes
+    no difference any more."""
     prepare(docs.sparkSession)
     docs = without(docs, "n_words", "n_removed", "_slice")
-    docs = docs if stored else checkpointed(docs)
-    size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
-    layout = Layout(size // 6)
     names = [f.name for f in docs.schema]
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part in _numbered(batches, text_column):
-            hashes, _ = _windows(words_of(texts_of(part, text_column)), width)
-            cells = _upto_two(layout.cells(hashes))
-            yield _sent(cells, layout.cut(cells, layout.cell_bits), layout.pack, number, _check(hashes))
+            size = pc.sum(pc.binary_length(part.column(text_column))).as_py() or 0
+            yield pa.RecordBatch.from_pydict({"_slice": [number], "size": [size], "rows": [_packed(part)]}, kept)
 
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in _numbered(batches, text_column):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, number), pa.int64())], [*part.schema.names, "_slice"])
+    kept = pa.schema([("_slice", pa.int64()), ("size", pa.int64()), ("rows", pa.binary())])
+    whole = checkpointed(docs.mapInArrow(cut, "_slice long, size long, rows binary"))
+    layout = Layout((whole.agg(F.sum("size")).first()[0] or 0) // 6)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, value in zip(batch.column("_slice").to_pylist(), batch.column("rows")):
+                hashes, _ = _windows(words_of(_texts(_rows(value))), width)
+                cells = _upto_two(layout.cells(hashes))
+                yield _sent(cells, layout.cut(cells, layout.cell_bits), layout.pack, number, _check(hashes))
+            pa.default_memory_pool().release_unused()  # workers live on and share the executor's memory
+
+    def _texts(rows: pa.Table) -> pa.Array:
+        return pc.fill_null(rows[text_column].cast(pa.large_string()), "").combine_chunks()
 
     def exact(left: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows:
             return pa.Table.from_batches([], schema)
-        hashes, _ = _windows(words_of(pc.fill_null(left[text_column].cast(pa.large_string()), "").combine_chunks()), width)
+        hashes, _ = _windows(words_of(_texts(_rows(left["rows"][0]))), width)
         found = _candidates(hashes, layout, answers)
         return pa.Table.from_batches([_sent(found, layout.cut(found, 64), lambda keys: keys.tobytes(), left["_slice"][0].as_py(), _check(hashes))])
 
     def remove(left: pa.Table, answers: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.Table.from_arrays([*left.columns[:-1], pa.array([], pa.int64()), pa.array([], pa.int64())], [*names, "n_words", "n_removed"])
-        texts = pc.fill_null(left[text_column].cast(pa.large_string()), "").combine_chunks()
-        found = words_of(texts)
+        rows = _rows(left["rows"][0])
+        found = words_of(_texts(rows))
         hashes, first = _windows(found, width)
         candidates = _candidates(hashes, layout, answers.filter(pc.equal(answers["phase"], 1)))
         hit = _bits(candidates, layout.cut(candidates, 64), answers.filter(pc.equal(answers["phase"], 2)), _check(hashes))
@@ -202,21 +220,18 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, text_column: str = "tex
         edges[again + width] -= 1
         keep = np.cumsum(edges[:-1]) == 0
         removed = row_sums(~keep, found.offsets)
-        out = left[text_column].to_pylist()
+        out = rows[text_column].to_pylist()
         for i in range(len(out)) if joined else np.flatnonzero(removed):
             words = (out[i] or "").encode().split()
             out[i] = b" ".join(compress(words, keep[found.offsets[i] : found.offsets[i + 1]]) if removed[i] else words).decode()
-        columns = [pa.array(out, pa.string()) if n == text_column else left[n] for n in names]
+        columns = [pa.array(out, pa.string()) if n == text_column else rows[n] for n in names]
         return pa.Table.from_arrays([*columns, pa.array(found.lengths, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_words", "n_removed"])
 
     schema = pa.schema([("slice", pa.int64()), ("check", pa.int64()), ("block", pa.int32()), ("bits", pa.binary())])
-    texts = docs.select(text_column)
-    tagged = texts.mapInArrow(tag, texts.withColumn("_slice", F.lit(0).cast("long")).schema)
-    first = _merged(texts.mapInArrow(sketch, _ANSWER), layout.unpack)
+    first = _merged(whole.mapInArrow(sketch, _ANSWER), layout.unpack)
     second = _merged(
-        tagged.groupBy("_slice").cogroup(first.groupBy("slice")).applyInArrow(exact, _ANSWER), lambda raw: np.frombuffer(raw, np.uint64)
+        whole.groupBy("_slice").cogroup(first.groupBy("slice")).applyInArrow(exact, _ANSWER), lambda raw: np.frombuffer(raw, np.uint64)
     )
     answers = first.withColumn("phase", F.lit(1)).unionByName(second.withColumn("phase", F.lit(2)))
-    whole = docs.mapInArrow(tag, docs.withColumn("_slice", F.lit(0).cast("long")).schema)
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
     return whole.groupBy("_slice").cogroup(answers.groupBy("slice")).applyInArrow(remove, out)

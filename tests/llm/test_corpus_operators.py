@@ -148,6 +148,19 @@ def test_substring_dedup_leaves_other_texts_as_they_are(spark, tmp_path):
     assert substring_dedup.without_repeats(df.limit(0), stored=False).count() == 0
 
 
+def test_substring_dedup_of_texts_beyond_one_arrow_batch(spark, tmp_path):
+    rnd = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"{rnd.getrandbits(40):x}" for _ in range(950)) for _ in range(2200)]  # about 10 KB each
+    for i in (3, 1675, 1677, 2199):
+        texts[i] += " " + passage
+    df = docs_df(spark, texts).withColumn("source", F.lit("s" * 40)).coalesce(1)
+    df.write.parquet(str(tmp_path / "docs"))
+    got = substring_dedup.without_repeats(spark.read.parquet(str(tmp_path / "docs"))).select("doc_id", "n_words", "n_removed").collect()
+    assert {r.doc_id: r.n_removed for r in got if r.n_removed} == dict.fromkeys((3, 1675, 1677, 2199), 40)
+    assert len(got) == 2200 and sum(r.n_words for r in got) == 2200 * 950 + 160
+
+
 def test_sketch_blocks_pack_and_answer():
     layout = substring_dedup.Layout(10_000)
     rnd = np.random.default_rng(5)
