@@ -48,50 +48,50 @@ def _classes(words: pa.Array) -> np.ndarray:
     return np.stack([*counts, rest], axis=1).astype(np.int64)
 
 
-def _plain(words: pa.Array) -> list[str]:
+def _plain(words: pa.Array) -> pa.Array:
     """Words in lower case without what surrounds their letters."""
-    return pc.utf8_lower(pc.replace_substring_regex(words, r"^[^\p{L}]+|[^\p{L}]+$", "")).to_pylist()
+    return pc.utf8_lower(pc.replace_substring_regex(words, r"^[^\p{L}]+|[^\p{L}]+$", "")).cast(pa.string())
 
 
 def references(docs: DataFrame, rules: QualityRules = QualityRules()) -> tuple[dict[str, np.ndarray], dict[str, dict[str, float]]]:
     """Class histogram and common-word shares of each language, over all
-    documents.  A word whose share of a language is ``common_share`` reaches
-    that share in at least one task, so tasks report a word once its share there
-    is an eighth of it; the result holds at most 1 / ``common_share`` words for
-    each language and passes through the driver."""
+    documents.  All plain words are counted and summed by language
+    and word; ``common_share`` applies to the sums alone, so at most
+    1 / ``common_share`` words of each language pass through the driver."""
     prepare(docs.sparkSession)
-    floor = rules.common_share / 8
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("class", pa.int32())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars: dict[str, np.ndarray] = {}
-        words: dict[str, dict[str, int]] = {}
         total: dict[str, int] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 found = words_of(texts_of(part))
                 if not len(found.words):
                     continue
-                per_class, plain = _classes(found.words), _plain(found.words)
+                per_class, plain = _classes(found.words), _plain(found.words).dictionary_encode()
+                form = plain.indices.to_numpy()
+                worded = pc.not_equal(plain.dictionary, "").to_numpy(zero_copy_only=False)
                 langs = part.column("lang").dictionary_encode()
                 own = langs.indices.to_numpy(zero_copy_only=False)[found.rows()]
                 for i, lang in enumerate(langs.dictionary.to_pylist()):
-                    n = np.bincount(found.codes[own == i], minlength=len(plain))
+                    n = np.bincount(found.codes[own == i], minlength=len(found.words))
                     chars[lang] = chars.get(lang, 0) + n @ per_class
                     total[lang] = total.get(lang, 0) + int(n.sum())
-                    seen = words.setdefault(lang, {})
-                    for k in np.flatnonzero(n > floor * n.sum()):
-                        seen[plain[k]] = seen.get(plain[k], 0) + int(n[k])
+                    sums = np.bincount(form, weights=n, minlength=len(plain.dictionary)).astype(np.int64)
+                    at = np.flatnonzero((sums > 0) & worded)
+                    columns = [pa.repeat(pa.scalar(lang, pa.string()), len(at)), plain.dictionary.take(pa.array(at)), pa.array(sums[at]), pa.array(np.full(len(at), -1, np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
         rows = [(lang, None, int(v), k) for lang, c in chars.items() for k, v in enumerate(c)]
-        rows += [(lang, w, v, -1) for lang, seen in words.items() for w, v in seen.items() if w and v > floor * total[lang]]
         rows += [(lang, None, v, -1) for lang, v in total.items()]
-        yield pa.RecordBatch.from_pylist([dict(zip(("lang", "word", "n", "class"), r)) for r in rows], pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("class", pa.int32())]))
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
 
     counted = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(
         count, "lang string, word string, n long, class int"
     )
     summed = checkpointed(counted.groupBy("lang", "word", "class").agg(F.sum("n").alias("n")))
     whole = summed.filter("word IS NULL AND class = -1").select("lang", F.col("n").alias("whole"))
-    rows = summed.join(whole, "lang").filter(F.col("word").isNull() | (F.col("n") >= rules.common_share * F.col("whole"))).collect()
+    rows = summed.join(F.broadcast(whole), "lang").filter(F.col("word").isNull() | (F.col("n") >= rules.common_share * F.col("whole"))).collect()
     chars: dict[str, np.ndarray] = {}
     common: dict[str, dict[str, float]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.word or "")):
@@ -164,7 +164,7 @@ def judged(docs: DataFrame, rules: QualityRules = QualityRules(), refs: tuple |
                 n_words = found.lengths
                 per_class = _classes(found.words) if len(found.words) else np.zeros((0, len(CLASSES) + 1), np.int64)
                 classes = np.stack([row_sums(per_class[found.codes, k], found.offsets) for k in range(len(CLASSES) + 1)], axis=1)
-                known = np.array([index.get(w, width - 1) for w in _plain(found.words)], np.int64)
+                known = np.array([index.get(w, width - 1) for w in _plain(found.words).to_pylist()], np.int64)
                 counts = np.bincount(rows * width + known[found.codes], minlength=n * width).reshape(n, width) if len(rows) else np.zeros((n, width))
                 repeat = _repeat_words(found, hash_words(found.words)[found.codes]) if len(rows) else np.zeros(n, np.int64)
                 base = (n_words < rules.min_words) | (100 * repeat > rules.max_repeat_percent * n_words)

@@ -141,6 +141,16 @@ def test_quality_divergence_turns_down_junk_and_keeps_prose(spark):
     assert len(clean) > 300 and sum(r.kept for r in clean) >= 0.99 * len(clean)
 
 
+def test_common_words_count_every_form(spark):
+    rnd = random.Random(6)
+    forms = [a + w + b for w in ("ea", "Ea", "EA") for a in ("", "(", '"', "'", "[") for b in ("", ",", ".", ";", ")")]
+    tokens = forms + ["".join(rnd.choices("bcdfghjk", k=9)) for _ in range(24_900)] + ["zu"] * 25
+    rnd.shuffle(tokens)
+    texts = [" ".join(tokens[i : i + 500]) for i in range(0, len(tokens), 500)]
+    _, common = quality_rules.references(docs_df(spark, texts).coalesce(1))
+    assert common == {"en": {"ea": 75 / 25_000}}  # "zu" has 0.1 %, below the share
+
+
 def test_quality_on_empty_and_unlabelled_tables(spark):
     assert quality_rules.judged(docs_df(spark, [])).count() == 0
     rnd = random.Random(2)
