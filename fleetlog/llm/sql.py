@@ -66,6 +66,69 @@ SELECT d.doc_id, len(d.words) AS n_words, coalesce(len(g.away), 0) AS n_removed,
 FROM docs d LEFT JOIN gone g ON d.row = g.row LEFT JOIN kept k ON d.row = k.row
 """
 
+# CRC-32 of a text: one step for each byte, by a table of the 256 bytes
+CRC_TABLE = """
+crc AS (
+  SELECT list(list_reduce(list_concat([b], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS steps
+  FROM (SELECT unnest(range(256)) AS b)
+)"""
+CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+    lambda c, b: xor(c >> 8, crc.steps[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+CONVERSATION_TRIE = f"""
+WITH {CRC_TABLE}, own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), drawn AS (
+  SELECT own.*, {CRC32.format("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM own, crc
+), rebuilt AS (
+  SELECT d.conv_id, list_concat(coalesce(b.turns[1:d.h], []), d.turns[d.h + 1:]) AS turns
+  FROM drawn d LEFT JOIN own b ON b.conv_id = d.conv_id - d.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, len(turns) AS whole, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt
+), keyed AS (
+  SELECT conv_id, whole, depth, md5(CAST(turns[1:depth] AS VARCHAR)) AS key, turns[1:depth] AS prefix FROM prefixes
+), nodes AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(prefix) AS prefix,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (whole = depth), '')) AS ends_sha256
+  FROM keyed GROUP BY key, depth
+), lasting AS (
+  SELECT *, CASE WHEN depth > 0 THEN md5(CAST(prefix[1:depth - 1] AS VARCHAR)) END AS parent,
+    CASE WHEN depth > 0 THEN len(list_filter(regexp_split_to_array(prefix[depth].text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) ELSE 0 END AS words
+  FROM nodes
+), counted AS (
+  SELECT n.*, (SELECT count(*) FROM lasting c WHERE c.parent = n.key AND c.depth = n.depth + 1) AS n_children FROM lasting n
+), above AS (
+  SELECT unnest(list_transform(range(0, depth + 1), lambda d: {{'key': md5(CAST(prefix[1:d] AS VARCHAR)), 'depth': d}})) AS up,
+    CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * words AS saved FROM counted
+), sums AS (
+  SELECT up.key AS key, up.depth AS depth, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY ALL
+)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN sums s ON s.key = c.key AND s.depth = c.depth
+LEFT JOIN counted p ON p.key = c.parent AND p.depth = c.depth - 1
+"""
+
+# the source's phase and the seeded shuffle as in the operator: first 13 digits of an MD5
+SHARDING = f"""
+WITH {CRC_TABLE}, rows_ AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE {CRC32.format("text")} END AS text_crc32,
+    CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '\\N')), 1, 13) AS BIGINT) AS drawn,
+    CAST('0x' || substr(md5('17|' || coalesce(source, '\\N')), 1, 13) AS BIGINT) AS phase
+  FROM documents, crc
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY drawn, doc_id NULLS FIRST, size, text_crc32) - 1 AS rank, count(*) OVER (PARTITION BY source) AS many FROM rows_
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY (rank + phase / 4503599627370496.0::DOUBLE) / many, source NULLS FIRST, rank) - 1 AS place, count(*) OVER () AS total FROM ranked
+), dealt AS (
+  SELECT *, place * 24 // total AS shard FROM placed
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(place - (shard * total + 23) // 24 AS INTEGER) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt
+"""
+
 
 def queries() -> dict[str, str]:
-    return {"op3_top_k": TOP_K, "op5_line_dedup": LINE_DEDUP, "op7_substring_dedup": SUBSTRING_DEDUP}
+    return {"op3_top_k": TOP_K, "op5_line_dedup": LINE_DEDUP, "op7_substring_dedup": SUBSTRING_DEDUP, "op12_conversation_trie": CONVERSATION_TRIE, "op13_sharding": SHARDING}

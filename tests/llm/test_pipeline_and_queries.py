@@ -25,10 +25,13 @@ COLUMNS = {
     "op8_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op9_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op10_toxicity": ["doc_id", "p_toxic", "toxic"],
+    "op11_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op12_conversation_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op13_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
 }
 
 
-def test_ten_queries():
+def test_every_operator_has_a_query():
     assert set(queries.queries()) == set(COLUMNS) and set(sql.queries()) <= set(COLUMNS)
 
 
@@ -37,11 +40,11 @@ def test_query_columns_and_sql(spark, name):
     df = queries.queries()[name](spark, SF)
     rows = df.collect()
     assert set(COLUMNS[name]) <= set(df.columns)
-    if name not in ("op3_top_k", "op4_html_text", "op8_packing"):
+    if name not in ("op3_top_k", "op4_html_text", "op8_packing", "op12_conversation_trie"):
         assert len(rows) == 200
     if statement := sql.queries().get(name):
         con = duckdb.connect()
-        for t in ("documents", "embeddings"):
+        for t in ("documents", "embeddings", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
         cursor = con.execute(statement)
         order = [d[0] for d in cursor.description]
