@@ -1,8 +1,9 @@
 """Odometer-only series.
 
-First/last reading per key or month is an aggregate (``min_by``/``max_by``
-on the ``(ts, row)`` order), so it is partially aggregated per task and has
-no per-key task limit.  Deltas between consecutive readings use
+First/last reading per key or month is an aggregate (least and greatest
+``(time, row, km)`` struct), so it is partially aggregated per task and has
+no per-key task limit; of readings that repeat a time and row number the
+smallest is the first and the greatest the last.  Deltas between consecutive readings use
 ``sequence.previous_row`` (time-bucketed lag).
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlog.functions.calendar import Period, month_start
-from fleetlog.operators.sequence import DEFAULT_BUCKET, first_value, order_key, previous_row
+from fleetlog.operators.sequence import DEFAULT_BUCKET, first_and_last, first_value, previous_row
 from fleetlog.schema import KEY, ROW, TS
 
 
@@ -20,16 +21,16 @@ def _keys(keys):
     return [KEY] if keys is None else list(keys)
 
 
-def _order():
-    """(time, row) order as one DECIMAL key, so min_by/max_by stay hash aggregates."""
-    return order_key(TS, ROW)
+def _driven():
+    first, last = first_and_last("odometer_km")
+    return last - first
 
 
 def total_distance(odo: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Last minus first reading in time order (may be negative); < 2 readings -> 0.0."""
     k = _keys(keys)
     return (odo.groupBy(*k).agg(F.count(F.lit(1)).alias("readings"),
-                                (F.max_by("odometer_km", _order()) - F.min_by("odometer_km", _order())).alias("_d"))
+                                _driven().alias("_d"))
             .select(*k, "readings", F.when(F.col("readings") < 2, F.lit(0.0)).otherwise(F.col("_d"))
                     .alias("total_km")))
 
@@ -40,7 +41,7 @@ def monthly_km_driven(odo: DataFrame, keys: list[str] | None = None) -> DataFram
     k = _keys(keys)
     return (odo.groupBy(*k, month_start(TS).alias("month"))
             .agg(F.count(F.lit(1)).alias("_n"),
-                 (F.max_by("odometer_km", _order()) - F.min_by("odometer_km", _order())).alias("_d"))
+                 _driven().alias("_d"))
             .select(*k, "month", F.when(F.col("_n") < 2, F.lit(0.0)).otherwise(F.col("_d")).alias("km_driven")))
 
 

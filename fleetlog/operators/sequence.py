@@ -8,11 +8,15 @@ table (one row per key and non-empty bucket) by a window over that small
 table and an equi-join on ``(keys, bucket)``.  The large side is shuffled
 once; AQE broadcasts the carry table while it is small.
 
-Summaries are hash aggregations: the ``(time, row)`` order is packed into
-one DECIMAL(38,0) key (``order_key``) so that ``max``/``max_by`` run in
-Spark's hash aggregate with map-side combine (a ``max`` over a struct would
-fall back to a sort-based aggregate).  Summaries read the operator's *input*
-only, so no branch of the plan re-runs the ordered work.
+Every operator follows one total order: time, row number, the values that it
+carries, and last a hash of the whole row.  So rows that repeat a time and a
+row number have one order too, however the input is partitioned or sorted,
+and only rows that are equal throughout can be exchanged.  A summary takes
+the least or greatest row of a bucket as one struct in that order
+(``ordered_struct``), payload included: the window inside a bucket and the
+carry between buckets agree, and carried fields always come from one row.
+Summaries read the operator's *input* only, so no branch of the plan re-runs
+the ordered work.
 
 With ``keys=[]`` (the single-vehicle case of the original tool) the same
 plans apply; only the tiny bucket table is ordered globally.  Null keys are a
@@ -35,8 +39,6 @@ DEFAULT_BUCKET = "1 day"
 
 _UNITS = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000,
           "hour": 3_600_000_000, "day": 86_400_000_000, "week": 7 * 86_400_000_000}
-_ROW_SHIFT = 10 ** 20          # room for any row number (a LONG shifted to be non-negative)
-_ROW_OFFSET = 2 ** 63
 
 
 def bucket_micros(bucket: str | timedelta | int) -> int:
@@ -61,18 +63,13 @@ def with_bucket(df: DataFrame, ts: str = TS, bucket=DEFAULT_BUCKET) -> DataFrame
     return df.withColumn(BUCKET, bucket_of(ts, bucket))
 
 
-def order_key(ts: str = TS, row: str | None = ROW) -> Column:
-    """DECIMAL(38,0) that sorts like ``(ts, row)``: ``micros * 1e20 + (row + 2**63)``."""
-    t = epoch_micros(ts).cast("decimal(38,0)") * _dec(_ROW_SHIFT)
-    n = (F.coalesce(F.col(row), F.lit(0)) if row else F.lit(0)).cast("decimal(38,0)") + _dec(_ROW_OFFSET)
-    return (t + n).cast("decimal(38,0)")
-
-
-def _order_struct(ts: str, row: str | None) -> Column:
-    fields = [epoch_micros(ts).alias("_t")]
-    if row:
-        fields.append(F.col(row).alias("_n"))
-    return F.struct(*fields)
+def ordered_struct(df: DataFrame, values: dict[str, Column], ts: str = TS, row: str | None = ROW) -> Column:
+    """Struct that sorts like the total order: ``_t`` (microseconds), ``_n`` (row number, null
+    first), the ``values`` by name, and ``_h``, a hash of all columns of ``df``."""
+    hashed = [_q(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
+    number = [F.col(row).cast("long").alias("_n")] if row else []
+    return F.struct(epoch_micros(ts).alias("_t"), *number, *[c.alias(n) for n, c in values.items()],
+                    F.xxhash64(*hashed).alias("_h"))
 
 
 def key_id(keys: list[str]) -> Column:
@@ -85,32 +82,33 @@ def key_id(keys: list[str]) -> Column:
 def previous_row(df: DataFrame, keys: list[str], payload: dict[str, Column], out: str,
                  ts: str = TS, row: str | None = ROW, bucket=DEFAULT_BUCKET,
                  ties: list[str] = (), position: str | None = None) -> DataFrame:
-    """Add ``out`` = struct of ``payload`` (name -> primitive column) from the previous
-    row in ``(ts, row, *ties)`` order.
+    """Add ``out`` = struct of ``payload`` (name -> orderable column) from the previous
+    row in the order of time, row, ``ties``, payload and row hash.
 
     Null on each key's first row.  Equivalent to ``lag(struct(payload))`` over
-    ``partitionBy(keys).orderBy(ts, row)`` without the one-task-per-key limit.
+    ``partitionBy(keys)`` in that order without the one-task-per-key limit.
     ``position`` names a column that numbers the rows of a (keys, bucket), which
     identifies a row even where times and row numbers repeat.
     """
     names = list(payload)
-    d = (with_bucket(df, ts, bucket).withColumn("_v", F.struct(*[c.alias(n) for n, c in payload.items()]))
-         .withColumn("_k", order_key(ts, row)).withColumn("_kid", key_id(keys)))
-    tie = [*ties, *(F.col("_v")[n] for n in names)]
-    last = d.groupBy("_kid", BUCKET).agg(*[F.max_by(F.col("_v")[n], "_k").alias(n) for n in names])
-    carry = last.select("_kid", BUCKET, F.lag(F.struct(*names)).over(Window.partitionBy("_kid").orderBy(BUCKET)).alias("_carry"))
-    in_bucket = Window.partitionBy("_kid", BUCKET).orderBy("_k", *tie)
-    found = d.join(carry, ["_kid", BUCKET], "left").withColumn(out, F.coalesce(F.lag("_v").over(in_bucket), F.col("_carry")))
+    d = with_bucket(df, ts, bucket).withColumn("_kid", key_id(keys))
+    values = {f"_tie{i}": F.col(c) for i, c in enumerate(ties)} | dict(payload)
+    d = d.withColumn("_o", ordered_struct(df, values, ts, row))
+    carried = F.struct(*[F.col("_o")[n].alias(n) for n in names])
+    last = d.groupBy("_kid", BUCKET).agg(F.max("_o").alias("_o")).select("_kid", BUCKET, carried.alias("_last"))
+    carry = last.select("_kid", BUCKET, F.lag("_last").over(Window.partitionBy("_kid").orderBy(BUCKET)).alias("_carry"))
+    in_bucket = Window.partitionBy("_kid", BUCKET).orderBy("_o")
+    found = d.join(carry, ["_kid", BUCKET], "left").withColumn(out, F.coalesce(F.lag(carried).over(in_bucket), F.col("_carry")))
     if position:
         found = found.withColumn(position, F.row_number().over(in_bucket))
-    return found.drop("_v", "_k", "_carry", "_kid")
+    return found.drop("_o", "_carry", "_kid")
 
 
 def running_total(df: DataFrame, keys: list[str], value: Column, out: str,
                   ts: str = TS, row: str | None = ROW, bucket=DEFAULT_BUCKET) -> DataFrame:
-    """Add ``out`` = cumulative sum of ``value`` in ``(ts, row)`` order per key (rows frame)."""
-    d = (with_bucket(df, ts, bucket).withColumn("_x", value).withColumn("_o", _order_struct(ts, row))
-         .withColumn("_kid", key_id(keys)))
+    """Add ``out`` = cumulative sum of ``value`` in the total order per key (rows frame)."""
+    d = with_bucket(df, ts, bucket).withColumn("_x", value).withColumn("_kid", key_id(keys))
+    d = d.withColumn("_o", ordered_struct(df, {"_x": F.col("_x")}, ts, row))
     totals = d.groupBy("_kid", BUCKET).agg(F.sum("_x").alias("_tot"))
     before = Window.partitionBy("_kid").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select("_kid", BUCKET, F.sum("_tot").over(before).alias("_carry"))
@@ -123,17 +121,21 @@ def running_total(df: DataFrame, keys: list[str], value: Column, out: str,
 
 def first_value(df: DataFrame, keys: list[str], value: str, out: str,
                 ts: str = TS, row: str | None = ROW, bucket=DEFAULT_BUCKET) -> DataFrame:
-    """Add ``out`` = ``value`` of each key's first row in ``(ts, row)`` order, carried to
+    """Add ``out`` = ``value`` of each key's first row in the total order, carried to
     the key's buckets so that a key's rows never meet in one task."""
     d = with_bucket(df, ts, bucket).withColumn("_kid", key_id(keys))
-    heads = d.groupBy("_kid", BUCKET).agg(F.min_by(value, order_key(ts, row)).alias("_head"))
+    number = [F.col(row).cast("long")] if row else []
+    heads = d.groupBy("_kid", BUCKET).agg(F.min(F.struct(epoch_micros(ts), *number, F.col(value).alias("_head")))["_head"].alias("_head"))
     of_key = Window.partitionBy("_kid").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)
     carry = heads.select("_kid", BUCKET, F.first("_head").over(of_key).alias(out))
     return d.join(carry, ["_kid", BUCKET]).drop("_kid")
 
 
-def _dec(value: int) -> Column:
-    return F.lit(str(value)).cast("decimal(38,0)")
+def first_and_last(value: str, ts: str = TS, row: str | None = ROW) -> tuple[Column, Column]:
+    """Aggregates: ``value`` of the first and of the last row in the total order."""
+    number = [F.col(row).cast("long")] if row else []
+    o = F.struct(epoch_micros(ts), *number, F.col(value).alias("_v"))
+    return F.min(o)["_v"], F.max(o)["_v"]
 
 
 def _q(name: str) -> str:
@@ -148,14 +150,14 @@ def asof_neighbours(probes: DataFrame, readings: DataFrame, keys: list[str], val
     Adds struct columns ``_before`` (last reading with ts < t; ties -> highest row),
     ``_exact`` (first reading with ts = t) and ``_after`` (first reading with ts > t;
     ties -> lowest row; only set when there is no exact reading, which is the only
-    case that needs it), each ``(_t, _n, ts, km)``, plus ``_bucket``.  Readings that
+    case that needs it), each ``(_t, _n, km, ts)``, plus ``_bucket``.  Readings that
     agree in time and row are taken in the order of their value.
 
     Plan: probes and readings are unioned, each column by name, and shuffled once by
     ``(keys, bucket)``; two ``last(ignore nulls)`` row windows (one ascending, one
     descending; incremental frames) find the in-bucket neighbours; neighbours in
-    other buckets come from a per-bucket summary of the readings (hash aggregate on
-    the packed order key) carried by windows over that small table and joined on the
+    other buckets come from a per-bucket summary of the readings (least and greatest
+    reading as one struct) carried by windows over that small table and joined on the
     same partitioning.  ``probe_buckets`` (keys + ``ts``) may stand in for ``probes``
     when listing probe buckets -- pass the cheap scanned input the probes came from,
     so the summary never re-runs their plan.
@@ -167,7 +169,6 @@ def asof_neighbours(probes: DataFrame, readings: DataFrame, keys: list[str], val
     b = bucket_micros(bucket)
     kid = f"named_struct({', '.join(f'{x!r}, {_q(x)}' for x in keys)})" if keys else "named_struct('_all', 0)"
     us = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})"
-    shift, offset = f"CAST('{_ROW_SHIFT}' AS DECIMAL(38,0))", f"CAST('{_ROW_OFFSET}' AS DECIMAL(38,0))"
     columns = probes.columns
     types = {f.name: f.dataType.simpleString() for f in probes.schema.fields}
     probe_sel = ", ".join(_q(c) for c in columns)
@@ -175,35 +176,24 @@ def asof_neighbours(probes: DataFrame, readings: DataFrame, keys: list[str], val
     read_sel = ", ".join(_q(c) if c in keys else f"event_ts AS {_q(c)}" if c == ts else f"CAST(NULL AS {types[c]}) AS {_q(c)}"
                          for c in columns)
     key_sel = "".join(f"{_q(x)}, " for x in keys)
-    reading_t = "STRUCT<_t: BIGINT, _n: BIGINT, ts: TIMESTAMP_NTZ, km: DOUBLE>"
-
-    def decode(key, km):
-        t = f"CAST(floor({key} / {shift}) AS BIGINT)"
-        # pmod: the order key of a time before 1970 is negative
-        return (f"CASE WHEN {key} IS NOT NULL THEN named_struct('_t', {t}, "
-                f"'_n', CAST(pmod({key}, {shift}) - {offset} AS BIGINT), "
-                f"'ts', CAST(timestamp_micros({t}) AS TIMESTAMP_NTZ), 'km', {km}) END")
+    reading_t = "STRUCT<_t: BIGINT, _n: BIGINT, km: DOUBLE, ts: TIMESTAMP_NTZ>"
 
     query = f"""
 WITH rd AS (
-  SELECT {key_sel}{kid} AS _kid, {_q(ts)} AS event_ts, CAST({_q(row)} AS BIGINT) AS _n, CAST({_q(value)} AS DOUBLE) AS _km,
-         floor({us.format(_q(ts))} / {b}) AS _bucket
-  FROM {{readings}}),
-rdk AS (
-  SELECT *, CAST(CAST({us.format('event_ts')} AS DECIMAL(38,0)) * {shift}
-                 + CAST(coalesce(_n, 0) AS DECIMAL(38,0)) + {offset} AS DECIMAL(38,0)) AS _k
-  FROM rd),
+  SELECT *, floor(_r._t / {b}) AS _bucket
+  FROM (SELECT {key_sel}{kid} AS _kid, {_q(ts)} AS event_ts,
+               named_struct('_t', {us.format(_q(ts))}, '_n', CAST({_q(row)} AS BIGINT), 'km', CAST({_q(value)} AS DOUBLE),
+                            'ts', {_q(ts)}) AS _r
+        FROM {{readings}})),
 summary AS (
-  SELECT _kid, _bucket, min(_k) AS _fk, min_by(_km, _k) AS _fkm, max(_k) AS _lk, max_by(_km, _k) AS _lkm
-  FROM (SELECT _kid, _bucket, _k, _km FROM rdk
+  SELECT _kid, _bucket, min(_r) AS _first, max(_r) AS _last
+  FROM (SELECT _kid, _bucket, _r FROM rd
         UNION ALL
-        SELECT {kid}, floor({us.format(_q(ts))} / {b}), CAST(NULL AS DECIMAL(38,0)), CAST(NULL AS DOUBLE)
+        SELECT {kid}, floor({us.format(_q(ts))} / {b}), CAST(NULL AS {reading_t})
         FROM {{bucket_src}})
   GROUP BY _kid, _bucket),
 carry AS (
-  SELECT _kid, _bucket,
-         {decode('max(_lk) OVER w_up', 'max_by(_lkm, _lk) OVER w_up')} AS _prev_last,
-         {decode('min(_fk) OVER w_down', 'min_by(_fkm, _fk) OVER w_down')} AS _next_first
+  SELECT _kid, _bucket, max(_last) OVER w_up AS _prev_last, min(_first) OVER w_down AS _next_first
   FROM summary
   WINDOW w_up AS (PARTITION BY _kid ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          w_down AS (PARTITION BY _kid ORDER BY _bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -212,8 +202,7 @@ events AS (
          CAST(NULL AS {reading_t}) AS _r, true AS _probe
   FROM {{probes}}
   UNION ALL
-  SELECT {read_sel}, _kid, _bucket,
-         named_struct('_t', {us.format('event_ts')}, '_n', _n, 'ts', event_ts, 'km', _km), false
+  SELECT {read_sel}, _kid, _bucket, _r, false
   FROM rd),
 joined AS (
   SELECT e.*, c._prev_last, c._next_first, {us.format('e.' + _q(ts))} AS _tq, e._r._n AS _rn, e._r.km AS _rkm
