@@ -28,7 +28,7 @@ from fleetlog.operators.consumption import (
     consumption_series as _series, consumption_summary as _summary,
 )
 from fleetlog.plans import report
-from fleetlog.schema import FUEL_RAW_COLUMNS, FUEL_SCHEMA, KEY, ODO_SCHEMA, ROW, TS
+from fleetlog.schema import FUEL_RAW_COLUMNS, FUEL_SCHEMA, KEY, ODO_RAW_COLUMNS, ODO_SCHEMA, ROW, TS
 from fleetlog.session import scratch_path
 from fleetlog.sources import csv as csvsrc, fixtures as fx, store
 
@@ -338,6 +338,61 @@ def csv_round_trip(spark, d):
     return good.select(TS, "amount_eur", "liters", "fuel_type", "is_full_tank", "station_name", "city", "country")
 
 
+def _three_files(spark, d, columns, name):
+    """``fx_dirty`` as three CSV files by order key, one of them with notes over two lines."""
+    path = scratch_path(spark, name)
+    part = (F.col(ROW) % 3).alias("part")
+    notes = F.when((F.col(ROW) % 3 == 1) & (F.col(ROW) % 5 == 0), F.lit('say "one"\nand two,')).otherwise(F.lit("")).alias("notes")
+    rows = fx.fx_dirty(spark, d).withColumn("odometer_km", F.col("amount_eur"))
+    rows = rows.select(part, F.col(ROW).alias("_at"), *[c for c in columns if c != "notes"], *([notes] if "notes" in columns else []))
+    (rows.repartition("part").sortWithinPartitions("part", "_at").drop("_at").write.partitionBy("part").option("header", True)
+     .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("emptyValue", "").csv(path))
+    return path
+
+
+def _file_part(c="source_file"):
+    return F.regexp_extract(c, "/(part=[0-9]+)/", 1)
+
+
+def csv_files(spark, d):
+    """The clean rows of three files, quoted newlines included, by file and number."""
+    path = _three_files(spark, d, FUEL_RAW_COLUMNS, "csv-files")
+    good = csvsrc.with_source(csvsrc.load_fuel_csv(spark, path).good, csvsrc.source_files(spark, path))
+    return good.select(_file_part().alias("file"), "record", TS, "amount_eur", "liters", "country", "notes")
+
+
+def csv_file_issues(spark, d):
+    """The issues of an odometer log in three files: each names its file and row."""
+    issues = csvsrc.load_odometer_csv(spark, _three_files(spark, d, ODO_RAW_COLUMNS, "csv-odo")).issues
+    rows = issues.filter(F.col(ROW).isNotNull())
+    return rows.select(_file_part().alias("file"), F.col(ROW).alias("record"), "severity", "rule", "field", "message")
+
+
+def csv_missing_columns(spark, d):
+    """A log without two of its columns: no row and one issue of the whole file."""
+    v = csvsrc.load_fuel_csv(spark, _three_files(spark, d, [c for c in FUEL_RAW_COLUMNS if c not in ("city", "notes")], "csv-missing"))
+    kept = v.good.select(F.lit("fuel").alias("dataset"), F.lit("none").alias("severity"), F.lit("row").alias("rule"), F.col("notes").alias("message"))
+    return v.issues.select("dataset", "severity", "rule", "message").unionByName(kept)
+
+
+def _tied(spark, d):
+    """Readings dated to their day and numbered 0 to 2: most repeat a time and a number."""
+    return fx.fx_odo_raw(spark, d).withColumns({TS: F.date_trunc("day", F.col(TS)).cast("timestamp_ntz"), ROW: F.col(ROW) % 3})
+
+
+def tied_deltas(spark, d):
+    """Distance to the previous reading in the total order of readings that repeat time and number."""
+    return dist.with_delta(_tied(spark, d)).select(KEY, TS, ROW, "odometer_km", round6("km_since_last_entry").alias("km_since_last_entry"))
+
+
+def tied_odometer_at(spark, d):
+    """Odometer at each purchase among such readings."""
+    e = odometer_at(fx.fx_fuel(spark, d).select(KEY, TS, ROW), _tied(spark, d))
+    return e.select(KEY, TS, ROW, round6("odometer.value").alias("odometer_km"), F.col("odometer.quality").alias("quality"),
+                    F.col("odometer.source_interval").alias("source_interval"))
+
+
 def store_round_trip(spark, d):
     """Purchases stored by month and read back for a period."""
     path = scratch_path(spark, "store")
@@ -488,6 +543,11 @@ def queries() -> dict[str, Query]:
         "stream_ingest": ingest.stream_ingest_query,
         "stream_entries": ingest.stream_entries_query,
         "csv_round_trip": csv_round_trip,
+        "csv_files": csv_files,
+        "csv_file_issues": csv_file_issues,
+        "csv_missing_columns": csv_missing_columns,
+        "tied_deltas": tied_deltas,
+        "tied_odometer_at": tied_odometer_at,
         "store_round_trip": store_round_trip,
         "import_counts": import_counts,
         "fuel_derived": fuel_derived,

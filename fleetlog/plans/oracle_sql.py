@@ -628,6 +628,43 @@ SELECT row_num, ts AS event_ts, amount AS amount_eur, lit AS liters, ft AS fuel_
 SELECT ts AS event_ts, amount AS amount_eur, lit AS liters, ft AS fuel_type, tank AS is_full_tank,
        st AS station_name, ci AS city, co AS country FROM good"""
 
+    place = """'part=' || (row_num % 3) AS file, CAST(1 + row_number() OVER (PARTITION BY row_num % 3 ORDER BY row_num) AS BIGINT) AS record"""
+    q["csv_files"] = f"""WITH {DIRTY_PARSED}, placed AS (SELECT *, {place} FROM dp)
+SELECT file, record, ts AS event_ts, amount AS amount_eur, lit AS liters, co AS country,
+       CASE WHEN row_num % 3 = 1 AND row_num % 5 = 0 THEN 'say "one"' || chr(10) || 'and two,' ELSE '' END AS notes
+FROM placed SEMI JOIN good USING (row_num)"""
+
+    q["csv_file_issues"] = f"""WITH {ODO_DIRTY}, placed AS (SELECT row_num, {place} FROM dirty)
+SELECT file, record, severity, rule, field, message FROM oi JOIN placed USING (row_num)"""
+
+    q["csv_missing_columns"] = """SELECT 'fuel' AS dataset, 'error' AS severity, 'file' AS rule,
+       'Missing required columns: [''city'', ''notes'']' AS message"""
+
+    tied = f"""{EV}, {ODO_RAW},
+tied AS (SELECT vehicle_id, CAST(date_trunc('day', event_ts) AS TIMESTAMP) AS event_ts, row_num % 3 AS row_num, odometer_km FROM odo_raw)"""
+    q["tied_deltas"] = f"""WITH {tied}
+SELECT vehicle_id, event_ts, row_num, odometer_km,
+       r6(odometer_km - lag(odometer_km) OVER (PARTITION BY vehicle_id ORDER BY event_ts, row_num, odometer_km)) AS km_since_last_entry FROM tied"""
+
+    q["tied_odometer_at"] = f"""WITH {FUEL}, {tied[len(EV) + 2:]},
+ends AS (SELECT vehicle_id, event_ts, row_number() OVER up AS up, row_number() OVER down AS down, odometer_km FROM tied
+         WINDOW up AS (PARTITION BY vehicle_id, event_ts ORDER BY row_num, odometer_km),
+                down AS (PARTITION BY vehicle_id, event_ts ORDER BY row_num DESC, odometer_km DESC)),
+firsts AS (SELECT * FROM ends WHERE up = 1), lasts AS (SELECT * FROM ends WHERE down = 1),
+b AS (SELECT p.vehicle_id, p.row_num, p.event_ts, r.event_ts AS b_ts, r.odometer_km AS b_km
+      FROM fuel p ASOF LEFT JOIN lasts r ON p.vehicle_id = r.vehicle_id AND p.event_ts > r.event_ts),
+a AS (SELECT p.vehicle_id, p.row_num, r.event_ts AS a_ts, r.odometer_km AS a_km
+      FROM fuel p ASOF LEFT JOIN firsts r ON p.vehicle_id = r.vehicle_id AND p.event_ts <= r.event_ts)
+SELECT vehicle_id, event_ts, row_num,
+  CASE WHEN a_ts = event_ts THEN r6(a_km) WHEN a_ts IS NOT NULL AND b_ts IS NOT NULL THEN
+       r6(b_km + ((epoch_us(event_ts) - epoch_us(b_ts)) / 1e6) / ((epoch_us(a_ts) - epoch_us(b_ts)) / 1e6) * (a_km - b_km)) ELSE 0.0 END AS odometer_km,
+  CASE WHEN a_ts = event_ts THEN 'exact' WHEN a_ts IS NOT NULL AND b_ts IS NOT NULL THEN 'estimated' ELSE 'insufficient' END AS quality,
+  CASE WHEN a_ts = event_ts THEN 'exact match at ' || {tstxt('a_ts')}
+       WHEN a_ts IS NOT NULL AND b_ts IS NOT NULL THEN {tstxt('b_ts')} || ' -> ' || {tstxt('a_ts')}
+       WHEN a_ts IS NOT NULL THEN 'before first record (' || {tstxt('a_ts')} || ')'
+       WHEN b_ts IS NOT NULL THEN 'after last record (' || {tstxt('b_ts')} || ')' END AS source_interval
+FROM b JOIN a USING (vehicle_id, row_num)"""
+
     q["store_round_trip"] = f"""WITH {FUEL}
 SELECT vehicle_id, row_num, event_ts, amount_eur, liters, price_per_liter_eur, city, is_full_tank
 FROM fuel WHERE event_ts BETWEEN {P_START} AND {P_END}"""

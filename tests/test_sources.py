@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 from samples import FUEL_CSV, ODO_CSV
 
 from fleetlog.operators import aggregates as agg
@@ -164,3 +166,63 @@ def test_append_entries_writes_accepted_and_returns_rejected(spark, tmp_path):
     got = {r["row_num"]: r for r in stored.collect()}
     assert set(got) == {1, 3} and got[1]["country"] == "DE" and got[1]["notes"] == "note"
     assert got[3]["price_per_liter_eur"] == pytest.approx(1.7)
+
+
+# --- quoted newlines and record identity ------------------------------------------------
+
+HEADER = "datetime,odometer_km,notes\n"
+
+
+def test_quoted_newlines_keep_rows_and_numbers(spark, tmp_path):
+    (tmp_path / "log.csv").write_text(HEADER + '2024-01-01,100,"line one\nline two"\n2024-01-02,200,"say ""hi"""\n\n2024-01-03,bad,"a\n\n""b"\n'
+                                      '2024-01-04,400,\n')
+    v = csvsrc.load_odometer_csv(spark, str(tmp_path / "log.csv"))
+    assert [(r.row_num, r.odometer_km, r.notes) for r in v.good.orderBy("row_num").collect()] == [
+        (2, 100.0, "line one\nline two"), (3, 200.0, 'say "hi"'), (5, 400.0, "")]
+    assert [(r.row_num, r.rule) for r in v.issues.collect()] == [(4, "odometer_km_not_numeric")]
+    assert v.issues.first().source_file.endswith("/log.csv")
+
+
+def test_only_files_with_open_lines_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    (folder / "b 1.csv").write_text(HEADER + "".join(f"2024-01-{d:02d},{d},\n" for d in range(1, 29)))
+    (folder / "a.csv").write_text(HEADER + '2024-02-01,500,"x\ny"\n2024-02-01,500,\n')
+    (folder / "c.csv").write_text(HEADER + '2024-02-01,500,"x\ny"\n2024-02-01,500,\n')
+    assert [f.rsplit("/", 1)[1] for f in csvsrc.open_line_files(spark, str(folder))] == ["a.csv", "c.csv"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        rows, _ = csvsrc.read_raw_csv(spark, str(folder), ("datetime", "odometer_km", "notes"), "odometer")
+        found = rows.collect()
+        by_lines = csvsrc._reader(spark, False).csv(str(folder)).filter(~F.col("_metadata.file_path").isin(*csvsrc.open_line_files(spark, str(folder))))
+        assert by_lines.rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({r.row_num for r in found}) == len(found) == 32
+    numbers = defaultdict(list)
+    for r in found:
+        numbers[r.source_file.rsplit("/", 1)[1]].append((r.row_num >> csvsrc.FILE_SHIFT, r.row_num & (1 << csvsrc.FILE_SHIFT) - 1, r.odometer_km))
+    assert sorted(numbers["b%201.csv"]) == [(1, d + 1, str(d)) for d in range(1, 29)]
+    assert sorted(numbers["a.csv"]) == [(0, 2, "500"), (0, 3, "500")] and sorted(numbers["c.csv"]) == [(2, 2, "500"), (2, 3, "500")]
+
+
+def test_equal_rows_of_two_files_are_two_rows_and_issues_name_them(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text(HEADER + "2024-01-01 10:00,100,\n2024-01-01 12:00,90,\nx,1,\n")
+    v = csvsrc.load_odometer_csv(spark, str(tmp_path))
+    assert v.good.count() == 4 and v.good.select("row_num").distinct().count() == 4
+    where = {(r.rule, (r.source_file or "").rsplit("/", 1)[-1], r.row_num, (r.pair_file_a or "").rsplit("/", 1)[-1], r.pair_row_a, r.pair_row_b, r.pairs)
+             for r in v.issues.collect()}
+    assert where == {("datetime_unparsable", "a.csv", 4, "", None, None, 1), ("datetime_unparsable", "b.csv", 4, "", None, None, 1),
+                     ("monotonicity", "a.csv", None, "b.csv", 2, 3, 1),
+                     ("potential_duplicate", "b.csv", None, "a.csv", 2, 2, 1), ("potential_duplicate", "b.csv", None, "a.csv", 3, 3, 1)}
+    named = csvsrc.with_source(v.good, csvsrc.source_files(spark, str(tmp_path)))
+    assert sorted((r.source_file.rsplit("/", 1)[1], r.record) for r in named.collect()) == [("a.csv", 2), ("a.csv", 3), ("b.csv", 2), ("b.csv", 3)]
+
+
+def test_every_file_with_open_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + '2024-01-01,1,"p\nq"\n')
+    (tmp_path / "b.csv").write_text(HEADER + '2024-01-01,2,"p\r\nq"\n2024-01-02,3,5"\n')
+    rows, _ = csvsrc.read_raw_csv(spark, str(tmp_path), ("datetime", "odometer_km", "notes"), "odometer")
+    assert sorted((r.odometer_km, r.notes) for r in rows.collect())[0] == ("1", "p\nq")
+    assert rows.count() == 3
