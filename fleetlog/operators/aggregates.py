@@ -76,9 +76,13 @@ def fuel_type_share(fuel: DataFrame, keys: list[str] | None = None) -> DataFrame
 
     Null share when the key's total is 0 ("No data")."""
     k = _keys(keys)
-    s = fuel_type_summary(fuel, k)
-    w = Window.partitionBy(*k)
-    out = s
+    return shares(fuel_type_summary(fuel, k), k)
+
+
+def shares(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """The shares of a fuel-type summary; its rows are few, one per key and type."""
+    w = Window.partitionBy(*keys)
+    out = summary
     for c, name in (("count", "stops"), ("total_liters", "liters"), ("total_eur", "eur")):
         out = out.withColumn(f"{name}_share_pct",
                              F.try_divide(F.col(c) * 100.0, F.sum(c).over(w).cast("double")))
@@ -123,8 +127,13 @@ def location_overview(fuel: DataFrame, column: str, keys: list[str] | None = Non
     g = (src.groupBy(*k, column).agg(F.count(F.lit(1)).alias("stops"), exact_sum("liters").alias("liters"),
                                      exact_sum("amount_eur").alias("eur"))
          .withColumn("avg_price_per_liter", F.try_divide("eur", "liters")))
-    order = Window.partitionBy(*k).orderBy(F.col("liters").desc(), F.col("stops").desc(), F.col(column))
-    return g.withColumn("rank", F.row_number().over(order))
+    return ranked(g, column, k)
+
+
+def ranked(overview: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """``overview`` with ``rank`` by litres desc, stops desc, name."""
+    order = Window.partitionBy(*keys).orderBy(F.col("liters").desc(), F.col("stops").desc(), F.col(column))
+    return overview.withColumn("rank", F.row_number().over(order))
 
 
 def _monthly(fuel: DataFrame, k: list[str], value: Column, fill: Column | None) -> DataFrame:
@@ -133,13 +142,22 @@ def _monthly(fuel: DataFrame, k: list[str], value: Column, fill: Column | None)
     Gaps are filled on the aggregated table: each month is repeated up to the one
     before the key's next month, so the log is read and shuffled once."""
     g = fuel.groupBy(*k, F.trunc(F.col(TS).cast("date"), "month").alias("_m")).agg(value.alias("_v"))
-    following = F.lead("_m").over(Window.partitionBy(*k).orderBy("_m"))
+    return fill_months(g, k, {"_v": fill})
+
+
+def fill_months(months: DataFrame, keys: list[str], fills: dict[str, Column | None]) -> DataFrame:
+    """``keys, month`` (month-end label) and the columns of ``fills`` for every month between
+    the first and last ``_m`` of a key; in gaps a column has its fill (None: null)."""
+    following = F.lead("_m").over(Window.partitionBy(*keys).orderBy("_m"))
     upto = F.coalesce(F.add_months(following, -1), F.col("_m"))
-    filled = g.withColumn("_upto", upto).select(
-        *k, "_m", "_v", F.explode(F.sequence("_m", "_upto", F.expr("INTERVAL 1 MONTH"))).alias("_at"))
-    own = F.when(F.col("_at") == F.col("_m"), F.col("_v"))
-    return filled.select(*k, month_end_label("_at").alias("month"),
-                         (F.when(F.col("_at") == F.col("_m"), F.col("_v")).otherwise(fill) if fill is not None else own).alias("_v"))
+    filled = months.withColumn("_upto", upto).select(
+        *keys, "_m", *fills, F.explode(F.sequence("_m", "_upto", F.expr("INTERVAL 1 MONTH"))).alias("_at"))
+    own = F.col("_at") == F.col("_m")
+
+    def value(c: str, fill: Column | None) -> Column:
+        there = F.when(own, F.col(c))
+        return (there if fill is None else there.otherwise(fill)).alias(c)
+    return filled.select(*keys, month_end_label("_at").alias("month"), *[value(c, fill) for c, fill in fills.items()])
 
 
 def monthly_liters(fuel: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -146,5 +146,9 @@ def distance_between(bounds: DataFrame, readings: DataFrame, keys: list[str] | N
     aligned = asof_neighbours(probes, readings, keys, "odometer_km", bucket=bucket)
     est = regroup_sides(aligned, [*keys, "_s", "_e"], "_side",
                         {0: ("start_odometer", "_s"), 1: ("end_odometer", "_e")}, method)
-    return (est.withColumn(out, _combine_distance("start_odometer", "end_odometer", "_s", "_e"))
-            .withColumnRenamed("_s", start).withColumnRenamed("_e", end))
+    return distance_of(est, "start_odometer", "end_odometer", "_s", "_e", out).withColumnRenamed("_s", start).withColumnRenamed("_e", end)
+
+
+def distance_of(df: DataFrame, start: str, end: str, start_ts: str, end_ts: str, out: str = "distance") -> DataFrame:
+    """``df`` with the EST distance between two EST columns at two instants."""
+    return df.withColumn(out, _combine_distance(start, end, start_ts, end_ts))

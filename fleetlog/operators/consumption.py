@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from fleetlog.functions.calendar import Period
 from fleetlog.functions.text import exact_sum, ts_text
 from fleetlog.operators.asof import flatten_estimate, regroup_sides
-from fleetlog.operators.sequence import BUCKET, DEFAULT_BUCKET, asof_neighbours, previous_row
+from fleetlog.operators.sequence import BUCKET, DEFAULT_BUCKET, asof_neighbours, previous_row, running_total
 from fleetlog.schema import ESTIMATED, EXACT, INSUFFICIENT, KEY, ROW, TS
 
 
@@ -39,18 +39,27 @@ def consumption_estimates(fuel: DataFrame, readings: DataFrame, keys: list[str]
     (keys, bucket), so refuels that agree in time and row number stay apart.
     """
     keys = [KEY] if keys is None else list(keys)
+    aligned = asof_neighbours(refuel_probes(fuel, keys, bucket), readings, keys, "odometer_km", bucket=bucket,
+                              probe_buckets=fuel.select(*keys, TS))
+    return estimates_of(aligned, keys, method)
+
+
+def refuel_probes(fuel: DataFrame, keys: list[str], bucket=DEFAULT_BUCKET) -> DataFrame:
+    """Two probes of each refuel: its own instant (``_side`` 1) and its predecessor's (0)."""
     f = fuel.select(*keys, TS, ROW, "liters", "amount_eur")
     f = previous_row(f, keys, {"ts": F.col(TS), "n": F.col(ROW)}, "_prev", bucket=bucket,
                      ties=["liters", "amount_eur"], position="_pos").withColumnRenamed(BUCKET, "_own")
     sides = F.array_compact(F.array(
         F.struct(F.lit(1).alias("side"), F.col(TS).alias("t")),
         F.when(F.col("_prev").isNotNull(), F.struct(F.lit(0).alias("side"), F.col("_prev.ts").alias("t")))))
-    probes = (f.select(*keys, "_own", "_pos", F.col(TS).alias("_cur_ts"), F.col(ROW).alias("_cur_row"), "liters", "amount_eur",
-                       F.col("_prev.ts").alias("_prev_ts"), F.col("_prev.n").alias("_prev_n"),
-                       F.explode(sides).alias("_s"))
-              .select("*", F.col("_s.side").alias("_side"), F.col("_s.t").alias(TS)).drop("_s"))
-    aligned = asof_neighbours(probes, readings, keys, "odometer_km", bucket=bucket,
-                              probe_buckets=fuel.select(*keys, TS))
+    return (f.select(*keys, "_own", "_pos", F.col(TS).alias("_cur_ts"), F.col(ROW).alias("_cur_row"), "liters", "amount_eur",
+                     F.col("_prev.ts").alias("_prev_ts"), F.col("_prev.n").alias("_prev_n"),
+                     F.explode(sides).alias("_s"))
+            .select("*", F.col("_s.side").alias("_side"), F.col("_s.t").alias(TS)).drop("_s"))
+
+
+def estimates_of(aligned: DataFrame, keys: list[str], method: str = "linear") -> DataFrame:
+    """Accepted pairs from the answered probes of ``refuel_probes``."""
     # the two probes of each refuel back on one row (hash aggregate, see regroup_sides)
     pairs = regroup_sides(aligned, [*keys, "_own", "_pos", "_cur_ts"], "_side",
                           {0: ("odometer_at_previous", "_prev_ts"), 1: ("odometer_at_current", "_cur_ts")},
@@ -123,6 +132,23 @@ def consumption_in_period(fuel: DataFrame, readings: DataFrame, period: Period,
     return consumption_estimates(fuel.filter(period.contains(TS)), readings, keys, method, bucket)
 
 
+def consumption_chunks(estimates: DataFrame, keys: list[str] | None = None, size: int = 1000,
+                       bucket=DEFAULT_BUCKET) -> DataFrame:
+    """The series as rows ``(keys, chunk, first_datetime, last_datetime, points)`` of at most
+    ``size`` points each, in order: a history of any length is served without one unbounded
+    row.  Points are numbered by a bucketed running count, so a key's points never meet
+    in one task (C6, S10)."""
+    keys = [KEY] if keys is None else list(keys)
+    points = consumption_series(estimates, keys)
+    numbered = running_total(points, keys, F.lit(1).cast("long"), "_place", ts="datetime", bucket=bucket)
+    point = F.struct("_place", "datetime", ROW, "liters_per_100km", "quality")
+    chunks = numbered.groupBy(*keys, F.floor((F.col("_place") - 1) / F.lit(size)).alias("chunk")).agg(
+        F.sort_array(F.collect_list(point)).alias("points"))
+    return chunks.select(*keys, "chunk", F.col("points")[0]["datetime"].alias("first_datetime"),
+                         F.element_at("points", -1)["datetime"].alias("last_datetime"),
+                         F.transform("points", lambda p: p.dropFields("_place")).alias("points"))
+
+
 def consumption_series(estimates: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``(datetime, liters_per_100km, quality)`` for charts."""
     keys = [KEY] if keys is None else list(keys)

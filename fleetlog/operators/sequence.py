@@ -131,10 +131,11 @@ def first_value(df: DataFrame, keys: list[str], value: str, out: str,
     return d.join(carry, ["_kid", BUCKET]).drop("_kid")
 
 
-def first_and_last(value: str, ts: str = TS, row: str | None = ROW) -> tuple[Column, Column]:
-    """Aggregates: ``value`` of the first and of the last row in the total order."""
+def first_and_last(value: str, ts: str = TS, row: str | None = ROW, when: Column | None = None) -> tuple[Column, Column]:
+    """Aggregates: ``value`` of the first and of the last row (``when`` it holds) in the total order."""
     number = [F.col(row).cast("long")] if row else []
     o = F.struct(epoch_micros(ts), *number, F.col(value).alias("_v"))
+    o = o if when is None else F.when(when, o)
     return F.min(o)["_v"], F.max(o)["_v"]
 
 
