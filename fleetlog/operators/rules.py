@@ -22,6 +22,7 @@ from fleetlog.schema import (
     PRICE_PER_LITER_MAX_WARN, PRICE_PER_LITER_MIN_WARN, PRIMARY_COUNTRY_CODES, ROW, TANK_FALSE_WORDS,
     TANK_STATES, TANK_TRUE_WORDS, TANK_UNKNOWN_WORDS, TS, WARNING,
 )
+from fleetlog.session import checkpoint_dir
 
 ISSUE_FIELDS = ("dataset", "severity", "rule", "rule_seq", ROW, "field", "message")
 
@@ -81,13 +82,16 @@ def _issue(dataset: str, severity: str, rule: str, seq: int, field: str | None,
             f"'{ROW}', CAST({ROW} AS BIGINT), 'field', {f}, 'message', CAST({message_sql} AS STRING))")
 
 
-def _explode_issues(df: DataFrame, keys: list[str], rules: list[tuple[str, str]]) -> DataFrame:
-    """One row per rule that fired: ``explode`` of the issue structs in rule order.
+def _explode_issues(df: DataFrame, keys: list[str], rules: list[tuple[str, str]], texts: dict[str, Column]) -> DataFrame:
+    """One row per rule that fired, in rule order.
 
-    ``rules`` are ``(condition SQL, issue SQL)`` pairs, combined into one expression."""
-    arr = ", ".join(f"CASE WHEN {cond} THEN {issue} END" for cond, issue in rules)
-    return df.select(*keys, F.expr(f"explode(array_compact(array({arr})))").alias("_i")).select(
-        *keys, *[F.col(f"_i.{f}").alias(f) for f in ISSUE_FIELDS])
+    ``rules`` are ``(condition SQL, issue SQL)`` pairs.  Only the rules' numbers are
+    exploded; the issue of a number, its message and the ``texts`` that messages name are
+    built behind the explode, for the rules that fired and no other row."""
+    fired = ", ".join(f"CASE WHEN {cond} THEN {i} END" for i, (cond, _) in enumerate(rules))
+    issue = "CASE _rule " + " ".join(f"WHEN {i} THEN {text}" for i, (_, text) in enumerate(rules)) + " END"
+    found = df.select("*", F.expr(f"explode(array_compact(array({fired})))").alias("_rule")).withColumns(texts)
+    return found.select(*keys, F.expr(issue).alias("_i")).select(*keys, *[F.col(f"_i.{f}").alias(f) for f in ISSUE_FIELDS])
 
 
 def _number_issues(dataset: str, field: str, seq: int, positive: bool) -> list[tuple[str, str]]:
@@ -110,10 +114,12 @@ def tank_state(c: Column, stripped_lower: bool = False) -> Column:
             .when(v.isin(*TANK_FALSE_WORDS), F.lit("false")))
 
 
-def validate_fuel_rows(raw: DataFrame, keys: list[str] | None = None,
-                       config: RuleConfig = RuleConfig()) -> tuple[DataFrame, DataFrame]:
+def validate_fuel_rows(raw: DataFrame, keys: list[str] | None = None, config: RuleConfig = RuleConfig(),
+                       store: bool = False) -> tuple[DataFrame, DataFrame]:
     """Row rules for fuel rows (V1-V11).  ``raw`` holds the nine raw text columns
-    plus ``row_num`` (and ``keys``).  Returns ``(parsed rows with row_ok, row issues)``.
+    plus ``row_num`` (and ``keys``).  Returns ``(parsed rows with row_ok, row issues)``;
+    with ``store`` the rows are read and parsed once for both and written to the
+    checkpoint folder.
 
     Three projections -- strip, parse, flag -- so every regular expression runs
     once per cell; the rule conditions only compare the staged columns.
@@ -138,9 +144,9 @@ def validate_fuel_rows(raw: DataFrame, keys: list[str] | None = None,
     row_ok = (c("_ts").isNotNull() & (c("_amount_eur") > 0) & (c("_liters") > 0)
               & c("_ftype").isin(*config.fuel_types) & c("_tank").isNotNull() & (c("_station") != "")
               & c("_country_ok"))
-    parsed = staged.withColumns({"row_ok": F.coalesce(row_ok, F.lit(False)), "_amount": c("_amount_eur"),
-                                 "_amount_eur_text": py_float("_amount_eur"), "_liters_text": py_float("_liters"),
-                                 "_price_text": fixed(F.try_divide("_amount_eur", "_liters"), 3)})
+    parsed = staged.withColumns({"row_ok": F.coalesce(row_ok, F.lit(False)), "_amount": c("_amount_eur")})
+    texts = {"_amount_eur_text": py_float("_amount_eur"), "_liters_text": py_float("_liters"),
+             "_price_text": fixed(F.try_divide("_amount_eur", "_liters"), 3)}
     tank_ok = "_tank IS NOT NULL"
     price = "(_amount / _liters)"
     rules = [
@@ -172,7 +178,15 @@ def validate_fuel_rows(raw: DataFrame, keys: list[str] | None = None,
          _issue(ds, WARNING, "price_high", 13, "amount_eur",
                 f"concat('Suspiciously high derived price per liter: ', _price_text, ' EUR')")),
     ]
-    return parsed, _explode_issues(parsed, keys, rules)
+    if store:
+        parsed = _stored(parsed)
+    return parsed, _explode_issues(parsed, keys, rules, texts)
+
+
+def _stored(parsed: DataFrame) -> DataFrame:
+    """Parsed rows computed once, in the shared checkpoint folder."""
+    checkpoint_dir(parsed.sparkSession)
+    return parsed.checkpoint(eager=True)
 
 
 def surviving(parsed: DataFrame, cols: list[Column]) -> DataFrame:
@@ -227,11 +241,12 @@ def _single(issues: DataFrame) -> DataFrame:
     return issues.withColumns({"pair_row_a": none, "pair_row_b": none, "pairs": F.lit(1).cast("long")})
 
 
-def validate_fuel(raw: DataFrame, keys: list[str] | None = None,
-                  config: RuleConfig = RuleConfig()) -> Validated:
-    """Row rules, then the duplicate rule on surviving rows."""
+def validate_fuel(raw: DataFrame, keys: list[str] | None = None, config: RuleConfig = RuleConfig(),
+                  store: bool = False) -> Validated:
+    """Row rules, then the duplicate rule on surviving rows (V1-V13, V17).  ``store``: see
+    ``validate_fuel_rows``."""
     keys = list(keys or [])
-    parsed, row_issues = validate_fuel_rows(raw, keys, config)
+    parsed, row_issues = validate_fuel_rows(raw, keys, config, store)
     good = fuel_good_rows(parsed, keys)
     what = F.concat(F.lit("Potential duplicate: rows with "), py_float("liters"), F.lit("L at "))
     dup = _duplicate_issues(fuel_duplicates(good, keys, config.duplicate_minutes), keys, "fuel", 20, what,
@@ -240,7 +255,7 @@ def validate_fuel(raw: DataFrame, keys: list[str] | None = None,
     return Validated(good, issues)
 
 
-def validate_odometer_rows(raw: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def validate_odometer_rows(raw: DataFrame, keys: list[str] | None = None, store: bool = False) -> tuple[DataFrame, DataFrame]:
     """Row rules for odometer rows (V1, V3, V12), staged like the fuel rules."""
     keys = list(keys or [])
     ds = "odometer"
@@ -251,12 +266,13 @@ def validate_odometer_rows(raw: DataFrame, keys: list[str] | None = None) -> tup
                           strip_ws(_s("notes")).alias("_notes"))
     staged = stripped.select("*", parse_iso_timestamp("_dt_s", stripped=True).alias("_ts"),
                              parse_number("_km_s", stripped=True).alias("_odometer_km")).drop("_dt_s", "_km_s")
-    parsed = staged.withColumns({"row_ok": F.coalesce(c("_ts").isNotNull() & (c("_odometer_km") >= 0), F.lit(False)),
-                                 "_odometer_km_text": py_float("_odometer_km")})
+    parsed = staged.withColumn("row_ok", F.coalesce(c("_ts").isNotNull() & (c("_odometer_km") >= 0), F.lit(False)))
     rules = [("_ts IS NULL", _issue(ds, ERROR, "datetime_unparsable", 1, "datetime",
                                     f"concat(\"Unparsable datetime: '\", {_raw_sql('datetime')}, \"'\")"))]
     rules += _number_issues(ds, "odometer_km", 2, False)
-    return parsed, _explode_issues(parsed, keys, rules)
+    if store:
+        parsed = _stored(parsed)
+    return parsed, _explode_issues(parsed, keys, rules, {"_odometer_km_text": py_float("_odometer_km")})
 
 
 def odometer_monotonicity(good: DataFrame, keys: list[str] | None = None, bucket=DEFAULT_BUCKET) -> DataFrame:
@@ -276,10 +292,11 @@ def odometer_duplicates(good: DataFrame, keys: list[str] | None = None, equal: l
 
 
 def validate_odometer(raw: DataFrame, keys: list[str] | None = None,
-                      config: RuleConfig = RuleConfig(), bucket=DEFAULT_BUCKET) -> Validated:
-    """Row rules, then monotonicity and duplicates on surviving rows."""
+                      config: RuleConfig = RuleConfig(), bucket=DEFAULT_BUCKET, store: bool = False) -> Validated:
+    """Row rules, then monotonicity and duplicates on surviving rows.
+    ``store``: see ``validate_fuel_rows``."""
     keys = list(keys or [])
-    parsed, row_issues = validate_odometer_rows(raw, keys)
+    parsed, row_issues = validate_odometer_rows(raw, keys, store)
     good = surviving(parsed, [*[F.col(k) for k in keys], F.col("_ts").alias(TS),
                               F.col("_odometer_km").alias("odometer_km"), F.col("_notes").alias("notes"), F.col(ROW)])
     mono = odometer_monotonicity(good, keys, bucket).select(
@@ -354,39 +371,60 @@ def validate_entries(entries: DataFrame, keys: list[str] | None = None, config:
     rejected rows all their input columns and an ``errors`` map field -> message.
     """
     keys = list(keys or [])
+    judged = judge_entries(entries, config, clean)
+    return accepted_entries(judged, keys, config), rejected_entries(judged, entries.columns)
+
+
+def judge_entries(entries: DataFrame, config: RuleConfig = RuleConfig(), clean: bool = False) -> DataFrame:
+    """``entries`` with their parsed cells (``_v``) and the list of their errors (``_errs``).
+
+    Cells are parsed behind a generator, which no predicate or projection moves
+    through, so each regular expression stands once in the plan."""
     entries = clean_entries(entries) if clean else entries
-    station = strip_ws(_s("station_name"))
-    city = strip_ws(_s("city"))
-    country = F.upper(strip_ws(_s("country")))
-    ftype = strip_ws(_s("fuel_type"))
-    tank = F.lower(strip_ws(F.coalesce(F.col("is_full_tank").cast("string"), F.lit("unknown"))))
-    liters = parse_number(_s("liters"))
-    amount = parse_number(_s("amount_eur"))
-    when_ts = parse_iso_timestamp(_s("entry_date"))
+    cells = entries.select("*", F.struct(
+        strip_ws(_s("station_name")).alias("station_name"), strip_ws(_s("city")).alias("city"),
+        F.upper(strip_ws(_s("country"))).alias("country"), strip_ws(_s("fuel_type")).alias("fuel_type"),
+        F.lower(strip_ws(F.coalesce(F.col("is_full_tank").cast("string"), F.lit("unknown")))).alias("is_full_tank"),
+        strip_ws(_s("notes")).alias("notes"), strip_ws(_s("liters")).alias("liters"), strip_ws(_s("amount_eur")).alias("amount_eur"),
+        strip_ws(_s("entry_date")).alias("entry_date")).alias("_c"))
+    texts = ("station_name", "city", "country", "fuel_type", "is_full_tank", "notes")
+    cells = cells.select(*entries.columns, F.explode(F.array("_c")).alias("_c"))
+    parsed = F.struct(*[F.col("_c")[t].alias(t) for t in texts], F.col("_c.country").rlike(COUNTRY_CODE_PATTERN).alias("country_ok"),
+                      parse_number(F.col("_c.liters"), stripped=True).alias("liters"),
+                      parse_number(F.col("_c.amount_eur"), stripped=True).alias("amount_eur"),
+                      parse_iso_timestamp(F.col("_c.entry_date"), stripped=True).alias(TS))
+    staged = cells.select(*entries.columns, F.explode(F.array(parsed)).alias("_v"))
+    v = F.col("_v")
     checks = [
-        ("station_name", station == "", "Required."),
-        ("city", city == "", "Required."),
-        ("country", ~country.rlike(COUNTRY_CODE_PATTERN), "Must be a 2-letter ISO country code."),
-        ("liters", F.coalesce(liters <= 0, F.lit(True)), "Must be greater than 0."),
-        ("amount_eur", F.coalesce(amount <= 0, F.lit(True)), "Must be greater than 0."),
-        ("fuel_type", ~ftype.isin(*config.fuel_types), f"Must be one of {_pylist(config.fuel_types)}."),
-        ("is_full_tank", ~tank.isin(*TANK_STATES), "Must be true, false, or unknown."),
-        ("entry_date", when_ts.isNull(), "Must be a valid date/time."),
+        ("station_name", v["station_name"] == "", "Required."),
+        ("city", v["city"] == "", "Required."),
+        ("country", ~v["country_ok"], "Must be a 2-letter ISO country code."),
+        ("liters", F.coalesce(v["liters"] <= 0, F.lit(True)), "Must be greater than 0."),
+        ("amount_eur", F.coalesce(v["amount_eur"] <= 0, F.lit(True)), "Must be greater than 0."),
+        ("fuel_type", ~v["fuel_type"].isin(*config.fuel_types), f"Must be one of {_pylist(config.fuel_types)}."),
+        ("is_full_tank", ~v["is_full_tank"].isin(*TANK_STATES), "Must be true, false, or unknown."),
+        ("entry_date", v[TS].isNull(), "Must be a valid date/time."),
     ]
     errs = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(f).alias("field"), F.lit(m).alias("message")))
                                      for f, bad, m in checks]))
-    price = F.try_divide(amount, liters)
-    warns = F.array_compact(F.array(
-        F.when(price < config.price_min_warn, F.concat(F.lit("Derived price per liter ("), fixed(price, 3),
-                                                       F.lit(" EUR/L) is suspiciously low."))),
-        F.when(price > config.price_max_warn, F.concat(F.lit("Derived price per liter ("), fixed(price, 3),
-                                                       F.lit(" EUR/L) is suspiciously high.")))))
-    number = [ROW] if ROW in entries.columns else []
-    staged = entries.select("*", errs.alias("_errs"))
-    accepted = staged.filter(F.size("_errs") == 0).select(
-        *keys, *number, when_ts.alias(TS), amount.alias("amount_eur"), liters.alias("liters"), ftype.alias("fuel_type"),
-        tank.alias("is_full_tank"), station.alias("station_name"), city.alias("city"), country.alias("country"),
-        strip_ws(_s("notes")).alias("notes"), warns.alias("warnings"),
-        F.try_divide(amount, liters).alias("price_per_liter_eur"))
-    rejected = staged.filter(F.size("_errs") > 0).withColumn("errors", F.map_from_entries("_errs")).drop("_errs")
-    return accepted, rejected
+    return staged.select("*", errs.alias("_errs"))
+
+
+def accepted_entries(judged: DataFrame, keys: list[str], config: RuleConfig = RuleConfig()) -> DataFrame:
+    """The entries without errors as fuel rows, with ``warnings``."""
+    number = [ROW] if ROW in judged.columns else []
+    v = F.col("_v")
+    # the price behind a generator too: its text names it many times
+    one = F.struct(*[v[f].alias(f) for f in (TS, "amount_eur", "liters", "fuel_type", "is_full_tank", "station_name", "city", "country", "notes")],
+                   F.try_divide(v["amount_eur"], v["liters"]).alias("price_per_liter_eur"))
+    rows = judged.filter(F.size("_errs") == 0).select(*keys, *number, F.inline(F.array(one)))
+    price = F.col("price_per_liter_eur")
+    odd = F.when(price < config.price_min_warn, F.lit("low")).when(price > config.price_max_warn, F.lit("high"))
+    text = F.concat(F.lit("Derived price per liter ("), fixed(price, 3), F.lit(" EUR/L) is suspiciously "), odd, F.lit("."))
+    warnings = F.array_compact(F.array(F.when(odd.isNotNull(), text)))
+    return rows.select(*[c for c in rows.columns if c != "price_per_liter_eur"], warnings.alias("warnings"), "price_per_liter_eur")
+
+
+def rejected_entries(judged: DataFrame, columns: list[str]) -> DataFrame:
+    """The entries with errors as entered, with the map ``errors``."""
+    return judged.filter(F.size("_errs") > 0).select(*columns, F.map_from_entries("_errs").alias("errors"))

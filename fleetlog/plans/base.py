@@ -41,14 +41,49 @@ def _double(c: str) -> Column:
 
 @dataclass(frozen=True)
 class PeriodBase:
-    """Stored results of one period (``None``: the whole logs); see ``period_base``."""
+    """Results of one period (``None``: the whole logs), each run and stored when first asked for."""
 
-    keys: list[str]
+    fuel: DataFrame
+    odo: DataFrame
     period: Period | None
+    keys: list[str]
     method: str
-    cube: DataFrame
-    readings: DataFrame
-    answered: DataFrame
+    bucket: object
+
+    @property
+    def inside(self) -> Column:
+        return F.coalesce(self.period.contains(TS), F.lit(False)) if self.period else F.lit(True)
+
+    @cached_property
+    def cube(self) -> DataFrame:
+        k, inside = self.keys, F.col("_in")
+        price = F.try_divide("amount_eur", "liters")
+        parts = {"_m": F.trunc(F.col(TS).cast("date"), "month"), "fuel_type": F.col("fuel_type"), "country": F.col("country")}
+        cube = self.fuel.withColumn("_in", self.inside).groupBy(*k, "_in", *[F.when(inside, c).alias(n) for n, c in parts.items()]).agg(
+            F.count_if(inside).alias("n"), _total(F.col("liters"), "liters"), _total(F.col("amount_eur"), "eur"),
+            _total(price, "price"), F.count(price).alias("priced"))
+        # rows outside only tell that the key exists
+        sums = [F.when(inside, F.col(c)).alias(c) for c in ("liters", "eur", "price", "priced")]
+        return cube.select(*k, *parts, "n", *sums).checkpoint(eager=True)
+
+    @cached_property
+    def readings(self) -> DataFrame:
+        first, last = first_and_last("odometer_km", when=self.inside)
+        return self.odo.groupBy(*self.keys).agg(F.count_if(self.inside).alias("readings"), first.alias("_first"),
+                                                last.alias("_last")).checkpoint(eager=True)
+
+    @cached_property
+    def answered(self) -> DataFrame:
+        k = self.keys
+        probes = refuel_probes(self.fuel.filter(self.inside) if self.period else self.fuel, k, self.bucket)
+        if self.period:
+            universe = self.cube.select(*k).unionByName(self.readings.select(*k)).distinct()
+            ends = F.array(*[F.struct(F.lit(side).alias("_side"), F.lit(t).cast("timestamp_ntz").alias(TS))
+                             for side, t in ((START_SIDE, self.period.start), (END_SIDE, self.period.end))])
+            probes = probes.unionByName(universe.select(*k, F.inline(ends)), allowMissingColumns=True)
+        probes = probes.checkpoint(eager=True)
+        found = asof_neighbours(probes, self.odo, k, "odometer_km", bucket=self.bucket, probe_buckets=probes.select(*k, TS))
+        return found.checkpoint(eager=True)
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -101,28 +136,6 @@ class PeriodBase:
 
 def period_base(fuel: DataFrame, odo: DataFrame, period: Period | None = None, keys: list[str] | None = None,
                 method: str = "linear", bucket=DEFAULT_BUCKET) -> PeriodBase:
-    """Run the shared passes; without a period there are no boundary probes."""
-    k = [KEY] if keys is None else list(keys)
+    """The shared results of one period; without a period there are no boundary probes."""
     checkpoint_dir(fuel.sparkSession)
-    inside = period.contains(TS) if period else F.lit(True)
-    month = F.trunc(F.col(TS).cast("date"), "month")
-    price = F.try_divide("amount_eur", "liters")
-    at = fuel.withColumn("_in", F.coalesce(inside, F.lit(False)))
-    cube = at.groupBy(*k, "_in", *[F.when(F.col("_in"), c).alias(n) for n, c in
-                                   (("_m", month), ("fuel_type", F.col("fuel_type")), ("country", F.col("country")))]).agg(
-        F.count_if("_in").alias("n"), _total(F.col("liters"), "liters"), _total(F.col("amount_eur"), "eur"),
-        _total(price, "price"), F.count(price).alias("priced"))
-    # rows outside only tell that the key exists
-    cube = cube.select(*k, "_m", "fuel_type", "country", "n", *[F.when(F.col("_in"), F.col(c)).alias(c) for c in ("liters", "eur", "price", "priced")])
-    cube = cube.checkpoint(eager=True)
-    first, last = first_and_last("odometer_km", when=inside)
-    readings = odo.groupBy(*k).agg(F.count_if(inside).alias("readings"), first.alias("_first"), last.alias("_last")).checkpoint(eager=True)
-    probes = refuel_probes(fuel.filter(inside) if period else fuel, k, bucket)
-    if period:
-        universe = cube.select(*k).unionByName(readings.select(*k)).distinct()
-        ends = F.array(*[F.struct(F.lit(side).alias("_side"), F.lit(t).cast("timestamp_ntz").alias(TS))
-                         for side, t in ((START_SIDE, period.start), (END_SIDE, period.end))])
-        probes = probes.unionByName(universe.select(*k, F.inline(ends)), allowMissingColumns=True)
-    probes = probes.checkpoint(eager=True)
-    answered = asof_neighbours(probes, odo, k, "odometer_km", bucket=bucket, probe_buckets=probes.select(*k, TS))
-    return PeriodBase(k, period, method, cube, readings, answered.checkpoint(eager=True))
+    return PeriodBase(fuel, odo, period, [KEY] if keys is None else list(keys), method, bucket)

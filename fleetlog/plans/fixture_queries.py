@@ -239,7 +239,9 @@ def odometer_issues(spark, d):
 
 
 def quality_summary(spark, d):
-    return rules.quality_summary(_fuel_validated(spark, d), _odo_validated(spark, d))
+    # each log is read and parsed once, for its issues, its rows and its duplicates
+    return rules.quality_summary(rules.validate_fuel(fx.fx_dirty(spark, d), [KEY], store=True),
+                                 rules.validate_odometer(fx.fx_dirty_odometer(spark, d), [KEY], store=True))
 
 
 def odometer_monotonicity(spark, d):
@@ -478,6 +480,72 @@ def payload_series(spark, d):
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+_CUSTOM_PERIOD = resolve_range("custom", AS_OF, *CUSTOM)
+_JSON = """range STRING, range_label STRING, start STRING, end STRING,
+  metrics STRUCT<total_liters DOUBLE, total_eur DOUBLE, avg_price_per_liter DOUBLE, entries BIGINT, avg_l_per_100km DOUBLE, avg_cost_per_100km DOUBLE>,
+  charts STRUCT<price_trend ARRAY<STRUCT<month STRING, avg_price_per_liter DOUBLE>>, monthly_liters ARRAY<STRUCT<month STRING, value DOUBLE>>,
+    monthly_spending ARRAY<STRUCT<month STRING, value DOUBLE>>, fuel_type_summary ARRAY<STRUCT<fuel_type STRING, count BIGINT, total_liters DOUBLE, total_eur DOUBLE>>,
+    country_breakdown ARRAY<STRUCT<country STRING, avg_price_per_liter DOUBLE, total_liters DOUBLE>>>"""
+
+
+def payload_values(spark, d):
+    """Every value of the payload's JSON text, parsed back, with its place."""
+    p = report.analysis_payload(fx.fx_fuel(spark, d), fx.fx_odo(spark, d), _CUSTOM_PERIOD)
+    j = p.select(KEY, F.from_json("payload", _JSON).alias("j")).select(KEY, "j.range_label", "j.metrics", "j.charts.*")
+    metrics = ("total_liters", "total_eur", "avg_price_per_liter", "entries", "avg_l_per_100km", "avg_cost_per_100km")
+    charts = {"price_trend": ("month", ["avg_price_per_liter"]), "monthly_liters": ("month", ["value"]), "monthly_spending": ("month", ["value"]),
+              "fuel_type_summary": ("fuel_type", ["count", "total_liters", "total_eur"]), "country_breakdown": ("country", ["avg_price_per_liter", "total_liters"])}
+    number = lambda c: round6(c.cast("double"))
+    one = F.array(*[F.struct(F.lit("metrics").alias("part"), F.lit(0).alias("place"), F.col("range_label").alias("label"), F.lit(m).alias("name"),
+                             number(F.col("metrics")[m]).alias("value")) for m in metrics])
+    parts = [j.select(KEY, F.inline(one))]
+    for chart, (label, names) in charts.items():
+        at = j.select(KEY, F.posexplode(chart).alias("place", "p"))
+        parts.append(at.select(KEY, F.inline(F.array(*[F.struct(F.lit(chart).alias("part"), F.col("place"), F.col("p")[label].alias("label"),
+                                                                  F.lit(n).alias("name"), number(F.col("p")[n]).alias("value")) for n in names]))))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def payload_chunks(spark, d):
+    """The payload's consumption points, from chunks of at most seven."""
+    c = report.payload_chunks(fx.fx_fuel(spark, d), fx.fx_odo(spark, d), _CUSTOM_PERIOD, size=7)
+    return c.select(KEY, "chunk", F.size("points").alias("size"), F.posexplode("points").alias("place", "p")).select(
+        KEY, "chunk", "size", "place", F.col("p.datetime").alias("datetime"), F.col("p.row_num").alias(ROW),
+        round6("p.liters_per_100km").alias("liters_per_100km"), F.col("p.quality").alias("quality"))
+
+
+def report_rows(spark, d):
+    """All fifteen sections of the report, every row and value (K1-K7)."""
+    sections = report.build_report(fx.fx_fuel(spark, d), fx.fx_odo(spark, d), PERIOD)
+    place = ["stops", "liters", "eur", "avg_price_per_liter", "rank"]
+    shown = {"fuel_cards": ("metric", ["value"]), "distance_cards": ("metric", ["value"]), "estimated_cards": ("metric", ["value"]),
+             "boundaries": (F.concat_ws(": ", "boundary", "quality", "supporting_data"), ["odometer_km"]),
+             "consumption": (ROW, ["estimated_km", "liters_per_100km", "cost_per_100km", "cost_per_km"]), "overview_fuel": (ROW, ["liters"]),
+             "overview_distance": (ROW, ["km_since_last_entry"]), "price_over_time": (ROW, ["price_per_liter_eur"]),
+             "monthly_liters": (F.date_format("month", "yyyy-MM-dd"), ["liters"]), "monthly_spending": (F.date_format("month", "yyyy-MM-dd"), ["amount_eur"]),
+             "fuel_type_summary": ("fuel_type", ["count", "total_liters", "total_eur"]),
+             "fuel_type_share": ("fuel_type", ["stops_share_pct", "liters_share_pct", "eur_share_pct"]),
+             "country_overview": ("country", place), "city_overview": ("city", place), "odometer_readings": (ROW, ["odometer_km", "km_since_previous"])}
+    parts = []
+    for name, (label, values) in shown.items():
+        label = (F.col(label) if isinstance(label, str) else label).cast("string")
+        listed = F.array(*[F.struct(F.lit(v).alias("name"), round6(F.col(v).cast("double")).alias("value")) for v in values])
+        parts.append(sections[name].select(KEY, F.lit(name).alias("section"), label.alias("label"), F.inline(listed)))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def report_issue_counts(spark, d):
+    """The report's issue counts by dataset and severity, pairs counted."""
+    report_part = report.build_report(fx.fx_fuel(spark, d), fx.fx_odo(spark, d), PERIOD, fuel_issues=_tied_duplicates(spark, d).issues)
+    return report_part["issue_counts"]
+
+
+def _tied_duplicates(spark, d):
+    """Raw odometer rows on the day, so that equal amounts of a vehicle make several pairs."""
+    raw = fx.fx_dirty_odometer(spark, d).withColumns({KEY: F.col(KEY) % 5, "odometer_km": F.lit("100")})
+    return rules.validate_odometer(raw, [KEY])
+
+
 def report_sections(spark, d):
     """Rows and sums of the report's listed sections (K5-K7)."""
     sections = report.build_report(fx.fx_fuel(spark, d), fx.fx_odo(spark, d), PERIOD)
@@ -555,4 +623,8 @@ def queries() -> dict[str, Query]:
         "consumption_series": consumption_series,
         "payload_series": payload_series,
         "report_sections": report_sections,
+        "payload_values": payload_values,
+        "payload_chunks": payload_chunks,
+        "report_rows": report_rows,
+        "report_issue_counts": report_issue_counts,
     }

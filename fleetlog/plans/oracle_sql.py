@@ -703,4 +703,65 @@ UNION ALL SELECT vehicle_id, 'overview_fuel', count(*), r6(sum(liters)) FROM fue
 UNION ALL SELECT vehicle_id, 'overview_distance', count(*), r6(CAST(sum(CAST(delta AS DECIMAL(28,9))) AS DOUBLE)) FROM o WHERE delta IS NOT NULL GROUP BY 1
 UNION ALL SELECT vehicle_id, 'price_over_time', count(*), r6(CAST(sum(CAST(price_per_liter_eur AS DECIMAL(28,9))) AS DOUBLE)) FROM fuel_p GROUP BY 1
 UNION ALL SELECT vehicle_id, 'odometer_readings', count(*), r6(CAST(sum(CAST(odometer_km AS DECIMAL(28,9))) AS DOUBLE)) FROM o GROUP BY 1"""
+    def long(source: str, part: str, label: str, names: dict[str, str], column: str = "section", extra: str = "") -> str:
+        return "\n  UNION ALL ".join(
+            f"SELECT vehicle_id, '{part}' AS {column}, {extra}CAST({label} AS VARCHAR) AS label, '{n}' AS name, r6(CAST({e} AS DOUBLE)) AS value FROM {source}"
+            for n, e in names.items())
+
+    months = f"""span AS (SELECT vehicle_id, unnest(generate_series(date_trunc('month', min(event_ts)), date_trunc('month', max(event_ts)), INTERVAL 1 MONTH)) AS m FROM fuel_p GROUP BY 1),
+mon AS (SELECT s.vehicle_id, s.m, coalesce(CAST(sum(CAST(f.liters AS DECIMAL(28,9))) AS DOUBLE), 0.0) AS l, coalesce(CAST(sum(CAST(amount_eur AS DECIMAL(28,9))) AS DOUBLE), 0.0) AS e,
+        CAST(sum(CAST(price_per_liter_eur AS DECIMAL(28,9))) AS DOUBLE) / count(price_per_liter_eur) AS p
+        FROM span s LEFT JOIN fuel_p f ON f.vehicle_id = s.vehicle_id AND date_trunc('month', f.event_ts) = s.m GROUP BY 1, 2),
+ty AS (SELECT vehicle_id, fuel_type, count(*) AS n, sum(liters) AS l, sum(amount_eur) AS e FROM fuel_p GROUP BY 1, 2),
+co AS (SELECT vehicle_id, country, count(*) AS n, sum(liters) AS l, sum(amount_eur) AS e FROM fuel_p GROUP BY 1, 2)"""
+    metrics = q["analysis_metrics"].split("\nSELECT u.vehicle_id")[0]
+    am = metrics + f""",
+am AS (SELECT u.vehicle_id, coalesce(ft.l, 0.0) AS l, coalesce(ft.e, 0.0) AS e, coalesce(ft.e / ft.l, 0.0) AS p, coalesce(ft.n, 0) AS n, cs.l100, cs.c100
+       FROM u LEFT JOIN ft USING (vehicle_id) LEFT JOIN cs USING (vehicle_id)), {months},
+vals AS ({long('am', 'metrics', "'2024-01-08 → 2024-01-21'", dict(total_liters='l', total_eur='e', avg_price_per_liter='p', entries='n', avg_l_per_100km='l100', avg_cost_per_100km='c100'), 'part')}
+  UNION ALL {long('mon', 'price_trend', "strftime(m, '%Y-%m')", dict(avg_price_per_liter='p'), 'part')}
+  UNION ALL {long('mon', 'monthly_liters', "strftime(m, '%Y-%m')", dict(value='l'), 'part')}
+  UNION ALL {long('mon', 'monthly_spending', "strftime(m, '%Y-%m')", dict(value='e'), 'part')}
+  UNION ALL {long('ty', 'fuel_type_summary', 'fuel_type', dict(count='n', total_liters='l', total_eur='e'), 'part')}
+  UNION ALL {long('co', 'country_breakdown', 'country', dict(avg_price_per_liter='e / l', total_liters='l'), 'part')})"""
+    q["payload_values"] = am + """
+SELECT vehicle_id, part, CAST(CASE WHEN part = 'metrics' THEN 0 ELSE dense_rank() OVER (PARTITION BY vehicle_id, part ORDER BY label) - 1 END AS INTEGER) AS place,
+       label, name, value FROM vals"""
+
+    q["payload_chunks"] = f"""WITH {FUEL}, {ODO},
+fuel_p AS (SELECT * FROM fuel WHERE event_ts BETWEEN {c_start} AND {c_end}), {segments('fuel_p')},
+n AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY event_ts, row_num) - 1 AS pos FROM seg)
+SELECT vehicle_id, CAST(pos // 7 AS BIGINT) AS chunk, CAST(count(*) OVER (PARTITION BY vehicle_id, pos // 7) AS INTEGER) AS size, CAST(pos % 7 AS INTEGER) AS place,
+       event_ts AS datetime, row_num, r6(liters / km * 100) AS liters_per_100km, quality FROM n"""
+
+    cards = q["report_cards"].split("\nSELECT vehicle_id, section")[0]
+    ranked = lambda by: f"""(SELECT vehicle_id, {by}, count(*) AS n, sum(liters) AS l, sum(amount_eur) AS e,
+      row_number() OVER (PARTITION BY vehicle_id ORDER BY sum(liters) DESC, count(*) DESC, {by}) AS rank FROM fuel_p GROUP BY vehicle_id, {by})"""
+    over = dict(stops='n', liters='l', eur='e', avg_price_per_liter='e / l', rank='rank')
+    default = """coalesce(est_interval, CASE est_quality WHEN 'insufficient' THEN 'Not enough odometer data.' WHEN 'exact' THEN 'Exact reading.' ELSE 'Estimated by interpolation.' END)"""
+    q["report_rows"] = cards + f""", {months},
+share AS (SELECT *, 100.0 * n / sum(n) OVER w AS sn, 100.0 * l / sum(l) OVER w AS sl, 100.0 * e / sum(e) OVER w AS se_ FROM ty WINDOW w AS (PARTITION BY vehicle_id)),
+d AS (SELECT *, odometer_km - lag(odometer_km) OVER (PARTITION BY vehicle_id ORDER BY event_ts, row_num) AS delta FROM odo),
+o AS (SELECT * FROM d WHERE event_ts BETWEEN {P_START} AND {P_END})
+  SELECT vehicle_id, section || '_cards' AS section, metric AS label, 'value' AS name, r6(value) AS value FROM cards
+  UNION ALL SELECT vehicle_id, 'boundaries', CASE row_num WHEN 0 THEN 'Start of report' ELSE 'End of report' END || ': ' || est_quality || ': ' || {default},
+      'odometer_km', CASE WHEN est_quality = 'insufficient' THEN NULL ELSE r6(est_value) END FROM be
+  UNION ALL {long('seg', 'consumption', 'row_num', dict(estimated_km='km', liters_per_100km='liters / km * 100', cost_per_100km='amount_eur / km * 100', cost_per_km='amount_eur / km'))}
+  UNION ALL {long('fuel_p', 'overview_fuel', 'row_num', dict(liters='liters'))}
+  UNION ALL {long('(SELECT * FROM o WHERE delta IS NOT NULL)', 'overview_distance', 'row_num', dict(km_since_last_entry='delta'))}
+  UNION ALL {long('fuel_p', 'price_over_time', 'row_num', dict(price_per_liter_eur='price_per_liter_eur'))}
+  UNION ALL {long('mon', 'monthly_liters', "strftime(last_day(m), '%Y-%m-%d')", dict(liters='l'))}
+  UNION ALL {long('mon', 'monthly_spending', "strftime(last_day(m), '%Y-%m-%d')", dict(amount_eur='e'))}
+  UNION ALL {long('ty', 'fuel_type_summary', 'fuel_type', dict(count='n', total_liters='l', total_eur='e'))}
+  UNION ALL {long('share', 'fuel_type_share', 'fuel_type', dict(stops_share_pct='sn', liters_share_pct='sl', eur_share_pct='se_'))}
+  UNION ALL {long(ranked('country'), 'country_overview', 'country', over)}
+  UNION ALL {long(ranked('city'), 'city_overview', 'city', over)}
+  UNION ALL {long('o', 'odometer_readings', 'row_num', dict(odometer_km='odometer_km', km_since_previous='delta'))}"""
+
+    # every pair spelled out: what the report must count
+    q["report_issue_counts"] = f"""WITH {DIRTY},
+raw AS (SELECT vehicle_id % 5 AS v, row_num, {ts_parse(strip('datetime'))} AS ts FROM dirty)
+SELECT 'odometer' AS dataset, 'error' AS severity, CAST(count(*) AS BIGINT) AS issues FROM raw WHERE ts IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'odometer', 'warning', CAST(count(*) AS BIGINT) FROM raw a JOIN raw b ON a.v = b.v AND a.row_num < b.row_num
+  AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= {TOL_US}"""
     return {name: _expand_r6(_exact_sums(sql)) for name, sql in q.items()}

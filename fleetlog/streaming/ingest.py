@@ -41,8 +41,7 @@ def ingest_fuel(raw: DataFrame, accepted_path: str, issues_path: str, checkpoint
     keys = list(keys or [])
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        batch = batch.checkpoint(eager=True)  # parsed for both tables from one read of the source
-        parsed, issues = rules.validate_fuel_rows(batch, keys, config)
+        parsed, issues = rules.validate_fuel_rows(batch, keys, config, store=True)  # read and parsed once for both tables
         rules.fuel_good_rows(parsed, keys).write.mode("overwrite").parquet(f"{accepted_path}/epoch={epoch}")
         issues.write.mode("overwrite").parquet(f"{issues_path}/epoch={epoch}")
 
@@ -63,9 +62,10 @@ def ingest_entries(entries: DataFrame, accepted_path: str, rejected_path: str, c
     keys = [KEY] if keys is None else list(keys)
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        accepted, rejected = rules.validate_entries(batch.checkpoint(eager=True), keys, config, clean)
-        accepted.write.mode("overwrite").parquet(f"{accepted_path}/epoch={epoch}")
-        rejected.write.mode("overwrite").parquet(f"{rejected_path}/epoch={epoch}")
+        # both tables come from one judged batch, read and parsed once
+        judged = rules.judge_entries(batch, config, clean).checkpoint(eager=True)
+        rules.accepted_entries(judged, keys, config).write.mode("overwrite").parquet(f"{accepted_path}/epoch={epoch}")
+        rules.rejected_entries(judged, batch.columns).write.mode("overwrite").parquet(f"{rejected_path}/epoch={epoch}")
 
     checkpoint_dir(entries.sparkSession)
     return _started(entries.writeStream.foreachBatch(write_batch), checkpoint, available_now)
