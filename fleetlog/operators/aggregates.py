@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fleetlog.functions.calendar import Period, month_bounds, month_end_label
 from fleetlog.functions.text import exact_sum, strip_ws
 from fleetlog.schema import KEY, TS
+from fleetlog.session import checkpoint_dir
 
 
 def _keys(keys):
@@ -131,9 +132,26 @@ def location_overview(fuel: DataFrame, column: str, keys: list[str] | None = Non
 
 
 def ranked(overview: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """``overview`` with ``rank`` by litres desc, stops desc, name."""
-    order = Window.partitionBy(*keys).orderBy(F.col("liters").desc(), F.col("stops").desc(), F.col(column))
-    return overview.withColumn("rank", F.row_number().over(order))
+    """``overview`` with ``rank`` by litres desc, stops desc, name.
+
+    Per key a window ranks the key's places.  With ``keys=[]`` all places are one list, which is
+    ranked by ranges of that order: inside a range by a window, plus the rows of the ranges
+    before it; so no task holds all places.  The driver sees one count for each range."""
+    order = [F.col("liters").desc(), F.col("stops").desc(), F.col(column)]
+    if keys:
+        return overview.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    checkpoint_dir(overview.sparkSession)
+    # stored, so that the counts and the rows see one division into ranges
+    ranges = overview.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint(eager=True)
+    before, offsets = 0, {}
+    for r in sorted(ranges.groupBy("_range").count().collect()):
+        offsets[r["_range"]] = before
+        before += r["count"]
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    if not offsets:
+        return ranges.withColumn("rank", place).drop("_range")
+    ahead = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])[F.col("_range")]
+    return ranges.withColumn("rank", (place + ahead).cast("int")).drop("_range")
 
 
 def _monthly(fuel: DataFrame, k: list[str], value: Column, fill: Column | None) -> DataFrame:

@@ -41,6 +41,7 @@ AS_OF = datetime(2024, 1, 20, 12, 0, 0)
 CUSTOM = ("2024-01-08", "2024-01-21")
 HISTORY_K = 3
 IMPORT_CUTOFF = datetime(2024, 1, 4)   # the store already holds the first three days
+VEHICLES = (1, 7, 11)                  # read one by one from a store
 PRIMARY_NATIONS = ("GERMANY", "FRANCE", "ITALY")
 
 
@@ -403,6 +404,35 @@ def store_round_trip(spark, d):
     return back.select(KEY, ROW, TS, "amount_eur", "liters", "price_per_liter_eur", "city", "is_full_tank")
 
 
+def vehicle_reads(spark, d):
+    """The purchases of some vehicles, each read by itself from a store of several appended and
+    compacted batches (P6, S7)."""
+    path = scratch_path(spark, "vehicles")
+    fuel = fx.fx_fuel(spark, d).select(*FUEL_SCHEMA.names)
+    for third in range(3):
+        store.write_log(fuel.filter(F.col(ROW) % 3 == third), path)
+        if third == 1:
+            store.compact_log(spark, path)
+    parts = [store.read_log(spark, path, vehicle=v) for v in VEHICLES]
+    return functools.reduce(DataFrame.unionByName, parts).select(KEY, ROW, TS, "amount_eur", "liters")
+
+
+def append_once(spark, d):
+    """Form entries appended in two batches, the first of them twice: what is stored."""
+    path = scratch_path(spark, "append")
+    raw = fx.fx_dirty(spark, d).withColumnRenamed("datetime", "entry_date")
+    halves = [raw.filter(F.col(ROW) % 2 == i) for i in (0, 1)]
+    for part in (halves[0], halves[1], halves[0].orderBy(ROW)):
+        store.append_entries(spark, part, path)
+    return store.read_log(spark, path).select(KEY, ROW, TS, "amount_eur", "liters", "country", "is_full_tank")
+
+
+def fleet_overview(spark, d):
+    """All cities of all vehicles as one ranked list (A12 with no key)."""
+    return agg.location_overview(fx.fx_log(spark, d), "city", []).select(
+        "city", "stops", *_r6("liters", "eur", "avg_price_per_liter"), "rank")
+
+
 def import_counts(spark, d):
     """Backfill of a store that holds the first days: imported rows of either log, twice."""
     fuel, odo = fx.fx_fuel(spark, d).select(*FUEL_SCHEMA.names), fx.fx_odo(spark, d).select(*ODO_SCHEMA.names)
@@ -618,6 +648,9 @@ def queries() -> dict[str, Query]:
         "tied_odometer_at": tied_odometer_at,
         "store_round_trip": store_round_trip,
         "import_counts": import_counts,
+        "vehicle_reads": vehicle_reads,
+        "append_once": append_once,
+        "fleet_overview": fleet_overview,
         "fuel_derived": fuel_derived,
         "location_table": location_table,
         "consumption_series": consumption_series,

@@ -669,6 +669,17 @@ FROM b JOIN a USING (vehicle_id, row_num)"""
 SELECT vehicle_id, row_num, event_ts, amount_eur, liters, price_per_liter_eur, city, is_full_tank
 FROM fuel WHERE event_ts BETWEEN {P_START} AND {P_END}"""
 
+    q["vehicle_reads"] = f"""WITH {FUEL}
+SELECT vehicle_id, row_num, event_ts, amount_eur, liters FROM fuel WHERE vehicle_id IN (1, 7, 11)"""
+
+    q["append_once"] = f"""WITH {DIRTY}, {plain}
+SELECT vehicle_id, row_num, {ts_parse(strip('datetime'))} AS event_ts, a AS amount_eur, l AS liters, upper({strip('country')}) AS country,
+       lower({strip('is_full_tank')}) AS is_full_tank FROM c WHERE len(errs) = 0"""
+
+    q["fleet_overview"] = f"""WITH {LOG}, g AS (SELECT city, count(*) AS n, sum(liters) AS l, sum(amount_eur) AS e FROM log WHERE trim(city) <> '' GROUP BY 1)
+SELECT city, CAST(n AS BIGINT) AS stops, r6(l) AS liters, r6(e) AS eur, r6(e / l) AS avg_price_per_liter,
+       CAST(row_number() OVER (ORDER BY l DESC, n DESC, city) AS INTEGER) AS rank FROM g"""
+
     q["import_counts"] = f"""WITH {FUEL}, {ODO}
 SELECT 'fuel' AS log, (SELECT CAST(count(*) AS BIGINT) FROM fuel WHERE vehicle_id NOT IN (SELECT vehicle_id FROM fuel WHERE event_ts < {lit_ts(IMPORT_CUTOFF)})) AS imported, CAST(0 AS BIGINT) AS imported_again
 UNION ALL SELECT 'odometer', (SELECT CAST(count(*) AS BIGINT) FROM odo WHERE vehicle_id NOT IN (SELECT vehicle_id FROM odo WHERE event_ts < {lit_ts(IMPORT_CUTOFF)})), 0"""

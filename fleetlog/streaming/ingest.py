@@ -9,6 +9,14 @@ replaces its earlier attempt instead of duplicating it.
 ST2 keeps no state: each micro-batch writes its own sums per (key, month), and
 the current value is the sum over epochs.  So a row counts whenever it arrives,
 in any order and however late; no watermark drops it.
+
+Epochs are compacted in tiers, as digits of a number: of every ``FAN`` units of a tier the
+last epoch's batch writes one unit of the next tier with their sums.  Which units hold
+the first n epochs follows from n alone, so a reader needs one number, and reads at
+most ``FAN - 1`` units of each tier, however many epochs there were.  The number
+is written last, into two slots by turns, so one of them is whole at any time;
+a batch that is repeated after a failure, also one in the middle of a merge,
+writes the same units again.
 """
 
 from __future__ import annotations
@@ -74,29 +82,67 @@ def ingest_entries(entries: DataFrame, accepted_path: str, rejected_path: str, c
 def month_sums(fuel: DataFrame, keys: list[str]) -> DataFrame:
     """Litres, EUR and entries per key and calendar month, as exact decimals to add up further."""
     def total(c: str) -> Column:
-        return F.sum(F.col(c).cast("decimal(28,9)")).alias(f"month_{c}")
+        return F.sum(F.col(c).cast("decimal(28,9)")).cast("decimal(38,9)").alias(f"month_{c}")
     return fuel.groupBy(*keys, month_start(TS).alias("month")).agg(total("liters"), total("amount_eur"),
                                                                   F.count(F.lit(1)).alias("month_entries"))
 
 
+FAN = 16
+
+
+def _unit(out_path: str, tier: int, last: int) -> str:
+    return f"{out_path}/tier={tier}/last={last}"
+
+
+def units(n: int, fan: int = FAN) -> list[tuple[int, int]]:
+    """(tier, last epoch) of the units that hold the first ``n`` epochs."""
+    tier = 0
+    while fan ** (tier + 1) <= n:
+        tier += 1
+    out, done = [], 0
+    for t in range(tier, -1, -1):
+        for _ in range((n - done) // fan ** t):
+            done += fan ** t
+            out.append((t, done - 1))
+    return out
+
+
+def _added_up(sums: DataFrame, keys: list[str]) -> DataFrame:
+    return sums.groupBy(*keys, "month").agg(
+        *[F.sum(c).cast("decimal(38,9)").alias(c) for c in ("month_liters", "month_amount_eur")], F.sum("month_entries").alias("month_entries"))
+
+
+def write_epoch(sums: DataFrame, out_path: str, epoch: int, keys: list[str], fan: int = FAN) -> None:
+    """Write the sums of an epoch, the merges that it completes, and then its number."""
+    spark = sums.sparkSession
+    sums.write.mode("overwrite").parquet(_unit(out_path, 0, epoch))
+    tier = 1
+    while (epoch + 1) % fan ** tier == 0:
+        parts = [_unit(out_path, tier - 1, epoch - i * fan ** (tier - 1)) for i in range(fan)]
+        _added_up(spark.read.parquet(*parts), keys).write.mode("overwrite").parquet(_unit(out_path, tier, epoch))
+        tier += 1
+    spark.range(1).select(F.lit(epoch).cast("long").alias("epoch")).coalesce(1).write.mode("overwrite").parquet(f"{out_path}/head/slot={epoch % 2}")
+
+
 def run_month_to_date(fuel: DataFrame, out_path: str, checkpoint: str, keys: list[str] | None = None,
-                      available_now: bool = True) -> StreamingQuery:
-    """Write each batch's sums per (key, month) under ``epoch=<id>`` (ST2)."""
+                      available_now: bool = True, fan: int = FAN) -> StreamingQuery:
+    """Write each batch's sums per (key, month) as a unit and merge full tiers (ST2)."""
     keys = [KEY] if keys is None else list(keys)
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        month_sums(batch, keys).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        write_epoch(month_sums(batch, keys), out_path, epoch, keys, fan)
 
     return _started(fuel.writeStream.foreachBatch(write_batch), checkpoint, available_now)
 
 
-def latest_month_to_date(spark: SparkSession, out_path: str, keys: list[str] | None = None) -> DataFrame:
-    """Current month totals: the sum over all epochs."""
+def latest_month_to_date(spark: SparkSession, out_path: str, keys: list[str] | None = None, fan: int = FAN) -> DataFrame:
+    """Current month totals: the sum over the units of all finished epochs."""
     keys = [KEY] if keys is None else list(keys)
-    sums = spark.read.parquet(out_path).groupBy(*keys, "month").agg(
-        *[F.sum(c).cast("double").alias(n) for c, n in (("month_liters", "month_liters"), ("month_amount_eur", "month_eur"))],
-        F.sum("month_entries").alias("month_entries"))
-    return sums
+    last = spark.read.parquet(f"{out_path}/head").agg(F.max("epoch")).first()[0]
+    read = [_unit(out_path, t, e) for t, e in units(last + 1, fan)]
+    return _added_up(spark.read.parquet(*read), keys).select(
+        *keys, "month", F.col("month_liters").cast("double").alias("month_liters"),
+        F.col("month_amount_eur").cast("double").alias("month_eur"), "month_entries")
 
 
 def _fuel_from_events(events: DataFrame) -> DataFrame:

@@ -169,3 +169,18 @@ def test_two_vehicles_are_independent(spark):
     alone = one(dist.total_distance(odo_df(spark, o1)))["total_km"]
     both = {r["vehicle_id"]: r["total_km"] for r in dist.total_distance(odo_df(spark, o1 + o2)).collect()}
     assert both == {1: alone, 2: 100.0}
+
+
+def test_overview_without_keys_ranks_by_ranges(spark):
+    """Equal ranks as one window would give, and no exchange into a single partition."""
+    rows = [(i % 7, f"city{i % 211:03d}", float(i % 13 + 1), float(i % 5 + 1)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vehicle_id long, city string, liters double, amount_eur double")
+    got = agg.location_overview(df, "city", [])
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    found = sorted((r["rank"], r.city, r.liters, r.stops) for r in got.collect())
+    by = {}
+    for _, city, liters, _ in rows:
+        by.setdefault(city, []).append(liters)
+    want = sorted(by, key=lambda c: (-sum(by[c]), -len(by[c]), c))
+    assert [(r, c) for r, c, _, _ in found] == [(i + 1, c) for i, c in enumerate(want)]
+    assert agg.location_overview(df.limit(0), "city", []).count() == 0

@@ -98,3 +98,34 @@ def test_summary_and_payload(spark):
     assert p["consumption_points"] == 1
     m = report.analysis_metrics(f.limit(0), o, period).first()
     assert m["avg_l_per_100km"] is None and m["entries"] == 0
+
+
+def test_report_counts_the_pairs_of_a_duplicate_issue(spark):
+    """Four equal purchases of one instant are six pairs, in the report as in the summary."""
+    from fleetlog.operators import rules
+    rows = [("2024-03-01 10:00", "70", "40", "E5", "true", "s", "c", "DE", "", i) for i in range(2, 6)]
+    raw = spark.createDataFrame(rows, "datetime string, amount_eur string, liters string, fuel_type string, is_full_tank string, "
+                                      "station_name string, city string, country string, notes string, row_num long")
+    v = rules.validate_fuel(raw, [])
+    period = Period(datetime(2024, 3, 1), datetime(2024, 3, 31, 23, 59, 59))
+    odo = odo_df(spark, [("2024-03-01", 1)]).drop("vehicle_id")
+    counts = report.build_report(v.good, odo, period, [], fuel_issues=v.issues)["issue_counts"]
+    assert [tuple(r) for r in counts.collect()] == [("fuel", "warning", 6)]
+    assert [r.issues for r in rules.issue_summary(v.issues).collect()] == [6]
+
+
+def test_sections_share_one_asof_pass(spark):
+    """Cards read stored results: no log and no window is left in their plan."""
+    from fleetlog.plans import fixture_queries as q
+    plan = q.report_cards(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "Window" not in plan and "LogicalRDD" in plan
+
+
+def test_payload_chunks_are_bounded_and_whole(spark):
+    period = Period(datetime(2024, 1, 1), datetime(2024, 12, 31))
+    fuel = fuel_df(spark, [(f"2024-{1 + i // 28:02d}-{1 + i % 28:02d} 08:00", 10.0, 15.0) for i in range(100)])
+    odo = odo_df(spark, [("2024-01-01", 0), ("2024-12-01", 50_000)])
+    chunks = report.payload_chunks(fuel, odo, period, size=30).orderBy("chunk").collect()
+    assert [(c.chunk, len(c.points)) for c in chunks] == [(0, 30), (1, 30), (2, 30), (3, 9)]
+    times = [p.datetime for c in chunks for p in c.points]
+    assert times == sorted(times) and len(set(times)) == 99

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from samples import FUEL_CSV, ODO_CSV
 from fleetlog.operators import aggregates as agg
 from fleetlog.operators import distance as dist
 from fleetlog.operators.consumption import consumption_estimates, consumption_summary
+from fleetlog.schema import FUEL_SCHEMA, ODO_SCHEMA
 from fleetlog.sources import csv as csvsrc
 from fleetlog.sources import store
 
@@ -226,3 +227,63 @@ def test_every_file_with_open_lines(spark, tmp_path):
     rows, _ = csvsrc.read_raw_csv(spark, str(tmp_path), ("datetime", "odometer_km", "notes"), "odometer")
     assert sorted((r.odometer_km, r.notes) for r in rows.collect())[0] == ("1", "p\nq")
     assert rows.count() == 3
+
+
+# --- committed batches --------------------------------------------------------------------
+
+def _fuel_rows(spark, rows):
+    return spark.createDataFrame([(v, datetime(2024, m, 1 + n % 28), 10.0 + n, 5.0, 2.0, "E5", "true", "s", "c", "DE", "", n) for v, m, n in rows], FUEL_SCHEMA)
+
+
+def test_killed_write_and_rerun_store_every_row_once(spark, tmp_path, monkeypatch):
+    path, odo_path = str(tmp_path / "fuel"), str(tmp_path / "odo")
+    fuel = _fuel_rows(spark, [(v, 1 + n % 3, n) for v in (1, 2, 3) for n in range(20)])
+    odo = spark.createDataFrame([], ODO_SCHEMA)
+
+    def killed(*_):      # after the data, before the commit record
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(store, "_commit", killed)
+    with pytest.raises(KeyboardInterrupt):
+        store.import_if_empty(spark, fuel, odo, path, odo_path)
+    assert any((tmp_path / "fuel" / "data").rglob("*.parquet")) and store.commits(spark, path) == {}
+    monkeypatch.undo()
+    assert store.import_if_empty(spark, fuel, odo, path, odo_path) == (60, 0)
+    assert store.import_if_empty(spark, fuel, odo, path, odo_path) == (0, 0)
+    more = _fuel_rows(spark, [(3, 1, 99), (4, 1, 100)])
+    assert store.import_if_empty(spark, more, odo, path, odo_path) == (1, 0)      # only the new vehicle
+    back = store.read_log(spark, path)
+    assert back.count() == 61 and back.distinct().count() == 61
+
+
+def test_the_same_batch_appends_once_and_compaction_keeps_rows(spark, tmp_path):
+    path = str(tmp_path / "fuel")
+    parts = [_fuel_rows(spark, [(v, 1 + n % 2, n) for n in range(i, 30, 3)]) for i in range(3) for v in (i,)]
+    assert [store.write_log(p, path) for p in parts] == [10, 10, 10]
+    assert store.write_log(parts[1].repartition(4), path) == 0
+    before = sorted(store.read_log(spark, path).collect())
+    assert store.compact_log(spark, path) == 30 and len(store.commits(spark, path)) == 1 and store.compact_log(spark, path) == 0
+    assert sorted(store.read_log(spark, path).collect()) == before
+    assert store.write_log(parts[1], path) == 0                                   # replaced, not forgotten
+    assert store.write_log(parts[0].limit(2), path, "overwrite") == 2 and store.read_log(spark, path).count() == 2
+
+
+def test_a_vehicle_reads_the_files_of_its_bucket(spark, tmp_path):
+    path = str(tmp_path / "fuel")
+    store.write_log(_fuel_rows(spark, [(v, 1 + n % 2, n) for v in range(40) for n in range(4)]), path)
+    whole, one = store.read_log(spark, path), store.read_log(spark, path, vehicle=7)
+    assert sorted(r.row_num for r in one.collect()) == [0, 1, 2, 3] and {r.vehicle_id for r in one.collect()} == {7}
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [key_bucket" in plan
+
+    def opened(df):      # files that the scan lists, from its metrics
+        scans = df._jdf.queryExecution().executedPlan().collectLeaves()
+        df.collect()
+        return sum(scans.apply(i).metrics().apply("numFiles").value() for i in range(scans.size()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        few, all_ = opened(store.read_log(spark, path, vehicle=7)), opened(store.read_log(spark, path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert 0 < few <= 4 < all_
+    assert whole.count() == 160

@@ -62,3 +62,51 @@ def test_entries_stream_keeps_rejected_rows_as_entered(spark, tmp_path):
     assert (good["liters"], good["amount_eur"], good["country"]) == (42.5, 70.13, "DE")
     bad = spark.read.parquet(str(tmp_path / "r")).first()
     assert bad["liters"] == "x1" and bad["notes"] == "as written " and set(bad["errors"]) == {"station_name", "liters"}
+
+
+def test_units_hold_each_epoch_once_and_stay_few():
+    for n in range(1, 1100):
+        held = [e for t, last in ingest.units(n) for e in range(last - 16 ** t + 1, last + 1)]
+        assert held == list(range(n)) and len(ingest.units(n)) <= 15 * 3
+
+
+def test_merges_and_a_restart_in_the_middle_of_one(spark, tmp_path, monkeypatch):
+    """Tiers of two: the files read stay few, and a batch that dies while it merges is repeated."""
+    out, keys = str(tmp_path / "out"), ["vehicle_id"]
+
+    def epoch(e):
+        rows = [(1, datetime(2024, 1 + e % 3, 5), e, 2.0 * e, 1.0), (2, datetime(2023, 12, 31), e, 1.0, 1.0)]
+        ingest.write_epoch(ingest.month_sums(spark.createDataFrame(rows, FUEL), keys), out, e, keys, fan=2)
+
+    def now():
+        return {(r.vehicle_id, r.month.month): (r.month_liters, r.month_eur, r.month_entries) for r in ingest.latest_month_to_date(spark, out, keys, fan=2).collect()}
+
+    def want(n):
+        found = {(2, 12): (float(n), float(n), n)}
+        for m in range(3):
+            of = [e for e in range(n) if e % 3 == m]
+            if of:
+                found[(1, m + 1)] = (float(len(of)), 2.0 * sum(of), len(of))
+        return found
+
+    for e in range(7):
+        epoch(e)
+        assert now() == want(e + 1)
+    real = ingest._added_up
+
+    def dies(sums, keys):
+        if dies.left == 0:
+            raise KeyboardInterrupt
+        dies.left -= 1
+        return real(sums, keys)
+    dies.left = 1      # epoch 7 merges three tiers: the second merge dies
+    monkeypatch.setattr(ingest, "_added_up", dies)
+    try:
+        epoch(7)
+    except KeyboardInterrupt:
+        pass
+    monkeypatch.undo()
+    assert now() == want(7)
+    epoch(7)
+    epoch(7)           # and a repeated batch changes nothing
+    assert now() == want(8) and ingest.units(8, 2) == [(3, 7)]

@@ -149,3 +149,18 @@ def test_clean_decimal(spark):
     df = spark.createDataFrame([("42,555",), ("1,5,3",), ("12.004",)], "x string")
     got = [r[0] for r in df.select(rules.clean_decimal(F.col("x"))).collect()]
     assert got[0] == pytest.approx(42.56) and got[1] is None and got[2] == pytest.approx(12.0)
+
+
+def test_each_parse_stands_once_in_a_plan(spark):
+    """Accepted and rejected rows are two branches; each has the four patterns once, as have
+    rows and issues of a log."""
+    from fleetlog.plans import fixture_queries as q
+    for query in (q.entry_validation, q.fuel_issues):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE") <= 8 and plan.count("try_cast") + plan.count("try_to") <= 20, plan.count("RLIKE")
+
+
+def test_quality_summary_reads_each_log_once(spark):
+    from fleetlog.plans import fixture_queries as q
+    plan = q.quality_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "RLIKE" not in plan
