@@ -12,7 +12,8 @@ prefix: sets that link share a prefix shingle.
    than ``hot`` sets, in joins that split it.  A shingle of up to ``bucket`` groups pairs
    them all; one of more pairs each with a few that are drawn by hash.
 3. Group pairs are expanded to members and verified, by bitmaps and on the full sets; a group's
-   members are verified with its smallest.
+   members are verified with its smallest.  Each group's pairs with two partners that are drawn
+   by hash come first; the others are verified only between components of the links so far.
 4. What pairing through drawn ones leaves out, and what lies between the
    further members of groups, is paired in a second step, but only between
    different components of the links so far: links inside a component cannot
@@ -47,6 +48,7 @@ WORDS = 5
 PERCENT = 75
 BUCKET = 32
 CENTRES = 8  # groups that all others of a wide token are paired with
+DRAWN = 2  # partners of each group that are compared first
 HOT = 1 << 18  # sets that a shingle's cell counts before its entries go row by row
 CELL_BLOCK_BITS = 12
 BLOCK_ENTRIES = 1 << 20  # prefix entries that meet in one block, about
@@ -338,8 +340,23 @@ def _ordered_pairs(pairs: DataFrame) -> DataFrame:
     return checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
 
 
-def links(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket: int, id_column: str, text_column: str) -> DataFrame:
-    """Links ``a, b`` between sets that join every component of the rows."""
+def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of ``labels`` with further links."""
+    if links.isEmpty():
+        return labels
+    return connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+
+
+def drawn_pairs(pairs: DataFrame) -> DataFrame:
+    """Of each node's pairs the two whose other ends have the smallest hashes, which are the
+    same ones all over a family: at most two pairs a node."""
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("to")))
+    few = ends.groupBy("node").agg(F.array_distinct(F.array(*[F.min_by("to", F.xxhash64("to", F.lit(k))) for k in range(DRAWN)])).alias("few"))
+    return _ordered_pairs(few.select(F.col("node").alias("a"), F.explode("few").alias("b")))
+
+
+def labels_of(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket: int, id_column: str, text_column: str) -> DataFrame:
+    """``node, label`` of every linked set: the components of the rows' links."""
 
     def exactly(pairs: DataFrame) -> DataFrame:
         return verified(pairs, rows, docs, words, percent, id_column, text_column)
@@ -367,14 +384,28 @@ def links(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket: in
     # a group stands for its first member, whose bitmap rules most pairs out
     first = groups.select("gid", F.col("first").alias("sid"))
     of_groups = members.join(first, ["gid", "sid"], "left_semi").select(F.col("gid").alias("id"), "n", F.col("payload").alias("bits")).dropDuplicates(["id"])
-    pairs = likely(close.unionByName(star).distinct(), of_groups, percent)
-    pairs = pairs.join(first.select(F.col("gid").alias("a"), F.col("sid").alias("x")), "a").join(first.select(F.col("gid").alias("b"), F.col("sid").alias("y")), "b")
+
+    def judged(group_pairs: DataFrame) -> DataFrame:
+        pairs = likely(group_pairs, of_groups, percent)
+        pairs = pairs.join(first.select(F.col("gid").alias("a"), F.col("sid").alias("x")), "a").join(first.select(F.col("gid").alias("b"), F.col("sid").alias("y")), "b")
+        return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
+
     several = checkpointed(sets.select("sid", "gid").join(groups.filter("members > 1"), "gid"))
     within = likely(_ordered_pairs(several.select(F.col("sid").alias("a"), F.col("first").alias("b"))), of_sets, percent)
-    found = exactly(_ordered_pairs(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(within)))
+    # first each group with a few of its partners, drawn by hash: they join most of a family
+    every = checkpointed(close.unionByName(star).distinct())
+    few = drawn_pairs(every)
+    found = exactly(_ordered_pairs(judged(few).unionByName(within)))
+    labels = connected(found)
+    # then the other pairs, between components only: links inside one cannot change it
+    of_group = first.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("gid", F.coalesce("label", "sid").alias("label"))
+    left = every.join(few, ["a", "b"], "left_anti")
+    left = left.join(of_group.select(F.col("gid").alias("a"), F.col("label").alias("of_a")), "a").join(of_group.select(F.col("gid").alias("b"), F.col("label").alias("of_b")), "b")
+    left = checkpointed(left.filter("of_a <> of_b").select("a", "b"))
+    if not left.isEmpty() and not (left := _ordered_pairs(judged(left))).isEmpty():
+        labels = joined_by(labels, exactly(left))
 
     # second step, between components only
-    labels = connected(found)
     lone = F.coalesce("label", "sid").alias("label")
     known = sets.select("sid", "gid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "gid", lone)
     apart = "a.sid <> b.sid AND a.label <> b.label"
@@ -396,8 +427,8 @@ def links(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket: in
     for step in rest:
         left = _ordered_pairs(step)
         if not left.isEmpty() and not (left := likely(left, of_sets, percent)).isEmpty():
-            found = found.unionByName(exactly(left))
-    return found
+            labels = joined_by(labels, exactly(left))
+    return labels
 
 
 def near_duplicates(
@@ -408,7 +439,7 @@ def near_duplicates(
     one number for each component, null for empty sets."""
     prepare(docs.sparkSession)
     rows = checkpointed(members(docs, words, percent, hot, id_column, text_column))
-    found = connected(links(rows, docs, words, percent, bucket, id_column, text_column))
+    found = labels_of(rows, docs, words, percent, bucket, id_column, text_column)
     rows = rows.filter(F.col("kind") == _MEMBER).select("doc_id", "key", "n", "sid")
     own = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("smallest")).join(found.withColumnRenamed("node", "sid"), "sid", "left")
     own = own.select("sid", "smallest", F.coalesce("label", "sid").alias("label"))

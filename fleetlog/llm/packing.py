@@ -1,15 +1,24 @@
 """Packing of documents into token sequences by lexical retrieval (operator 8).
 
-Documents are dealt into shards of bounded size by a hash.  A shard's task
-builds a BM25 inverted index over its words; every seed document asks it for
-its unused neighbours, and these fill the seed's window from the best on.  The
-document that no longer fits is cut and seeds the next window with its rest, so
-all windows are full but the last, which is cut into sequences whose lengths are
-powers of two: none needs padding.
+1. Documents get a place in a lexical order: on a bounded sample of texts
+   (``SAMPLE_ROWS``) centroids of word vectors are fitted and put into a
+   tour of neighbours, and a document's key is the tour places of its nearest
+   centroids.  Neighbours of any number lie together in that order, so it
+   can be cut into as many shards as the input needs.  The same pass counts, over
+   all documents, how many have a word (in cells of the words' hashes) and how
+   long they are.
+2. The order is dealt by ranges of (key, id), so a key of a third of all rows is
+   split; each task cuts its range into shards of bounded size and builds a BM25
+   inverted index for each, with the document counts and the mean length of the
+   whole corpus.  Every seed document asks it for its unused neighbours, and these
+   fill the seed's window from the best on.  The document that no longer fits is cut
+   and seeds the next window with its rest, so all windows are full but the last of
+   a shard, which is cut into sequences whose lengths are powers of two: none needs
+   padding.
 
 A document is the ids of its text and the end id.  Null and empty texts are the
 end id alone.  Documents of any length are cut over as many windows as they
-need.  Of equal scores the document first in the order of id and text wins;
+need; a shard is as large as its longest document may be.  Of equal scores the document first in the order of id and text wins;
 documents without a common word come last, in that order.  Repeated rows are
 documents of their own.  An empty table gives no row.
 """
@@ -17,22 +26,28 @@ documents of their own.  An empty table gives no row.
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from fleetlog.llm.bpe import codec
-from fleetlog.llm.textkit import Words, prepare, words_of
+from fleetlog.llm.textkit import ODD, Words, bounded_sample, checkpointed, mix, prepare, slices, texts_of, words_of
 
 LENGTH = 4096
 END_ID = 2
 SHARD_BYTES = 6 << 20
 CACHE_ENTRIES = 250_000  # words in each of the two generations of a worker's cache
 K1, B = 1.2, 0.75
+SAMPLE_ROWS = 4_096  # different texts that the order is fitted on
+TERMS, CENTROIDS, NEAREST = 2_048, 128, 3
+CELL_BITS, BLOCK_BITS = 18, 12  # cells of the document counts, and those of one block
+RANGES = 1 << 16  # tasks at most; each goes through its range shard by shard
 
 
 def _gather(codes: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +71,11 @@ class ChunkEncoder:
     #: in Arrow; the others, and those with special strings, by the rules one by one.
     PLAIN = "^[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e]*$"
 
+    #: Lower-case letters of PLAIN, and the marks that may follow them as one word (an
+    #: apostrophe may begin one with letters).
+    LETTERS = "".join(c for c in map(chr, range(0x61, 0x17F)) if c.isalpha())
+    MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.rules = codec(path)
@@ -90,7 +110,14 @@ class ChunkEncoder:
         if not len(found.words):
             return np.zeros(0, "<u4"), np.zeros(len(found.offsets), np.int64)
         plain = pc.and_(pc.match_substring_regex(found.words, self.PLAIN), pc.invert(pc.match_substring(found.words, "<|")))
-        spaced = pc.replace_substring_regex(pc.utf8_lower(found.words), self.cut, r"\1 ")
+        lower = pc.utf8_lower(found.words)
+        # letters and then marks are two words; the pattern cuts what is of another form
+        letters, marks = pc.utf8_rtrim(lower, self.MARKS), pc.utf8_ltrim(lower, self.LETTERS)
+        simple = pc.and_(plain, pc.utf8_is_alpha(letters))
+        space, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        spaced = pc.binary_join_element_wise(letters, space, marks, space, nothing)
+        if len(mixed := pc.indices_nonzero(pc.invert(simple))):
+            spaced = pc.replace_with_mask(spaced, pc.invert(simple), pc.replace_substring_regex(lower.take(mixed), self.cut, r"\1 "))
         odd = pc.indices_nonzero(pc.invert(plain))
         if len(odd):
             own = [" ".join(self.names[p] if isinstance(p, int) else p for p in self.rules.parts(c)) + " " for c in found.words.take(odd).to_pylist()]
@@ -112,12 +139,12 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 class Bm25Index:
-    """Inverted index over the words of a shard's documents."""
+    """Inverted index over the words of a shard's documents.  ``idf`` of its words and the
+    ``mean`` length are those of the corpus; without them the shard is the corpus."""
 
-    def __init__(self, found: Words):
+    def __init__(self, found: Words, idf: np.ndarray | None = None, mean: float | None = None):
         n, width = len(found.offsets) - 1, max(1, len(found.words))
-        pairs, counts = np.unique(found.rows() * width + found.codes, return_counts=True)
-        rows, terms = np.divmod(pairs, width)
+        rows, terms, counts = _held(found)
         spread = np.bincount(terms, minlength=width)
         shared = spread[terms] > 1  # others lead to no neighbour
         rows, terms, counts = rows[shared], terms[shared], counts[shared]
@@ -125,8 +152,10 @@ class Bm25Index:
         self.terms, self.term_starts = terms, np.searchsorted(rows, np.arange(n + 1))
         order = np.argsort(terms, kind="stable")
         self.rows, self.row_starts = rows[order], np.searchsorted(terms[order], np.arange(width + 1))
-        lengths = found.lengths / max(1.0, found.lengths.mean()) if n else found.lengths
-        idf = np.log(1 + (n - spread + 0.5) / (spread + 0.5))
+        if mean is None:
+            mean = found.lengths.mean() if n else 1.0
+        lengths = found.lengths / max(1.0, mean)
+        idf = inverse_frequency(n, spread) if idf is None else idf
         tf = counts[order]
         self.weights = idf[terms[order]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.rows]))
 
@@ -141,6 +170,104 @@ class Bm25Index:
         return np.bincount(self.rows[at], weights=self.weights[at], minlength=self.size)
 
 
+def inverse_frequency(n: int, spread: np.ndarray) -> np.ndarray:
+    """BM25's weight of words that ``spread`` of n documents have."""
+    return np.log(1 + np.maximum(n - spread + 0.5, 0.5) / (spread + 0.5))
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _held(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, count) of each row's different words, sorted."""
+    width = max(1, len(found.words))
+    pairs = np.sort(found.rows() * width + found.codes)
+    head = np.ones(len(pairs), bool)
+    head[1:] = pairs[1:] != pairs[:-1]
+    at = np.flatnonzero(head)
+    return *np.divmod(pairs[at], width), np.diff(np.append(at, len(pairs)))
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of the words' bytes, by sums of powers over all of them at once; for
+    counts and places, where two words that fall together do no harm."""
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    up, down = np.full(len(raw) + 1, ODD), np.full(len(raw) + 1, np.uint64(pow(int(ODD), -1, 1 << 64)))
+    up[0] = down[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * np.cumprod(up, dtype=np.uint64)[:-1], dtype=np.uint64)])
+    return mix((sums[offsets[1:]] - sums[offsets[:-1]]) * np.cumprod(down, dtype=np.uint64)[offsets[:-1]])
+
+
+class LexicalOrder:
+    """Centroids of word vectors in a tour, fitted on a sample of texts."""
+
+    def __init__(self, texts: list[str], terms: int = TERMS, centroids: int = CENTROIDS, rounds: int = 8):
+        found = words_of(pa.array(texts, pa.large_string()))
+        n = len(texts)
+        spread = np.bincount(_held(found)[1], minlength=len(found.words))
+        # words of several texts, but not of most, the ones of most texts first
+        usable = np.flatnonzero((spread >= 2) & (5 * spread <= 2 * n))
+        usable = usable[np.argsort(-spread[usable], kind="stable")[:terms]]
+        hashes = _hashes(found.words.take(pa.array(usable)))
+        order = np.argsort(hashes)
+        self.hashes, self.idf = hashes[order], inverse_frequency(n, spread[usable[order]]).astype(np.float32)
+        self.centroids = np.zeros((1, len(self.hashes)), np.float32)
+        if not len(self.hashes):
+            return
+        vectors = self.vectors(n, _held(found), _hashes(found.words))
+        vectors = vectors[vectors.any(axis=1)]
+        k = max(1, min(centroids, len(vectors) // 16))
+        # spread starts: each the text that is the least like those before it
+        start, closest = [0], vectors @ vectors[0]
+        while len(start) < k:
+            start.append(int(closest.argmin()))
+            closest = np.maximum(closest, vectors @ vectors[start[-1]])
+        middle = vectors[start]
+        for _ in range(rounds):
+            of = (vectors @ middle.T).argmax(axis=1)
+            sums = np.zeros_like(middle)
+            np.add.at(sums, of, vectors)
+            size = np.linalg.norm(sums, axis=1, keepdims=True)
+            middle = np.where(size > 0, sums / np.maximum(size, 1e-12), middle)
+        # the tour: always on to the nearest one left
+        like, tour, left = middle @ middle.T, [0], set(range(1, k))
+        while left:
+            tour.append(max(left, key=lambda j: (like[tour[-1], j], -j)))
+            left.remove(tour[-1])
+        self.centroids = middle[tour]
+
+    def vectors(self, n: int, held: tuple[np.ndarray, ...], own: np.ndarray) -> np.ndarray:
+        """Unit vectors of n rows over the terms (zero where a row has none), from the rows'
+        words (row, code, count) and the hashes of the codes."""
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        term = np.where(self.hashes[at] == own, at, -1)[held[1]]
+        known = term >= 0
+        rows, term = held[0][known], term[known]
+        weight = np.log1p(held[2][known]) * self.idf[term]
+        size = np.sqrt(np.bincount(rows, weight * weight, minlength=n))
+        out = np.zeros((n, len(self.hashes)), np.float32)
+        out[rows, term] = weight / size[rows]
+        return out
+
+    def keys(self, n: int, held: tuple[np.ndarray, ...], own: np.ndarray) -> np.ndarray:
+        """The tour places of each row's nearest centroids, the nearest first, as one number."""
+        if not len(self.hashes):
+            return np.zeros(n, np.int64)
+        like = self.vectors(n, held, own) @ self.centroids.T
+        like[np.arange(n), like.argmax(axis=1)] += 4  # the nearest one stays first
+        nearest = np.argsort(-like, axis=1, kind="stable")[:, :NEAREST]
+        out = np.zeros(n, np.int64)
+        for k in range(nearest.shape[1]):
+            out = (out << 8) | nearest[:, k]
+        return out
+
+
 def fill(lengths: np.ndarray, index: Bm25Index, length: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard."""
     unused = np.ones(len(lengths), bool)
@@ -211,27 +338,89 @@ def packed(
     if length & (length - 1):
         raise ValueError("the length must be a power of two")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    size, many = rows.agg(F.sum(F.octet_length("text") + 16), F.count("*")).first()
+    order = LexicalOrder([r.text for r in bounded_sample(rows.select("text"), SAMPLE_ROWS).collect()])
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    marked = checkpointed(rows.mapInArrow(lambda b: _marked(b, order), _MARKED))
+    spread = word_spread(marked)
+    mean = (marked.agg(F.sum("n_words")).first()[0] or 0) / max(1, many)
+    idf = inverse_frequency(many, spread).astype(np.float32)
 
-    def pack(shard: pa.Table) -> pa.Table:
-        number = shard["shard"][0].as_py()
-        shard = shard.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    def pack(shard: pa.Table, first: int) -> tuple[pa.RecordBatch, int]:
         found = words_of(pc.cast(shard["text"].combine_chunks(), pa.large_string()))
         ids, offsets = encoder(path).encode(found)
         lengths = np.diff(offsets) + 1
-        pieces = fill(lengths, Bm25Index(found), length)
+        pieces = fill(lengths, Bm25Index(found, idf[_cells(_hashes(found.words))], mean), length)
         end = np.array([end_id], "<u4").tobytes()
         raw = ids.astype("<u4").tobytes()
         out = []
         for row, start, take, _, _ in pieces:
-            first = 4 * int(offsets[row] + start)
-            cut = raw[first : min(first + 4 * take, 4 * int(offsets[row + 1]))]
+            at = 4 * int(offsets[row] + start)
+            cut = raw[at : min(at + 4 * take, 4 * int(offsets[row + 1]))]
             out.append(cut if len(cut) == 4 * take else cut + end)
         row, start, take, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces))
-        columns = [start, take, pa.array(out, pa.binary()), lengths[row], sequence + (number << 32), offset]
-        return pa.table([shard["doc_id"].take(pa.array(row)), *(pa.array(c) for c in columns)], names)
+        columns = [start, take, pa.array(out, pa.binary()), lengths[row], sequence + first, offset]
+        doc_ids = shard["doc_id"].combine_chunks().take(pa.array(row))
+        return pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c) for c in columns)], names), first + int(sequence.max()) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        bytes_held = 0
+        for batch in batches:
+            for part in slices(batch, "text", shard_bytes // 4):
+                held.append(part)
+                bytes_held += part.nbytes
+                if bytes_held >= shard_bytes:
+                    out, sequence = pack(pa.Table.from_batches(held), sequence)
+                    held, bytes_held = [], 0
+                    yield out
+        if held:
+            yield pack(pa.Table.from_batches(held), sequence)[0]
+
+    ranges = int(np.clip((size or 0) // (2 * shard_bytes), 1, RANGES))
+    dealt = marked.filter("counts IS NULL").select("key", "doc_id", "text")
+    dealt = dealt.repartitionByRange(ranges, "key", "doc_id").sortWithinPartitions("key", "doc_id", "text").select("doc_id", "text")
+    return dealt.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+_MARKED = "doc_id long, text string, key long, n_words long, block int, counts binary"
+
+
+def _marked(batches: Iterator[pa.RecordBatch], order: LexicalOrder) -> Iterator[pa.RecordBatch]:
+    """Documents with their key and length; at the end, by blocks, in how many of the task's
+    documents the words of a cell are."""
+    total = np.zeros(1 << CELL_BITS, np.uint32)
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("key", pa.int64()), ("n_words", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    for batch in batches:
+        for part in slices(batch, "text"):
+            found = words_of(texts_of(part))
+            hashes, held = _hashes(found.words), _held(found)
+            total += np.bincount(_cells(hashes)[held[1]], minlength=len(total)).astype(np.uint32)
+            none = [pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(order.keys(part.num_rows, held, hashes)), pa.array(found.lengths, pa.int64()), *none], schema=schema)
+    blocks = total.reshape(-1, 1 << BLOCK_BITS)
+    full = np.flatnonzero(blocks.any(axis=1))
+    raws = [zlib.compress(blocks[b].tobytes(), 1) for b in full]
+    none = [pa.nulls(len(full), t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64())]
+    yield pa.RecordBatch.from_arrays([*none, pa.array(full, pa.int32()), pa.array(raws, pa.binary())], schema=schema)
+
+
+def word_spread(marked: DataFrame) -> np.ndarray:
+    """Documents with the words of a cell, over the corpus: tasks' counts are merged in two
+    steps; one megabyte reaches the driver."""
+
+    def merge(some: pa.Table) -> pa.Table:
+        total = np.zeros(1 << BLOCK_BITS, np.int64)
+        for raw in some["counts"].to_pylist():
+            total += np.frombuffer(zlib.decompress(raw), np.uint32)
+        packed = zlib.compress(np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes(), 1)
+        return pa.table([some["block"][:1], pa.array([0], pa.int32()), pa.array([packed], pa.binary())], ["block", "part", "counts"])
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    schema = "block int, part int, counts binary"
+    counts = marked.filter("counts IS NOT NULL").select("block", F.pmod(F.spark_partition_id(), F.lit(256)).alias("part"), "counts")
+    merged = counts.groupBy("block", "part").applyInArrow(merge, schema).groupBy("block").applyInArrow(merge, schema)
+    total = np.zeros((1 << (CELL_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.int64)
+    for row in merged.collect():
+        total[row.block] = np.frombuffer(zlib.decompress(row.counts), np.uint32)
+    return total.ravel()

@@ -277,3 +277,84 @@ def test_seeds_fetch_their_lexical_neighbours():
         together[sequence].add(order[row] // 6)
     assert [len(t) for t in together.values()] == [1, 1, 1, 1]
     assert zlib.crc32(b"") == 0
+
+
+def topical(seed: int, topics: int, each: int):
+    rnd = random.Random(seed)
+    own = [[f"{chr(97 + t % 26)}{rnd.getrandbits(24):x}" for _ in range(60)] for t in range(topics)]
+    shared = [f"w{i}" for i in range(300)]
+    texts = [(t, " ".join(rnd.choice(own[t]) if rnd.random() < 0.4 else rnd.choice(shared) for _ in range(rnd.randrange(60, 140)))) for t in range(topics) for _ in range(each)]
+    rnd.shuffle(texts)
+    return texts
+
+
+def test_windows_keep_their_topic_over_many_shards(spark):
+    """Shares of a window's tokens that are of its main topic: 50 shards are as good as one."""
+    texts = topical(3, 40, 25)
+    df = docs_df(spark, [(i, t) for i, (_, t) in enumerate(texts)])
+    share, shards = {}, {}
+    for size in (64 << 20, sum(len(t) + 16 for _, t in texts) // 50):
+        of = defaultdict(lambda: defaultdict(int))
+        pieces = packing.packed(df, PATH, length=2048, shard_bytes=size).collect()
+        for p in pieces:
+            of[p.sequence_id][texts[p.doc_id][0]] += p.length
+        full = [w for w in of.values() if sum(w.values()) == 2048]
+        share[size] = sum(max(w.values()) for w in full) / sum(sum(w.values()) for w in full)
+        shards[size] = len({s for s in of if of[s]})
+        assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in {p.doc_id: p for p in pieces}.values())
+    one, fifty = share.values()
+    assert one > 0.5 and fifty > one - 0.05, share
+
+
+def test_scores_are_bm25_with_the_corpus_counts():
+    import math
+
+    import pyarrow as pa
+
+    from fleetlog.llm.textkit import words_of
+
+    rnd = random.Random(4)
+    texts = [prose(rnd, rnd.randrange(1, 40), 30) for _ in range(25)] + ["", "only here"]
+    split = [words(t) for t in texts]
+    found = words_of(pa.array(texts, pa.large_string()))
+    spread, mean = {w: 3 + len(w) for ws in split for w in ws}, 17.0
+    idf = packing.inverse_frequency(1000, np.array([spread.get(w, 0) for w in found.words.to_pylist()]))
+    index = packing.Bm25Index(found, idf, mean)
+    for row, query in enumerate(split):
+        got = index.scores(row)
+        for other, ws in enumerate(split):
+            want = 0.0
+            for w in set(query):
+                if (tf := ws.count(w)) and sum(w in x for x in split) > 1:
+                    want += math.log(1 + (1000 - spread[w] + 0.5) / (spread[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+            assert abs(got[other] - want) < 1e-9
+
+
+def test_word_counts_cover_all_documents(spark):
+    rnd = random.Random(6)
+    texts = [prose(rnd, 30, 200) for _ in range(90)] + [None, ""]
+    df = docs_df(spark, texts).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(5)
+    order = packing.LexicalOrder([t for t in texts if t])
+    marked = df.mapInArrow(lambda b: packing._marked(b, order), packing._MARKED)
+    want = np.zeros(1 << packing.CELL_BITS, np.int64)
+    import pyarrow as pa
+    for t in texts:
+        if own := sorted(set(words(t))):
+            np.add.at(want, packing._cells(packing._hashes(pa.array(own, pa.large_string()))), 1)
+    assert (packing.word_spread(marked) == want).all()
+    lone = packing.words_of(pa.array(["a b"], pa.large_string()))
+    assert packing.LexicalOrder([]).keys(1, packing._held(lone), packing._hashes(lone.words)).tolist() == [0]
+    some = pa.array(["ab", "b", "", "ab", "ba", "é" * 50], pa.large_string())
+    assert len(set(packing._hashes(some).tolist())) == 5 and (packing._hashes(some.slice(1, 3)) == packing._hashes(some)[1:4]).all()
+
+
+def test_chunks_of_every_form_encode_as_the_library_does():
+    import pyarrow as pa
+
+    from fleetlog.llm.textkit import words_of
+
+    library = Tokenizer.from_file(PATH)
+    texts = ["word, word. (word) it's 'S don't... été, Éa!? x2y 3.14 a'b' '' 'tis <|endoftext|>, <| a<b ſt ŉa ß. …", "HELLO!!! -- a--b ½x ª º µ. ÀÉ;;", "rock'n'roll' .'s .s' o'"]
+    for text in texts:
+        ids, _ = packing.encoder(PATH).encode(words_of(pa.array([text], pa.large_string())))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
