@@ -6,12 +6,16 @@ every element the composite density relates its characters to its tags,
 lowered by the share of both that belong to links.  The element whose children
 have the largest sum of densities holds the article; the smallest density on
 the path from it to the body is the threshold for what else along that path is
-kept.  Where that element lies in an ``article`` or ``main`` element, the whole
-of the innermost one is the article; where it does not, the densest such element
-is, if it has at least a quarter of the page's characters.
+kept.  Where that element lies in an ``article`` or ``main`` element, the choice is
+widened to the whole of the outermost one; where it does not, the densest such
+element is taken, if it has at least a quarter of the page's characters.  Either
+way its siblings of that kind which reach the threshold and are not mostly links
+are parts of the article too.
 
 Inline markup counts as characters and tags of the block around it; it never
-is a block or a candidate itself.  Null and empty pages give an empty text;
+is a block or a candidate itself.  Inline elements that are hidden or name
+themselves as furniture go, without ending the block; so do scripts, drawings and
+buttons.  Null and empty pages give an empty text;
 malformed markup is read as far as it goes, unclosed elements end with their
 parent.  Of equal sums the first element in page order wins.  Repeated rows give
 repeated results.
@@ -42,6 +46,7 @@ CLOSED_BY = {  # what ends when another of these begins inside the same parent
     "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"),
 }
 SCOPE = frozenset("html body table ul ol dl menu select article section div main aside nav header footer form td th blockquote".split())
+INLINE_FURNITURE = frozenset("svg button noscript canvas object audio video".split())  # inside a paragraph they do not end it
 PHRASING_END = frozenset("p h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset(("article", "main"))
@@ -57,6 +62,8 @@ FURNITURE_WORDS = frozenset(
     "cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations pagination pager widget toolbar tags legal copyright skip search form forum outbrain taboola".split()
 )
+#: Names with these inside are phrases ("form-of-government"), no marks.
+PHRASE_WORDS = frozenset("of the and for in to on by".split())
 #: "has-sidebar" and the like mark what stands beside furniture.
 NEIGHBOUR_WORDS = frozenset("has with no without".split())
 
@@ -90,7 +97,7 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
         if name in ("class", "id"):
             for mark in value.split():
                 words = [w.lower() for w in _NAMES.findall(mark)]
-                if words and words[0] not in NEIGHBOUR_WORDS and not FURNITURE_WORDS.isdisjoint(words):
+                if words and words[0] not in NEIGHBOUR_WORDS and PHRASE_WORDS.isdisjoint(words) and not FURNITURE_WORDS.isdisjoint(words):
                     return True
     return False
 
@@ -129,6 +136,8 @@ def parse(page: str) -> Node:
             if tag == "a":
                 links = max(0, links - 1)
             if tag not in BLOCKS:
+                if node.furniture and node.tag == tag:  # inline furniture
+                    node = node.parent
                 continue
             up = node
             while up is not root and up.tag != tag:
@@ -142,6 +151,10 @@ def parse(page: str) -> Node:
                 links = 0
             continue
         if tag not in BLOCKS:
+            if tag not in VOID and not found[4].endswith("/") and (node.furniture and node.tag == tag or found[4] and _is_furniture(tag, found[4], True)):
+                node.parts.append(child := Node(tag, node, True))
+                node = child
+                continue
             node.tags += 1
             if tag == "a":
                 links += not found[4].endswith("/")
@@ -149,6 +162,15 @@ def parse(page: str) -> Node:
             elif tag == "br":
                 node.parts.append(" ")
             continue
+        if tag in RAW:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = end.end() if end else size
+            continue
+        if tag in INLINE_FURNITURE:
+            if not found[4].endswith("/"):
+                node.parts.append(child := Node(tag, node, True))
+                node = child
+            continue
         if node.tag in PHRASING_END:
             node = node.parent
         elif closing := CLOSED_BY.get(tag):
@@ -159,10 +181,6 @@ def parse(page: str) -> Node:
                 node = up.parent
                 if tag == "tr" and node.tag == "tr":
                     node = node.parent
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
-            continue
         child = Node(tag, node, node.furniture or _is_furniture(tag, found[4], articles > 0))
         node.parts.append(child)
         if tag not in VOID:
@@ -217,6 +235,12 @@ def _blocks(node: Node, skip: frozenset[int], out: list[str]) -> None:
             stack.append(iter(part.parts))
 
 
+def _above(node: Node, tags: frozenset[str]) -> Iterator[Node]:
+    while (node := node.parent) is not None:
+        if node.tag in tags:
+            yield node
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by line ends."""
     if not page:
@@ -230,16 +254,21 @@ def main_text(page: str | None) -> str:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     out: list[str] = []
-    whole = next((node for node in path if node.tag in ARTICLE), None)
+    body = next((i for i, node in enumerate(path) if node.tag == "body"), len(path) - 1)
+    threshold = min(node.density for node in path[: body + 1])
+    whole = next((node for node in reversed(path) if node.tag in ARTICLE), None)
     if whole is None:
         # long text beside an article element outweighs it only if it is most of the page
         named = max((node for node in order if node.tag in ARTICLE), key=lambda node: node.total, default=None)
-        whole = named if named is not None and 4 * named.chars >= root.chars else None
-    if whole:
-        _blocks(whole, frozenset(), out)
+        if named is not None and 4 * named.chars >= root.chars:
+            whole = named
+            while (up := next(_above(whole, ARTICLE), None)) is not None:
+                whole = up
+    if whole is not None:
+        for part in whole.parent.parts:
+            if part is whole or isinstance(part, Node) and part.tag in ARTICLE and not part.furniture and part.density >= threshold and 2 * part.link_chars <= part.chars:
+                _blocks(part, frozenset(), out)
         return "\n".join(out)
-    body = next((i for i, node in enumerate(path) if node.tag == "body"), len(path) - 1)
-    threshold = min(node.density for node in path[: body + 1])
     inside, dropped = path[0], set()
     for up in path[1 : body + 1]:
         before = True

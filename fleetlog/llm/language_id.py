@@ -7,11 +7,13 @@ word.  Runs of one label are the spans; the language that covers most letters
 is the text's language and its share of the letters is the score.
 
 The model is fitted on at most ``sample_rows`` labelled texts, the first in the
-order of their hash; every text is then labelled whole.  Texts that are
-null or have no letter give ``und`` and score 0, as do texts without a word
-that any language can claim (a script no training text uses).  Repeated rows
-give repeated results, an empty training set labels everything ``und``, and of
-equal scores the language first in alphabetical order wins.
+order of their hash; every text is then labelled whole, of whatever length (a task
+holds a slice of a few megabytes or one longer text).  Texts that are
+null or have no letter give ``und`` and score 0.  A script that no training text
+uses narrows nothing: its words are candidates of all languages.  Combining marks
+are no letters.  Repeated rows give repeated results, an empty table gives none,
+an empty training set labels everything ``und``, and of equal scores the language
+first in alphabetical order wins.  Columns other than id and text do not matter.
 """
 
 from __future__ import annotations
@@ -61,7 +63,11 @@ def _letters(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     bare = pc.utf8_lower(pc.replace_substring_regex(words, r"[^\p{L}\p{M}]+", ""))
     first = pc.utf8_slice_codeunits(bare, 0, 1)
     points = np.fromiter((ord(c) if c else 0x2000 for c in first.to_pylist()), np.int64, len(first))
-    return bare, pc.utf8_length(bare).to_numpy(zero_copy_only=False), _SCRIPT[np.searchsorted(_STARTS, points, "right") - 1]
+    letters = pc.utf8_length(bare).to_numpy(zero_copy_only=False).copy()
+    marked = pc.indices_nonzero(pc.invert(pc.utf8_is_alpha(bare)))  # empty, or with marks
+    if len(marked):
+        letters[marked] = pc.utf8_length(pc.replace_substring_regex(bare.take(marked), r"\p{M}+", ""))
+    return bare, letters, _SCRIPT[np.searchsorted(_STARTS, points, "right") - 1]
 
 
 def _cells(bare: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,14 +101,15 @@ def fit(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
 
 def word_scores(model: LanguageModel, bare: pa.Array, letters: np.ndarray, script: np.ndarray) -> np.ndarray:
     """Word x language: mean gram log-probability times the word's letters,
-    relative to the best candidate; words without candidates score 0 throughout."""
+    relative to the best candidate; words without a letter score 0 throughout."""
     n = len(bare)
     cells, owner = _cells(bare)
     sums = np.stack([np.bincount(owner, weights=model.weights[cells, k], minlength=n) for k in range(len(model.languages))], axis=1)
     scores = sums / np.maximum(np.bincount(owner, minlength=n), 1)[:, None] * np.minimum(letters, 20)[:, None]
-    allowed = model.scripts[script] & (letters > 0)[:, None]
+    allowed = model.scripts[script]
+    allowed = allowed | ~allowed.any(axis=1)[:, None]
     scores = np.where(allowed, scores, -1e6)
-    return np.where(allowed.any(axis=1)[:, None], scores - scores.max(axis=1, keepdims=True), 0.0)
+    return np.where((letters > 0)[:, None], scores - scores.max(axis=1, keepdims=True), 0.0)
 
 
 def viterbi(scores: np.ndarray, found: Words, penalty: float = SWITCH_PENALTY) -> np.ndarray:
@@ -139,8 +146,8 @@ def viterbi(scores: np.ndarray, found: Words, penalty: float = SWITCH_PENALTY) -
 
 def identify(docs: DataFrame, model: LanguageModel, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """``doc_id, lang_pred, score, spans`` of every row.  A span is
-    ``(start, end, lang)`` in words of the text, end excluded; words that no
-    language can claim take the label of the path around them."""
+    ``(start, end, lang)`` in words of the text, end excluded; words without a
+    letter take the label of the path around them."""
     prepare(docs.sparkSession)
     languages = np.array([*model.languages, UNKNOWN], object)
     k = len(model.languages)
@@ -154,7 +161,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = SWITCH_PENA
                 starts, firsts, lasts, names = np.zeros(n + 1, np.int64), [], [], []
                 if k and len(found.codes):
                     bare, letters, script = _letters(found.words)
-                    claimed = (letters > 0) & model.scripts[script].any(axis=1)
+                    claimed = letters > 0
                     labels = viterbi(word_scores(model, bare, letters, script), found, penalty)
                     rows = found.rows()
                     cover = np.bincount(rows * (k + 1) + np.where(claimed[found.codes], labels, k), weights=letters[found.codes], minlength=n * (k + 1)).reshape(n, k + 1)

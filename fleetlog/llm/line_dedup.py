@@ -11,7 +11,8 @@ Lines are the pieces between ``\\n``; blanks, tabs and carriage returns around
 them do not count for equality, and lines of fewer than ``min_chars`` characters
 then are never removed.  Null texts stay null and have no line.  Null sites are
 not counted.  A null id is larger than all others.  Repeated rows give repeated
-results: rows with equal id and text are decided alike.  Only DataFrame
+results: rows with equal id and text are decided alike.  A long text costs in
+proportion to its lines.  An empty table gives no row.  Only DataFrame
 functions run, no Python on the executors.
 """
 
@@ -58,9 +59,9 @@ def without_boilerplate(
     docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source"
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken from the text, and the columns
-    ``n_lines`` and ``n_removed`` of each row; columns of these names, ``_key`` and
-    ``_away`` in ``docs`` give way."""
-    docs = without(docs, "n_lines", "n_removed", "_key", "_away")
+    ``n_lines`` and ``n_removed`` of each row; columns of these names, ``_key``,
+    ``_away`` and ``_cut`` in ``docs`` give way."""
+    docs = without(docs, "n_lines", "n_removed", "_key", "_away", "_cut")
     lines = checkpointed(line_table(docs, min_chars, id_column, text_column, site_column))
     found = boilerplate(lines, min_sites)
     away = (
@@ -69,9 +70,12 @@ def without_boilerplate(
         .groupBy(F.col("key").alias("_key"))
         .agg(F.collect_set("at").alias("_away"))
     )
-    pieces = F.split(F.col(text_column), "\n")
-    kept = F.filter(pieces, lambda line, at: ~F.array_contains("_away", at))
     joined = docs.withColumn("_key", _key(id_column, text_column)).join(away, "_key", "left")
-    text = F.when(F.col("_away").isNull(), F.col(text_column)).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias(c) if c == text_column else F.col(c) for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size(pieces), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_away"), F.lit(0)).alias("n_removed"))
+    # split once, behind a generator; the lines that stay are found by a hash set, not line by line
+    pieces = F.split(F.col(text_column), "\n")
+    cut = F.when(F.col("_away").isNotNull(), F.struct(pieces.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), "_away").alias("stay")))
+    columns = [F.col(c) for c in docs.columns if c != text_column]
+    whole = joined.select(*columns, F.col(text_column), F.coalesce(F.size(pieces), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_away"), F.lit(0)).alias("n_removed"), F.explode(F.array(cut)).alias("_cut"))
+    kept = F.array_join(F.transform("_cut.stay", lambda at: F.get(F.col("_cut.lines"), at)), "\n")
+    text = F.when(F.col("_cut").isNull(), F.col(text_column)).otherwise(kept)
+    return whole.select(*(text.alias(c) if c == text_column else F.col(c) for c in docs.columns), "n_lines", "n_removed")

@@ -13,7 +13,9 @@ block of queries, each pair in a task of bounded size; the results of the
 blocks are merged by rank.
 
 Rows with null id, and vectors that are null or hold null or non-finite
-components, take no part.  Shorter vectors count as if filled up with zeros.
+components, take no part.  A finite vector whose squared length (of its integers)
+reaches 2^53 ends the query with an error that names it: its scores would not be
+exact.  Extra columns do not matter.  Shorter vectors count as if filled up with zeros.
 A query never meets rows of its own id; a query id that is repeated is answered
 once, from the row with the smallest vector in byte order.  Ties go to the
 smaller id; repeated candidate rows each count.  With fewer candidates than k,
@@ -49,6 +51,8 @@ def integer_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column
                     continue
                 x = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if np.isfinite(x).all():
+                    if (np.floor(SCALE * x) ** 2).sum() >= 2.0**53:
+                        raise ValueError(f"vector {i}: its squared length of 1024ths reaches 2^53, scores would not be exact")
                     ids.append(i)
                     out.append(np.floor(SCALE * x).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "vector"])

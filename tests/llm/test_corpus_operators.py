@@ -53,6 +53,12 @@ def test_top_k_of_few_and_no_rows(spark):
     assert topk.top_k(topk.integer_vectors(df.limit(0)), "vec_id % 5 = 0", 10).count() == 0
 
 
+def test_vectors_too_long_for_exact_scores_are_named(spark):
+    df = spark.createDataFrame([(0, [1.0], 0), (77, [1e17], 0)], VECTORS)
+    with pytest.raises(Exception, match="vector 77"):
+        topk.integer_vectors(df).collect()
+
+
 def test_pivot_bounds_eliminate_without_losing(spark):
     rnd = np.random.default_rng(1)
     rows = np.round(rnd.normal(size=(3000, 4)) * 300) + (np.arange(3000) % 2 * 4000)[:, None]
@@ -106,6 +112,14 @@ def test_line_dedup_equals_the_plain_version(spark):
     assert line_dedup.without_boilerplate(df.limit(0)).count() == 0
 
 
+def test_long_documents_of_many_boilerplate_lines(spark):
+    lines = [f"this is boilerplate line number {i}" for i in range(20_000)]
+    rows = [(i, "\n".join(lines + [f"and one of document {i} alone"]), "en", f"s{i}", 0) for i in range(12)]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.without_boilerplate(spark.createDataFrame(rows, SITES)).collect()}
+    assert got[0] == (20_001, 0, rows[0][1])
+    assert all(got[i] == (20_001, 20_000, f"and one of document {i} alone") for i in range(1, 12))
+
+
 def test_lines_near_the_threshold_are_counted_exactly(spark):
     rows = [(100 * n + i, f"a line that stands on {n} sites", "en", f"s{i}", 0) for n in range(7, 14) for i in range(n)]
     lines = line_dedup.line_table(spark.createDataFrame(rows, SITES), 20, "doc_id", "text", "source")

@@ -63,10 +63,12 @@ def test_language_on_held_out_rows_and_mixed_text(spark):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held) and len(held) > 100
     longest = {lang: max((r.text for r in docs.filter(f"lang = '{lang}' AND NOT text LIKE '%***%'").limit(40).collect()), key=len) for lang in ("de", "es")}
     de, es = (" ".join(words(longest[x])[:60]) for x in ("de", "es"))
-    got = {r.doc_id: r for r in language_id.identify(docs_df(spark, [f"{de} {es}", None, "12 +- 34", "", "слово и дело", de]), model).collect()}
+    got = {r.doc_id: r for r in language_id.identify(docs_df(spark, [f"{de} {es}", None, "12 +- 34", "", "слово и дело", de, "\u0301\u0302 12", "你好 世界"]), model).collect()}
     spans = [(s.start, s.end, s.lang) for s in got[0].spans]
     assert [s[2] for s in spans] == ["de", "es"] and abs(spans[0][1] - 60) <= 2 and spans[1][1] == 120
-    assert [got[i].lang_pred for i in (1, 2, 3, 4, 5)] == ["und", "und", "und", "und", "de"]
+    # und is for texts without a letter alone: marks are none, those of unseen scripts are
+    assert [got[i].lang_pred for i in (1, 2, 3, 5, 6)] == ["und", "und", "und", "de", "und"]
+    assert all(got[i].lang_pred in model.languages and got[i].score > 0 for i in (4, 7))
     assert all(0 <= r.score <= 1 for r in got.values()) and got[5].score > 0.9 and got[1].score == 0
 
 
@@ -221,6 +223,45 @@ def test_malformed_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<body><div><article><p>{LONG}<p>one</article><article><p>{LONG}<p>two</article><article class=teaser><a href=x>{LONG}</a></article></div>", [LONG, "one", LONG, "two"]),
+    (f"<article><p>{LONG}</p><article><p>{LONG}</p><p>{LONG}</p></article><p>after</p></article>", [LONG, LONG, LONG, "after"]),
+    (f"<body><p>Alpha <script>var a</script>beta <svg><path d=x></svg>gamma<noscript>n</noscript> delta {LONG}</p><h2>Title <svg/> tail</h2><p>{LONG}</p>",
+     [f"Alpha beta gamma delta {LONG}", "Title tail", LONG]),
+    (f"<body><p>a <span hidden>no <span>no</span> no</span> b <span class='share-buttons'>Share</span>{LONG}</p><p class='form-of-government'>{LONG}</p>",
+     [f"a b {LONG}", LONG]),
+    (f"<body><p><button>Buy</button>{LONG}</p><p><span style='display:none'>x{LONG}", [LONG]),
+])
+def test_articles_and_inline_furniture(page, want):
+    assert html_text.main_text(page) == "\n".join(want)
+
+
+def test_density_sums_equal_a_plain_version():
+    """Composite density of each element and the sums over children, straight from their formula."""
+    import math
+
+    root = html_text.parse(PAGE)
+    order = html_text.measure(root)
+
+    def inside(node):
+        kids = [p for p in node.parts if isinstance(p, html_text.Node) and not p.furniture]
+        return kids + [x for k in kids for x in inside(k)]
+
+    for node in order:
+        c, t, lc, lt = node.chars, node.tags, node.link_chars, node.link_tags
+        assert t >= len(inside(node))
+        if not c:
+            assert node.density == 0
+            continue
+        base = math.log(c / max(1, c - lc) * lc + root.link_chars / root.chars * c + math.e)
+        ratio = max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))
+        want = c / max(1, t) * (math.log(ratio) / math.log(base) if base > 1 else 1.0)
+        assert abs(node.density - want) < 1e-9
+    for node in order:
+        kids = [p for p in node.parts if isinstance(p, html_text.Node) and not p.furniture]
+        assert abs(node.total - sum(k.density for k in kids)) < 1e-9
+
+
 def test_density_prefers_text_over_links():
     root = html_text.parse(f"<body><div><p><a>{LONG}</a></p></div><div><p>{LONG}</p></div></body>")
     nodes = [n for n in html_text.measure(root) if n.tag == "p"]
