@@ -12,8 +12,8 @@ prefix: sets that link share a prefix shingle.
    than ``hot`` sets, in joins that split it.  A shingle of up to ``bucket`` groups pairs
    them all; one of more pairs each with a few that are drawn by hash.
 3. Group pairs are expanded to members and verified, by bitmaps and on the full sets; a group's
-   members are verified with its smallest.  Each group's pairs with two partners that are drawn
-   by hash come first; the others are verified only between components of the links so far.
+   members are verified with its smallest.  Then each is verified with the most similar partner of
+   its partners, where that is of another component of the links so far.
 4. What pairing through drawn ones leaves out, and what lies between the
    further members of groups, is paired in a second step, but only between
    different components of the links so far: links inside a component cannot
@@ -48,7 +48,6 @@ WORDS = 5
 PERCENT = 75
 BUCKET = 32
 CENTRES = 8  # groups that all others of a wide token are paired with
-DRAWN = 2  # partners of each group that are compared first
 HOT = 1 << 18  # sets that a shingle's cell counts before its entries go row by row
 CELL_BLOCK_BITS = 12
 BLOCK_ENTRIES = 1 << 20  # prefix entries that meet in one block, about
@@ -117,7 +116,7 @@ def shingle_counts(docs: DataFrame, words: int, text_column: str) -> np.ndarray:
     total = np.zeros((1 << (bits - CELL_BLOCK_BITS), cells), np.uint32)
     for row in merged.collect():
         total[row.block] = np.frombuffer(zlib.decompress(row.counts), np.uint32)
-    return (4 * np.log2(np.maximum(total.ravel(), 1))).astype(np.uint8)
+    return np.concatenate([(4 * np.log2(np.maximum(row, 1))).astype(np.uint8) for row in total])
 
 
 def _prefix(own: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -305,11 +304,12 @@ def likely(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
             keep = [_may_link(x, n, y, m, percent) for x, n, y, m in zip(*sides)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return checkpointed(both.select("a", "b", "left", "n", "right", "m").mapInArrow(run, "a long, b long"))
+    return both.select("a", "b", "left", "n", "right", "m").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> DataFrame:
-    """Those of the set pairs ``a, b`` that link, compared on their full sets."""
+def compared(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """The set pairs ``a, b``, compared on their full sets: whether they ``link``, and the share
+    of their union that they have in common."""
     members = rows.filter(F.col("kind") == _MEMBER)
     asked = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     keys = members.select("sid", "key").join(asked, "sid").groupBy("sid").agg(F.min("key").alias("key"))
@@ -323,17 +323,19 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, per
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, share = [], []
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
                 x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                union = len(x) + len(y) - both
+                keep.append(100 * both >= percent * union)
+                share.append(both / union)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_()), pa.array(share, pa.float64())], ["a", "b", "link", "share"])
 
     full = checkpointed(texts.mapInArrow(sets, "sid long, set binary").dropDuplicates(["sid"]))
     joined = pairs.join(full.select(F.col("sid").alias("a"), F.col("set").alias("left")), "a")
     joined = joined.join(full.select(F.col("sid").alias("b"), F.col("set").alias("right")), "b").select("a", "b", "left", "right")
-    return checkpointed(joined.mapInArrow(compare, "a long, b long"))
+    return checkpointed(joined.mapInArrow(compare, "a long, b long, link boolean, share double"))
 
 
 def _ordered_pairs(pairs: DataFrame) -> DataFrame:
@@ -344,22 +346,27 @@ def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The components of ``labels`` with further links."""
     if links.isEmpty():
         return labels
-    return connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+    return connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links.select("a", "b")))
 
 
-def drawn_pairs(pairs: DataFrame) -> DataFrame:
-    """Of each node's pairs the two whose other ends have the smallest hashes, which are the
-    same ones all over a family: at most two pairs a node."""
-    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("to")))
-    few = ends.groupBy("node").agg(F.array_distinct(F.array(*[F.min_by("to", F.xxhash64("to", F.lit(k))) for k in range(DRAWN)])).alias("few"))
-    return _ordered_pairs(few.select(F.col("node").alias("a"), F.explode("few").alias("b")))
+def hub_pairs(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each node with the most similar partners of its partners, where they are of other components.
+    Near copies of one text have more in common with it than with each other, so that
+    step leads from a drawn centre to the text which most of a family link to."""
+    ends = scored.select(F.col("a").alias("node"), F.col("b").alias("to"), "share").unionByName(scored.select(F.col("b").alias("node"), F.col("a").alias("to"), "share"))
+    hub = ends.groupBy("node").agg(F.max_by("to", F.struct("share", "to")).alias("hub")).withColumnRenamed("node", "to")
+    pairs = ends.select("node", "to").join(hub, "to").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs = pairs.join(scored, ["a", "b"], "left_anti")
+    of = [labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in ("a", "b")]
+    pairs = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
+    return pairs.filter("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
 
 
 def labels_of(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket: int, id_column: str, text_column: str) -> DataFrame:
     """``node, label`` of every linked set: the components of the rows' links."""
 
     def exactly(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, rows, docs, words, percent, id_column, text_column)
+        return compared(pairs, rows, docs, words, percent, id_column, text_column)
 
     members = rows.filter(F.col("kind") == _MEMBER).filter("n > 0")
     of_sets = members.select(F.col("sid").alias("id"), "n", F.col("payload").alias("bits")).dropDuplicates(["id"])
@@ -392,43 +399,35 @@ def labels_of(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket
 
     several = checkpointed(sets.select("sid", "gid").join(groups.filter("members > 1"), "gid"))
     within = likely(_ordered_pairs(several.select(F.col("sid").alias("a"), F.col("first").alias("b"))), of_sets, percent)
-    # first each group with a few of its partners, drawn by hash: they join most of a family
-    every = checkpointed(close.unionByName(star).distinct())
-    few = drawn_pairs(every)
-    found = exactly(_ordered_pairs(judged(few).unionByName(within)))
-    labels = connected(found)
-    # then the other pairs, between components only: links inside one cannot change it
-    of_group = first.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("gid", F.coalesce("label", "sid").alias("label"))
-    left = every.join(few, ["a", "b"], "left_anti")
-    left = left.join(of_group.select(F.col("gid").alias("a"), F.col("label").alias("of_a")), "a").join(of_group.select(F.col("gid").alias("b"), F.col("label").alias("of_b")), "b")
-    left = checkpointed(left.filter("of_a <> of_b").select("a", "b"))
-    if not left.isEmpty() and not (left := _ordered_pairs(judged(left))).isEmpty():
-        labels = joined_by(labels, exactly(left))
-
-    # second step, between components only
+    scored = exactly(_ordered_pairs(judged(close.unionByName(star).distinct()).unionByName(within)))
+    labels = connected(scored.filter("link"))
+    hubs = checkpointed(likely(hub_pairs(scored, labels), of_sets, percent))
+    labels = joined_by(labels, exactly(hubs).filter("link"))
+
+    # second step: all that is left, between components only, as links inside one cannot change it
     lone = F.coalesce("label", "sid").alias("label")
-    known = sets.select("sid", "gid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "gid", lone)
+    known = checkpointed(sets.select("sid", "gid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "gid", lone))
     apart = "a.sid <> b.sid AND a.label <> b.label"
 
     def expand(group_pairs: DataFrame) -> DataFrame:
         ends = group_pairs.alias("p").join(known.alias("a"), F.expr("p.a = a.gid")).join(known.alias("b"), F.expr(f"p.b = b.gid AND {apart}"))
         return ends.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
 
-    rest = []
+    rest = None
     if not several.isEmpty():
         more = several.select("gid").distinct()
         same = more.select(F.col("gid").alias("a"), F.col("gid").alias("b"))
         either = close.join(more, close["a"] == more["gid"], "left_semi").unionByName(close.join(more, close["b"] == more["gid"], "left_semi"))
-        rest.append(expand(either.unionByName(same)))
+        rest = expand(either.unionByName(same))
     if not wide.isEmpty():
         held = wide.join(known.withColumnRenamed("gid", "of"), F.expr("gid = of")).drop("of")
         pair = held.alias("a").join(held.alias("b"), F.expr(f"a.token = b.token AND a.gid < b.gid AND a.label <> b.label AND {_fits(percent)}"))
-        rest.append(pair.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")))
-    for step in rest:
-        left = _ordered_pairs(step)
-        if not left.isEmpty() and not (left := likely(left, of_sets, percent)).isEmpty():
-            labels = joined_by(labels, exactly(left))
-    return labels
+        pair = pair.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
+        rest = pair if rest is None else rest.unionByName(pair)
+    if rest is None:
+        return labels
+    left = checkpointed(likely(_ordered_pairs(rest), of_sets, percent))
+    return labels if left.isEmpty() else joined_by(labels, exactly(left).filter("link"))
 
 
 def near_duplicates(
