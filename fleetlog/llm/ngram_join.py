@@ -294,17 +294,17 @@ def _fits(percent: int) -> str:
 
 
 def likely(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` whose ``bitmaps`` (``id, n, bits``) allow a link."""
-    both = pairs.join(bitmaps.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("bits").alias("left")), "a")
-    both = both.join(bitmaps.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("right")), "b")
+    """The sets of those pairs ``a, b`` whose ``bitmaps`` (``id, sid, n, bits``) allow a link."""
+    both = pairs.join(bitmaps.select(F.col("id").alias("a"), F.col("sid").alias("x"), "n", F.col("bits").alias("left")), "a")
+    both = both.join(bitmaps.select(F.col("id").alias("b"), F.col("sid").alias("y"), F.col("n").alias("m"), F.col("bits").alias("right")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = (batch.column(c).to_pylist() for c in ("left", "n", "right", "m"))
             keep = [_may_link(x, n, y, m, percent) for x, n, y, m in zip(*sides)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_())).rename_columns(["a", "b"])
 
-    return both.select("a", "b", "left", "n", "right", "m").mapInArrow(run, "a long, b long")
+    return both.select("x", "y", "left", "n", "right", "m").mapInArrow(run, "a long, b long")
 
 
 def compared(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> DataFrame:
@@ -369,7 +369,7 @@ def labels_of(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket
         return compared(pairs, rows, docs, words, percent, id_column, text_column)
 
     members = rows.filter(F.col("kind") == _MEMBER).filter("n > 0")
-    of_sets = members.select(F.col("sid").alias("id"), "n", F.col("payload").alias("bits")).dropDuplicates(["id"])
+    of_sets = members.select(F.col("sid").alias("id"), "sid", "n", F.col("payload").alias("bits")).dropDuplicates(["id"])
     sets = rows.filter(F.col("kind") == _MEMBER).filter("n > 0").select("sid", "gid", "n").distinct()
     groups = checkpointed(sets.groupBy("gid").agg(F.min("sid").alias("first"), F.count("*").alias("members"), F.min("n").alias("n")))
     # rare tokens meet in blocks
@@ -390,16 +390,11 @@ def labels_of(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket
     star = _ordered_pairs(star.select(F.col("gid").alias("a"), F.col("centre").alias("b")).unionByName(blocks.filter("kind = 1").select("a", "b")))
     # a group stands for its first member, whose bitmap rules most pairs out
     first = groups.select("gid", F.col("first").alias("sid"))
-    of_groups = members.join(first, ["gid", "sid"], "left_semi").select(F.col("gid").alias("id"), "n", F.col("payload").alias("bits")).dropDuplicates(["id"])
-
-    def judged(group_pairs: DataFrame) -> DataFrame:
-        pairs = likely(group_pairs, of_groups, percent)
-        pairs = pairs.join(first.select(F.col("gid").alias("a"), F.col("sid").alias("x")), "a").join(first.select(F.col("gid").alias("b"), F.col("sid").alias("y")), "b")
-        return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    of_groups = members.join(first, ["gid", "sid"], "left_semi").select(F.col("gid").alias("id"), "sid", "n", F.col("payload").alias("bits")).dropDuplicates(["id"])
 
     several = checkpointed(sets.select("sid", "gid").join(groups.filter("members > 1"), "gid"))
     within = likely(_ordered_pairs(several.select(F.col("sid").alias("a"), F.col("first").alias("b"))), of_sets, percent)
-    scored = exactly(_ordered_pairs(judged(close.unionByName(star).distinct()).unionByName(within)))
+    scored = exactly(_ordered_pairs(likely(close.unionByName(star).distinct(), of_groups, percent).unionByName(within)))
     labels = connected(scored.filter("link"))
     hubs = checkpointed(likely(hub_pairs(scored, labels), of_sets, percent))
     labels = joined_by(labels, exactly(hubs).filter("link"))
