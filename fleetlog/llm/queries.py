@@ -15,11 +15,8 @@ from fleetlog.llm.textkit import Words, bounded_sample, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
-
-#: Person insults and words of contempt that split the labelled toxic texts
-#: into the categories of the chain.  Fixed values.
-INSULTS = ("clown", "idiot", "loser", "moron", "scum", "stupid")
-CONTEMPT = ("disgusting", "pathetic", "trash", "worthless")
+#: Clusters of the labelled toxic texts, predicted before toxicity itself.
+KINDS = 2
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,19 +69,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_texts(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` and the categories ``insult, contempt, toxic`` of at
-    most ``toxicity.SAMPLE_ROWS`` labelled documents: the label itself, and the
-    label where the text also has one of the listed words."""
+    """``doc_id, text, toxic`` of at most ``toxicity.SAMPLE_ROWS`` labelled documents."""
     labels = bounded_sample(table(spark, sf_dir, "labels").select("doc_id", "toxic").dropna(), toxicity.SAMPLE_ROWS)
-    words = F.lower("text")
-    rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
-    for name, listed in (("insult", INSULTS), ("contempt", CONTEMPT)):
-        rows = rows.withColumn(name, F.col("toxic") * words.rlike(rf"\b({'|'.join(listed)})\b").cast("int"))
-    return rows
+    return docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
 
 
 def toxicity_chain(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Chain:
-    return toxicity.fit(labelled_texts(spark, sf_dir, docs), ["insult", "contempt", "toxic"])
+    return toxicity.fit(labelled_texts(spark, sf_dir, docs), ["toxic"], kinds=KINDS)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ features of the text and the probabilities of all earlier categories.  In
 training, these earlier probabilities are out-of-fold predictions, so that a
 later model learns from probabilities as wrong as those it meets afterwards.
 
+With ``kinds``, that many categories before the labelled ones are learnt: the texts
+labelled in the last category are clustered by their features, and each cluster is a
+category of its own.
+
 Features are the presence of words and of byte 4- and 5-grams of words (blanks
 mark word ends); the ``features`` most telling ones by chi-square are kept.
 Fitting takes at most ``sample_rows`` labelled texts, the first in the order of
@@ -168,6 +172,27 @@ def _matrix(parts: list[pa.RecordBatch], features: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, len(features) + 1), np.float32)
 
 
+def _kinds(x: np.ndarray, positive: np.ndarray, count: int, rounds: int = 25) -> np.ndarray:
+    """A 0/1 column for each of ``count`` clusters of the positive rows: spherical k-means over the
+    features present, begun with the row nearest to the mean and then with those least like
+    the rows before; ties go to the first.  Rows without features are in none."""
+    out = np.zeros((len(x), count), np.float32)
+    rows = np.flatnonzero((positive > 0) & (x[:, 1:].sum(axis=1) > 0))
+    if not len(rows):
+        return out
+    unit = x[rows, 1:] / np.sqrt(x[rows, 1:].sum(axis=1, keepdims=True))
+    centres = unit[[int((unit @ unit.mean(axis=0)).argmax())]]
+    while len(centres) < count:
+        centres = np.concatenate([centres, unit[[int((unit @ centres.T).max(axis=1).argmin())]]])
+    for _ in range(rounds):
+        own = (unit @ centres.T).argmax(axis=1)
+        sums = np.stack([unit[own == k].sum(axis=0) for k in range(count)])
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres).astype(np.float32)
+    out[rows, (unit @ centres.T).argmax(axis=1)] = 1
+    return out
+
+
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     """On out-of-fold predictions, the best F1 among the cuts whose precision is
     at least ``PRECISION``; of cuts alike, the middle of the widest gap between
@@ -183,8 +208,9 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.sqrt((ranked[k] + 1e-9) * (below[k] + 1e-9)))
 
 
-def fit(labelled: DataFrame, categories: list[str], sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """Fit on ``text`` and one 0/1 column for each category, in chain order."""
+def fit(labelled: DataFrame, categories: list[str], sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, folds: int = FOLDS, kinds: int = 0) -> Chain:
+    """Fit on ``text`` and one 0/1 column for each category, in chain order, behind
+    ``kinds`` learnt ones named ``<last category>_kind_<number>``."""
     prepare(labelled.sparkSession)
     marks = [F.col(c).cast("double").alias(c) for c in categories]
     sample = bounded_sample(labelled.select("text", *marks).dropna(), sample_rows).toArrow().combine_chunks()
@@ -192,6 +218,9 @@ def fit(labelled: DataFrame, categories: list[str], sample_rows: int = SAMPLE_RO
     parts = [part for batch in sample.select(["text"]).to_batches() for part in slices(batch, "text", SLICE)]
     chosen = _select(parts, labels, features)
     x = _matrix(parts, chosen)
+    if kinds:
+        labels = np.concatenate([_kinds(x, labels[:, -1], kinds), labels], axis=1)
+        categories = [*(f"{categories[-1]}_kind_{k + 1}" for k in range(kinds)), *categories]
     fold = np.arange(len(labels)) % folds
     weights, thresholds = [], []
     for k in range(len(categories)):

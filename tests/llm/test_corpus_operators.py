@@ -64,7 +64,9 @@ def test_pivot_bounds_eliminate_without_losing(spark):
     rows = np.round(rnd.normal(size=(3000, 4)) * 300) + (np.arange(3000) % 2 * 4000)[:, None]
     ids = np.arange(3000)
     pivots = topk.choose_pivots(rows[:200], 16)
-    got = topk.search_block(ids[:3], rows[:3], ids, rows, pivots, ids[:200], rows[:200], 5)
+    far = topk._distances(rows, pivots).astype(np.float32)
+    starts = [topk.start_score(q, rows[q], ids[:200], rows[:200], 5) for q in range(3)]
+    got = topk.search_block(ids[:3], rows[:3], far[:3], starts, ids, rows, far, 5)
     for q in range(3):
         scores = rows @ rows[q]
         scores[q] = -np.inf
@@ -72,6 +74,28 @@ def test_pivot_bounds_eliminate_without_losing(spark):
         assert [(i, s) for a, i, s in got if a == q][:5] == [(i, int(-s)) for s, i in want]
 
 
+def test_clusters_beyond_the_start_are_skipped(spark):
+    rnd = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rnd.normal(size=4) * 0.1 + (5 if i % 2 else -5)], 0) for i in range(600)]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, VECTORS))
+    matrix = topk._matrix([r.vector for r in vectors.orderBy("vec_id").collect()], 4)
+    pivots = topk.choose_pivots(matrix[:100], 8)
+    clusters = topk._clusters(topk.pivot_table(vectors, pivots), len(pivots), 4)
+    far, ids = topk._distances(matrix, pivots), np.arange(600)
+    assert sum(n for n, *_ in clusters.values()) == 600
+    skipped = 0
+    for q in range(0, 600, 37):
+        start = topk.start_score(q, matrix[q], ids[:100], matrix[:100], 5)
+        opened = topk.open_clusters(matrix[q] @ matrix[q], far[q], start, clusters)
+        scores = matrix @ matrix[q]
+        scores[q] = -np.inf
+        best = np.argsort(-scores)[:5]
+        assert set(far[best].argmin(axis=1)) <= set(opened)
+        skipped += len(clusters) - len(opened)
+    assert skipped >= 17
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors, "vec_id % 5 = 0", 4, 50, 20).collect()} == nearest([r[:2] for r in rows], 4)
+
+
 # --- 5 ------------------------------------------------------------------------
 
 BOILER = "All rights reserved by the people of this page."

@@ -186,8 +186,30 @@ def test_toxicity_chain_on_held_out_texts(spark):
         assert sum((r[f"p_{c}"] >= chain.thresholds[k]) == bool(r[c]) for r in rows) >= 0.98 * len(rows), c
 
 
+def test_kinds_are_learnt_from_the_toxic_texts(spark):
+    """Without words or categories given, the clusters tell the planted kinds apart and the chain
+    finds held-out toxic texts; a tenth of wrong labels does not hide them."""
+    rnd = random.Random(5)
+    rows = [(i, t, r, v, toxic if rnd.random() > 0.1 else 1 - toxic) for i, t, r, v, toxic in planted(3000, 3)]
+    clean = toxicity.fit(spark.createDataFrame(planted(1500, 1), SCHEMA), ["toxic"], kinds=2)
+    noisy = toxicity.fit(spark.createDataFrame(rows, SCHEMA), ["toxic"], kinds=2)
+    assert clean.categories == ["toxic_kind_1", "toxic_kind_2", "toxic"]
+    assert [len(w) - len(clean.features) for w in clean.weights] == [1, 2, 3]
+    held = spark.createDataFrame(planted(400, 4), SCHEMA)
+    for chain in (clean, noisy):
+        found = toxicity.score(held, chain, ["rude", "vile", "toxic"]).collect()
+        assert sum((r.p_toxic >= chain.thresholds[-1]) == bool(r.toxic) for r in found) >= 0.97 * len(found)
+    found = [r for r in toxicity.score(held, clean, ["rude", "vile", "toxic"]).collect() if r.rude + r.vile == 1]
+    apart = sum((r.p_toxic_kind_1 > r.p_toxic_kind_2) == bool(r.rude) for r in found) / len(found)
+    assert max(apart, 1 - apart) >= 0.6
+    x = np.array([[1, 1, 0, 0], [1, 1, 0, 0], [1, 0, 1, 1], [1, 0, 0, 0], [1, 0, 1, 1]], np.float32)
+    kinds = toxicity._kinds(x, np.array([1, 1, 1, 1, 0]), 2)
+    assert kinds.sum(axis=1).tolist() == [1, 1, 1, 0, 0] and (kinds[0] == kinds[1]).all() and (kinds[0] != kinds[2]).all()
+    assert not toxicity._kinds(x[:0], np.zeros(0), 2).size
+
+
 def test_toxicity_edge_cases(spark):
-    one_kind = toxicity.fit(spark.createDataFrame([(1, "a b", 0), (2, None, 1), (3, "c", None)], "doc_id long, text string, toxic int"), ["toxic"])
+    one_kind = toxicity.fit(spark.createDataFrame([(1, "a b", 0), (2, None, 1), (3, "c", None)], "doc_id long, text string, toxic int"), ["toxic"], kinds=2)
     rows = toxicity.score(docs_df(spark, [None, "", "any text"]).withColumnRenamed("n_chars", "p_toxic"), one_kind, ["doc_id", "text", "p_toxic"]).collect()
     assert [r.p_toxic < 0.01 for r in rows] == [True] * 3 and rows[0].text is None
     nothing = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"), ["toxic"])
