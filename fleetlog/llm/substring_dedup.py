@@ -1,6 +1,8 @@
 """Removal of repeated passages behind a count-min prefilter (operator 7).
 
-A window is ``width`` consecutive words of one document, known by a 64-bit hash.
+A window is ``width`` consecutive words of one document, known by two independent
+64-bit hashes: the first gives its cell, the second is grouped, so two different windows are
+taken for one only if both estimates and the second hash agree.
 Documents are read in slices of bounded size.
 
 1. Each slice makes a count-min sketch of its windows: the cells that it hits,
@@ -8,7 +10,7 @@ Documents are read in slices of bounded size.
    merge of a block adds the sketches of all slices and answers each slice with
    one bit for each of its cells, whether the cell's sum is two or more.  A sum
    is never below the number of windows, so no repeated window is lost.
-2. Each slice sends the full hashes of the windows estimated as repeated, again
+2. Each slice sends the second hashes of the windows estimated as repeated, again
    by blocks and counted up to two, which are grouped exactly and answered alike.
 3. Each slice removes the words covered by windows found repeated.
 
@@ -24,7 +26,7 @@ are compared unchanged, windows on the input alone.
 
 Slices are cut once, over all columns, and checkpointed as one compressed value
 each; the three passes read those, so how Arrow cuts its batches does not matter
-and ``docs`` is read once, stored or not.
+and ``docs`` is read once.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -44,13 +46,14 @@ WIDTH = 35
 BLOCK_WINDOWS = 4 << 20  # windows that meet in one block
 MIN_BLOCK_BITS = 6
 CELLS_PER_WINDOW_BITS = 5
+SECOND = 1  # seed of the second hash
 _ANSWER = "slice long, check long, block int, bits binary"
 
 
-def _windows(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows(found: Words, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     if not len(found.codes):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return window_hashes(hash_words(found.words)[found.codes], found.offsets, width)
+    return window_hashes(hash_words(found.words, seed)[found.codes], found.offsets, width)
 
 
 def _check(hashes: np.ndarray) -> int:
@@ -109,17 +112,17 @@ def _bits(keys: np.ndarray, edges: np.ndarray, answers: pa.Table, check: int) ->
     hit = np.zeros(len(keys), bool)
     for block, raw, told in zip(answers["block"].to_pylist(), answers["bits"].to_pylist(), answers["check"].to_pylist()):
         if told != check:
-            raise RuntimeError("a slice of the documents changed between two reads; pass a stored table or stored=False")
+            raise RuntimeError("a slice of the documents changed between two reads")
         a, b = edges[block], edges[block + 1]
         hit[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a)
     return hit
 
 
-def _candidates(hashes: np.ndarray, layout: Layout, answers: pa.Table) -> np.ndarray:
-    """Sorted hashes, at most two of each, of the windows estimated as repeated."""
+def _estimated(hashes: np.ndarray, layout: Layout, answers: pa.Table) -> np.ndarray:
+    """Which windows are estimated as repeated."""
     cells = _upto_two(layout.cells(hashes))
     hit = cells[_bits(cells, layout.cut(cells, layout.cell_bits), answers, _check(hashes))]
-    return _upto_two(hashes[_member(layout.cells(hashes), hit)])
+    return _member(layout.cells(hashes), hit)
 
 
 def _member(keys: np.ndarray, ranked: np.ndarray) -> np.ndarray:
@@ -171,12 +174,11 @@ def _merged(sent: DataFrame, unpack) -> DataFrame:
     return checkpointed(sent.groupBy("block").applyInArrow(merge, _ANSWER))
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, text_column: str = "text", joined: bool = False, stored: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = WIDTH, text_column: str = "text", joined: bool = False) -> DataFrame:
     """``docs`` without the words of repeated windows, and the columns
     ``n_words`` and ``n_removed``.  Kept words of a text that lost some are joined
     by one blank; other texts stay as they are unless ``joined``.  Columns of these
-    names and ``_slice`` in ``docs`` give way.  ``stored`` makes
-    no difference any more."""
+    names and ``_slice`` in ``docs`` give way."""
     prepare(docs.sparkSession)
     docs = without(docs, "n_words", "n_removed", "_slice")
     names = [f.name for f in docs.schema]
@@ -204,18 +206,21 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, text_column: str = "tex
     def exact(left: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows:
             return pa.Table.from_batches([], schema)
-        hashes, _ = _windows(words_of(_texts(_rows(left["rows"][0]))), width)
-        found = _candidates(hashes, layout, answers)
+        words = words_of(_texts(_rows(left["rows"][0])))
+        hashes, _ = _windows(words, width)
+        found = _upto_two(_windows(words, width, SECOND)[0][_estimated(hashes, layout, answers)])
         return pa.Table.from_batches([_sent(found, layout.cut(found, 64), lambda keys: keys.tobytes(), left["_slice"][0].as_py(), _check(hashes))])
 
     def remove(left: pa.Table, answers: pa.Table) -> pa.Table:
         rows = _rows(left["rows"][0])
         found = words_of(_texts(rows))
         hashes, first = _windows(found, width)
-        candidates = _candidates(hashes, layout, answers.filter(pc.equal(answers["phase"], 1)))
+        maybe = np.flatnonzero(_estimated(hashes, layout, answers.filter(pc.equal(answers["phase"], 1))))
+        second = _windows(found, width, SECOND)[0][maybe]
+        candidates = _upto_two(second)
         hit = _bits(candidates, layout.cut(candidates, 64), answers.filter(pc.equal(answers["phase"], 2)), _check(hashes))
         edges = np.zeros(len(found.codes) + 1, np.int64)
-        again = first[_member(hashes, candidates[hit])]
+        again = first[maybe[_member(second, candidates[hit])]]
         edges[again] += 1
         edges[again + width] -= 1
         keep = np.cumsum(edges[:-1]) == 0

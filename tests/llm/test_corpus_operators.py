@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import docs_df, near_components, prose, without_windows, words
 from pyspark.sql import functions as F
@@ -166,15 +167,14 @@ def passages(seed: int) -> list[str | None]:
     return texts
 
 
-@pytest.mark.parametrize("stored", [True, False])
-def test_substring_dedup_equals_the_plain_version(spark, stored, tmp_path):
+def test_substring_dedup_equals_the_plain_version(spark, tmp_path):
     texts = passages(8)
     df = docs_df(spark, [*enumerate(texts), (3, texts[6])]).withColumn("n_words", F.lit(1)).withColumnRenamed("lang", "_slice")
     df.repartition(3).write.parquet(str(tmp_path / "docs"))
     df = spark.read.parquet(str(tmp_path / "docs"))
     ids = [*range(len(texts)), 3]
     want = sorted((i, n, gone, " ".join(kept)) for i, (n, gone, kept) in zip(ids, without_windows([*texts, texts[6]])))
-    got = substring_dedup.without_repeats(df, joined=True, stored=stored).collect()
+    got = substring_dedup.without_repeats(df, joined=True).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.text or "") for r in got) == want
     assert sum(w[2] for w in want) > 500
 
@@ -183,7 +183,7 @@ def test_substring_dedup_leaves_other_texts_as_they_are(spark, tmp_path):
     docs_df(spark, [None, "a  b\n\nc", ""]).write.parquet(str(tmp_path / "docs"))
     df = spark.read.parquet(str(tmp_path / "docs"))
     assert {r.doc_id: r.text for r in substring_dedup.without_repeats(df).collect()} == {0: None, 1: "a  b\n\nc", 2: ""}
-    assert substring_dedup.without_repeats(df.limit(0), stored=False).count() == 0
+    assert substring_dedup.without_repeats(df.limit(0)).count() == 0
 
 
 def test_substring_dedup_of_texts_beyond_one_arrow_batch(spark, tmp_path):
@@ -199,6 +199,19 @@ def test_substring_dedup_of_texts_beyond_one_arrow_batch(spark, tmp_path):
     assert len(got) == 2200 and sum(r.n_words for r in got) == 2200 * 950 + 160
 
 
+def test_second_hash_tells_windows_apart(monkeypatch):
+    """With a first hash that is the same for all words, the second one still has a value of its
+    own for each different window."""
+    texts = passages(9)
+    plain = substring_dedup.hash_words
+    monkeypatch.setattr(substring_dedup, "hash_words", lambda words, seed=0: plain(words, seed) if seed else np.full(len(words), 7, np.uint64))
+    found = substring_dedup.words_of(pa.array([t or "" for t in texts], pa.large_string()))
+    assert len(set(substring_dedup._windows(found, 35)[0])) == 1
+    second = substring_dedup._windows(found, 35, substring_dedup.SECOND)[0]
+    split = [t.split() for t in texts if t]
+    assert len(set(second)) == len({tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34)})
+
+
 def test_sketch_blocks_pack_and_answer():
     layout = substring_dedup.Layout(10_000)
     rnd = np.random.default_rng(5)
