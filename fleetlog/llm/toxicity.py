@@ -230,6 +230,8 @@ def fit(labelled: DataFrame, categories: list[str], sample_rows: int = SAMPLE_RO
         weights.append(_logistic(x, y))
         thresholds.append(_threshold(beside, y))
         x = np.concatenate([x, beside[:, None]], axis=1)
+    del sample, parts, x
+    pa.default_memory_pool().release_unused()  # the driver lives on
     return Chain(list(categories), chosen, weights, thresholds)
 
 
