@@ -12,8 +12,8 @@ prefix: sets that link share a prefix shingle.
    than ``hot`` sets, in joins that split it.  A shingle of up to ``bucket`` groups pairs
    them all; one of more pairs each with a few that are drawn by hash.
 3. Group pairs are expanded to members and verified, by bitmaps and on the full sets; a group's
-   members are verified with its smallest.  Then each is verified with the most similar partner of
-   its partners, where that is of another component of the links so far.
+   members are verified with its smallest.  Then, at each shingle of more groups, sets outside the
+   component that has most of its sets are verified with some of that component.
 4. What pairing through drawn ones leaves out, and what lies between the
    further members of groups, is paired in a second step, but only between
    different components of the links so far: links inside a component cannot
@@ -53,6 +53,7 @@ CELL_BLOCK_BITS = 12
 BLOCK_ENTRIES = 1 << 20  # prefix entries that meet in one block, about
 MIN_BLOCK_BITS = 5
 PAIRS_AT_ONCE = 1 << 20
+STRAY_CELLS = 32  # of a wide token's sets: one of each is met from outside their component
 
 
 def _sets(part: pa.RecordBatch, words: int, column: str = "text") -> Iterator[np.ndarray]:
@@ -349,17 +350,18 @@ def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
     return connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links.select("a", "b")))
 
 
-def hub_pairs(scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each node with the most similar partners of its partners, where they are of other components.
-    Near copies of one text have more in common with it than with each other, so that
-    step leads from a drawn centre to the text which most of a family link to."""
-    ends = scored.select(F.col("a").alias("node"), F.col("b").alias("to"), "share").unionByName(scored.select(F.col("b").alias("node"), F.col("a").alias("to"), "share"))
-    hub = ends.groupBy("node").agg(F.max_by("to", F.struct("share", "to")).alias("hub")).withColumnRenamed("node", "to")
-    pairs = ends.select("node", "to").join(hub, "to").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    pairs = pairs.join(scored, ["a", "b"], "left_anti")
-    of = [labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in ("a", "b")]
-    pairs = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
-    return pairs.filter("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+def stray_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """Set pairs ``a, b``: for each wide token of ``held`` (``token, sid, n, at, label``), the sets
+    outside the component that has most of its sets, each with a few of that component.  They are drawn
+    by set and token, so a set meets others at each of its tokens; of those in one of the cells, it is the one
+    with the token in its earliest place, with which the sizes allow most links."""
+    cell = F.pmod(F.xxhash64("sid", "token"), F.lit(STRAY_CELLS)).alias("cell")
+    drawn = held.groupBy("token", "label", cell).agg(F.count("*").alias("size"), F.min(F.struct("at", "n", "sid")).alias("centre"))
+    parts = drawn.groupBy("token", "label").agg(F.sum("size").alias("size"), F.collect_list("centre").alias("centres"))
+    main = parts.groupBy("token").agg(F.max_by(F.struct("label", "centres"), F.struct("size", "label")).alias("main"))
+    centres = main.select("token", F.col("main.label").alias("label"), F.inline("main.centres"))
+    met = held.alias("a").join(centres.alias("b"), F.expr(f"a.token = b.token AND a.label <> b.label AND {_fits(percent)}"))
+    return met.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
 
 
 def labels_of(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket: int, id_column: str, text_column: str) -> DataFrame:
@@ -374,37 +376,55 @@ def labels_of(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket
     groups = checkpointed(sets.groupBy("gid").agg(F.min("sid").alias("first"), F.count("*").alias("members"), F.min("n").alias("n")))
     # rare tokens meet in blocks
     blocks = checkpointed(block_pairs(rows, percent, bucket))
+    near, star, wide = (blocks.filter(F.col("kind") == kind) for kind in range(3))
+    near, star = near.select("a", "b"), star.select("a", "b")
+    wide = wide.select(F.col("a").alias("token"), F.col("b").alias("gid"), "n", "at")
     # frequent ones, of which any may be on a third of all rows, in joins that split them
-    often = rows.filter(F.col("kind") == _FREQUENT).select(F.col("key").alias("token"), "gid", "n", F.col("sid").alias("at")).distinct()
-    drawn = [F.min_by("gid", F.xxhash64("gid", F.lit(k))) for k in range(CENTRES)]
-    counted = often.groupBy("token").agg(F.count("*").alias("size"), F.array(*drawn).alias("centres"))
-    broad = checkpointed(counted.filter(F.col("size") > bucket))
-    narrow = often.join(broad, "token", "left_anti")
-    wide = often.join(broad, "token", "left_semi").unionByName(blocks.filter("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("gid"), "n", "at"))
-    near = narrow.alias("a").join(narrow.alias("b"), F.expr(f"a.token = b.token AND a.gid < b.gid AND {_fits(percent)}"))
-    near = near.select(F.col("a.gid").alias("a"), F.col("b.gid").alias("b"))
-    close = _ordered_pairs(near.unionByName(blocks.filter("kind = 0").select("a", "b")))
-    centres = broad.select("token", F.explode(F.array_distinct("centres")).alias("centre"))
-    centres = centres.join(groups.select(F.col("gid").alias("centre"), F.col("n").alias("m")), "centre").select("token", "centre", "m")
-    star = often.join(centres, "token").filter(f"gid <> centre AND 100 * least(n, m) >= {percent} * greatest(n, m)")
-    star = _ordered_pairs(star.select(F.col("gid").alias("a"), F.col("centre").alias("b")).unionByName(blocks.filter("kind = 1").select("a", "b")))
+    frequent = rows.filter(F.col("kind") == _FREQUENT)
+    if not frequent.isEmpty():
+        often = frequent.select(F.col("key").alias("token"), "gid", "n", F.col("sid").alias("at")).distinct()
+        drawn = [F.min_by("gid", F.xxhash64("gid", F.lit(k))) for k in range(CENTRES)]
+        counted = often.groupBy("token").agg(F.count("*").alias("size"), F.array(*drawn).alias("centres"))
+        broad = checkpointed(counted.filter(F.col("size") > bucket))
+        narrow = often.join(broad, "token", "left_anti")
+        wide = often.join(broad, "token", "left_semi").unionByName(wide)
+        meet = narrow.alias("a").join(narrow.alias("b"), F.expr(f"a.token = b.token AND a.gid < b.gid AND {_fits(percent)}"))
+        near = meet.select(F.col("a.gid").alias("a"), F.col("b.gid").alias("b")).unionByName(near)
+        centres = broad.select("token", F.explode(F.array_distinct("centres")).alias("centre"))
+        centres = centres.join(groups.select(F.col("gid").alias("centre"), F.col("n").alias("m")), "centre").select("token", "centre", "m")
+        meet = often.join(centres, "token").filter(f"gid <> centre AND 100 * least(n, m) >= {percent} * greatest(n, m)")
+        star = meet.select(F.col("gid").alias("a"), F.col("centre").alias("b")).unionByName(star)
+    close, star = _ordered_pairs(near), _ordered_pairs(star)
     # a group stands for its first member, whose bitmap rules most pairs out
     first = groups.select("gid", F.col("first").alias("sid"))
     of_groups = members.join(first, ["gid", "sid"], "left_semi").select(F.col("gid").alias("id"), "sid", "n", F.col("payload").alias("bits")).dropDuplicates(["id"])
 
     several = checkpointed(sets.select("sid", "gid").join(groups.filter("members > 1"), "gid"))
-    within = likely(_ordered_pairs(several.select(F.col("sid").alias("a"), F.col("first").alias("b"))), of_sets, percent)
-    scored = exactly(_ordered_pairs(likely(close.unionByName(star).distinct(), of_groups, percent).unionByName(within)))
+    within = several.select(F.col("sid").alias("a"), F.col("first").alias("b")).filter("a <> b")
+    pairs = close.unionByName(star).unionByName(within).distinct()  # hashes of groups and of sets: ids of one table
+    scored = exactly(_ordered_pairs(likely(pairs, of_groups.unionByName(of_sets), percent)))
     labels = connected(scored.filter("link"))
-    hubs = checkpointed(likely(hub_pairs(scored, labels), of_sets, percent))
-    labels = joined_by(labels, exactly(hubs).filter("link"))
+
+    def known_by(labels: DataFrame) -> DataFrame:
+        lone = F.coalesce("label", "sid").alias("label")
+        return sets.select("sid", "gid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "gid", lone)
+
+    def held_by(labels: DataFrame) -> DataFrame:
+        return checkpointed(wide.join(known_by(labels).withColumnRenamed("gid", "of"), F.expr("gid = of")).drop("of"))
+
+    # a family's sets that met none of their own by the drawn groups meet others of it
+    held = None if wide.isEmpty() else held_by(labels)
+    if held:
+        strays = checkpointed(likely(_ordered_pairs(stray_pairs(held, percent)), of_sets, percent))
+        if not strays.isEmpty():
+            labels = joined_by(labels, exactly(strays).filter("link"))
+            held = held_by(labels)
 
     # second step: all that is left, between components only, as links inside one cannot change it
-    lone = F.coalesce("label", "sid").alias("label")
-    known = checkpointed(sets.select("sid", "gid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "gid", lone))
     apart = "a.sid <> b.sid AND a.label <> b.label"
 
     def expand(group_pairs: DataFrame) -> DataFrame:
+        known = checkpointed(known_by(labels))
         ends = group_pairs.alias("p").join(known.alias("a"), F.expr("p.a = a.gid")).join(known.alias("b"), F.expr(f"p.b = b.gid AND {apart}"))
         return ends.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
 
@@ -414,8 +434,7 @@ def labels_of(rows: DataFrame, docs: DataFrame, words: int, percent: int, bucket
         same = more.select(F.col("gid").alias("a"), F.col("gid").alias("b"))
         either = close.join(more, close["a"] == more["gid"], "left_semi").unionByName(close.join(more, close["b"] == more["gid"], "left_semi"))
         rest = expand(either.unionByName(same))
-    if not wide.isEmpty():
-        held = wide.join(known.withColumnRenamed("gid", "of"), F.expr("gid = of")).drop("of")
+    if held:
         pair = held.alias("a").join(held.alias("b"), F.expr(f"a.token = b.token AND a.gid < b.gid AND a.label <> b.label AND {_fits(percent)}"))
         pair = pair.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
         rest = pair if rest is None else rest.unionByName(pair)

@@ -276,6 +276,16 @@ def test_one_of_each_component_stays(spark):
     assert ngram_join.one_of_each(docs_df(spark, [])).count() == 0
 
 
+def test_strays_meet_a_bounded_number_of_the_main_component(spark):
+    held = [(token, sid, 100, sid % 5, 1 if sid < 400 else sid) for token in (7, 8) for sid in range(440)]
+    df = spark.createDataFrame(held, "token long, sid long, n long, at long, label long")
+    pairs = [(r.a, r.b) for r in ngram_join.stray_pairs(df, 75).collect()]
+    assert {a for a, _ in pairs} == set(range(400, 440)) and all(b < 400 for _, b in pairs)
+    assert len(pairs) <= 2 * 40 * ngram_join.STRAY_CELLS
+    # drawn anew for each token: a set meets others by its second one
+    assert all(len({b for a, b in pairs if a == stray}) > ngram_join.STRAY_CELLS for stray in range(400, 440))
+
+
 def test_components_of_chains_and_stars(spark):
     rnd = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)]
