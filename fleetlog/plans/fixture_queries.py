@@ -341,6 +341,9 @@ def csv_round_trip(spark, d):
     return good.select(TS, "amount_eur", "liters", "fuel_type", "is_full_tank", "station_name", "city", "country")
 
 
+FILE_CHUNK = 10_000     # row numbers of a chunk of lines
+
+
 def _three_files(spark, d, columns, name):
     """``fx_dirty`` as three CSV files by order key, one of them with notes over two lines."""
     path = scratch_path(spark, name)
@@ -348,9 +351,15 @@ def _three_files(spark, d, columns, name):
     notes = F.when((F.col(ROW) % 3 == 1) & (F.col(ROW) % 5 == 0), F.lit('say "one"\nand two,')).otherwise(F.lit("")).alias("notes")
     rows = fx.fx_dirty(spark, d).withColumn("odometer_km", F.col("amount_eur"))
     rows = rows.select(part, F.col(ROW).alias("_at"), *[c for c in columns if c != "notes"], *([notes] if "notes" in columns else []))
-    (rows.repartition("part").sortWithinPartitions("part", "_at").drop("_at").write.partitionBy("part").option("header", True)
-     .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .option("emptyValue", "").csv(path))
+    # rows become lines, lines chunks of neighbours: the task that writes a file sorts its chunks, not its rows
+    cells = [c for c in rows.columns if c not in ("part", "_at")]
+    line = F.to_csv(F.struct(*cells), {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
+                                       "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}).alias("line")
+    chunks = rows.groupBy("part", F.floor(F.col("_at") / F.lit(FILE_CHUNK)).alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("_at", line)))["line"].alias("lines"))
+    head = rows.select("part").distinct().select("part", F.lit(0).alias("body"), F.lit(None).cast("long").alias("chunk"), F.lit(",".join(cells)).alias("value"))
+    text = chunks.select("part", F.lit(1).alias("body"), "chunk", F.array_join("lines", "\n").alias("value")).unionByName(head)
+    text.repartition("part").sortWithinPartitions("part", "body", "chunk").drop("body", "chunk").write.partitionBy("part").text(path)
     return path
 
 

@@ -6,7 +6,7 @@ follow the original's ``index + 2`` (header = row 1, a record that reaches over
 several lines counts once) per file and are computed without putting a whole
 file in one task when the file is splittable: rows are counted per (file,
 split), the splits' offsets come from a window over that small table, and each
-row adds its position in its split.
+row adds its position in its split: its id less the split's first one.
 
 A record may reach over line ends inside quotes.  Splits start at line ends, so
 a file with such a record has to be read whole; which files those are is told by
@@ -45,13 +45,14 @@ def number_rows(df: DataFrame, first: int = 2) -> DataFrame:
     d = (df.withColumn("_file", F.col("_metadata.file_path"))
          .withColumn("_split", F.col("_metadata.file_block_start"))
          .withColumn("_mid", F.monotonically_increasing_id()))
-    splits = d.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_n"))
+    # ids rise by one inside a split, so a row's place needs its first id only, no sort of the split
+    splits = d.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("_file", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    in_split = Window.partitionBy("_file", "_split").orderBy("_mid")
-    return (d.join(offsets, ["_file", "_split"])
-            .withColumn(ROW, (F.col("_off") + F.row_number().over(in_split) + (first - 1)).cast("long"))
-            .drop("_split", "_mid", "_off", "_metadata"))
+    offsets = splits.select("_file", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # a row for each split, which the driver lists for the scan anyway; so no file's rows meet in a task
+    return (d.join(F.broadcast(offsets), ["_file", "_split"])
+            .withColumn(ROW, (F.col("_off") + F.col("_mid") - F.col("_first") + first).cast("long"))
+            .drop("_split", "_mid", "_first", "_off", "_metadata"))
 
 
 FILE_SHIFT = 40
@@ -98,7 +99,7 @@ def source_files(spark: SparkSession, path: str) -> DataFrame:
 def with_source(rows: DataFrame, files: DataFrame, row: str = ROW) -> DataFrame:
     """``rows`` with ``source_file`` and ``record``, the number in the file, of their ``row`` id."""
     of = F.shiftrightunsigned(F.col(row), FILE_SHIFT) == F.col("file_no")
-    return (rows.join(files, of, "left").drop("file_no")
+    return (rows.join(F.broadcast(files), of, "left").drop("file_no")
             .withColumn("record", F.col(row).bitwiseAND(F.lit((1 << FILE_SHIFT) - 1))))
 
 
@@ -130,7 +131,7 @@ def read_raw_csv(spark: SparkSession, path: str, required: tuple[str, ...], data
     if missing:
         return None, _dataset_issue(spark, dataset, f"Missing required columns: {missing}")
     rows = _read(spark, path, required, multiline).withColumn("source_file", _source(F.col("_file"))).drop("_file")
-    rows = rows.join(source_files(spark, path), "source_file")
+    rows = rows.join(F.broadcast(source_files(spark, path)), "source_file")
     return rows.withColumn(ROW, F.shiftleft("file_no", FILE_SHIFT) + F.col(ROW)).drop("file_no"), empty_issues
 
 
@@ -154,8 +155,8 @@ def _located(issues: DataFrame, files: DataFrame) -> DataFrame:
     low = F.lit((1 << FILE_SHIFT) - 1)
     a = files.select(F.col("file_no").alias("_no_a"), F.col("source_file").alias("pair_file_a"))
     of = F.shiftrightunsigned(F.coalesce(ROW, "pair_row_b"), FILE_SHIFT)
-    out = issues.join(files, of == F.col("file_no"), "left").join(
-        a, F.shiftrightunsigned("pair_row_a", FILE_SHIFT) == F.col("_no_a"), "left")
+    out = issues.join(F.broadcast(files), of == F.col("file_no"), "left").join(
+        F.broadcast(a), F.shiftrightunsigned("pair_row_a", FILE_SHIFT) == F.col("_no_a"), "left")
     return out.withColumns({c: F.col(c).bitwiseAND(low) for c in (ROW, "pair_row_a", "pair_row_b")}).drop("file_no", "_no_a")
 
 

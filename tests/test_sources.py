@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import random
 from collections import defaultdict
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +15,8 @@ from samples import FUEL_CSV, ODO_CSV
 from fleetlog.operators import aggregates as agg
 from fleetlog.operators import distance as dist
 from fleetlog.operators.consumption import consumption_estimates, consumption_summary
-from fleetlog.schema import FUEL_SCHEMA, ODO_SCHEMA
+from fleetlog.plans import fixture_queries
+from fleetlog.schema import FUEL_RAW_COLUMNS, FUEL_SCHEMA, ODO_SCHEMA
 from fleetlog.sources import csv as csvsrc
 from fleetlog.sources import store
 
@@ -229,6 +233,32 @@ def test_every_file_with_open_lines(spark, tmp_path):
     assert rows.count() == 3
 
 
+def test_rows_of_a_file_are_numbered_where_they_are_read(spark, tmp_path):
+    """No window over a file's rows and no join that brings them together."""
+    (tmp_path / "a.csv").write_text(HEADER + '2024-01-01,1,"p\nq"\n2024-01-02,2,\n')
+    (tmp_path / "b.csv").write_text(HEADER + "2024-01-01,3,\n")
+    rows, _ = csvsrc.read_raw_csv(spark, str(tmp_path), ("datetime", "odometer_km", "notes"), "odometer")
+    plan = csvsrc.with_source(rows.drop("source_file"), csvsrc.source_files(spark, str(tmp_path)))._jdf.queryExecution().sparkPlan().toString()
+    assert "row_number" not in plan and "SortMergeJoin" not in plan
+    low = (1 << csvsrc.FILE_SHIFT) - 1
+    assert sorted((r.row_num >> csvsrc.FILE_SHIFT, r.row_num & low, r.odometer_km) for r in rows.collect()) == [(0, 2, "1"), (0, 3, "2"), (1, 2, "3")]
+
+
+def test_files_of_fixture_rows_are_in_order_over_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fixture_queries, "FILE_CHUNK", 7)
+    orders = [(k, k, datetime(2024, 1, 1), 3000.0 * k, "F") for k in random.Random(3).sample(range(1, 61), 60)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_totalprice double, o_orderstatus string").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    path = fixture_queries._three_files(spark, str(tmp_path), FUEL_RAW_COLUMNS, "ordered").removeprefix("file:")
+    for part in range(3):
+        (file,) = Path(path, f"part={part}").glob("part-*")
+        with file.open(newline="") as lines:
+            head, *found = csv.reader(lines)
+        assert set(head) == set(FUEL_RAW_COLUMNS)
+        assert [float(r[head.index("amount_eur")]) for r in found] == [k for k in range(1, 61) if (k + 2) % 3 == part]
+        assert {r[head.index("notes")] for r in found} <= {"", 'say "one"\nand two,'}
+
+
 # --- committed batches --------------------------------------------------------------------
 
 def _fuel_rows(spark, rows):
