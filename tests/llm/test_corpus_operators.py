@@ -298,6 +298,15 @@ def test_components_of_chains_and_stars(spark):
     assert components.connected(df.limit(0)).count() == 0
 
 
+def test_size_estimates_of_components_do_not_grow_with_the_rounds(spark):
+    links = spark.range(64).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    for _ in range(2):
+        labels = components.connected(links)
+        assert {(r.node, r.label) for r in labels.collect()} == {(k, 0) for k in range(65)}
+        assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
+        links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
 # --- 8 ------------------------------------------------------------------------
 
 
